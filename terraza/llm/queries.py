@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licences, packing, quality, tokencounts, toxicity
+from . import jaccard, language, licences, packing, quality, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op6(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op7(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.op9(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op4_licences, op5_packing, op6_language, op9_token_counts, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

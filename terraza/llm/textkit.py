@@ -141,7 +141,7 @@ def shingle_sets(c: Chunk, width: int = 5) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(h[a:b][good[a:b]]))
         elif b > a:
-            short = b - a
+            short = int(b - a)
             for x in w.hash[a:b].tolist():
                 short = (short * _BASE + x) % (1 << 64)
             out.append(_mix(np.array([short], np.uint64)))
