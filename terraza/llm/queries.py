@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, licences, packing, quality, tokencounts, toxicity
+from . import jaccard, language, licences, packing, quality, tokencounts, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op7(_table(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.op8(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.op9(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op9_token_counts, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op8_vector_dedup, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
