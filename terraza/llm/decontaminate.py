@@ -15,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -238,5 +239,26 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, que
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def holds_item(items: DataFrame, text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> Column:
+    """Whether a text column's document holds any item; the shards' answers are joined by or."""
+
+    def asked(held: Broadcast) -> Column:
+        def holds(column: pa.Array) -> pa.Array:
+            index, out = held.value, np.zeros(len(column), bool)
+            for c in tk.chunks(column):
+                w = tk.words(c, tk.ALNUM)
+                for d, item in index.passages(w, threshold):
+                    q, a = index.overlaps(item, w.hash[w.first[d] : w.first[d + 1]])
+                    out[c.row + d] |= q >= question and a >= answer
+            return pa.array(out)
+
+        return F.arrow_udf(holds, "boolean")(F.col(text))
+
+    out = F.lit(False)
+    for index in index_shards(items):
+        out = out | asked(items.sparkSession.sparkContext.broadcast(index))
+    return out
+
+
 def op1(docs: DataFrame, items: DataFrame) -> DataFrame:
     return matches(docs, items)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, licences, packing, quality, tokencounts, toxicity, vectors
+from . import decontaminate, jaccard, language, licences, packing, pages, quality, tokencounts, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.op3(_table(spark, sf_dir, "pages"))
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.op4(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op8_vector_dedup, op9_token_counts, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_main_text, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op8_vector_dedup, op9_token_counts, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
