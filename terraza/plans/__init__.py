@@ -1,0 +1,3 @@
+"""Registered queries: importing this package fills the registry."""
+
+from terraza.plans import evidence, geo, history, listings, text  # noqa: F401
