@@ -100,14 +100,14 @@ def slug_sql(x: str) -> str:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null if a coordinate is."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     h = f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
-    return f"(2 * {EARTH_M}e0 * asin(least(1e0, sqrt({h}))))"
+    return f"(CASE WHEN {h} IS NOT NULL THEN 2 * {EARTH_M}e0 * asin(least(1e0, sqrt({h}))) END)"
 
 
 def valid_coordinate(lat: Column, lon: Column) -> Column:
