@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +25,11 @@ from .shared import written
 WIDTH = 5
 SHARE = 80  #: per cent of the union that the intersection has at least
 ORDERS = 3
-BUCKETS = 1 << 20  #: of the sketch of common shingles
-COMMON = 4  #: times in a batch from which a shingle counts as common
+BUCKETS = 1 << 21  #: of the sketch of common shingles
+SLICE = 1 << 13  #: buckets that a task sends as one row
 SEEN = 1 << 16  #: classes that a task remembers so as not to emit them again
 BLOCK = 50_000  #: tokens of the classes that are compared as one
-NEEDED = 1 << 23  #: bits of the sieve of classes to compare
+SIEVE = 1 << 23  #: bits of the sieves before a shuffle; a sieve that fills up lets all through
 
 
 def prefix_size(n: int, share: int = SHARE) -> int:
@@ -46,13 +47,16 @@ def _least_shared(n: Column, share: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.ceil(low * share / 100), 3 + F.floor(low / 50)))
 
 
-def _class(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit key of each set."""
-    out = np.zeros(len(sets), np.uint64)
+def _class(sets: list[np.ndarray], level: np.ndarray | None = None) -> np.ndarray:
+    """A key of each set: how little of it is not common in the leading bits, if levels are given, then 59 bits of a hash."""
+    out, hub = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
     for i, s in enumerate(sets):
         if len(s):
             out[i] = s.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(tk.mix(s))
-    return tk.mix(out)
+            if level is not None:
+                rare = int((level[(s % np.uint64(BUCKETS)).astype(np.int64)] == 0).sum())
+                hub[i] = max(0, 15 - rare.bit_length()) if rare < len(s) else 0
+    return hub << np.uint64(59) | tk.mix(out) >> np.uint64(5)
 
 
 def _order(s: np.ndarray, k: int) -> np.ndarray:
@@ -78,10 +82,10 @@ def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def _sets(batch: pa.RecordBatch):
+def _sets(batch: pa.RecordBatch, level: np.ndarray | None):
     for c in tk.chunks(batch.column("text")):
         sets = tk.shingle_sets(c, WIDTH)
-        yield c, sets, _class(sets)
+        yield c, sets, _class(sets, level)
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -90,92 +94,119 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kinds[k]) for x, (_, k) in zip(columns, pairs, strict=True)], [n for n, _ in pairs])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n, bucket, times): a row for each document, and rows of the sketch, which alone have a bucket."""
-    names = "doc_id long, cls long, n long, bucket long, times long"
+def levels(docs: DataFrame) -> np.ndarray:
+    """How common the shingles of each bucket are, as a power of two; 0 where no more than chance puts there.
+
+    Every document's every shingle is counted, in a sketch of a fixed size: each task sends its counts in slices, which are
+    summed where the slice is. A shingle in one document of ten thousand stands out at any number of documents.
+    """
+
+    def counted(batches):
+        total = np.zeros(BUCKETS, np.uint32)
+        for batch in batches:
+            for c in tk.chunks(batch.column("text")):
+                np.add.at(total, (np.concatenate(tk.shingle_sets(c, WIDTH)) % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
+        for k in range(0, BUCKETS, SLICE):
+            if total[k : k + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([total[k : k + SLICE].tobytes()])], ["slice", "counts"])
+
+    def summed(batches):
+        key, total = None, np.zeros(SLICE, np.int64)
+        for batch in batches:
+            for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()])], ["slice", "counts"])
+                    key, total = k, np.zeros(SLICE, np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.uint32)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()])], ["slice", "counts"])
+
+    sent = docs.select("text").mapInArrow(counted, "slice int, counts binary")
+    got = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slice int, counts binary").toArrow()
+    total = np.zeros(BUCKETS, np.int64)
+    for k, counts in zip(got["slice"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        total[k * SLICE : (k + 1) * SLICE] = np.frombuffer(counts, np.int64)
+    chance = np.median(total)
+    over = total - chance
+    return np.where(over >= 4 + 5 * np.sqrt(chance), np.log2(np.maximum(over, 1)) + 1, 0).astype(np.uint8)
+
+
+def classes(docs: DataFrame, held: Broadcast) -> DataFrame:
+    """(doc_id, cls, n): a row for each document."""
 
     def measured(batches):
         for batch in batches:
-            for c, sets, cls in _sets(batch):
-                flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(flat)))
-                bucket, back = np.unique((flat[first][times >= COMMON] % np.uint64(BUCKETS)).astype(np.int64), return_inverse=True)
-                total = np.bincount(back, times[times >= COMMON], len(bucket)).astype(np.int64)
-                n, m = len(c), len(bucket)
-                none = pa.nulls(m, pa.int64())
-                yield _batch(names, batch.column("doc_id").slice(c.row, n).cast(pa.int64()), cls.view(np.int64), [len(s) for s in sets], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
-                yield _batch(names, none, none, none, bucket, total)
-
-    return docs.select("doc_id", "text").mapInArrow(measured, names)
-
-
-def levels(sketch: DataFrame) -> np.ndarray:
-    """How common the shingles of each bucket are, as a power of two; the table has a fixed size."""
-    got = sketch.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).toArrow()
-    out = np.zeros(BUCKETS, np.uint8)
-    if got.num_rows:
-        out[got["bucket"].to_numpy()] = np.log2(got["times"].to_numpy()).astype(np.uint8) + 1
-    return out
+            for c, sets, cls in _sets(batch, held.value):
+                yield _batch("doc_id long, cls long, n long", batch.column("doc_id").slice(c.row, len(c)).cast(pa.int64()), cls.view(np.int64), [len(s) for s in sets])
+
+    return docs.select("doc_id", "text").mapInArrow(measured, "doc_id long, cls long, n long")
 
 
-def postings(docs: DataFrame, level: np.ndarray, share: int = SHARE) -> DataFrame:
-    """(tok, cls, n, hub): the prefix of each class under the first order; hub is the mean level of its shingles in 1000ths."""
-    held = docs.sparkSession.sparkContext.broadcast(level)
-    names = "tok long, cls long, n int, hub int"
+def _sieve(keys: DataFrame) -> Broadcast:
+    """Bits for the keys of a one-column table, of a fixed size whatever their number."""
+    name = keys.columns[0]
+    bits = keys.select(F.col(name).bitwiseAND(SIEVE - 1).alias("k")).distinct().toArrow()["k"].to_numpy()
+    sieve = np.zeros(SIEVE, bool)
+    sieve[bits] = True
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+
+
+def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(SIEVE - 1)
+    return (sieve[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _new(seen: dict, key: int) -> bool:
+    """Whether a task meets a class for the first time, as far as it remembers."""
+    if key in seen:
+        return False
+    if len(seen) >= SEEN:
+        seen.clear()
+    seen[key] = True
+    return True
+
+
+def postings(docs: DataFrame, held: Broadcast, share: int = SHARE, only: Broadcast | None = None) -> DataFrame:
+    """(tok, cls): the prefix of each class under the first order, or what of it passes a sieve."""
 
     def indexed(batches):
         level, seen = held.value, {}
         for batch in batches:
-            for _, sets, cls in _sets(batch):
-                parts, who, sizes, hubs = [], [], [], []
+            for _, sets, cls in _sets(batch, level):
+                parts, who = [], []
                 for s, k in zip(sets, cls.tolist(), strict=True):
-                    if not len(s) or k in seen:
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen[k] = True
-                    own = level[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                    p = prefix_size(len(s), share) + least_shared(len(s), share) - 1
-                    # s is sorted, so a stable sort by level orders by (level, hash)
-                    parts.append(s[np.argsort(own, kind="stable")[:p]])
-                    who.append(k)
-                    sizes.append(len(s))
-                    hubs.append(int(own.mean() * 1000))
+                    if len(s) and _new(seen, k):
+                        p = prefix_size(len(s), share) + least_shared(len(s), share) - 1
+                        # s is sorted, so a stable sort by level orders by (level, hash)
+                        parts.append(s[np.argsort(level[(s % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")[:p]])
+                        who.append(k)
                 if parts:
-                    count = list(map(len, parts))
-                    yield _batch(names, np.concatenate(parts).view(np.int64), np.repeat(np.array(who, np.uint64).view(np.int64), count), np.repeat(sizes, count).astype(np.int32), np.repeat(hubs, count).astype(np.int32))
+                    tok, cls = np.concatenate(parts), np.repeat(np.array(who, np.uint64), list(map(len, parts)))
+                    if only:
+                        good = _passes(only.value, tok)
+                        tok, cls = tok[good], cls[good]
+                    yield _batch("tok long, cls long", tok.view(np.int64), cls.view(np.int64))
 
-    return docs.select("text").mapInArrow(indexed, names)
+    return docs.select("text").mapInArrow(indexed, "tok long, cls long")
 
 
-def needed(docs: DataFrame, cls: DataFrame) -> DataFrame:
-    """(cls, tokens): the set of each class of cls, and of some others that a sieve of fixed size lets through."""
-    mask = NEEDED - 1
-    bits = cls.select(F.col("cls").bitwiseAND(mask).alias("k")).distinct().toArrow()["k"].to_numpy()
-    sieve = np.zeros(NEEDED, bool)
-    sieve[bits] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+def needed(docs: DataFrame, held: Broadcast, cls: DataFrame) -> DataFrame:
+    """(cls, tokens): the set of each class of cls, and of some others that the sieve lets through."""
+    only = _sieve(cls)
 
     def kept(batches):
-        sieve, seen = np.unpackbits(held.value).astype(bool), {}
+        seen = {}
         for batch in batches:
-            for _, sets, keys in _sets(batch):
-                out = []
-                for i in np.flatnonzero(sieve[(keys & np.uint64(mask)).astype(np.int64)]).tolist():
-                    k = int(keys[i])
-                    if len(sets[i]) and k not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen[k] = True
-                        out.append(i)
+            for _, sets, keys in _sets(batch, held.value):
+                out = [i for i in np.flatnonzero(_passes(only.value, keys)).tolist() if len(sets[i]) and _new(seen, int(keys[i]))]
                 if out:
                     yield _batch("cls long, tokens tokens", keys[out].view(np.int64), pa.array([sets[i].view(np.int64) for i in out], pa.list_(pa.int64())))
 
     return docs.select("text").mapInArrow(kept, "cls long, tokens array<long>").dropDuplicates(["cls"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame:
+def verified(docs: DataFrame, held: Broadcast, pairs: DataFrame, share: int = SHARE) -> DataFrame:
     """Of the pairs (a, b) of classes, those that link."""
 
     def compared(batches):
@@ -186,7 +217,7 @@ def verified(docs: DataFrame, pairs: DataFrame, share: int = SHARE) -> DataFrame
             good = [linked(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]], share) for i in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = needed(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+    sets = needed(docs, held, pairs.select(F.explode(F.array("a", "b")).alias("cls")))
     with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
     both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
     return both.mapInArrow(compared, "a long, b long")
@@ -245,32 +276,36 @@ def block_links(left: list[tuple], right: list[tuple], share: int) -> list[tuple
     return found
 
 
-def across(docs: DataFrame, rest: DataFrame, families: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) between different components among the classes of rest (tok, cls, n, comp) that share a token.
+def across(docs: DataFrame, held: Broadcast, shared: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between different components among the classes of shared (tok, cls) that share tokens.
 
-    Classes of one family go to blocks of about BLOCK tokens, and blocks whose classes share a prefix token are compared as
-    wholes, so the rows that are shuffled grow with pairs of blocks and not with pairs of classes.
+    members are (cls, n, comp, team, linked): the classes of one team go to blocks of about BLOCK tokens, and blocks whose
+    classes share enough prefix tokens are compared as wholes, so the rows that are shuffled grow with pairs of blocks and not
+    with pairs of classes. A team of linked classes is a component, whose blocks need no comparison with each other.
     """
-    members = rest.select("cls", "n", "comp").distinct().join(families, "cls", "left").withColumn("family", F.coalesce("family", "cls"))
-    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    members = members.join(sizes, "family").select("cls", "comp", F.xxhash64("family", F.pmod(F.xxhash64("cls"), "parts")).alias("block"), _least_shared(F.col("n"), share).alias("need"))
-    members = written(members, "members")
-    by_token = rest.select("tok", "cls").join(members, "cls").groupBy("tok", "block").agg(F.min("need").alias("need"))
+    parts = members.groupBy("team").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    block = F.xxhash64("team", "linked", F.pmod(F.xxhash64("cls"), "parts")).alias("block")
+    members = written(members.join(parts, "team").select("cls", "comp", block, F.when(F.col("linked"), F.col("comp")).alias("one"), _least_shared(F.col("n"), share).alias("need")), "members")
+    by_token = shared.select("tok", "cls").join(members, "cls").groupBy("tok", "block").agg(F.min("need").alias("need"), F.min("one").alias("one"))
+    p, q = (by_token.select("tok", F.col("block").alias(k), F.col("one").alias(f"one_{k}"), "need") for k in "pq")
+    pairs = p.join(q.drop("need"), "tok").where((F.col("p") < F.col("q")) & F.coalesce(F.col("one_p") != F.col("one_q"), F.lit(True)))
+    pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need").select("p", "q")
     # A block is compared with itself if it holds several components.
     alone = members.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("block").alias("p"), F.col("block").alias("q"))
-    pairs = by_token.select("tok", F.col("block").alias("p"), "need").join(by_token.select("tok", F.col("block").alias("q")), "tok").where("p < q").groupBy("p", "q").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need").select("p", "q").unionByName(alone)
+    pairs = written(pairs.unionByName(alone), "pairs")
     sides = pairs.select("p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))).alias("block"))
-    sets = members.join(needed(docs, members.select("cls")), "cls")
+    busy = members.join(sides.select("block").distinct(), "block", "left_semi").select("cls", "comp", "block")
+    sets = busy.join(needed(docs, held, busy.select("cls")), "cls")
     rows = sides.join(sets, "block").select(F.xxhash64("p", "q").alias("pair"), "p", "q", "block", "cls", "comp", "tokens")
     rows = rows.repartition("pair").sortWithinPartitions("pair", "p", "q", "block", "cls")
 
     def compared(batches):
-        held, key = [], None
+        rows, key = [], None
 
         def done():
             p, q = key
-            found = block_links([r[1:] for r in held if r[0] == p], [r[1:] for r in held if r[0] == q], share)
-            held.clear()
+            found = block_links([r[1:] for r in rows if r[0] == p], [r[1:] for r in rows if r[0] == q], share)
+            rows.clear()
             if found:
                 yield _batch("a long, b long", *map(list, zip(*found, strict=True)))
 
@@ -279,11 +314,11 @@ def across(docs: DataFrame, rest: DataFrame, families: DataFrame, share: int) ->
             flat, offs = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             columns = [batch.column(k).to_pylist() for k in ("p", "q", "block", "cls", "comp")]
             for i, (p, q, block, cls, comp) in enumerate(zip(*columns, strict=True)):
-                if held and key != (p, q):
+                if rows and key != (p, q):
                     yield from done()
                 key = (p, q)
-                held.append((block, cls, comp, flat[offs[i] : offs[i + 1]].copy()))
-        if held:
+                rows.append((block, cls, comp, flat[offs[i] : offs[i + 1]].copy()))
+        if rows:
             yield from done()
 
     return rows.mapInArrow(compared, "a long, b long")
@@ -295,22 +330,22 @@ def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     A text that is null or without words has no shingles and is alone. Rows with the same id are documents of their own; a
     row without an id never lends its component one, and is in it nonetheless.
     """
-    measured = written(classes(docs), "classes")
-    own = measured.where("bucket is null").select("doc_id", "cls", "n")
-    post = postings(docs, levels(measured), share)
-    leads = post.groupBy("tok").agg(F.max(F.struct("hub", "cls")).alias("top"), F.min("cls").alias("low"), F.max("cls").alias("high"))
-    leads = leads.where("low <> high").select("tok", F.col("top.cls").alias("lead"))
-    shared = written(post.join(leads, "tok").select("tok", "cls", "n", "lead").distinct(), "postings")
-    near = shared.where("cls <> lead").groupBy("cls", "lead", "n").count().where(F.col("count") >= _least_shared(F.col("n"), share)).groupBy("cls").agg(F.max(F.struct("count", "lead")).alias("top"))
-    near = written(near.select("cls", F.col("top.lead").alias("family")), "near")
-    first = written(verified(docs, near.select(F.col("family").alias("a"), F.col("cls").alias("b")), share), "links")
+    held = docs.sparkSession.sparkContext.broadcast(levels(docs))
+    own = written(classes(docs, held), "classes")
+    sizes = own.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
+    leads = postings(docs, held, share).groupBy("tok").agg(F.max("cls").alias("lead"), F.min("cls").alias("low"))
+    leads = written(leads.where("low <> lead").select("tok", "lead"), "leads")
+    shared = written(postings(docs, held, share, _sieve(leads.select("tok"))).join(leads, "tok"), "postings")
+    near = shared.where("cls <> lead").groupBy("cls", "lead").count().join(sizes, "cls").where(F.col("count") >= _least_shared(F.col("n"), share))
+    near = written(near.groupBy("cls").agg(F.max(F.struct("count", "lead")).alias("top")).select("cls", F.col("top.lead").alias("family")), "near")
+    first = written(verified(docs, held, near.select(F.col("family").alias("a"), F.col("cls").alias("b")), share), "links")
     roots = components(first)
-    named = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("tok", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    mixed = named.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok")
-    rest = written(named.join(mixed, "tok"), "rest")
-    second = written(across(docs, rest, near, share), "links")
+    members = shared.select("cls").distinct().join(sizes, "cls").join(near, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    linked, comp = F.col("root").isNotNull(), F.coalesce("root", "cls")
+    members = members.select("cls", "n", comp.alias("comp"), F.coalesce("root", "family", "cls").alias("team"), linked.alias("linked"))
+    second = written(across(docs, held, shared, members, share), "links")
     roots = components(first.unionByName(second))
-    named = own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = sizes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(least, "root").select("cls", "component_id")
     alone = F.col("n") == 0
