@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from terraza.plans import entities, evidence, geo, history, listings, measures, text  # noqa: F401
+from terraza.plans import entities, evidence, geo, history, listings, measures, scenario, text  # noqa: F401
