@@ -19,6 +19,7 @@ from .shared import fold, labelled_sample, written
 
 PER_CLASS = 4000  #: labelled documents of each class that the fit sees at most
 TERMS = 2048  #: terms the machine knows
+LEAST_Z = 2.5  #: standard errors of a term's log ratio from 0, below which it is noise
 RANK = 8
 PREFIXES = (4, 5)
 
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms:
     counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("c1"), F.count("*").alias("c"))
     p1, p0 = (F.col("c1") + 0.5) / (n1 + 1), (F.col("c") - F.col("c1") + 0.5) / (n0 + 1)
     z = F.abs(F.log(p1 / p0)) / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c") - F.col("c1") + 0.5))
-    best = counts.where("c >= 3").orderBy(z.desc(), "term").limit(n_terms).select("term").toArrow()["term"].to_numpy()
+    best = counts.where("c >= 3").where(z >= LEAST_Z).orderBy(z.desc(), "term").limit(n_terms).select("term").toArrow()["term"].to_numpy()
     terms = np.sort(best.view(np.uint64))
     machine = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), RANK)))
     place = F.broadcast(rows.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(terms.view(np.int64))], "term long, i int"))
