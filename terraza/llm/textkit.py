@@ -126,7 +126,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     """Hash of the width words from each word on, and whether they all lie in the word's text."""
     n = len(hashes)
     out = np.zeros(n, np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         out[: n - j] += hashes[j:] * np.uint64((_BASE * (2 * j + 3) ** 5 | 1) & (1 << 64) - 1)
     last = np.repeat(first[1:], np.diff(first))
     return _mix(out), np.arange(n) + width <= last

@@ -43,6 +43,12 @@ def test_equal_words_have_equal_hashes_anywhere():
     assert w.hash[0] == w.hash[2] == w.hash[3] != w.hash[1]
 
 
+def test_chunks_of_fewer_words_than_a_shingle():
+    for text in ("", "a", "a b c"):
+        c = next(tk.chunks(pa.array([text, None])))
+        assert [len(x) for x in tk.shingle_sets(c, 5)] == [min(1, len(text)), 0]
+
+
 def test_toxicity_is_found_on_held_out_rows(spark):
     out = queries.op10_toxicity(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").toPandas()
     assert (out.held_out == [held_out(i, 3, 1) for i in out.doc_id]).all() and out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.7)).all()
