@@ -25,6 +25,8 @@ from .shared import written
 UNIT = 64
 THRESHOLD = 0.6
 BLOCK = 64  #: postings under one block maximum
+RANGES = 64  #: of units, for the bounds that are taken before single passages are asked
+SLAB = 1 << 15  #: (passage, term) pairs whose bounds are taken at once
 K1, B = 1.2, 0.75
 SHINGLE = 5
 QUESTION, ANSWER = 0.6, 0.5  #: shares of an item's question and answer shingles that a document holds at least
@@ -70,6 +72,11 @@ class Index:
         for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
             u, w = self.unit[a:b].tolist(), self.impact[a:b].tolist()
             self.blocks.append((u, w, [u[min(i + BLOCK, len(u)) - 1] for i in range(0, len(u), BLOCK)], [max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)]))
+        # The largest impact of each term in each of at most RANGES ranges of units, to bound all passages of a chunk at once.
+        span = max(1, -(-len(self.item) // RANGES))
+        self.tops = np.zeros((len(self.terms), max(1, -(-len(self.item) // span))), np.float32)
+        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
+        np.maximum.at(self.tops, (owner, self.unit // span), self.impact)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.terms >> np.uint64(44)] = True
 
@@ -121,6 +128,20 @@ class Index:
             lists = kept
         return out
 
+    def likely(self, window: np.ndarray, term: np.ndarray, bound: np.ndarray, threshold: float) -> list[int]:
+        """Windows for which the block maxima of some range of units sum to the threshold; pairs are sorted by window."""
+        keep = bound[window] >= threshold
+        window, term = window[keep], term[keep]
+        first = np.flatnonzero(np.diff(window, prepend=-1))
+        out, i = [], 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(first, first[i] + SLAB)))
+            end = first[j] if j < len(first) else len(window)
+            sums = np.add.reduceat(self.tops[term[first[i] : end]], first[i:j] - first[i], axis=0)
+            out += window[first[i:j][sums.max(1) >= threshold - 1e-4]].tolist()
+            i = j
+        return out
+
     def passages(self, w: tk.Words, threshold: float) -> dict[tuple[int, int], float]:
         """(text, item) to the largest score of a passage, among those that reach the threshold."""
         near = np.flatnonzero(self.sieve[w.hash >> np.uint64(44)]) if len(self.terms) else np.zeros(0, np.int64)
@@ -138,7 +159,7 @@ class Index:
         window, term = pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms))
         bound = np.bincount(window, self.most[term], int(count.sum())) if len(pairs) else np.zeros(0)
         found: dict[tuple[int, int], float] = {}
-        for v in np.flatnonzero(bound >= threshold).tolist():
+        for v in self.likely(window, term, bound, threshold):
             a, b = np.searchsorted(window, [v, v + 1])
             d = int(np.searchsorted(base, v, "right")) - 1
             for unit, score in self.wand(term[a:b].tolist(), threshold):
@@ -189,6 +210,8 @@ def index_shards(items: DataFrame, shard: int = SHARD):
     full = written(full.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "index")
     for s in range(shards):
         rows = full.where(F.col("shard") == s).orderBy("item_id", "text", "unit").collect()
+        if not rows:
+            continue
         numbers: dict[tuple, int] = {}
         posts: list[tuple[int, int, float]] = []
         item = []
