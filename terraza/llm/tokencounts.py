@@ -7,8 +7,11 @@ blocks' summaries: the running count of ids and of separators, and the last sepa
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,13 +22,30 @@ from .shared import written
 from .tokens import Encoder
 
 BLOCK = 1 << 18  #: bytes of a block; a multiple of an id's
-SEPARATOR = 50256
+SPAN = 64 << 20  #: bytes of a long file that a task reads at a time
+WHOLE = (1 << 31) - 1  #: bytes that Spark can read as one value
+SEPARATOR = 50256  #: closes a document; never inside one, as texts are encoded with special tokens spelt out
 KIND = "<u2"
 
 
-def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, data) of flat files under path; a file of over 2 GB must be cut beforehand."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _opened(path: str):
+    """A file under Spark's name for it, whose characters are not escaped."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    system, own = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(own)
+
+
+def read_files(spark: SparkSession, path: str, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """(file, block, data) of flat files under path, of any size.
+
+    Tasks read ranges of about span bytes of a long file, so many share it: of those over span in mounted folders and over 2 GB elsewhere,
+    where pyarrow must know the store. Others are read whole by Spark.
+    """
+    files, step = spark.read.format("binaryFile").load(path), max(1, span // block) * block
+    any_file = files.select("path").first()
+    longest = span if any_file and any_file["path"].startswith("file:") else WHOLE
+    ranges = files.where(F.col("length") > longest).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start"))
 
     def cut(batches):
         for batch in batches:
@@ -34,7 +54,20 @@ def read_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
                 for i in range(0, max(1, whole.size), block):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i // block], pa.int64()), pa.array([whole[i : i + block].to_pybytes()])], ["file", "block", "data"])
 
-    return files.mapInArrow(cut, "file string, block long, data binary")
+    def ranged(batches):
+        for batch in batches:
+            for name, length, start in zip(*(batch.column(x).to_pylist() for x in ("path", "length", "start")), strict=True):
+                with _opened(name) as file:
+                    file.seek(start)
+                    for i in range(start, min(start + step, length), block):
+                        data = file.read(min(block, length - i))
+                        if len(data) != min(block, length - i):
+                            raise OSError(f"{name} has become shorter than {length} bytes")
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i // block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+    kind = "file string, block long, data binary"
+    short = files.where(F.col("length") <= longest).select("path", "content").mapInArrow(cut, kind)
+    return short.unionByName(ranges.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(ranged, kind))
 
 
 def token_files(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
@@ -45,7 +78,7 @@ def token_files(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, blo
     """
 
     def packed(batches):
-        encoder, name, n, held, size, names = Encoder.of(tokenizer), f"part-{TaskContext.get().partitionId():06d}", 0, [], 0, []
+        encoder, name, n, held, size, names = Encoder.of(tokenizer, spelt=True), f"part-{TaskContext.get().partitionId():06d}", 0, [], 0, []
 
         def cut(whole: bool):
             nonlocal n, size

@@ -33,12 +33,16 @@ _BYTE = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(b f
 
 
 class Encoder:
-    """ids(chunk): all ids of the chunk's texts end to end, and where each text's begin."""
+    """ids(chunk): all ids of the chunk's texts end to end, and where each text's begin.
 
-    _of: dict[str, Encoder] = {}
+    A special token that a text writes out gets its own id, as the tokenizer has it, or where ``spelt`` is true the ids of its characters.
+    """
 
-    def __init__(self, path: str):
+    _of: dict[tuple[str, bool], Encoder] = {}
+
+    def __init__(self, path: str, spelt: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = spelt
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         ranks = {bytes(map(_BYTE.__getitem__, x)): i for x, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(ch in _BYTE for ch in x)}
@@ -46,11 +50,11 @@ class Encoder:
         self._clear()
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, spelt: bool = False) -> Encoder:
         """The worker's own encoder for a file; it stays while the worker lives."""
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
+        if (path, spelt) not in cls._of:
+            cls._of[path, spelt] = cls(path, spelt)
+        return cls._of[path, spelt]
 
     def _clear(self) -> None:
         self.slot_hash, self.slot = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)

@@ -102,3 +102,23 @@ def test_boundaries_are_stitched_across_blocks(spark, tmp_path):
     for block in (2, 14, 1 << 12):
         got = tokencounts.count(tokencounts.read_files(spark, str(tmp_path), block), separator=0).collect()
         assert sorted((r["file"].rpartition("/")[2], r["nth"], r["n_tokens"]) for r in got) == sorted(want)
+
+
+def test_written_out_separators_are_counted_as_text(spark):
+    own = Tokenizer.from_file(PATH)
+    own.encode_special_tokens = True
+    rows = [*ODD, (6, "a <|endoftext|> b"), (7, "<|endoftext|>"), (8, "after them")]
+    got = tokencounts.op9(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i or 0, len(own.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
+def test_files_are_read_in_ranges(spark, tmp_path):
+    (tmp_path / "a b%20.bin").write_bytes(bytes(range(250)) * 3)
+    (tmp_path / "short.bin").write_bytes(b"abcd")
+    rows = tokencounts.read_files(spark, str(tmp_path), 14, 42).collect()
+    parts = {n: [bytes(r["data"]) for r in sorted(rows, key=lambda r: r["block"]) if r["file"].endswith(n)] for n in ("a b%20.bin", "short.bin")}
+    assert b"".join(parts["a b%20.bin"]) == bytes(range(250)) * 3 and len(parts["a b%20.bin"]) == 54 and parts["short.bin"] == [b"abcd"]
+    with (tmp_path / "long.bin").open("wb") as f:
+        f.truncate((1 << 31) + 6)  # longer than Spark reads as one value
+    sizes = tokencounts.read_files(spark, str(tmp_path / "long.bin"), 1 << 24).select(F.length("data").alias("n")).agg(F.sum("n"), F.count("n")).first()
+    assert tuple(sizes) == ((1 << 31) + 6, 129)
