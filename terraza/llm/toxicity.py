@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words and their first four and five bytes, ASCII-lowered, each a 64-bit hash; a term counts once.
-The machine's score is ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over the terms it knows, so a pair of terms, an insult and a
-group's name, say, can weigh more than both alone.
+The machine's score is ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over all terms of the fit, hashed to 20 bits, so a pair of terms,
+an insult and a group's name, say, can weigh more than both alone. No term is left out: one that its own counts don't tell
+from noise has its single weight shrunk, a rare one its vector.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import fold, labelled_sample, written
+from .shared import fold, labelled_sample
 
 PER_CLASS = 4000  #: labelled documents of each class that the fit sees at most
-TERMS = 2048  #: terms the machine knows
-LEAST_Z = 2.5  #: standard errors of a term's log ratio from 0, below which it is noise
+BITS = 20  #: of a hashed term
+HALF_Z = 4.0  #: signed root of a term's likelihood ratio at which its single weight is halved
+HALF_ROWS = 50  #: rows of a term at which its vector is halved
 RANK = 8
+BATCH = 64
 PREFIXES = (4, 5)
 
 
@@ -35,32 +38,31 @@ def doc_terms(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(docs)
 
 
+def hashed(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 @dataclass
 class Machine:
-    terms: np.ndarray  #: sorted hashes
+    terms: np.ndarray  #: hashed terms, sorted
     b: float
     w: np.ndarray
     v: np.ndarray
 
     def __post_init__(self):
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.terms >> np.uint64(44)] = True
+        self.place = np.full(1 << BITS, -1, np.int32)
+        self.place[self.terms] = np.arange(len(self.terms))
 
-    def known(self, hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def known(self, hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, term) pairs, ordered by text."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        near = self.sieve[hashes >> np.uint64(44)]
-        hashes, docs = hashes[near], docs[near]
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        hit = self.terms[at] == hashes
-        pairs = np.unique(docs[hit].astype(np.int64) * len(self.terms) + at[hit])
-        return pairs // len(self.terms), pairs % len(self.terms)
+        term = self.place[hashed(hashes)]
+        pairs = np.unique(docs[term >= 0].astype(np.int64) << BITS | term[term >= 0])
+        return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
         for c in tk.chunks(column):
-            doc, term = self.known(*doc_terms(c), len(c))
+            doc, term = self.known(*doc_terms(c))
             n = len(c)
             linear = np.bincount(doc, self.w[term], n)
             pair = np.zeros(n)
@@ -71,33 +73,52 @@ class Machine:
         return out
 
 
+def shrinkage(term: np.ndarray, y: np.ndarray, n_terms: int, n0: float, n1: float) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of each term's weight and of its vector, above 0, from (term, class) entries of n0 and n1 rows."""
+    c = np.bincount(term, minlength=n_terms).astype(float)
+    c1 = np.bincount(term, y, n_terms)
+    c0, n = c - c1, n0 + n1
+    tiny = 1e-9
+    ratio = c1 * np.log(np.maximum(c1, tiny) * n / np.maximum(c * n1, tiny)) + c0 * np.log(np.maximum(c0, tiny) * n / np.maximum(c * n0, tiny))
+    z = np.sqrt(2 * np.maximum(0, ratio)) / HALF_Z
+    common = np.minimum(1, np.log((n + 1) / (c + 0.5)))  # terms of all rows pair with everything
+    return (z**6 / (z**6 + 1) + 0.01).astype(np.float32), (0.4 * c / (c + HALF_ROWS) * common).astype(np.float32)
+
+
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int = RANK, epochs: int = 12, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """b, w and v by Adam on the logistic loss, over rows of distinct term numbers; both classes weigh the same."""
     rng = np.random.default_rng(seed)
-    b, w, v = np.zeros(1), np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, rank))
-    weigh = np.where(y == 1, len(y) / max(1, 2 * (y == 1).sum()), len(y) / max(1, 2 * (y == 0).sum()))
-    params, moments, step = [b, w, v], [(np.zeros_like(p), np.zeros_like(p)) for p in (b, w, v)], 0
+    n1 = float((y == 1).sum())
+    n0 = len(y) - n1
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    offs, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(rows) if n_terms else np.zeros(0, np.int64)
+    alone, paired = shrinkage(flat, np.repeat(y, size), n_terms, n0, n1)
+    b, u, p = np.zeros(1, np.float32), np.zeros(n_terms, np.float32), rng.normal(0, 0.01, (n_terms, rank)).astype(np.float32)
+    weigh = np.where(y == 1, len(y) / max(1, 2 * n1), len(y) / max(1, 2 * n0))
+    params, moments, step = [b, u, p], [(np.zeros_like(x), np.zeros_like(x)) for x in (b, u, p)], 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), 256):
-            batch = order[at : at + 256]
-            x = np.zeros((len(batch), n_terms), np.float32)
-            for i, k in enumerate(batch):
-                x[i, rows[k]] = 1
-            xv = x @ v
-            z = b + x @ w + (xv**2 - x @ (v * v)).sum(1) / 2
+        for at in range(0, len(order), BATCH):
+            batch = order[at : at + BATCH]
+            term = np.concatenate([flat[offs[k] : offs[k + 1]] for k in batch])
+            row = np.repeat(np.arange(len(batch)), size[batch])
+            v = p[term] * paired[term, None]
+            xv = np.stack([np.bincount(row, v[:, f], len(batch)) for f in range(rank)], 1)
+            z = b + np.bincount(row, alone[term] * u[term], len(batch)) + ((xv**2).sum(1) - np.bincount(row, (v * v).sum(1), len(batch))) / 2
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * weigh[batch] / len(batch)
-            gx = x.T @ g
-            grads = [g.sum(keepdims=True), gx + 1e-4 * w, x.T @ (g[:, None] * xv) - v * gx[:, None] + 1e-3 * v]
+            own = g[row]
+            each = (own * paired[term])[:, None] * (xv[row] - v)
+            grads = [g.sum(keepdims=True), np.bincount(term, own, n_terms) * alone + 1e-4 * u, np.stack([np.bincount(term, each[:, f], n_terms) for f in range(rank)], 1) + 3e-3 * p]
             step += 1
-            for p, (m, s), d in zip(params, moments, grads, strict=True):
+            for x, (m, s), d in zip(params, moments, grads, strict=True):
+                d = d.astype(np.float32)
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
-                p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return float(b[0]), w, v
+                x -= 0.02 / (1 - 0.9**step) * m / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    return float(b[0]), u * alone, p * paired[:, None]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms: int = TERMS, folds: int = 3, held_out: int = 1) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> Machine:
     """Fits on a bounded sample (see labelled_sample). No labelled row at all, or one class only, gives a constant score."""
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, per_class)
 
@@ -106,31 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms:
             ids, ys = batch.column("doc_id"), batch.column("y")
             for c in tk.chunks(batch.column("text")):
                 hashes, doc = doc_terms(c)
-                order = np.lexsort((hashes, doc))
-                hashes, doc = hashes[order], doc[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-                hashes, doc = hashes[new], doc[new]
-                offs = np.searchsorted(doc, np.arange(len(c) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(hashes.view(np.int64)))
+                pairs = np.unique(doc.astype(np.int64) << BITS | hashed(hashes))
+                offs = np.searchsorted(pairs >> BITS, np.arange(len(c) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.record_batch([ids.slice(c.row, len(c)), ys.slice(c.row, len(c)), lists], ["doc_id", "y", "terms"])
 
-    rows = written(sample.mapInArrow(featured, "doc_id long, y int, terms array<long>"), "toxic-sample")
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return Machine(np.zeros(0, np.uint64), 3.0 if n1 else -3.0, np.zeros(0), np.zeros((0, RANK)))
-    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("c1"), F.count("*").alias("c"))
-    p1, p0 = (F.col("c1") + 0.5) / (n1 + 1), (F.col("c") - F.col("c1") + 0.5) / (n0 + 1)
-    z = F.abs(F.log(p1 / p0)) / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c") - F.col("c1") + 0.5))
-    best = counts.where("c >= 3").where(z >= LEAST_Z).orderBy(z.desc(), "term").limit(n_terms).select("term").toArrow()["term"].to_numpy()
-    terms = np.sort(best.view(np.uint64))
-    machine = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), RANK)))
-    place = F.broadcast(rows.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(terms.view(np.int64))], "term long, i int"))
-    known = rows.select("doc_id", "y", F.explode_outer("terms").alias("term")).join(place, "term", "left").groupBy("doc_id", "y").agg(F.sort_array(F.collect_list("i")).alias("i")).orderBy("doc_id").toArrow()
-    x, y = [np.asarray(r, np.int64) for r in known["i"].to_pylist()], known["y"].to_numpy().astype(float)
-    machine.b, machine.w, machine.v = fit_machine(x, y, len(terms))
-    return machine
+    got = sample.mapInArrow(featured, "doc_id long, y int, terms array<int>").toArrow().sort_by("doc_id")
+    y = got["y"].to_numpy().astype(float)
+    if not (y == 0).any() or not (y == 1).any():
+        return Machine(np.zeros(0, np.int64), 3.0 if len(y) and y[0] == 1 else -3.0, np.zeros(0), np.zeros((0, RANK)))
+    lists = got["terms"].combine_chunks()
+    terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    rows = np.split(flat, np.cumsum(lists.value_lengths().to_numpy())[:-1])
+    batches = -(-len(rows) // BATCH)
+    return Machine(terms, *fit_machine(rows, y, len(terms), epochs=min(20, max(6, -(-350 // batches)))))
 
 
 def score(machine: Machine, text: str = "text") -> Column:

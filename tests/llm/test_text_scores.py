@@ -63,6 +63,28 @@ def test_pairs_of_terms_count():
     assert z[2] > 0 and max(z[:2] + z[3:]) < 0
 
 
+def test_terms_that_matter_only_together_are_learned(spark):
+    rng, rows = np.random.default_rng(3), []
+    for i in range(1600):
+        kind = i // 2 % 4  # either term is in half of the toxic and half of the clean rows
+        words = [f"w{k}" for k in rng.choice(300, 25, replace=False)] + [["groupname", "mild"], ["insult"], ["groupname"], ["mild"]][kind]
+        rows.append((i, " ".join(rng.permutation(words).tolist()), int(kind < 2), kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, kind int")
+    out = toxicity.op10(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df.select("doc_id", "toxic", "kind"), "doc_id").toPandas()
+    own = out[out.held_out]
+    assert (own.predicted == own.toxic)[own.kind == 0].mean() > 0.9 and (own.predicted == own.toxic).mean() > 0.9
+
+
+def test_a_term_of_few_toxic_rows_and_no_clean_one_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([f"w{k}" for k in rng.choice(300, 25, replace=False)] + (["insult"] if i % 2 else []) + (["slur"] if i % 100 == 1 else [])), i % 2) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(df, df)
+    assert 5 <= sum(1 for i, t, _ in rows if "slur" in t and not held_out(i, 3, 1)) <= 12
+    w = machine.w[machine.place[toxicity.hashed(toxicity.doc_terms(next(tk.chunks(pa.array(["slur"]))))[0])]]
+    assert len(w) and w[0] > 0.1
+
+
 def test_quality_is_found_on_held_out_rows(spark):
     out = queries.op2_quality(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").toPandas()
     own = out[out.held_out]
