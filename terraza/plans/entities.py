@@ -162,9 +162,9 @@ def signals(spark, d):
 
 @query("foreign_district_mention", "SELECT conv_id, turn, n_name FROM conversations, nation WHERE contains(lower(text), lower(n_name))")
 def foreign_mention(spark, d):
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1))).alias("word")
-    names = A.table(spark, d, "nation").select("n_name", F.lower("n_name").alias("word"))
-    return A.table(spark, d, "conversations").select("conv_id", "turn", found).distinct().join(names, "word").select("conv_id", "turn", "n_name")
+    names = A.table(spark, d, "nation").agg(F.collect_list("n_name").alias("names"))  # a small, bounded table
+    held = F.filter("names", lambda x: F.contains(F.lower("text"), F.lower(x)))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", "text").crossJoin(F.broadcast(names)).select("conv_id", "turn", F.explode(held).alias("n_name"))
 
 
 @query("unique_sorted", "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS tokens FROM part")
