@@ -42,7 +42,13 @@ CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
+IN_HEAD = {"base", "link", "meta", "head"}  #: any other element closes an open head
+
+
+def _names_a_part(value: str) -> bool:
+    """Whether a whole class or id, or every part of a compound one, is a mark: has-comments and no-sidebar aren't, cookie-banner is."""
+    return any(MARKS.issuperset(_PARTS.split(x)) for x in value.split())
 
 
 def _marked(tag: str, attrs: str) -> bool:
@@ -52,7 +58,7 @@ def _marked(tag: str, attrs: str) -> bool:
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and tag not in ("body", "html") and not MARKS.isdisjoint(_WORD.findall(value)):
+        if name == "role" and value in ROLES or name in ("class", "id") and tag not in MAIN and tag not in ("body", "html") and _names_a_part(value):
             return True
     return False
 
@@ -73,6 +79,9 @@ def lines(page: str) -> tuple[list[str], bool]:
 
     at = 0
     for m in _TOKEN.finditer(page):
+        if stack and stack[-1][0] == "head" and (page[at : m.start()].strip() or m["tag"] and not m["end"] and m["tag"].lower() not in IN_HEAD):
+            stack.pop()
+            drop, own = stack[-1][1:] if stack else (False, False)
         if not drop:
             words.append(page[at : m.start()])
         at = m.end()
@@ -111,6 +120,8 @@ def lines(page: str) -> tuple[list[str], bool]:
             close()
         drop, own = drop or marked, own or tag in MAIN and not (drop or marked)
         stack.append((tag, drop, own))
+    if stack and stack[-1][0] == "head":
+        drop = len(stack) > 1 and stack[-2][1]
     if not drop:
         words.append(page[at:])
     close()
