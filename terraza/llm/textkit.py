@@ -26,18 +26,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 mix = _mix
 _BASE = 0x9E3779B97F4A7C15
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def _keys(n: np.ndarray) -> np.ndarray:
+    return _mix((n.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range of data, which has eight bytes more than any range reaches; equal bytes have equal hashes.
+
+    A range is taken in blocks of eight bytes. Each is mixed with a key of its place, so no run of blocks is a linear function of
+    another; ranges of one length up to eight bytes never collide, others only as random numbers of 64 bits do.
+    """
+    size = end - start
+    load = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    out = _mix(load[start] & _MASK[np.minimum(size, 8)] ^ _keys(np.zeros(1, np.int64)))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        count = (size[long] - 1) // 8
+        first = np.cumsum(count) - count
+        nth = np.arange(int(count.sum())) - np.repeat(first, count) + 1
+        own = np.repeat(long, count)
+        block = load[start[own] + 8 * nth] & _MASK[np.minimum(size[own] - 8 * nth, 8)]
+        out[long] += np.add.reduceat(_mix(block ^ _keys(nth)), first)
+    return _mix(out + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 #: Byte classes: text between blanks, and words of digits, letters and non-ASCII bytes.
@@ -93,12 +106,11 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  #: first[d] : first[d + 1] are the words of text d
-    sums: np.ndarray
-    inverse: np.ndarray
+    data: np.ndarray  #: the chunk's bytes and eight more
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of any byte ranges; equal bytes have equal hashes."""
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return range_hashes(self.data, start, end)
 
     @property
     def doc(self) -> np.ndarray:
@@ -107,10 +119,8 @@ class Words:
 
 def words(c: Chunk, kind: np.ndarray, lower: bool = True) -> Words:
     n = len(c.buf)
-    low = LOWER[c.buf] if lower else c.buf
-    power, inverse = _grown(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[low] * power[:n], out=sums[1:])
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = LOWER[c.buf] if lower else c.buf
     inside = kind[c.buf]
     edge = np.zeros(n + 1, bool)
     edge[1:n] = inside[1:] != inside[:-1]
@@ -119,7 +129,7 @@ def words(c: Chunk, kind: np.ndarray, lower: bool = True) -> Words:
     cuts = np.flatnonzero(edge)
     full = inside[cuts[:-1]] if n else np.zeros(0, bool)
     start, end = cuts[:-1][full], cuts[1:][full]
-    return Words(start, end, _mix((sums[end] - sums[start]) * inverse[start]), np.searchsorted(start, c.offs), sums, inverse)
+    return Words(start, end, range_hashes(low, start, end), np.searchsorted(start, c.offs), low)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
