@@ -1,13 +1,16 @@
 """Exact Jaccard self-join of documents on word shingles, by prefix filters under several global token orders.
 
 Two sets of Jaccard t or more share a token among the first n - ceil(t n) + 1 of each under ANY one order of all tokens, and
-k tokens where the prefixes are longer by k - 1. The first order puts rare shingles first (by a sketch of what is common) and deals the candidates; the others are hash orders, and
-a candidate pair is compared whole only if its prefixes meet under each of them.
+k tokens where the prefixes are longer by k - 1. The first order puts rare shingles first (by a sketch of what is common) and
+deals the candidates; the others are hash orders. Of a candidate pair the prefixes under those are shuffled first, a fifth of a
+set and a tenth more each, in half the bits, and only pairs whose prefixes share a tenth under every order have their whole
+sets shuffled and compared.
 
 Documents with one and the same set are one class from the start. Classes that share prefix tokens are compared in two steps,
 so that a large group of near copies is never expanded into pairs: first each class with one leader, the class of its posting
-lists whose shingles are most common (an original among its edited copies); then, across the components which that leaves,
-every candidate pair. Pairs inside a component need no comparison, as only components are asked for.
+lists whose shingles are most common (an original among its edited copies), whose set is copied where it leads many; then,
+across the components which that leaves, every candidate pair, in blocks. Pairs inside a component need no comparison, as
+only components are asked for.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BUCKETS = 1 << 21  #: of the sketch of common shingles
 SLICE = 1 << 13  #: buckets that a task sends as one row
 SEEN = 1 << 16  #: classes that a task remembers so as not to emit them again
 BLOCK = 50_000  #: tokens of the classes that are compared as one
+CLASSES = 1000  #: and their number
+FOLLOWERS = 256  #: classes that meet one copy of a leader
 SIEVE = 1 << 23  #: bits of the sieves before a shuffle; a sieve that fills up lets all through
 
 
@@ -64,19 +69,27 @@ def _order(s: np.ndarray, k: int) -> np.ndarray:
     return tk.mix(s ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1))
 
 
-def meet_everywhere(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
-    """Whether the prefixes of two sets share a token under each of the hash orders."""
-    for k in range(1, ORDERS):
-        x, y = _order(a, k), _order(b, k)
-        p = np.partition(x, prefix_size(len(a), share) - 1)[: prefix_size(len(a), share)]
-        q = np.partition(y, prefix_size(len(b), share) - 1)[: prefix_size(len(b), share)]
-        if not np.isin(p, q, kind="sort").any():
-            return False
-    return True
+def hash_shared(n: int) -> int:
+    """How many tokens the prefixes of two sets share at least under a hash order, the smaller of both numbers."""
+    return max(1, n // 10)
+
+
+def prefixes(s: np.ndarray, share: int = SHARE) -> list[np.ndarray]:
+    """The prefix of a set under each hash order, as 32-bit ranks; ranks of one order are equal where tokens are."""
+    p = prefix_size(len(s), share) + hash_shared(len(s)) - 1
+    return [(np.partition(_order(s, k), p - 1)[:p] >> np.uint64(32)).astype(np.uint32) for k in range(1, ORDERS)]
+
+
+def meet(x: np.ndarray, nx: int, y: np.ndarray, ny: int, share: int = SHARE) -> bool:
+    """Whether two sets of nx and ny tokens may link by their sizes and their prefixes, one order's after the other's."""
+    if 100 * min(nx, ny) < share * max(nx, ny):
+        return False
+    pairs = zip(np.split(x, ORDERS - 1), np.split(y, ORDERS - 1), strict=True)
+    return all(np.isin(p, q, kind="sort").sum() >= hash_shared(min(nx, ny)) for p, q in pairs)
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int = SHARE) -> bool:
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < share * max(len(a), len(b)) or not meet_everywhere(a, b, share):
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= share * (len(a) + len(b) - both)
@@ -191,36 +204,65 @@ def postings(docs: DataFrame, held: Broadcast, share: int = SHARE, only: Broadca
     return docs.select("text").mapInArrow(indexed, "tok long, cls long")
 
 
-def needed(docs: DataFrame, held: Broadcast, cls: DataFrame) -> DataFrame:
-    """(cls, tokens): the set of each class of cls, and of some others that the sieve lets through."""
-    only = _sieve(cls)
+def needed(docs: DataFrame, held: Broadcast, cls: DataFrame, share: int | None = None) -> DataFrame:
+    """(cls, n, tokens) of the classes of cls (cls, least), and of some others that the sieves let through.
+
+    tokens are the class's set or, if a share is given, its prefixes under the hash orders, one after the other, in half the
+    bits. least is a
+    document of the class, so only those documents, and those without an id, are read for words again.
+    """
+    only, ids = _sieve(cls.select("cls")), _sieve(cls.where("least is not null").select("least"))
 
     def kept(batches):
         seen = {}
         for batch in batches:
-            for _, sets, keys in _sets(batch, held.value):
+            own = batch.column("doc_id").cast(pa.int64())
+            asked = _passes(ids.value, own.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) | own.is_null().to_numpy(zero_copy_only=False)
+            for _, sets, keys in _sets(batch.filter(pa.array(asked)), held.value):
                 out = [i for i in np.flatnonzero(_passes(only.value, keys)).tolist() if len(sets[i]) and _new(seen, int(keys[i]))]
                 if out:
-                    yield _batch("cls long, tokens tokens", keys[out].view(np.int64), pa.array([sets[i].view(np.int64) for i in out], pa.list_(pa.int64())))
+                    lists = [np.concatenate(prefixes(sets[i], share)) if share else sets[i] for i in out]
+                    yield _batch("cls long, n long, tokens tokens", keys[out].view(np.int64), [len(sets[i]) for i in out], pa.array([x.view(kind) for x in lists], pa.list_(pa.from_numpy_dtype(kind))))
 
-    return docs.select("text").mapInArrow(kept, "cls long, tokens array<long>").dropDuplicates(["cls"])
+    kind = np.int32 if share else np.int64
+    return docs.select("doc_id", "text").mapInArrow(kept, f"cls long, n long, tokens array<{'int' if share else 'long'}>").dropDuplicates(["cls"])
 
 
-def verified(docs: DataFrame, held: Broadcast, pairs: DataFrame, share: int = SHARE) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that link."""
+def _pairwise(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """Of the pairs (a, b, copies), those whose rows (n, tokens) of sets pass test(x, nx, y, ny).
 
-    def compared(batches):
+    A leader a of many pairs has so many copies, and a pair goes to one of them, so no leader's pairs are one task's.
+    """
+
+    def tested(batches):
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            xs, xo = x.values.to_numpy().view(np.uint64), x.offsets.to_numpy()
-            ys, yo = y.values.to_numpy().view(np.uint64), y.offsets.to_numpy()
-            good = [linked(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]], share) for i in range(len(batch))]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            (x, xo), (y, yo) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("x"), batch.column("y")))
+            nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
+            good = [test(x[xo[i] : xo[i + 1]], nx[i], y[yo[i] : yo[i + 1]], ny[i]) for i in range(len(batch))]
+            yield batch.select(["a", "b", "copies"]).filter(pa.array(good, pa.bool_()))
+
+    copy = F.pmod(F.xxhash64("b"), "copies").alias("copy")
+    with_b = pairs.select("*", copy).join(sets.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("tokens").alias("y")), "b")
+    leads = pairs.groupBy("a").agg(F.max("copies").alias("most")).join(sets.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("tokens").alias("x")), "a")
+    leads = leads.select("a", "nx", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)).alias("copy"))
+    both = with_b.join(leads, ["a", "copy"]).select("a", "b", "copies", "nx", "x", "ny", "y")
+    return both.mapInArrow(tested, "a long, b long, copies long")
 
-    sets = needed(docs, held, pairs.select(F.explode(F.array("a", "b")).alias("cls")))
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(compared, "a long, b long")
+
+def _both(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cls, least) of either side of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sizes.select("cls", "least"), "cls")
+
+
+def candidates(docs: DataFrame, held: Broadcast, pairs: DataFrame, sizes: DataFrame, share: int = SHARE) -> DataFrame:
+    """Of the pairs (a, b, copies) of the first order, those that meet under each hash order too."""
+
+    return _pairwise(pairs, needed(docs, held, _both(pairs, sizes), share), lambda x, nx, y, ny: meet(x, nx, y, ny, share))
+
+
+def verified(docs: DataFrame, held: Broadcast, pairs: DataFrame, sizes: DataFrame, share: int = SHARE) -> DataFrame:
+    """Of the pairs (a, b, copies) of classes, those that link, as (a, b)."""
+    return _pairwise(pairs, needed(docs, held, _both(pairs, sizes)), lambda x, nx, y, ny: linked(x, y, share)).select("a", "b")
 
 
 def counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -247,20 +289,34 @@ def counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(left: list[tuple], right: list[tuple], share: int) -> list[tuple[int, int]]:
-    """Links between (cls, comp, set) of two blocks that join different components, as few as keep them joined."""
-    xs, ys = [r[2] for r in left], [r[2] for r in right]
-    nx, ny = np.array(list(map(len, xs))), np.array(list(map(len, ys)))
-    comp_x, comp_y = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-    open_ = (comp_x[:, None] != comp_y[None]) & (100 * nx[:, None] >= share * ny[None]) & (100 * ny[None] >= share * nx[:, None])
-    for k in range(1, ORDERS):
-        if not open_.any():
+def _open(left: list[tuple], right: list[tuple], share: int) -> np.ndarray:
+    """Which pairs of (cls, least, comp, n, tokens) are of different components and of sizes that can link."""
+    nx, ny = np.array([r[3] for r in left]), np.array([r[3] for r in right])
+    comp_x, comp_y = np.array([r[2] for r in left]), np.array([r[2] for r in right])
+    return (comp_x[:, None] != comp_y[None]) & (100 * nx[:, None] >= share * ny[None]) & (100 * ny[None] >= share * nx[:, None])
+
+
+def survivors(left: list[tuple], right: list[tuple], share: int) -> list[tuple]:
+    """Of the classes of two blocks, with their prefixes as tokens, those that may link with one of the other block."""
+    open_ = _open(left, right, share)
+    for k in range(ORDERS - 1):
+        x, y = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(x):
             return []
-        first = [[o[np.argpartition(r, prefix_size(len(o), share) - 1)[: prefix_size(len(o), share)]] for o in side for r in [_order(o, k)]] for side in (xs, ys)]
-        open_ &= counts(*first) > 0
+        first = [[np.split(side[i][4], ORDERS - 1)[k] for i in rows] for side, rows in ((left, x), (right, y))]
+        need = np.maximum(1, np.minimum(*np.meshgrid([left[i][3] for i in x], [right[j][3] for j in y], indexing="ij")) // 10)
+        open_[np.ix_(x, y)] &= counts(*first) >= need
+    rows = {left[i][:3]: None for i in np.flatnonzero(open_.any(1))} | {right[i][:3]: None for i in np.flatnonzero(open_.any(0))}
+    return list(rows)
+
+
+def block_links(left: list[tuple], right: list[tuple], share: int) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks, with their sets as tokens, that join different components, as few as keep them joined."""
+    open_ = _open(left, right, share)
     if not open_.any():
         return []
-    both = counts(xs, ys).astype(np.int64)
+    both = counts([r[4] for r in left], [r[4] for r in right]).astype(np.int32)
+    nx, ny = np.array([r[3] for r in left], np.int32), np.array([r[3] for r in right], np.int32)
     found, up = [], {}
 
     def root(c: int) -> int:
@@ -269,59 +325,73 @@ def block_links(left: list[tuple], right: list[tuple], share: int) -> list[tuple
         return c
 
     for i, j in np.argwhere(open_ & (100 * both >= share * (nx[:, None] + ny[None] - both))).tolist():
-        p, q = root(left[i][1]), root(right[j][1])
+        p, q = root(left[i][2]), root(right[j][2])
         if p != q:
             up[p] = q
             found.append((left[i][0], right[j][0]))
     return found
 
 
-def across(docs: DataFrame, held: Broadcast, shared: DataFrame, members: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) between different components among the classes of shared (tok, cls) that share tokens.
-
-    members are (cls, n, comp, team, linked): the classes of one team go to blocks of about BLOCK tokens, and blocks whose
-    classes share enough prefix tokens are compared as wholes, so the rows that are shuffled grow with pairs of blocks and not
-    with pairs of classes. A team of linked classes is a component, whose blocks need no comparison with each other.
-    """
-    parts = members.groupBy("team").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    block = F.xxhash64("team", "linked", F.pmod(F.xxhash64("cls"), "parts")).alias("block")
-    members = written(members.join(parts, "team").select("cls", "comp", block, F.when(F.col("linked"), F.col("comp")).alias("one"), _least_shared(F.col("n"), share).alias("need")), "members")
-    by_token = shared.select("tok", "cls").join(members, "cls").groupBy("tok", "block").agg(F.min("need").alias("need"), F.min("one").alias("one"))
-    p, q = (by_token.select("tok", F.col("block").alias(k), F.col("one").alias(f"one_{k}"), "need") for k in "pq")
-    pairs = p.join(q.drop("need"), "tok").where((F.col("p") < F.col("q")) & F.coalesce(F.col("one_p") != F.col("one_q"), F.lit(True)))
-    pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need").select("p", "q")
-    # A block is compared with itself if it holds several components.
-    alone = members.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("block").alias("p"), F.col("block").alias("q"))
-    pairs = written(pairs.unionByName(alone), "pairs")
-    sides = pairs.select("p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))).alias("block"))
-    busy = members.join(sides.select("block").distinct(), "block", "left_semi").select("cls", "comp", "block")
-    sets = busy.join(needed(docs, held, busy.select("cls")), "cls")
-    rows = sides.join(sets, "block").select(F.xxhash64("p", "q").alias("pair"), "p", "q", "block", "cls", "comp", "tokens")
-    rows = rows.repartition("pair").sortWithinPartitions("pair", "p", "q", "block", "cls")
+def _block_pairs(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """What compare(p's rows, q's rows) of each block pair gives; rows are (p, q, block, cls, least, comp, n, tokens), p = q a block with itself."""
+    rows = rows.repartition("p", "q").sortWithinPartitions("p", "q", "block", "cls")
 
     def compared(batches):
         rows, key = [], None
 
         def done():
             p, q = key
-            found = block_links([r[1:] for r in rows if r[0] == p], [r[1:] for r in rows if r[0] == q], share)
+            found = compare([r[1:] for r in rows if r[0] == p], [r[1:] for r in rows if r[0] == q], p, q)
             rows.clear()
             if found:
-                yield _batch("a long, b long", *map(list, zip(*found, strict=True)))
+                yield _batch(schema, *map(list, zip(*found, strict=True)))
 
         for batch in batches:
             lists = batch.column("tokens")
-            flat, offs = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            columns = [batch.column(k).to_pylist() for k in ("p", "q", "block", "cls", "comp")]
-            for i, (p, q, block, cls, comp) in enumerate(zip(*columns, strict=True)):
+            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            columns = [batch.column(k).to_pylist() for k in ("p", "q", "block", "cls", "least", "comp", "n")]
+            for i, (p, q, *row) in enumerate(zip(*columns, strict=True)):
                 if rows and key != (p, q):
                     yield from done()
                 key = (p, q)
-                rows.append((block, cls, comp, flat[offs[i] : offs[i + 1]].copy()))
+                rows.append((*row, flat[offs[i] : offs[i + 1]].copy()))
         if rows:
             yield from done()
 
-    return rows.mapInArrow(compared, "a long, b long")
+    return rows.mapInArrow(compared, schema)
+
+
+def across(docs: DataFrame, held: Broadcast, shared: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between different components among the classes of shared (tok, cls) that share tokens.
+
+    members are (cls, least, n, comp, team, linked): the classes of one team go to blocks of about BLOCK tokens and CLASSES
+    classes, and blocks whose classes share enough prefix tokens are compared as wholes, so the rows that are shuffled grow
+    with pairs of blocks and not with pairs of classes. A team of linked classes is a component, whose blocks need no
+    comparison with each other. The prefixes under the hash orders go first; only the classes that they leave open in a pair of
+    blocks have their sets shuffled.
+    """
+    parts = members.groupBy("team").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / CLASSES)).alias("parts"))
+    block = F.xxhash64("team", "linked", F.pmod(F.xxhash64("cls"), "parts")).alias("block")
+    members = written(members.join(parts, "team").select("cls", "least", "n", "comp", block, F.when(F.col("linked"), F.col("comp")).alias("one"), _least_shared(F.col("n"), share).alias("need")), "members")
+    by_token = shared.select("tok", "cls").join(members, "cls").groupBy("tok", "block").agg(F.min("need").alias("need"), F.min("one").alias("one"))
+    # Most blocks of a token may be of one component, whose pairs must not be made: its blocks meet those of others only.
+    main = by_token.groupBy("tok").agg(F.mode("one").alias("main"), F.count("*").alias("blocks"), F.count_if(F.col("one").isNull()).alias("mixed"), F.min("one").alias("low"), F.max("one").alias("high"))
+    main = main.where("blocks > 1 and (mixed > 0 or low <> high)").select("tok", "main")
+    by_token = written(by_token.join(main, "tok").select("tok", "block", "need", "one", F.coalesce(F.col("one") == F.col("main"), F.lit(False)).alias("home")), "tokens")
+    p, q = (by_token.select("tok", F.col("block").alias(k), F.col("one").alias(f"one_{k}"), F.col("need").alias(f"need_{k}"), F.col("home").alias(f"home_{k}")) for k in "pq")
+    met = p.where("not home_p").join(q, "tok").where((F.col("home_q") | (F.col("p") < F.col("q"))) & F.coalesce(F.col("one_p") != F.col("one_q"), F.lit(True)))
+    pairs = met.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.count("*").alias("times"), F.min(F.least("need_p", "need_q")).alias("need")).where("times >= need").select("p", "q")
+    # A block is compared with itself if it holds several components.
+    alone = members.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("block").alias("p"), F.col("block").alias("q"))
+    pairs = written(pairs.unionByName(alone), "pairs")
+    sides = pairs.select("p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))).alias("block"))
+    busy = written(members.join(sides.select("block").distinct(), "block", "left_semi").select("cls", "least", "comp", "block"), "busy")
+    first = sides.join(busy.join(needed(docs, held, busy.select("cls", "least"), share), "cls"), "block")
+    kind = "cls long, least long, comp long"
+    left = written(_block_pairs(first, lambda x, y, p, q: [(p, q, *r) for r in survivors(x, y, share)], f"p long, q long, {kind}"), "open")
+    sets = needed(docs, held, left.select("cls", "least").distinct())
+    rows = left.join(busy.select("cls", "block"), "cls").join(sets, "cls")
+    return _block_pairs(rows, lambda x, y, p, q: block_links(x, y, share), "a long, b long")
 
 
 def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -332,17 +402,18 @@ def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(levels(docs))
     own = written(classes(docs, held), "classes")
-    sizes = own.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"))
-    leads = postings(docs, held, share).groupBy("tok").agg(F.max("cls").alias("lead"), F.min("cls").alias("low"))
-    leads = written(leads.where("low <> lead").select("tok", "lead"), "leads")
+    sizes = written(own.groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("least")), "sizes")
+    leads = postings(docs, held, share).groupBy("tok").agg(F.max("cls").alias("lead"), F.min("cls").alias("low"), F.count("*").alias("size"))
+    leads = written(leads.where("low <> lead").select("tok", "lead", F.ceil(F.col("size") / FOLLOWERS).alias("copies")), "leads")
     shared = written(postings(docs, held, share, _sieve(leads.select("tok"))).join(leads, "tok"), "postings")
-    near = shared.where("cls <> lead").groupBy("cls", "lead").count().join(sizes, "cls").where(F.col("count") >= _least_shared(F.col("n"), share))
-    near = written(near.groupBy("cls").agg(F.max(F.struct("count", "lead")).alias("top")).select("cls", F.col("top.lead").alias("family")), "near")
-    first = written(verified(docs, held, near.select(F.col("family").alias("a"), F.col("cls").alias("b")), share), "links")
+    near = shared.where("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("count"), F.max("copies").alias("copies")).join(sizes, "cls").where(F.col("count") >= _least_shared(F.col("n"), share))
+    near = written(near.groupBy("cls").agg(F.max(F.struct("count", "lead", "copies")).alias("top")).select("cls", F.col("top.lead").alias("family"), F.col("top.copies").alias("copies")), "near")
+    met = written(candidates(docs, held, near.select(F.col("family").alias("a"), F.col("cls").alias("b"), "copies"), sizes, share), "candidates")
+    first = written(verified(docs, held, met, sizes, share), "links")
     roots = components(first)
-    members = shared.select("cls").distinct().join(sizes, "cls").join(near, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    members = shared.select("cls").distinct().join(sizes, "cls").join(near.select("cls", "family"), "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     linked, comp = F.col("root").isNotNull(), F.coalesce("root", "cls")
-    members = members.select("cls", "n", comp.alias("comp"), F.coalesce("root", "family", "cls").alias("team"), linked.alias("linked"))
+    members = members.select("cls", "least", "n", comp.alias("comp"), F.coalesce("root", "family", "cls").alias("team"), linked.alias("linked"))
     second = written(across(docs, held, shared, members, share), "links")
     roots = components(first.unionByName(second))
     named = sizes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

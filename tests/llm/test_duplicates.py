@@ -85,6 +85,37 @@ def test_jaccard_on_a_table(spark):
     check_jaccard(queries.op7_ngram_jaccard(spark, "/root/testdata/sf0.001").collect(), docs)
 
 
+def test_words_that_a_polynomial_takes_for_equal_stay_apart(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    check_jaccard(jaccard.join(spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")).collect(), [(1, one), (2, two), (3, one)])
+
+
+def test_orders_leave_fewer_pairs_to_compare(spark):
+    rng = random.Random(9)
+    common, rows = [f"c{i}" for i in range(60)], []
+    for i in range(300):  # every tenth a near copy of the first; the others share a stretch of a third
+        words = common[:1] + [f"u{i}"] + common[2:] if i % 10 == 0 else [f"u{i}-{k}" for k in range(40)] + common[40:]
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = spark.sparkContext.broadcast(jaccard.levels(docs))
+    sizes = jaccard.classes(docs, held).select("cls", "n", F.col("doc_id").alias("least"))
+    lead = sizes.where("least = 0").first()["cls"]
+    pairs = sizes.where("least > 0").select(F.lit(lead).alias("a"), F.col("cls").alias("b"), F.lit(3).cast("long").alias("copies"))
+    met = jaccard.candidates(docs, held, pairs, sizes)
+    found = {r["b"] for r in met.collect()}
+    links = {r["b"] for r in jaccard.verified(docs, held, pairs, sizes).collect()}
+    assert links <= found and len(links) == 29 and len(found) < 60
+    assert {r["b"] for r in jaccard.verified(docs, held, met, sizes).collect()} == links
+
+
+def test_blocks_of_many_short_texts(spark, monkeypatch):
+    rows = [(i, f"please read the notice about {i}") for i in range(700)] + [(900 + i, f"please read the notice about {i}") for i in range(3)]
+    monkeypatch.setattr(jaccard, "CLASSES", 100)
+    check_jaccard(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def check_vectors(rows, own):
     sound = [label is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, label in own]
     unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) if s else None for (_, v, _), s in zip(own, sound, strict=True)]
