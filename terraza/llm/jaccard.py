@@ -34,6 +34,7 @@ SEEN = 1 << 16  #: classes that a task remembers so as not to emit them again
 BLOCK = 50_000  #: tokens of the classes that are compared as one
 CLASSES = 1000  #: and their number
 FOLLOWERS = 256  #: classes that meet one copy of a leader
+COPIES = 64  #: of a large team's number of blocks
 SIEVE = 1 << 23  #: bits of the sieves before a shuffle; a sieve that fills up lets all through
 
 
@@ -370,9 +371,12 @@ def across(docs: DataFrame, held: Broadcast, shared: DataFrame, members: DataFra
     comparison with each other. The prefixes under the hash orders go first; only the classes that they leave open in a pair of
     blocks have their sets shuffled.
     """
-    parts = members.groupBy("team").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / CLASSES)).alias("parts"))
-    block = F.xxhash64("team", "linked", F.pmod(F.xxhash64("cls"), "parts")).alias("block")
-    members = written(members.join(parts, "team").select("cls", "least", "n", "comp", block, F.when(F.col("linked"), F.col("comp")).alias("one"), _least_shared(F.col("n"), share).alias("need")), "members")
+    # Only teams of several blocks have a row in parts, in copies, so that a large team is not one task's.
+    parts = members.groupBy("team").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / CLASSES)).alias("parts")).where("parts > 1")
+    parts = parts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    block = F.xxhash64("team", "linked", F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1)))).alias("block")
+    members = members.withColumn("copy", F.pmod(F.xxhash64(F.lit(1), "cls"), F.lit(COPIES)).cast("int"))
+    members = written(members.join(parts, ["team", "copy"], "left").select("cls", "least", "n", "comp", block, F.when(F.col("linked"), F.col("comp")).alias("one"), _least_shared(F.col("n"), share).alias("need")), "members")
     by_token = shared.select("tok", "cls").join(members, "cls").groupBy("tok", "block").agg(F.min("need").alias("need"), F.min("one").alias("one"))
     # Most blocks of a token may be of one component, whose pairs must not be made: its blocks meet those of others only.
     main = by_token.groupBy("tok").agg(F.mode("one").alias("main"), F.count("*").alias("blocks"), F.count_if(F.col("one").isNull()).alias("mixed"), F.min("one").alias("low"), F.max("one").alias("high"))
