@@ -1,8 +1,5 @@
 """Queries on scenarios, and on files that are written and read again."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
@@ -13,7 +10,7 @@ from terraza.plans import history as PH
 from terraza.plans import listings as PL
 from terraza.registry import query
 from terraza.sources import adapter as A
-from terraza.sources import files
+from terraza.sources import files, scratch
 
 LISTINGS = f"WITH {A.LISTINGS_SQL}"
 h, r = S.half_up_sql, S.ratio_sql
@@ -102,20 +99,15 @@ def version_gate(spark, d):
     return own.select("p_partkey", F.coalesce((part(0) > 2) | (part(0) == 2) & ((part(1) > 2) | (part(1) == 2) & (part(2) >= 4)), F.lit(False)).alias("available"))
 
 
-def _home(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 @query("scan_csv", f"{LISTINGS} SELECT CAST(listing_id AS VARCHAR) AS listing_id, agency, district, typology FROM listings")
 def scan_csv(spark, d):
-    path, names = _home(spark), ["listing_id", "agency", "district", "typology"]
+    path, names = scratch.path(spark, "files"), ["listing_id", "agency", "district", "typology"]
     A.listings(spark, d).select(F.col("listing_id").cast("string").alias("listing_id"), *names[1:]).write.csv(path, header=True, escape='"')
     return files.scan_csv(spark, path, names)
 
 
 @query("sink_payload_json", "SELECT p_partkey, p_name, p_size FROM part")
 def sink_payload(spark, d):
-    path = _home(spark)
+    path = scratch.path(spark, "files")
     files.sink_json(A.table(spark, d, "part").select("p_partkey", "p_name", "p_size"), path, "p_partkey")
     return spark.read.schema("p_partkey long, p_name string, p_size int").json(path)

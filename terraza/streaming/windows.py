@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraza.sources import scratch
+
 
 def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events and their summed value of each type and window; events later than the watermark are left out of closed windows."""
@@ -17,8 +16,7 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days")
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs the counts over what there is, in batches, and gives the last state; state and results are in the shared folder."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    out = f"{home.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = scratch.path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = window_counts(events)
