@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import fold, labelled_sample
+from .shared import bounded, fold, labelled_sample, written
 
 PER_CLASS = 4000  #: labelled documents of each class that the fit sees at most
+MOST = 1 << 24  #: terms of all those documents that the fit sees at most
 BITS = 20  #: of a hashed term
 HALF_Z = 4.0  #: signed root of a term's likelihood ratio at which its single weight is halved
 HALF_ROWS = 50  #: rows of a term at which its vector is halved
@@ -86,7 +87,10 @@ def shrinkage(term: np.ndarray, y: np.ndarray, n_terms: int, n0: float, n1: floa
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int = RANK, epochs: int = 12, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """b, w and v by Adam on the logistic loss, over rows of distinct term numbers; both classes weigh the same."""
+    """b, w and v by Adam on the logistic loss, over rows of distinct term numbers; both classes weigh the same.
+
+    The rate falls to nothing, so that the result doesn't hang on the rows that happen to come last.
+    """
     rng = np.random.default_rng(seed)
     n1 = float((y == 1).sum())
     n0 = len(y) - n1
@@ -96,6 +100,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int =
     b, u, p = np.zeros(1, np.float32), np.zeros(n_terms, np.float32), rng.normal(0, 0.01, (n_terms, rank)).astype(np.float32)
     weigh = np.where(y == 1, len(y) / max(1, 2 * n1), len(y) / max(1, 2 * n0))
     params, moments, step = [b, u, p], [(np.zeros_like(x), np.zeros_like(x)) for x in (b, u, p)], 0
+    steps = epochs * -(-len(rows) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
@@ -114,12 +119,12 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int =
                 d = d.astype(np.float32)
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
-                x -= 0.02 / (1 - 0.9**step) * m / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                x -= 0.02 * (1 - (step - 1) / steps) / (1 - 0.9**step) * m / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     return float(b[0]), u * alone, p * paired[:, None]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 3, held_out: int = 1) -> Machine:
-    """Fits on a bounded sample (see labelled_sample). No labelled row at all, or one class only, gives a constant score."""
+    """Fits on a sample that is bounded in documents (see labelled_sample) and in terms. No labelled row at all, or one class only, gives a constant score."""
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, per_class)
 
     def featured(batches):
@@ -132,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.record_batch([ids.slice(c.row, len(c)), ys.slice(c.row, len(c)), lists], ["doc_id", "y", "terms"])
 
-    got = sample.mapInArrow(featured, "doc_id long, y int, terms array<int>").toArrow().sort_by("doc_id")
+    rows = written(sample.mapInArrow(featured, "doc_id long, y int, terms array<int>"), "toxicity-sample")
+    got = bounded(rows, "terms", MOST).toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(float)
     if not (y == 0).any() or not (y == 1).any():
         return Machine(np.zeros(0, np.int64), 3.0 if len(y) and y[0] == 1 else -3.0, np.zeros(0), np.zeros((0, RANK)))
@@ -156,7 +162,8 @@ def score(machine: Machine, text: str = "text") -> Column:
 def op10(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs, repeated ids included.
 
-    Null and empty texts get the score of no known term. Empty tables give an empty result or a constant score.
+    Null and empty texts get the score of no known term. A text of any length is scored whole. Equal texts have equal scores.
+    Extra columns are left out. Empty tables give an empty result or a constant score.
     """
     machine = fit(docs, labels)
     out = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score(machine).alias("score"))
