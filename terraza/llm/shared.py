@@ -2,28 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_terraza_folder", None)
-        if not found:
-            found = spark.sparkContext._terraza_folder = tempfile.mkdtemp(prefix="spark-terraza-")
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and it is computed once."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from terraza.sources.scratch import folder, written  # noqa: F401  the operators take them from here
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -43,3 +26,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         part = own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+
+
+def bounded(rows: DataFrame, lists: str, most: int) -> DataFrame:
+    """The rows (doc_id, ...) of a bounded sample whose lists come to at most so many elements, in the order of a hash of the id."""
+    sizes = rows.select("doc_id", F.size(lists).alias("size"), F.xxhash64("doc_id").alias("h"))
+    kept = sizes.withColumn("sum", F.sum("size").over(W.orderBy("h", "doc_id"))).where(F.col("sum") <= most).select("doc_id")
+    return rows.join(F.broadcast(kept), "doc_id", "left_semi")
