@@ -147,14 +147,15 @@ def levels(docs: DataFrame) -> np.ndarray:
 
 
 def classes(docs: DataFrame, held: Broadcast) -> DataFrame:
-    """(doc_id, cls, n): a row for each document."""
+    """(doc_id, key, cls, n): a row for each document; key is a hash of its text."""
 
     def measured(batches):
         for batch in batches:
             for c, sets, cls in _sets(batch, held.value):
-                yield _batch("doc_id long, cls long, n long", batch.column("doc_id").slice(c.row, len(c)).cast(pa.int64()), cls.view(np.int64), [len(s) for s in sets])
+                own = (batch.column(k).slice(c.row, len(c)).cast(pa.int64()) for k in ("doc_id", "key"))
+                yield _batch("doc_id long, key long, cls long, n long", *own, cls.view(np.int64), [len(s) for s in sets])
 
-    return docs.select("doc_id", "text").mapInArrow(measured, "doc_id long, cls long, n long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(measured, "doc_id long, key long, cls long, n long")
 
 
 def _sieve(keys: DataFrame) -> Broadcast:
@@ -398,8 +399,8 @@ def across(docs: DataFrame, held: Broadcast, shared: DataFrame, members: DataFra
     return _block_pairs(rows, lambda x, y, p, q: block_links(x, y, share), "a long, b long")
 
 
-def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of docs, extra columns left out.
+def join(docs: DataFrame, share: int = SHARE, keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of docs, extra columns left out; keyed: also key, the xxhash64 of the text, and root, one value for each component.
 
     A text that is null or without words has no shingles and is alone. Rows with the same id are documents of their own; a
     row without an id never lends its component one, and is in it nonetheless.
@@ -422,10 +423,21 @@ def join(docs: DataFrame, share: int = SHARE) -> DataFrame:
     roots = components(first.unionByName(second))
     named = sizes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("cls", "component_id")
-    alone = F.col("n") == 0
-    full = own.where(~alone).join(found, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(own.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = named.join(least, "root").select("cls", "component_id", "root")
+    alone, names = F.col("n") == 0, ["doc_id", F.col("n").alias("n_shingles"), "component_id", *(["key", "root"] if keyed else [])]
+    full = own.where(~alone).join(found, "cls").select(*names)
+    return full.unionByName(own.where(alone).withColumns({"component_id": F.col("doc_id"), "root": F.col("key")}).select(*names))
+
+
+def without_near_copies(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the smallest id, and of rows with one id the text with the least hash.
+
+    A text without words is a component of its own, as one with its id and text. Rows without an id stay.
+    """
+    own = join(docs, share, keyed=True).where(F.col("doc_id") == F.col("component_id"))
+    kept = own.groupBy("doc_id", "root").agg(F.min("key").alias("_key"))
+    named = docs.withColumn("_key", F.xxhash64("text")).join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op7(docs: DataFrame) -> DataFrame:
