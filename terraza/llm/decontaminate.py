@@ -10,8 +10,11 @@ last sentence, must be there in word shingles.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ SLAB = 1 << 15  #: (passage, term) pairs whose bounds are taken at once
 K1, B = 1.2, 0.75
 SHINGLE = 5
 QUESTION, ANSWER = 0.6, 0.5  #: shares of an item's question and answer shingles that a document holds at least
-SHARD = 50_000  #: units that are broadcast at once; more items are asked shard by shard
+SHARD = 50_000  #: units that are broadcast at once; more items are asked shard by shard, the documents read once for each
 
 
 def item_words(text: str) -> tuple[np.ndarray, int]:
@@ -67,22 +70,37 @@ class Index:
     widths: list[tuple[int, int]]
 
     def __post_init__(self):
-        self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(self.terms) else np.zeros(0)
-        self.blocks = []
-        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
-            u, w = self.unit[a:b].tolist(), self.impact[a:b].tolist()
-            self.blocks.append((u, w, [u[min(i + BLOCK, len(u)) - 1] for i in range(0, len(u), BLOCK)], [max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)]))
-        # The largest impact of each term in each of at most RANGES ranges of units, to bound all passages of a chunk at once.
+        self.lists: dict[int, tuple] = {}
+
+    @cached_property
+    def most(self) -> np.ndarray:
+        return np.maximum.reduceat(self.impact, self.first[:-1]) if len(self.terms) else np.zeros(0)
+
+    @cached_property
+    def tops(self) -> np.ndarray:
+        """The largest impact of each term in each of at most RANGES ranges of units, to bound all passages of a chunk at once."""
         span = max(1, -(-len(self.item) // RANGES))
-        self.tops = np.zeros((len(self.terms), max(1, -(-len(self.item) // span))), np.float32)
-        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
-        np.maximum.at(self.tops, (owner, self.unit // span), self.impact)
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.terms >> np.uint64(44)] = True
+        out = np.zeros((len(self.terms), max(1, -(-len(self.item) // span))), np.float32)
+        np.maximum.at(out, (np.repeat(np.arange(len(self.terms)), np.diff(self.first)), self.unit // span), self.impact)
+        return out
+
+    @cached_property
+    def sieve(self) -> np.ndarray:
+        out = np.zeros(1 << 20, bool)
+        out[self.terms >> np.uint64(44)] = True
+        return out
+
+    def posting(self, t: int) -> tuple[list, list, list, list]:
+        """Units and impacts of a term, and each block's last unit and largest impact; made when a passage first asks for it."""
+        if t not in self.lists:
+            a, b = int(self.first[t]), int(self.first[t + 1])
+            u, w = self.unit[a:b].tolist(), self.impact[a:b].tolist()
+            self.lists[t] = (u, w, [u[min(i + BLOCK, len(u)) - 1] for i in range(0, len(u), BLOCK)], [max(w[i : i + BLOCK]) for i in range(0, len(w), BLOCK)])
+        return self.lists[t]
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(unit, score) of every unit that scores the threshold or more for the distinct terms."""
-        out, lists = [], [[self.blocks[t][0][0], 0, t] for t in terms]
+        out, lists = [], [[self.posting(t)[0][0], 0, t] for t in terms]
         while lists:
             lists.sort()
             bound, pivot = 0.0, -1
@@ -98,14 +116,14 @@ class Index:
                 pivot += 1
             tight, leave = 0.0, None
             for _, _, t in lists[: pivot + 1]:
-                _, _, ends, tops = self.blocks[t]
+                _, _, ends, tops = self.posting(t)
                 j = bisect_left(ends, at)
                 if j < len(ends):
                     tight += tops[j]
                     leave = ends[j] + 1 if leave is None else min(leave, ends[j] + 1)
             if tight >= threshold:
                 if lists[0][0] == at:
-                    score = sum(self.blocks[t][1][p] for _, p, t in lists[: pivot + 1])
+                    score = sum(self.posting(t)[1][p] for _, p, t in lists[: pivot + 1])
                     if score >= threshold:
                         out.append((at, score))
                     to = at + 1
@@ -119,7 +137,7 @@ class Index:
             kept = []
             for i, x in enumerate(lists):
                 if i <= pivot and x[0] < to:
-                    units = self.blocks[x[2]][0]
+                    units = self.posting(x[2])[0]
                     p = bisect_left(units, to, x[1])
                     if p == len(units):
                         continue
@@ -168,79 +186,108 @@ class Index:
         return found
 
     def overlaps(self, item: int, hashes: np.ndarray) -> tuple[float, float]:
-        """Shares of the item's question and answer shingles among a document's words."""
+        """Shares of the item's question and answer shingles among a document's words; an item without an answer has its question for one."""
         out = []
         for own, width in ((self.question[item], self.widths[item][0]), (self.answer[item], self.widths[item][1])):
             if not len(own):
-                out.append(1.0)
                 continue
             h, good = tk.shingles(hashes, np.array([0, len(hashes)]), width)
             out.append(float(np.isin(own, h[good]).mean()))
-        return out[0], out[1]
+        return out[0], out[-1]
 
 
 def units(items: DataFrame) -> DataFrame:
-    """(item_id, text, unit, shard key, terms array of (term, times)) of every unit; items without words have none."""
+    """(key, item_id, text, unit, size, term, times) of every unit, text on an item's first; items without words have none."""
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for key, i, text in zip(*(batch.column(k).to_pylist() for k in ("key", "item_id", "text")), strict=True):
                 hashes, _ = item_words(text or "")
                 for k in range(0, len(hashes), UNIT):
                     term, times = np.unique(hashes[k : k + UNIT], return_counts=True)
-                    rows.append((i, text, k // UNIT, len(hashes[k : k + UNIT]), term.view(np.int64).tolist(), times.tolist()))
+                    rows.append((key, i, None if k else text, k // UNIT, len(hashes[k : k + UNIT]), term.view(np.int64).tolist(), times.tolist()))
             if rows:
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "text", "unit", "size", "term", "times"])
-
-    return items.select("item_id", "text").dropDuplicates().mapInArrow(cut, "item_id long, text string, unit int, size int, term array<long>, times array<long>")
-
-
-def index_shards(items: DataFrame, shard: int = SHARD):
-    """An Index for each part of the items; document frequencies and the mean length are of all items."""
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "item_id", "text", "unit", "size", "term", "times"])
+
+    own = items.select("item_id", "text").dropDuplicates().withColumn("key", F.monotonically_increasing_id())
+    return own.mapInArrow(cut, "key long, item_id long, text string, unit int, size int, term array<long>, times array<long>")
+
+
+def _built(rows: pa.Table, n: int, mean: float) -> Index:
+    """The index of a shard's units, which are in the order of their items."""
+    size = rows["size"].to_numpy().astype(float)
+    lists = rows["terms"].combine_chunks()
+    unit = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+    term, times, df = (lists.flatten().field(k).to_numpy() for k in ("t", "times", "df"))
+    weight = np.log1p((n - df + 0.5) / (df + 0.5)) * times * (K1 + 1) / (times + K1 * (1 - B + B * size[unit] / mean))
+    weight /= np.bincount(unit, weight)[unit]
+    order = np.lexsort((unit, term.view(np.uint64)))
+    terms, first = np.unique(term.view(np.uint64)[order], return_index=True)
+    first_unit = rows["unit"].to_numpy() == 0
+    ids, question, answer, widths = rows["item_id"].filter(pa.array(first_unit)).to_pylist(), [], [], []
+    for text in rows["text"].filter(pa.array(first_unit)).to_pylist():
+        h, a = item_words(text)
+        question.append(item_shingles(h[:a] if a else h))
+        answer.append(item_shingles(h[a:] if a else h[:0]))
+        widths.append((min(SHINGLE, a or len(h)), min(SHINGLE, len(h) - a)))
+    return Index(terms, np.append(first, len(term)), unit[order].astype(np.int32), weight[order], np.cumsum(first_unit) - 1, ids, question, answer, widths)
+
+
+def index_shards(items: DataFrame, shard: int = SHARD) -> Iterator[Index]:
+    """An Index for each part of the items; document frequencies and the mean length are of all items.
+
+    A shard of about that many units is built in one task and comes to the driver as arrays, for a broadcast, when it is its turn.
+    """
     own = written(units(items), "units")
     n, mean = own.agg(F.count("*"), F.avg("size")).first()
     if not n:
         return
     shards = -(-n // shard)
     df = own.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    flat = own.select("item_id", "text", "unit", "size", F.explode(F.arrays_zip("term", "times")).alias("z")).select("item_id", "text", "unit", "size", F.col("z.term").alias("t"), F.col("z.times").alias("times"))
-    full = flat.join(df, "t").groupBy("item_id", "text", "unit", "size").agg(F.sort_array(F.collect_list(F.struct("t", "times", "df"))).alias("terms"))
-    full = written(full.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "index")
-    for s in range(shards):
-        rows = full.where(F.col("shard") == s).orderBy("item_id", "text", "unit").collect()
-        if not rows:
-            continue
-        numbers: dict[tuple, int] = {}
-        posts: list[tuple[int, int, float]] = []
-        item = []
-        for u, r in enumerate(rows):
-            item.append(numbers.setdefault((r["item_id"], r["text"]), len(numbers)))
-            weights = [np.log1p((n - x["df"] + 0.5) / (x["df"] + 0.5)) * x["times"] * (K1 + 1) / (x["times"] + K1 * (1 - B + B * r["size"] / mean)) for x in r["terms"]]
-            total = sum(weights)
-            posts += [(x["t"], u, w / total) for x, w in zip(r["terms"], weights, strict=True)]
-        term = np.array([p[0] for p in posts], np.int64).view(np.uint64)
-        order = np.lexsort(([p[1] for p in posts], term))
-        terms, first = np.unique(term[order], return_index=True)
-        question, answer, widths = [], [], []
-        for _, text in numbers:
-            h, a = item_words(text)
-            question.append(item_shingles(h[:a] if a else h))
-            answer.append(item_shingles(h[a:] if a else h[:0]))
-            widths.append((min(SHINGLE, a or len(h)), min(SHINGLE, len(h) - a)))
-        yield Index(terms, np.append(first, len(term)), np.array([p[1] for p in posts])[order], np.array([p[2] for p in posts])[order], np.array(item), [k[0] for k in numbers], question, answer, widths)
+    flat = own.select("key", "unit", F.explode(F.arrays_zip("term", "times")).alias("z")).select("key", "unit", F.col("z.term").alias("t"), F.col("z.times").alias("times"))
+    full = flat.join(df, "t").groupBy("key", "unit").agg(F.sort_array(F.collect_list(F.struct("t", "times", "df"))).alias("terms"))
+    full = own.select("key", "item_id", "text", "unit", "size").join(full, ["key", "unit"]).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+
+    def built(batches):
+        shard, held = None, []
+
+        def done():
+            index = _built(pa.Table.from_batches(held), n, mean)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([pickle.dumps(index)], pa.binary())], ["shard", "index"])
+
+        for batch in batches:
+            own = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+                if held and own[i] != shard:
+                    yield done()
+                shard = int(own[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield done()
+
+    made = written(full.repartition("shard").sortWithinPartitions("shard", "item_id", "key", "unit").mapInArrow(built, "shard long, index binary"), "index")
+    for s in sorted(r["shard"] for r in made.select("shard").collect()):
+        yield pickle.loads(made.where(F.col("shard") == s).first()["index"])
 
 
 def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds an item, once for each item.
 
-    Null texts are empty; an item without words is held by none. Equal rows of docs give equal rows. An empty table on
-    either side gives no rows.
+    Null texts are empty; an item without words is held by none; one without a sentence end is all question. Equal rows of docs
+    give equal rows, items with one id and different texts a row each; a score ties with none, as all that reach the threshold count. A text is taken whole,
+    whatever its length. An empty table on either side gives no rows. Extra columns are left out. Several shards are asked one after
+    the other, and what each finds is written.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
+    out, last = None, None
     for index in index_shards(items):
+        if last:  # another shard follows: its answers are written, so that one index is held at a time
+            out = _and(out, written(last[0], "matches"))
+            last[1].destroy()
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def asked(batches, held=held):
@@ -257,13 +304,16 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, que
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
-        part = docs.select("doc_id", "text").mapInArrow(asked, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        last = docs.select("doc_id", "text").mapInArrow(asked, schema), held
+    return _and(out, last[0]) if last else docs.sparkSession.createDataFrame([], schema)
+
 
+def _and(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
 
-def holds_item(items: DataFrame, text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> Column:
-    """Whether a text column's document holds any item; the shards' answers are joined by or."""
+
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item; see matches. Shards are asked one after the other."""
 
     def asked(held: Broadcast) -> Column:
         def holds(column: pa.Array) -> pa.Array:
@@ -271,16 +321,21 @@ def holds_item(items: DataFrame, text: str = "text", threshold: float = THRESHOL
             for c in tk.chunks(column):
                 w = tk.words(c, tk.ALNUM)
                 for d, item in index.passages(w, threshold):
-                    q, a = index.overlaps(item, w.hash[w.first[d] : w.first[d + 1]])
-                    out[c.row + d] |= q >= question and a >= answer
+                    if not out[c.row + d]:
+                        q, a = index.overlaps(item, w.hash[w.first[d] : w.first[d + 1]])
+                        out[c.row + d] = q >= question and a >= answer
             return pa.array(out)
 
         return F.arrow_udf(holds, "boolean")(F.col(text))
 
-    out = F.lit(False)
+    held = None
     for index in index_shards(items):
-        out = out | asked(items.sparkSession.sparkContext.broadcast(index))
-    return out
+        if held:
+            docs = written(docs, "documents")
+            held.destroy()
+        held = items.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(~asked(held))
+    return docs
 
 
 def op1(docs: DataFrame, items: DataFrame) -> DataFrame:

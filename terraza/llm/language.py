@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -22,7 +23,7 @@ WINDOWS = 2  #: windows of each of those, spread over the text
 LENGTH = 256  #: bytes of a window
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-MOST_LANGUAGES = 256  #: the commonest values of lang; others are never predicted
+MOST_LANGUAGES = 256  #: values of lang that are learned, the commonest; others are never predicted
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
@@ -87,8 +88,8 @@ class Network:
         return best, prob
 
 
-def train(windows: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 6, seed: int = 3) -> Network:
-    """windows: (n, LENGTH) bytes, cut short by 0; Adam on the mean log loss. Gradients reach a filter at its largest place alone."""
+def train(windows: np.ndarray, sizes: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 6, seed: int = 3) -> Network:
+    """windows: (n, LENGTH) bytes of which the first sizes count; Adam on the mean log loss. Gradients reach a filter at its largest place alone."""
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.1, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS]
     m = len(WIDTHS) * FILTERS
@@ -99,10 +100,11 @@ def train(windows: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 6,
         order = rng.permutation(len(y))
         for at in range(0, len(y), 128):
             x = windows[order[at : at + 128]].astype(np.int64)
-            t, n = y[order[at : at + 128]], len(x)
+            t, n, size = y[order[at : at + 128]], len(x), sizes[order[at : at + 128]]
             peak, pool = [], np.empty((n, m), np.float32)
             for k, (w, table) in enumerate(zip(WIDTHS, tables, strict=True)):
                 act = sum(table[j][x[:, j : LENGTH - w + 1 + j]] for j in range(w)) + bias[k * FILTERS : (k + 1) * FILTERS]
+                act[np.arange(LENGTH - w + 1)[None] > size[:, None] - w] = -np.inf
                 peak.append(act.argmax(1))
                 pool[:, k * FILTERS : (k + 1) * FILTERS] = np.take_along_axis(act, peak[-1][:, None], 1)[:, 0]
             live = np.maximum(pool, 0)
@@ -129,18 +131,21 @@ def train(windows: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 6,
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, held_out: int = 2) -> Network:
-    """Fits on at most per_language texts of each value of lang outside the held-out fold, in the order of a hash of the id.
+    """Fits on at most per_language documents of each value of lang outside the held-out fold, in the order of a hash of the id.
 
-    Without such a row nothing is learned and every prediction is und.
+    Of each document WINDOWS windows are learned, spread over the text. Without such a row nothing is learned and every prediction
+    is und. Of rows with one id the least window counts.
     """
-    own = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-    names = sorted(r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    ids = None
-    for k, name in enumerate(names):
-        part = own.where((F.col("lang") == name) & (F.length("text") >= 1)).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).select("doc_id", F.lit(k).alias("y"))
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
+    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    names = sorted(counts)
+    if not names:
         return Network([], [np.zeros((k, 256, FILTERS), np.float32) for k in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros((len(WIDTHS) * FILTERS, 0)), np.zeros(0))
+    # A draw by hash that leaves at least per_language ids of each language, barring a chance of nil, keeps the ranking small.
+    table = docs.sparkSession.createDataFrame([(n, k, min(1 << 40, int((1 << 40) * (2 * per_language + 100) / counts[n]))) for k, n in enumerate(names)], "lang string, y int, below long")
+    drawn = own.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(table), "lang").where(F.shiftrightunsigned("h", 24) < F.col("below"))
+    rank = F.row_number().over(W.partitionBy("y").orderBy(F.shiftrightunsigned("h", 24), "doc_id"))
+    ids = drawn.select("doc_id", "y", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "y")
 
     def cut(batches):
         for batch in batches:
@@ -148,15 +153,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, held_
             for c in tk.chunks(batch.column("text")):
                 for d in range(len(c)):
                     a, b = int(c.offs[d]), int(c.offs[d + 1])
-                    for k in range(WINDOWS):
+                    for k in range(WINDOWS if b > a else 0):
                         s = a + max(0, b - a - LENGTH) * k // max(1, WINDOWS - 1)
-                        rows.append((ids[c.row + d], ys[c.row + d], c.buf[s : min(b, s + LENGTH)].tobytes().ljust(LENGTH, b"\0")))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "y", "window"])
+                        rows.append((ids[c.row + d], k, ys[c.row + d], c.buf[s : min(b, s + LENGTH)].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "k", "y", "window"])
 
-    rows = written(own.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(cut, "doc_id long, y int, window binary"), "language-sample")
-    got = rows.orderBy("doc_id", "window").toArrow()
-    windows = np.frombuffer(b"".join(got["window"].to_pylist()), np.uint8).reshape(-1, LENGTH)
-    return train(windows, got["y"].to_numpy(), names)
+    rows = own.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(cut, "doc_id long, k int, y int, window binary")
+    rows = written(rows.groupBy("doc_id", "k").agg(F.min(F.struct("y", "window")).alias("z")).select("doc_id", "k", "z.y", "z.window"), "language-sample")
+    got = rows.orderBy("doc_id", "k").toArrow()
+    raw = got["window"].to_pylist()
+    windows = np.frombuffer(b"".join(x.ljust(LENGTH, b"\0") for x in raw), np.uint8).reshape(-1, LENGTH)
+    return train(windows, np.array([len(x) for x in raw], np.int64), got["y"].to_numpy(), names)
 
 
 def predict(network: Network, text: str = "text") -> Column:
@@ -172,6 +179,10 @@ def predict(network: Network, text: str = "text") -> Column:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: one row per row of docs, repeated ids included; empty tables give no rows."""
+    """doc_id, held_out, lang_pred, score: one row per row of docs, repeated ids included; empty tables give no rows.
+
+    A null text, an empty one or one without a letter is und with score 0. A text of any length is cut into windows that cover it.
+    Of languages with one probability the first in the alphabet counts. Extra columns are left out.
+    """
     found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), predict(fit(docs)).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")

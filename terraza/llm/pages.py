@@ -1,13 +1,12 @@
-"""Main text of web pages: markup where it names the article, differencing against the nearest page of the host elsewhere.
+"""Main text of web pages: nearest-URL differencing of their lines, with markup where it names the article.
 
-A page becomes text lines, one per block. Lines in an article or main element are kept and lines in menus, headers, footers,
-sidebars, notices, adverts, forms and comments are not; where a page has no such element, the lines outside those parts are
-open. Open lines are settled by nearest-URL differencing: pages are put in the order of host and path, each is paired with
-the neighbour of its host whose path has the longest beginning in common, their lines are aligned by a longest common
-subsequence, and the lines that both have are deleted.
+A page becomes text lines, one per block. All pages are put in the order of host and path, each is paired with the neighbour
+of its host whose path has the longest beginning in common, and the lines of both are aligned by a longest common subsequence.
+Lines that both have are deleted, unless the page has them in an article or main element. Lines in menus, headers, footers,
+sidebars, notices, adverts, forms and comments go anyway; of a page with an article or main element, other lines do too.
 
-Differencing decides open lines only: articles of one host may share a paragraph, and menus or adverts may differ between
-neighbours, so it would be wrong both ways where the markup is plain.
+Differencing alone would be wrong both ways: articles of one host may share a paragraph, which is theirs, and menus or adverts
+may be drawn anew for each page, so that no neighbour has them. The README gives figures.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ SPACE = {"br", "td", "th"}
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"(?<![^\s/\"'])([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[-_]+")
 IN_HEAD = {"base", "link", "meta", "head"}  #: any other element closes an open head
 
@@ -63,10 +62,12 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], bool]:
-    """The page's candidate lines, and whether they are open."""
-    inside: list[str] = []  # of article and main elements
-    outside: list[str] = []
+OWN, OPEN, CHROME = 0, 1, 2  #: kinds of lines: of an article, of no marked part, of a marked one
+
+
+def lines(page: str) -> list[tuple[str, int]]:
+    """All lines of a page in order, with their kinds."""
+    out: list[tuple[str, int]] = []
     words: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether its text is dropped, whether it is in an article
     drop = own = False
@@ -74,16 +75,16 @@ def lines(page: str) -> tuple[list[str], bool]:
     def close() -> None:
         text = " ".join(html_lib.unescape("".join(words)).split())
         words.clear()
-        if text and not drop:
-            (inside if own else outside).append(text)
+        if text:
+            out.append((text, CHROME if drop else OWN if own else OPEN))
 
     at = 0
     for m in _TOKEN.finditer(page):
         if stack and stack[-1][0] == "head" and (page[at : m.start()].strip() or m["tag"] and not m["end"] and m["tag"].lower() not in IN_HEAD):
+            close()
             stack.pop()
             drop, own = stack[-1][1:] if stack else (False, False)
-        if not drop:
-            words.append(page[at : m.start()])
+        words.append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -94,7 +95,7 @@ def lines(page: str) -> tuple[list[str], bool]:
                     close()
                 while stack:
                     t = stack.pop()[0]
-                    if t in BLOCK:
+                    if t in BLOCK or drop != (stack[-1][1] if stack else False):
                         close()
                     drop, own = stack[-1][1:] if stack else (False, False)
                     if t == tag:
@@ -110,6 +111,8 @@ def lines(page: str) -> tuple[list[str], bool]:
             continue
         if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
             stack.pop()
+            if drop != (stack[-1][1] if stack else False):
+                close()
             drop, own = stack[-1][1:] if stack else (False, False)
         marked = _marked(tag, m["attrs"])
         if tag == "header" and own and not drop:
@@ -122,15 +125,22 @@ def lines(page: str) -> tuple[list[str], bool]:
         stack.append((tag, drop, own))
     if stack and stack[-1][0] == "head":
         drop = len(stack) > 1 and stack[-2][1]
-    if not drop:
-        words.append(page[at:])
+    words.append(page[at:])
     close()
-    return (inside, False) if inside else (outside, bool(outside))
+    return out
+
+
+def kept(found: list[tuple[str, int]], gone: set[int] = frozenset()) -> list[str]:
+    """The text lines of a page: its article's, or its open ones where it marks up none; without those that differencing deleted."""
+    kind = OWN if any(k == OWN for _, k in found) else OPEN
+    own = [(i, t) for i, (t, k) in enumerate(found) if k == kind]
+    left = [t for i, t in own if i not in gone]
+    return left or [t for _, t in own]
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Places in a of a longest common subsequence of a and b, by the longest chain of matching places."""
-    where: dict[str, list[int]] = {}
+    where: dict = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
     ends: list[int] = []  # of the best chain of each length: its last place in b
@@ -154,38 +164,45 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 def _parsed(column: pa.Array) -> pa.Array:
     rows = [lines(x or "") for x in column.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.bool_())], ["lines", "open"])
+    texts, kinds = [[t for t, _ in r] for r in rows], [[k for _, k in r] for r in rows]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int8()))], ["lines", "kinds"])
 
 
 def parse(html: Column) -> Column:
-    """Struct of lines and open."""
-    return F.arrow_udf(_parsed, "lines array<string>, open boolean")(html)
+    """Struct of lines and kinds."""
+    return F.arrow_udf(_parsed, "lines array<string>, kinds array<tinyint>")(html)
 
 
-def _settled(own: pa.Array, own_path: pa.Array, before: pa.Array, path_before: pa.Array, after: pa.Array, path_after: pa.Array) -> pa.Array:
-    def common(x: str, y: str | None) -> int:
-        n = 0
-        for p, q in zip(x, y or "", strict=False):
-            if p != q:
-                break
-            n += 1
-        return n
+def _common(x: str, y: str) -> int:
+    n = 0
+    for p, q in zip(x, y, strict=False):
+        if p != q:
+            break
+        n += 1
+    return n
 
+
+def _deleted(*columns: pa.Array) -> pa.Array:
+    """Places of the lines that a page shares with the nearer of two neighbours, but for those of its article."""
     out = []
-    for a, path, b, pb, c, pc in zip(*(x.to_pylist() for x in (own, own_path, before, path_before, after, path_after)), strict=True):
-        other = c if b is None or c is not None and common(path, pc) > common(path, pb) else b
-        gone = shared_lines(a, other) if other else set()
-        out.append(a if len(gone) == len(a) else [x for i, x in enumerate(a) if i not in gone])
-    return pa.array(out, pa.list_(pa.string()))
+    for path, own, kinds, path_before, before, path_after, after in zip(*(x.to_pylist() for x in columns), strict=True):
+        if before is None or after is not None and _common(path, path_after) > _common(path, path_before):
+            before = after
+        out.append([i for i in sorted(shared_lines(own, before or [])) if kinds[i] != OWN])
+    return pa.array(out, pa.list_(pa.int32()))
+
 
+def differenced(parsed: DataFrame) -> DataFrame:
+    """(page_key, gone) of the pages that lose lines to their neighbour; parsed has page_key, url, page_id, lines and kinds.
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """Settles open pages: (page_id, url, lines). Rows get their rank in the order of host and path, and neighbours meet by it."""
+    Pages get their rank in the order of host and path, and neighbours meet by it. Only hashes of lines are shuffled. Rows that are
+    equal throughout are one page here, so a copy never deletes what it was copied from.
+    """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://[^/?#]*([^#]*)", 1)
-    rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
-    order = ("host", "path", "page_id", "url", F.xxhash64("lines"))
-    ranked = written(rows.orderBy(*order).withColumn("mid", F.monotonically_increasing_id()), "pages")
+    rows = parsed.select("page_key", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "page_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), "kinds")
+    rows = rows.dropDuplicates(["page_key"]).orderBy("host", "path", "page_id", "page_key")
+    ranked = written(rows.select("page_key", "host", "path", "lines", "kinds", F.monotonically_increasing_id().alias("mid")), "pages")
     part = F.shiftrightunsigned("mid", 33)
     counts = {r["part"]: r["count"] for r in ranked.groupBy(part.alias("part")).count().collect()}  # as many as there are partitions
     starts, total = [], 0
@@ -194,25 +211,34 @@ def _paired(rows: DataFrame) -> DataFrame:
         total += counts[p]
     starts = rows.sparkSession.createDataFrame(starts, "part long, start long")
     ranked = ranked.join(F.broadcast(starts), part == F.col("part")).withColumn("rank", F.col("start") + F.col("mid").bitwiseAND((1 << 33) - 1)).drop("mid", "part", "start")
-    for name, step in (("before", 1), ("after", -1)):
-        other = ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias("host_2"), F.col("lines").alias(name), F.col("path").alias(f"path_{name}"))
-        ranked = ranked.join(other, "rank", "left")
-        same = F.col("host_2") == F.col("host")
-        ranked = ranked.withColumn(name, F.when(same, F.col(name))).withColumn(f"path_{name}", F.when(same, F.col(f"path_{name}"))).drop("host_2")
-    settled = F.arrow_udf(_settled, "array<string>")("lines", "path", "before", "path_before", "after", "path_after")
-    return ranked.select("page_id", "url", settled.alias("lines"))
+    # A page goes to its own rank and, as a neighbour, to the two beside it: one shuffle, and no rank has more than three rows.
+    roles = F.explode(F.array(*(F.struct((F.col("rank") + d).alias("at"), F.lit(d).alias("role")) for d in (0, 1, -1)))).alias("z")
+    dealt = ranked.select("host", "path", "page_key", "lines", "kinds", roles).select("*", "z.at", "z.role")
+    side = lambda d: F.first(F.when(F.col("role") == d, F.struct("host", "path", "page_key", "lines", "kinds")), ignorenulls=True)
+    met = dealt.groupBy("at").agg(side(0).alias("own"), side(1).alias("before"), side(-1).alias("after")).where("own is not null")
+    for name in ("before", "after"):
+        met = met.withColumn(name, F.when(F.col(f"{name}.host") == F.col("own.host"), F.col(name)))
+    gone = F.arrow_udf(_deleted, "array<int>")(*(F.col(x) for x in ("own.path", "own.lines", "own.kinds", "before.path", "before.lines", "after.path", "after.lines")))
+    return met.select(F.col("own.page_key").alias("page_key"), gone.alias("gone")).where(F.size("gone") > 0)
+
+
+def _joined(lines_: pa.Array, kinds: pa.Array, gone: pa.Array) -> pa.Array:
+    rows = zip(lines_.to_pylist(), kinds.to_pylist(), gone.to_pylist(), strict=True)
+    return pa.array(["\n".join(kept(list(zip(x, k, strict=True)), frozenset(g or ()))) for x, k, g in rows], pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages; extra columns are left out.
 
-    A null or empty page, or one without a kept line, has an empty text. Rows with the same id are pages of their own. A page
-    without neighbours on its host, or all of whose open lines its neighbour has too, keeps its open lines. An empty table
-    gives no rows.
+    A null or empty page, or one without a kept line, has an empty text. Rows with the same id are pages of their own, equal
+    rows get equal texts. A page without neighbours on its host, or all of whose lines its neighbour has too, keeps its lines.
+    Neighbours with paths equally near: the one before. A page of any length is taken whole. An empty table gives no rows.
     """
-    parsed = pages.select("page_id", "url", parse(F.col("html")).alias("p")).select("page_id", "url", "p.lines", "p.open")
-    settled = parsed.where(~F.col("open")).select("page_id", "url", "lines").unionByName(_paired(parsed.where("open").select("page_id", "url", "lines")))
-    return settled.select("page_id", "url", F.array_join("lines", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    key = F.xxhash64("page_id", "url", "html").alias("page_key")
+    parsed = written(pages.select("page_id", "url", key, parse(F.col("html")).alias("p")).select("page_id", "url", "page_key", "p.lines", "p.kinds"), "parsed")
+    full = parsed.join(differenced(parsed), "page_key", "left")
+    text = F.arrow_udf(_joined, "string")("lines", "kinds", "gone")
+    return full.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3(pages: DataFrame) -> DataFrame:

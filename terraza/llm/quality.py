@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import fold, labelled_sample, written
+from .shared import bounded, fold, labelled_sample, written
 
 PER_CLASS = 4000  #: labelled documents of each class that the fit sees at most
+MOST = 1 << 24  #: features of all those documents that the fit sees at most
 WORD_BITS = 18
 _CLASS = np.full(256, 3, np.int64)  # non-ASCII
 for _i in range(128):
@@ -84,7 +85,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 5, held_out: int = 0) -> Classifier:
-    """Fits on a bounded sample (see labelled_sample). One class only, or none, gives a constant score."""
+    """Fits on a sample that is bounded in documents (see labelled_sample) and in features. One class only, or none, gives a constant score."""
 
     def featured(batches):
         for batch in batches:
@@ -93,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
                 yield pa.record_batch([batch.column("doc_id").slice(c.row, len(c)), batch.column("y").slice(c.row, len(c)), lists], ["doc_id", "y", "f"])
 
     rows = written(labelled_sample(docs, labels, "quality", folds, held_out, per_class).mapInArrow(featured, "doc_id long, y int, f array<int>"), "quality-sample")
+    rows = bounded(rows, "f", MOST)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Classifier(np.zeros(FEATURES), 3.0 if not sizes or sizes.get(1) else -3.0, 1.0)
@@ -123,7 +125,11 @@ def score(classifier: Classifier, text: str = "text") -> Column:
 
 
 def op2(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs, repeated ids included; empty tables give no rows."""
+    """doc_id, held_out, score, predicted: one row per row of docs, repeated ids included; empty tables give no rows.
+
+    Null and empty texts get the score of a text without words. A text of any length is scored whole. Equal texts have equal
+    scores. Extra columns are left out, whatever their names.
+    """
     classifier = fit(docs, labels)
     out = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score(classifier).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

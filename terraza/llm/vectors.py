@@ -2,8 +2,9 @@
 
 Unit vectors with a cosine of c or more lie within eps = sqrt(2 - 2 c) of each other. Vectors are turned to principal axes,
 sorted by their grid cells of width eps on the leading ones (the epsilon grid order) and cut into sequence intervals. Intervals
-whose boxes lie further apart than eps never meet; the others are joined by halving both again and again, skipping halves that
-are provably distant, until small ones are compared in double precision.
+are dealt by the cells that they cover on the two leading axes, so those that are far apart there never meet; of those that do,
+the ones whose boxes lie further apart than eps are dropped, and the others are joined by halving both again and again,
+skipping halves that are provably distant, until small ones are compared in double precision.
 
 Equal vectors are one class from the start, and inside an interval pair only link counts and a spanning set of edges leave the
 task, so a large group of near copies never becomes a list of pairs.
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .shared import written
@@ -23,8 +25,11 @@ from .shared import written
 COSINE = 0.98
 SAMPLE = 20_000  #: vectors that the principal axes are fitted on at most; any axes give the same links
 LEADING = 6  #: principal axes of the grid
-INTERVAL = 256  #: vectors of an interval at most
-LEAF = 64  #: vectors that are compared without another halving
+MOST_AXES = 2048  #: components beyond which vectors are not turned: the grid is laid on their own leading components then
+SAMPLED = 1 << 23  #: components of the sample at most
+INTERVAL = 1024  #: vectors of an interval at most
+COMPONENTS = 1 << 18  #: and their components, where that leaves one vector at least
+LEAF = 128  #: vectors that are compared without another halving
 MARGIN = 1e-9  #: by which boxes must be further apart than eps, for rounding
 
 
@@ -41,8 +46,8 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+def turned(u: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    return u @ turn if u.shape[1] == len(turn) else u
 
 
 def near_pairs(x: np.ndarray, y: np.ndarray, turned_x: np.ndarray, turned_y: np.ndarray, cosine: float) -> np.ndarray:
@@ -80,46 +85,58 @@ def spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r, c = r2, c2
 
 
+def _width(cosine: float) -> float:
+    """Of a grid cell: a little over eps, so that vectors within eps lie in neighbouring cells in spite of rounding."""
+    return float(np.sqrt(max(1e-12, 2 - 2 * cosine))) + MARGIN
+
+
 def intervals(classes: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
     """(block, label, size, cls, times, vectors, low, high): runs of the epsilon grid order of each label and vector size."""
-    eps = float(np.sqrt(max(1e-12, 2 - 2 * cosine)))
-    lead = min(LEADING, turn.shape[1])
+    width = _width(cosine)
 
     def cells(column: pa.Array) -> pa.Array:
-        out = []
-        for v in column.to_pylist():
-            u = unit(np.array(v)[None])[0]
-            u = u @ turn if len(u) == len(turn) else u
-            out.append(np.floor(u[:lead] / eps).astype(np.int64).tolist())
-        return pa.array(out, pa.list_(pa.int64()))
+        sizes = column.value_lengths().to_numpy()
+        flat, offs = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+        out = np.zeros((len(sizes), LEADING), np.int64)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            for i in range(0, len(rows), max(1, COMPONENTS // size)):
+                own = rows[i : i + max(1, COMPONENTS // size)]
+                t = turned(unit(flat[offs[own][:, None] + np.arange(size)]), turn)[:, :LEADING]
+                out[own, : t.shape[1]] = np.floor(t / width)
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), LEADING).cast(pa.list_(pa.int64()))
 
     cell = F.arrow_udf(cells, "array<long>")(F.col("embedding"))
-    ordered = classes.withColumn("cell", cell).withColumn("size", F.size("embedding"))
-    keys = ["label", "size", *(F.try_element_at("cell", F.lit(k + 1)).alias(f"c{k}") for k in range(lead)), "cls", "times", "embedding"]
-    ordered = ordered.select(*keys)
-    by = ["label", "size", *(f"c{k}" for k in range(lead)), "cls"]
+    by = ["label", "size", *(f"c{k}" for k in range(LEADING)), "cls"]
+    ordered = classes.withColumn("cell", cell).select("label", "size", *(F.col("cell")[k].alias(f"c{k}") for k in range(LEADING)), "cls", "times", "embedding")
     ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
 
     def cut(batches):
-        block, held = TaskContext.get().partitionId() << 33, []
+        block, held, count, key = TaskContext.get().partitionId() << 33, [], 0, None
 
         def done():
-            nonlocal block
-            label, size = held[0][:2]
-            v = np.array([h[4] for h in held], np.float64)
-            u = unit(v)
-            t = u @ turn if size == len(turn) else u
-            row = [[block], [label], [size], [[h[2] for h in held]], [[h[3] for h in held]], [v.tobytes()], [t.min(0).tolist()], [t.max(0).tolist()]]
+            nonlocal block, count
+            cls, times, v = (np.concatenate([h[k] for h in held]) for k in range(3))
+            t = turned(unit(v), turn)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            block += 1
+            row = [[block], [key[0]], [key[1]], [cls], [times], [v.tobytes()], [t.min(0)], [t.max(0)]]
+            block, count = block + 1, 0
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["block", "label", "size", "cls", "times", "vectors", "low", "high"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("label", "size", "cls", "times", "embedding")), strict=True):
-                if held and (held[0][:2] != row[:2] or len(held) >= INTERVAL):
+            label, size, cls, times = (batch.column(k).to_numpy() for k in ("label", "size", "cls", "times"))
+            flat, at = batch.column("embedding").flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+            i = 0
+            while i < len(label):
+                if held and (key != (int(label[i]), int(size[i])) or count >= max(1, min(INTERVAL, COMPONENTS // key[1]))):
                     yield done()
-                held.append(row)
+                key = (int(label[i]), int(size[i]))
+                j = min(len(label), i + max(1, min(INTERVAL, COMPONENTS // key[1])) - count)
+                other = np.flatnonzero((label[i:j] != key[0]) | (size[i:j] != key[1]))
+                j = i + int(other[0]) if len(other) else j
+                held.append((cls[i:j], times[i:j], flat[at[i] : at[j]].reshape(j - i, key[1])))
+                count, i = count + j - i, j
         if held:
             yield done()
 
@@ -127,17 +144,15 @@ def intervals(classes: DataFrame, turn: np.ndarray, cosine: float) -> DataFrame:
 
 
 def interval_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
-    """(p, q), p <= q: intervals whose boxes are within eps; they meet in a common cell of the first axis, give or take one."""
-    eps = float(np.sqrt(max(1e-12, 2 - 2 * cosine)))
-    box = blocks.select("block", "label", "size", "low", "high")
-    first = lambda c, d: F.floor(F.col(c)[0] / eps + d).cast("long")
-    wide = box.select("*", F.explode(F.sequence(first("low", 0), first("high", 1))).alias("cell"))
-    narrow = box.select("*", F.explode(F.sequence(first("low", 0), first("high", 1))).alias("cell"))
-    p = wide.select(F.col("block").alias("p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"), "label", "size", "cell")
-    q = narrow.select(F.col("block").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q"), "label", "size", "cell")
+    """(p, q), p <= q: intervals whose boxes are within eps; they meet in a common cell of the two leading axes, give or take one."""
+    eps, width = float(np.sqrt(max(0.0, 2 - 2 * cosine))), _width(cosine)
+    at = lambda c, k, d: F.coalesce(F.floor(F.try_element_at(c, F.lit(k)) / width), F.lit(0)).cast("long") + d
+    covered = blocks.select("block", "label", "size", "low", "high", F.explode(F.sequence(at("low", 1, 0), at("high", 1, 1))).alias("x"))
+    covered = covered.select("*", F.explode(F.sequence(at("low", 2, 0), at("high", 2, 1))).alias("y"))
+    p, q = (covered.select(F.col("block").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"), "label", "size", "x", "y") for k in "pq")
     gap = F.zip_with(F.zip_with("low_p", "high_q", lambda a, b: a - b), F.zip_with("low_q", "high_p", lambda a, b: a - b), lambda a, b: F.greatest(F.lit(0.0), a, b))
     square = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    return p.join(q, ["label", "size", "cell"]).where(F.col("p") <= F.col("q")).where(square <= (eps + MARGIN) ** 2).select("p", "q").distinct()
+    return p.join(q, ["label", "size", "x", "y"]).where((F.col("p") <= F.col("q")) & (square <= (eps + MARGIN) ** 2)).select("p", "q").distinct()
 
 
 def join(vectors: DataFrame, cosine: float = COSINE, label: str | None = "label") -> DataFrame:
@@ -145,16 +160,24 @@ def join(vectors: DataFrame, cosine: float = COSINE, label: str | None = "label"
 
     Vectors link only within a label (None: all may) and with vectors of their own length. A null label, or a vector that is
     null, zero, empty or holds null or non-finite components, links with nothing; such a row, and one without an id, is in
-    the result. Each row is a vector of its own, so equal rows link with each other.
+    the result. Each row is a vector of its own, so equal rows link with each other; a tie for the smallest id is no matter. An
+    empty table gives no rows; extra columns are left out. Vectors of any length are compared, those over MOST_AXES components
+    without turning. Vectors whose two 64-bit hashes are equal are taken for equal.
     """
-    rows = vectors.select("vec_id", "embedding", (F.col(label) if label else F.lit(0)).cast("long").alias("label"))
+    plain = isinstance(vectors.schema["embedding"].dataType.elementType, (T.FloatType, T.DoubleType))
+    rows = vectors.select("vec_id", F.col("embedding") if plain else F.col("embedding").cast("array<double>"), (F.col(label) if label else F.lit(0)).cast("long").alias("label"))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(sound)
-    classes = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("times")).withColumn("cls", F.xxhash64("label", "embedding")), "vectors")
-    sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("embedding").toArrow()["embedding"].to_pylist()
-    sizes = [len(v) for v in sample]
-    size = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 1
-    turn = axes(unit(np.array([v for v in sample if len(v) == size]))) if sizes else np.eye(1)
+    keys = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
+    kind = np.float32 if rows.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
+    classes = good.groupBy("label", *keys).agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("embedding").alias("embedding"))
+    classes = written(classes.select("*", F.size("embedding").alias("size"), F.monotonically_increasing_id().alias("cls")), "vectors")
+    common = classes.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
+    size = common["size"] if common else 1
+    turn = np.zeros((0, 0))
+    if size <= MOST_AXES:
+        sample = classes.where(F.col("size") == size).orderBy("h1", "h2").limit(min(SAMPLE, SAMPLED // size)).select("embedding").toArrow()["embedding"].combine_chunks()
+        turn = axes(unit(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, size))) if len(sample) else np.eye(1)
     blocks = written(intervals(classes, turn, cosine), "intervals")
     pairs = interval_pairs(blocks, cosine)
     side = lambda k: blocks.select(*(F.col(c).alias(f"{c}_{k}" if c != "block" else k) for c in ("block", "size", "cls", "times", "vectors")))
@@ -166,10 +189,8 @@ def join(vectors: DataFrame, cosine: float = COSINE, label: str | None = "label"
             get = lambda k, i: batch.column(k)[i].as_py()  # noqa: E731, B023
             for i in range(batch.num_rows):
                 n, same = get("size_p", i), get("p", i) == get("q", i)
-                a, b = (np.frombuffer(get(f"vectors_{k}", i), np.float64).reshape(-1, n) for k in "pq")
-                x, y = unit(a), unit(b)
-                turned = (x @ turn, y @ turn) if n == len(turn) else (x, y)
-                links = near_pairs(x, y, *turned, cosine)
+                x, y = (unit(np.frombuffer(get(f"vectors_{k}", i), kind).reshape(-1, n)) for k in "pq")
+                links = near_pairs(x, y, turned(x, turn), turned(y, turn), cosine)
                 keys = np.array([*get("cls_p", i), *get("cls_q", i)], np.int64)
                 times_p, times_q = np.array(get("times_p", i)), np.array(get("times_q", i))
                 if same:
@@ -190,8 +211,8 @@ def join(vectors: DataFrame, cosine: float = COSINE, label: str | None = "label"
     others = found.groupBy("cls").agg(F.sum("times").alias("others"))
     named = classes.join(others, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
-    linked = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    named = named.join(least, "root").select("label", "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    linked = good.select("vec_id", "label", *keys).join(named, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

@@ -142,6 +142,14 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.join(df.limit(0)).count() == 0
 
 
+def test_very_long_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    own = [(i, (c + rng.normal(size=3000) * s).tolist(), 0) for i, (c, s) in enumerate((c, s) for c in rng.normal(size=(2, 3000)) for s in (0, 0.05, 0.1, 1))]
+    check_vectors(vectors.join(spark.createDataFrame(own, "vec_id long, embedding array<double>, label int")).collect(), own)
+    monkeypatch.setattr(vectors, "COMPONENTS", 100)
+    check_vectors(vectors.join(spark.createDataFrame(own, "vec_id long, embedding array<double>, label int")).collect(), own)
+
+
 def test_vectors_on_a_table(spark):
     own = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     check_vectors(queries.op8_vector_dedup(spark, "/root/testdata/sf0.01").collect(), own)
@@ -176,11 +184,11 @@ def test_items_need_question_and_answer(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x"))
     got = decontaminate.matches(docs, items)
     assert sorted((str(r["doc_id"]), r["item_id"]) for r in got.collect()) == [("1", 1), ("5", 1), ("6", 4), ("6", 4), ("None", 1)]
-    assert docs.where(decontaminate.holds_item(items)).count() == 5
+    assert decontaminate.without_items(docs, items).count() == 3
     assert decontaminate.matches(docs.limit(0), items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
     with pytest.MonkeyPatch.context() as m:
         m.setattr(decontaminate.index_shards, "__defaults__", (2,))
-        assert decontaminate.matches(docs, items).count() == 5
+        assert decontaminate.matches(docs, items).count() == 5 and decontaminate.without_items(docs, items).count() == 3
 
 
 def test_longest_common_lines():
@@ -226,6 +234,10 @@ def test_pipeline_stages_keep_whole_documents(spark):
     data = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{data}/documents.parquet")
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").where("toxic = 1").collect()}
+    # About one toxic row in twenty is marked so by mistake: no word of its text is one that marks toxic texts in these tables.
+    marks = re.compile(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|scum|loser|moron)\b|\bach(lich|keit)\w|\br(ée|éê)\w|\bbo(mente|co|cue|ción)\w*", re.I)
+    mistaken = {r["doc_id"] for r in docs.collect() if r["doc_id"] in toxic and not marks.search(r["text"] or "")}
+    assert len(mistaken) <= 0.1 * len(toxic)
     left = docs
     for name, stage in pipeline.STAGES[:-1]:
         before, left = left, stage(spark, left, data)
@@ -233,7 +245,7 @@ def test_pipeline_stages_keep_whole_documents(spark):
         ids, old = {r["doc_id"] for r in left.select("doc_id").collect()}, {r["doc_id"] for r in before.select("doc_id").collect()}
         assert ids <= old and len(ids) > 0.85 * len(old), name
         left = spark.createDataFrame(left.toPandas(), docs.schema)
-    assert len({r["doc_id"] for r in left.select("doc_id").collect()} & toxic) <= 0.25 * len(toxic)  # few labelled rows, some of them wrong
+    assert len({r["doc_id"] for r in left.select("doc_id").collect()} & toxic - mistaken) <= 0.05 * len(toxic)
     pieces = pipeline.STAGES[-1][1](spark, left, data)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in left.select("doc_id").collect()}
 
@@ -250,5 +262,8 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
             assert out.columns == docs.columns and out.count() <= part.count(), name
         pipeline.STAGES[-1][1](spark, part, str(tmp_path)).count()
     stages = dict(pipeline.STAGES)
+    twice = [(3, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (5, "quite another text with words of its own and more"), (5, "a b c d e f g h i j k l m n o p q r s t u v w x y zz"), (5, "quite another text with words of its own and more"), (5, "a third text under the same id that no other one is like")]
+    kept = jaccard.without_near_copies(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([*twice[:2], twice[4]])
     assert 7 not in {r["doc_id"] for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()}
     assert sorted(str(r["doc_id"]) for r in stages["near duplicates"](spark, docs, str(tmp_path)).collect()) == ["1", "2", "3", "4", "7", "None"]

@@ -98,6 +98,38 @@ def test_language_is_found_on_held_out_rows(spark):
     assert (out.held_out == [held_out(i, 4, 2) for i in out.doc_id]).all() and (own.lang == own.lang_pred).mean() > 0.95
 
 
+def test_convolutions_equal_a_direct_sum():
+    rng = np.random.default_rng(2)
+    tables = [rng.normal(size=(k, 256, language.FILTERS)).astype(np.float32) for k in language.WIDTHS]
+    bias = rng.normal(size=len(language.WIDTHS) * language.FILTERS).astype(np.float32)
+    net = language.Network(["a"], tables, bias, np.zeros((len(bias), 1)), np.zeros(1))
+    for text in ("a", "ab", "abc", "é漢 x y", "the quick brown fox " * 30):
+        c = next(tk.chunks(pa.array([text])))
+        x, got = c.buf.astype(int), net.pooled(c, np.array([0]))[0]
+        want = [max([0.0] + [sum(t[j, x[i + j], f] for j in range(w)) + bias[k * language.FILTERS + f] for i in range(len(x) - w + 1)]) for k, (w, t) in enumerate(zip(language.WIDTHS, tables, strict=True)) for f in range(language.FILTERS)]
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    rng, texts = np.random.default_rng(5), ["", "abc", "insult group words longer", "insult insult group", "x y z"]
+    hashes, doc = toxicity.doc_terms(next(tk.chunks(pa.array(texts))))
+    terms = np.unique(toxicity.hashed(hashes))[::2]
+    m = toxicity.Machine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 3)))
+    got = m.scores(pa.array(texts))
+    for d in range(len(texts)):
+        own = [np.searchsorted(terms, t) for t in sorted(set(toxicity.hashed(hashes[doc == d]).tolist())) if t in terms]
+        z = 0.3 + sum(m.w[i] for i in own) + sum(m.v[i] @ m.v[j] for k, i in enumerate(own) for j in own[:k])
+        assert abs(got[d] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_quality_scores_equal_a_direct_sum():
+    rng, texts = np.random.default_rng(6), ["", "one two two", "An ODD text, 12!", "two two two two"]
+    c = quality.Classifier(rng.normal(size=quality.FEATURES), 0.2, 3.0)
+    chunk = next(tk.chunks(pa.array(texts)))
+    want = [1 / (1 + np.exp(-3.0 * (sum(c.weight[i] for i in f) / len(f) ** 0.5 + 0.2))) for f in quality.features(chunk)]
+    assert np.allclose(c.scores(pa.array(texts)), want)
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs, labels = odd(spark), spark.createDataFrame([(4, 1, 0), (2, 0, 1), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for f in (toxicity.op10, quality.op2):
@@ -141,3 +173,17 @@ def test_edited_licence_is_covered(spark):
     text = "intro " + licences.TEMPLATES[0][1].replace("free of charge", "without any charge") + " outro"
     row = licences.op4(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["labels"] == "mit" and 0.7 < row["score"] < 1 and row["base_labels"] == ""
+
+
+def test_whole_licences_are_found_whole(spark):
+    rows = [(i, f"/* Copyright 2020 A. Person */\n{text}\ncode = 1", label) for i, (label, text) in enumerate(licences.TEMPLATES)] + [(99, "Copyright 2020. All rights reserved.", "")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumns({"labels": F.lit(1), "n_words": F.lit("x")})
+    got = {r["doc_id"]: r for r in licences.op4(docs.unionAll(docs)).collect()}
+    assert all(label in got[i]["labels"].split(",") and (got[i]["score"] == 1 or not label) for i, _, label in rows)
+    spans = docs.where("doc_id = 0").select(licences.scan(F.col("text")).alias("s")).first()["s"]["spans"]
+    assert [(x["label"], x["first"], x["share"]) for x in spans] == [("mit", 4, 1.0)]
+
+
+def test_odd_rows_of_licences(spark):
+    rows = licences.op4(odd(spark)).collect()
+    assert len(rows) == len(ODD) and all(r["n_base"] == 0 and r["labels"] == "" and r["first_word"] is None for r in rows)
