@@ -9,21 +9,42 @@ from pyspark.sql import functions as F
 from terraza.functions import semantics as S
 
 
+# Reasons against a change, in order of precedence, and those that only call for a review.
+REASONS = ("base_zero", "extreme_change", "unknown_currency", "invalid_date_order", "semantic_mismatch", "entity_mismatch", "evidence_missing", "restricted", "outside_cutoff", "duplicate")
+REVIEW = ("base_zero", "extreme_change")
+
+
 def lag_change(df: DataFrame) -> DataFrame:
-    """Each observation with the one before it of the same entity and field; percent only over a base that is not 0."""
+    """Each observation with the one before it of the same entity and field; percent only over a base that is not 0.
+
+    Of the columns currency, evidence_state and semantic, those that are there come with their values before.
+    """
     w = W.partitionBy("entity_id", "field").orderBy("ts", "event_id")
-    own = df.select("event_id", "entity_id", "field", "ts", "value", F.lag("value").over(w).alias("previous"), F.lag("ts").over(w).alias("previous_ts"))
+    more = [c for c in ("currency", "evidence_state", "semantic") if c in df.columns]
+    flags = [c for c in ("resolved", "duplicate") if c in df.columns]
+    lagged = (F.lag(c).over(w).alias(f"previous_{c}") for c in more)
+    own = df.select("event_id", "entity_id", "field", "ts", "value", F.lag("value").over(w).alias("previous"), F.lag("ts").over(w).alias("previous_ts"), *more, *lagged, *flags)
     delta = S.half_up(F.col("value") - F.col("previous"), 2)
     out = own.withColumn("delta", delta).withColumn("percent", S.half_up(S.ratio(F.col("delta") * 100, F.col("previous")), 2))
     return out.where(F.col("previous").isNotNull())
 
 
-def assess(pairs: DataFrame, cutoff: str, extreme: float = 50) -> DataFrame:
-    """Reasons, status and direction of each pair."""
+def assess(pairs: DataFrame, cutoff: str, extreme: float = 30, currency: str = "PEN", semantic: str = "price") -> DataFrame:
+    """Reasons in order of precedence, status and direction of each pair; what a table doesn't tell speaks against nothing.
+
+    Any reason but a base of 0 or an extreme change makes a pair insufficient; those two leave it reviewable.
+    """
     at = F.to_timestamp_ntz(F.lit(cutoff), F.lit("yyyy-MM-dd HH:mm:ss"))
-    why = S.reasons(base_zero=F.col("previous") == 0, unchanged=F.col("delta") == 0, not_chronological=F.col("ts") <= F.col("previous_ts"), after_cutoff=F.col("ts").cast("timestamp_ntz") > at, extreme_change=F.abs("percent") > extreme)
-    blocked = F.arrays_overlap(why, F.array(F.lit("base_zero"), F.lit("not_chronological"), F.lit("after_cutoff")))
-    status = F.when(blocked, "excluded").when(F.size(why) > 0, "reviewable").otherwise("certified")
+    there = lambda c, condition: condition if c in pairs.columns else F.lit(False)
+    either = lambda c, test: there(c, test(F.col(c)) | test(F.col(f"previous_{c}")))
+    restricted = either("evidence_state", lambda x: x == "restricted")
+    why = S.reasons(
+        base_zero=F.col("previous") == 0, extreme_change=F.abs("percent") > extreme, unknown_currency=either("currency", lambda x: ~x.eqNullSafe(F.lit(currency))), invalid_date_order=F.col("ts") <= F.col("previous_ts"),
+        semantic_mismatch=either("semantic", lambda x: ~x.eqNullSafe(F.lit(semantic))), entity_mismatch=there("resolved", ~F.col("resolved")), evidence_missing=~restricted & either("evidence_state", lambda x: ~x.eqNullSafe(F.lit("authorized"))),
+        restricted=restricted, outside_cutoff=F.col("ts").cast("timestamp_ntz") > at, duplicate=there("duplicate", F.col("duplicate")),
+    )
+    blocked = F.exists(why, lambda r: ~r.isin(*REVIEW))
+    status = F.when(blocked, "insufficient").when(F.size(why) > 0, "reviewable").otherwise("certified")
     direction = F.when(F.col("delta") > 0, "increase").when(F.col("delta") < 0, "decrease").otherwise("unchanged")
     return pairs.select("event_id", "entity_id", "field", "delta", "percent", F.array_join(why, ",").alias("reasons"), status.alias("status"), direction.alias("direction"))
 
@@ -43,7 +64,7 @@ def validity(df: DataFrame, cutoff: str, whole: bool) -> DataFrame:
 
 def coverage(assessed: DataFrame) -> DataFrame:
     """Counts of each field's pairs by status."""
-    return assessed.groupBy("field").agg(F.count("*").alias("candidates"), *(F.count_if(F.col("status") == s).alias(s) for s in ("certified", "reviewable", "excluded")))
+    return assessed.groupBy("field").agg(F.count("*").alias("candidates"), *(F.count_if(F.col("status") == s).alias(s) for s in ("certified", "reviewable", "insufficient")))
 
 
 def reason_counts(assessed: DataFrame) -> DataFrame:

@@ -50,13 +50,16 @@ def quantitative(df: DataFrame) -> DataFrame:
     return own.select("district", "input", "used", "missing", "excluded", *(S.half_up(F.col("q")[i], 2).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 
 
-def comparison(df: DataFrame, ids: list[int]) -> DataFrame:
-    """A few listings in long form: each attribute's value and whether the listings differ on it."""
-    fields = ("district", "typology", "price", "area", "units", "delivery_year")
-    text = lambda c: S.half_up(c, 2).cast("decimal(18,2)").cast("string") if c in ("price", "area") else F.col(c).cast("string")
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(text(c), F.lit("unknown")).alias("value")) for c in fields)))
-    own = df.where(F.col("listing_id").isin(ids)).select("listing_id", each.alias("e")).select("listing_id", "e.field", "e.value")
-    w = W.partitionBy("field")  # of as many rows as there are ids
+# What listings are compared on.
+COMPARED = ("district", "typology", "phase", "price", "area", "ppm", "units", "bedrooms_min", "delivery_year", "currency")
+
+
+def comparison(df: DataFrame, by: str) -> DataFrame:
+    """A few listings of each group in long form: each attribute's value and whether the group's listings differ on it."""
+    text = lambda c: S.half_up(c, 2).cast("decimal(18,2)").cast("string") if c in ("price", "area", "ppm") else F.col(c).cast("string")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(text(c), F.lit("unknown")).alias("value")) for c in COMPARED)))
+    own = df.select("listing_id", by, each.alias("e")).select("listing_id", by, "e.field", "e.value")
+    w = W.partitionBy(by, "field")
     return own.withColumn("differs", F.min("value").over(w) != F.max("value").over(w))
 
 

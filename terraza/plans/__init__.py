@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from terraza.plans import checks, entities, evidence, geo, history, listings, measures, records, scenario, text  # noqa: F401
+from terraza.plans import checks, entities, evidence, geo, history, listings, measures, records, scenario, text, views  # noqa: F401

@@ -40,7 +40,7 @@ _metrics = f"{LISTINGS}, m AS (SELECT agency, count(*) AS listings, CAST(coalesc
 
 
 def metrics(spark, d):
-    return A.listings(spark, d).groupBy("agency").agg(F.count("*").alias("listings"), F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.bool_or(F.coalesce(F.col("units") > 6, F.lit(False))).alias("deep"), F.countDistinct("typology").alias("typologies"))
+    return A.listings(spark, d, "agency", "units", "typology").groupBy("agency").agg(F.count("*").alias("listings"), F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.bool_or(F.coalesce(F.col("units") > 6, F.lit(False))).alias("deep"), F.countDistinct("typology").alias("typologies"))
 
 
 @query("join_candidate_metrics", f"{_metrics} SELECT * FROM m")
@@ -65,7 +65,7 @@ def rank_pilot(spark, d):
 
 @query("build_pilot", f"{LISTINGS} SELECT district, count(*) AS n FROM listings GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7")
 def build_pilot(spark, d):
-    return A.listings(spark, d).groupBy("district").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "district").limit(7)
+    return A.listings(spark, d, "district").groupBy("district").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "district").limit(7)
 
 
 @query("benchmark_classify", f"""{FACTS}, g AS (SELECT listing_id, count(*) FILTER (semantic_type = 'list_price') AS prices, count(DISTINCT CASE WHEN semantic_type = 'list_price' THEN (value, unit) END) AS signatures, count(*) FILTER (NOT eligible) AS barred FROM facts GROUP BY 1)
@@ -79,9 +79,23 @@ def entry_signature(spark, d):
     return N.signatures(A.facts(spark, d))
 
 
-@query("agg_coverage_fields", f"{LISTINGS}, c AS (SELECT district, typology, count(*) AS n FROM listings WHERE typology IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY n DESC, typology) AS k FROM c) SELECT district, typology, n FROM r WHERE k = 1")
+@query("modal_typology", f"{LISTINGS}, c AS (SELECT district, typology, count(*) AS n FROM listings WHERE typology IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY n DESC, typology) AS k FROM c) SELECT district, typology, n FROM r WHERE k = 1")
+def modal_typology(spark, d):
+    return N.modal(A.listings(spark, d, "district", "typology"), "district", "typology")
+
+
+_field = "CASE l_linenumber WHEN 1 THEN 'area' WHEN 2 THEN 'price' WHEN 3 THEN 'floor' ELSE concat('field', l_linenumber) END"
+_shares = {"sampled": "100e0", "coverage": "CASE WHEN l_quantity > 3 THEN 100e0 ELSE 0e0 END", "evidence": "CASE WHEN l_tax < 0.045 THEN 100e0 ELSE 0e0 END", "mismatch": "CASE WHEN l_discount > 0.085 THEN 100e0 ELSE 0e0 END"}
+_means = ", ".join(f"{S.half_up_sql(f'avg({e})', 2 if c == 'mismatch' else 0)} AS {c}" for c, e in _shares.items())
+
+
+@query("agg_coverage_fields", f"""WITH own AS (SELECT {_field} AS field, l_returnflag AS recommended_use, * FROM lineitem), u AS (SELECT field, recommended_use, count(*) AS n FROM own GROUP BY 1, 2), m AS (SELECT field, arg_min(recommended_use, (-n, recommended_use)) AS recommended_use FROM u GROUP BY 1),
+g AS (SELECT field, {_means} FROM own GROUP BY 1) SELECT g.*, m.recommended_use, g.field IN ('area', 'price') AS critical FROM g JOIN m ON m.field = g.field""")
 def coverage_fields(spark, d):
-    return N.modal(A.listings(spark, d), "district", "typology")
+    own = A.table(spark, d, "lineitem").withColumn("field", F.expr(_field))
+    uses = own.groupBy("field", "l_returnflag").agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(c) for c, e in _shares.items()))  # few rows: everything else follows from them
+    g = uses.groupBy("field").agg(F.sum("n").alias("total"), F.min_by("l_returnflag", F.struct(-F.col("n"), "l_returnflag")).alias("recommended_use"), *(F.sum(c).alias(c) for c in _shares))
+    return g.select("field", "recommended_use", *(S.half_up(F.col(c) / F.col("total"), 2 if c == "mismatch" else 0).alias(c) for c in _shares), F.col("field").isin("area", "price").alias("critical"))
 
 
 @query("agg_rollup_quality", f"{FACTS} SELECT listing_id, CASE WHEN bool_or(quality = 'reviewable') THEN 'reviewable' ELSE 'certified' END AS quality FROM facts GROUP BY 1")
@@ -119,10 +133,12 @@ def reconcile(spark, d):
     return A.table(spark, d, "customer").select(F.col("c_custkey").alias("observed")).join(known, "observed", "left").select("observed", F.when(F.col("known"), "reconciled").otherwise("unreconciled").alias("status"))
 
 
-@query("range_join_bedrooms", f"{LISTINGS}, t AS (SELECT unnest([1, 2, 3]) AS target) SELECT target, count(*) AS n FROM listings JOIN t ON target BETWEEN bedrooms_min AND bedrooms_max GROUP BY 1")
+@query("range_join_bedrooms", f"{LISTINGS}, t AS (SELECT DISTINCT p_brand, p_size % 6 AS target FROM part) SELECT p_brand, target, count(*) AS n FROM listings JOIN t ON target BETWEEN bedrooms_min AND bedrooms_max GROUP BY 1, 2")
 def range_bedrooms(spark, d):
-    wanted = A.listings(spark, d).select(F.explode(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda t: t.between(F.col("bedrooms_min"), F.col("bedrooms_max")))).alias("target"))
-    return wanted.groupBy("target").agg(F.count("*").alias("n"))
+    """Each brand's targets against the listings whose range holds them: listings are counted by bedroom first, so the join has few rows."""
+    offered = A.listings(spark, d, "bedrooms_min", "bedrooms_max").where("bedrooms_min is not null").select(F.explode(F.sequence("bedrooms_min", "bedrooms_max")).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
+    wanted = A.table(spark, d, "part").select("p_brand", (F.col("p_size") % 6).cast("int").alias("target")).distinct()
+    return wanted.join(offered, "target").select("p_brand", "target", "n")
 
 
 @query("asof_price_change", f"{CHANGES}, v AS (SELECT * FROM changes WHERE field = 'view'), p AS (SELECT * FROM changes WHERE field = 'purchase') SELECT p.event_id, (SELECT max(v.ts) FROM v WHERE v.entity_id = p.entity_id AND v.ts <= p.ts) AS seen FROM p")
@@ -132,9 +148,9 @@ def asof(spark, d):
     return own.withColumn("seen", F.max(F.when(F.col("field") == "view", F.col("ts"))).over(w)).where("field = 'purchase'").select("event_id", "seen")
 
 
-@query("restricted_projects", f"{EVIDENCE} SELECT source, array_to_string(list_sort(list(doc_id)), ',') AS restricted FROM evidence WHERE permission = 'restricted' GROUP BY 1")
+@query("restricted_projects", f"{EVIDENCE} SELECT DISTINCT source, doc_id FROM evidence WHERE permission = 'restricted'")
 def restricted(spark, d):
-    return A.evidence(spark, d).where("permission = 'restricted'").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("restricted"))
+    return A.evidence(spark, d).where("permission = 'restricted'").select("source", "doc_id").distinct()
 
 
 @query("evidence_access", f"{EVIDENCE} SELECT doc_id, permission = 'authorized' AND n_chars > 0 AS openable, array_to_string({S.reasons_sql(restricted="permission = 'restricted'", pending="permission = 'pending'", unavailable="permission = 'unavailable'", empty='n_chars = 0', language_missing='lang IS NULL')}, ',') AS reasons FROM evidence")
@@ -147,7 +163,7 @@ def evidence_access(spark, d):
 @query("agg_qualitative", f"""{LISTINGS}, t AS (SELECT DISTINCT district, listing_id, unnest(string_split(amenities, ' ')) AS attribute FROM listings WHERE amenities IS NOT NULL), n AS (SELECT district, count(*) AS informed FROM listings WHERE amenities IS NOT NULL GROUP BY 1)
 SELECT t.district, attribute, count(*) AS announced, informed, {S.half_up_sql('count(*) * 100e0 / informed', 1)} AS prevalence FROM t JOIN n ON n.district = t.district WHERE attribute <> '' GROUP BY 1, 2, 4""")
 def qualitative(spark, d):
-    own = A.listings(spark, d).where("amenities is not null")
+    own = A.listings(spark, d, "district", "listing_id", "amenities").where("amenities is not null")
     tokens = own.select("district", "listing_id", F.explode(F.array_distinct(F.split("amenities", " "))).alias("attribute")).where("attribute <> ''")
     informed = own.groupBy("district").agg(F.count("*").alias("informed"))
     return tokens.groupBy("district", "attribute").agg(F.count("*").alias("announced")).join(informed, "district").withColumn("prevalence", S.half_up(F.col("announced") * 100.0 / F.col("informed"), 1))
@@ -156,17 +172,33 @@ def qualitative(spark, d):
 @query("opportunity_signals", f"""{LISTINGS}, a AS (SELECT district, agency, count(*) AS n FROM listings GROUP BY 1, 2), g AS (SELECT district, max(n) AS top, CAST(sum(n) AS BIGINT) AS total FROM a GROUP BY 1), i AS (SELECT district, count(*) FILTER (phase = 'F') AS immediate FROM listings GROUP BY 1)
 SELECT g.district, total >= 60 AS pressure, {S.ratio_sql('top', 'total')} >= 0.22e0 AS concentration, immediate >= 10 AS immediate FROM g JOIN i ON i.district = g.district""")
 def signals(spark, d):
-    own = A.listings(spark, d).groupBy("district", "agency").agg(F.count("*").alias("n"), F.count_if(F.col("phase") == "F").alias("now")).groupBy("district").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.sum("now").alias("now"))
+    own = A.listings(spark, d, "district", "agency", "phase").groupBy("district", "agency").agg(F.count("*").alias("n"), F.count_if(F.col("phase") == "F").alias("now")).groupBy("district").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.sum("now").alias("now"))
     return own.select("district", (F.col("total") >= 60).alias("pressure"), (S.ratio(F.col("top"), F.col("total")) >= 0.22).alias("concentration"), (F.col("now") >= 10).alias("immediate"))
 
 
-@query("foreign_district_mention", "SELECT conv_id, turn, n_name FROM conversations, nation WHERE contains(lower(text), lower(n_name))")
-def foreign_mention(spark, d):
+@query("district_mention", "SELECT conv_id, turn, n_name FROM conversations, nation WHERE contains(lower(text), lower(n_name))")
+def mention(spark, d):
     names = A.table(spark, d, "nation").agg(F.collect_list("n_name").alias("names"))  # a small, bounded table
     held = F.filter("names", lambda x: F.contains(F.lower("text"), F.lower(x)))
     return A.table(spark, d, "conversations").select("conv_id", "turn", "text").crossJoin(F.broadcast(names)).select("conv_id", "turn", F.explode(held).alias("n_name"))
 
 
+_said = "CASE WHEN (conv_id + turn) % 4 = 0 THEN concat('¿Qué cambió en ', lower(n.n_name), ' y en ', c.n_name, '? ', left(text, 40)) ELSE left(text, 60) END"
+
+
+@query("foreign_district_mention", f"""WITH q AS (SELECT conv_id, turn, c.n_nationkey AS home, {S.words_sql(_said)} AS asked FROM conversations JOIN nation c ON c.n_nationkey = conv_id % 25 JOIN nation n ON n.n_nationkey = (conv_id * 7 + turn) % 25 WHERE role = 'user')
+SELECT conv_id, turn, n_name FROM q JOIN nation ON n_nationkey <> home AND contains(asked, {S.words_sql('n_name')})""")
+def foreign_mention(spark, d):
+    """Names of districts other than the scenario's own inside a question; the names, a small, bounded table, come as one array."""
+    nation = A.table(spark, d, "nation")
+    names = nation.agg(F.collect_list(F.struct("n_nationkey", "n_name", S.words("n_name").alias("words"))).alias("names"))
+    own, other = (nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(f"name_{k}")) for k in ("home", "other"))
+    asked = A.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text", (F.col("conv_id") % 25).cast("int").alias("home"), ((F.col("conv_id") * 7 + F.col("turn")) % 25).cast("int").alias("other")).join(own, "home").join(other, "other")
+    said = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, F.concat(F.lit("¿Qué cambió en "), F.lower("name_other"), F.lit(" y en "), F.col("name_home"), F.lit("? "), F.left("text", F.lit(40)))).otherwise(F.left("text", F.lit(60)))
+    held = F.filter("names", lambda x: (x["n_nationkey"] != F.col("home")) & F.contains("asked", x["words"]))
+    return asked.select("conv_id", "turn", "home", S.words(said).alias("asked")).crossJoin(F.broadcast(names)).select("conv_id", "turn", F.explode(held).alias("n")).select("conv_id", "turn", "n.n_name")
+
+
 @query("unique_sorted", "SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS tokens FROM part")
 def unique_sorted(spark, d):
     return A.table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.split("p_name", " "))), " ").alias("tokens"))

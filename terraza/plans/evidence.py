@@ -58,7 +58,7 @@ def dedupe_first(spark, d):
 
 @query("partition_ledger", f"{LISTINGS} SELECT listing_id, CASE WHEN ppm IS NULL THEN 'missing' WHEN currency = 'PEN' THEN 'used' ELSE 'excluded' END AS bucket FROM listings")
 def partition_ledger(spark, d):
-    return E.ledger(A.listings(spark, d), F.col("currency") == "PEN", F.col("ppm").isNull())
+    return E.ledger(A.listings(spark, d, "listing_id", "currency", "ppm"), F.col("currency") == "PEN", F.col("ppm").isNull())
 
 
 @query("values_differ", f'{FACTS} SELECT listing_id, semantic_type, count(DISTINCT value) AS "values", count(*) AS n FROM facts GROUP BY 1, 2 HAVING count(DISTINCT value) > 1')

@@ -1,5 +1,6 @@
 """Queries on change history."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
@@ -9,11 +10,17 @@ from terraza.sources import adapter as A
 
 CUTOFF = "2024-06-30 00:00:00"
 _pct = S.half_up_sql(S.ratio_sql("delta * 100", "previous"), 2)
-_pairs = f"""WITH {A.CHANGES_SQL}, lagged AS (SELECT event_id, entity_id, field, ts, value, lag(value) OVER w AS previous, lag(ts) OVER w AS previous_ts FROM changes WINDOW w AS (PARTITION BY entity_id, field ORDER BY ts, event_id)),
+_lags = ", ".join(f"lag({c}) OVER w AS previous_{c}" for c in ("currency", "evidence_state", "semantic"))
+_pairs = f"""WITH {A.CHANGES_SQL}, lagged AS (SELECT *, lag(value) OVER w AS previous, lag(ts) OVER w AS previous_ts, {_lags} FROM changes WINDOW w AS (PARTITION BY entity_id, field ORDER BY ts, event_id)),
 deltas AS (SELECT *, {S.half_up_sql('value - previous', 2)} AS delta FROM lagged WHERE previous IS NOT NULL), pairs AS (SELECT *, {_pct} AS percent FROM deltas)"""
-_why = S.reasons_sql(base_zero="previous = 0", unchanged="delta = 0", not_chronological="ts <= previous_ts", after_cutoff=f"ts > TIMESTAMP '{CUTOFF}'", extreme_change="abs(percent) > 50")
+_open = "evidence_state = 'authorized' AND previous_evidence_state = 'authorized'"
+_why = S.reasons_sql(
+    base_zero="previous = 0", extreme_change="abs(percent) > 30", unknown_currency="currency <> 'PEN' OR previous_currency <> 'PEN'", invalid_date_order="ts <= previous_ts", semantic_mismatch="semantic <> 'price' OR previous_semantic <> 'price'",
+    entity_mismatch="NOT resolved", evidence_missing=f"NOT ({_open}) AND evidence_state <> 'restricted' AND previous_evidence_state <> 'restricted'", restricted="evidence_state = 'restricted' OR previous_evidence_state = 'restricted'",
+    outside_cutoff=f"ts > TIMESTAMP '{CUTOFF}'", duplicate="duplicate",
+)
 _assessed = f"""{_pairs}, why AS (SELECT *, {_why} AS codes FROM pairs), assessed AS (SELECT event_id, entity_id, field, delta, percent, array_to_string(codes, ',') AS reasons,
-CASE WHEN list_has_any(codes, ['base_zero', 'not_chronological', 'after_cutoff']) THEN 'excluded' WHEN len(codes) > 0 THEN 'reviewable' ELSE 'certified' END AS status, CASE WHEN delta > 0 THEN 'increase' WHEN delta < 0 THEN 'decrease' ELSE 'unchanged' END AS direction FROM why)"""
+CASE WHEN len(list_filter(codes, lambda r: r NOT IN ('base_zero', 'extreme_change'))) > 0 THEN 'insufficient' WHEN len(codes) > 0 THEN 'reviewable' ELSE 'certified' END AS status, CASE WHEN delta > 0 THEN 'increase' WHEN delta < 0 THEN 'decrease' ELSE 'unchanged' END AS direction FROM why)"""
 
 
 def assessed(spark, d):
@@ -22,7 +29,7 @@ def assessed(spark, d):
 
 @query("lag_price_change", f"{_pairs} SELECT event_id, entity_id, field, ts, value, previous, previous_ts, delta, percent FROM pairs")
 def lag_change(spark, d):
-    return H.lag_change(A.changes(spark, d))
+    return H.lag_change(A.changes(spark, d)).select("event_id", "entity_id", "field", "ts", "value", "previous", "previous_ts", "delta", "percent")
 
 
 @query("history_assess", f"{_assessed} SELECT * FROM assessed")
@@ -30,7 +37,7 @@ def assess(spark, d):
     return assessed(spark, d)
 
 
-@query("agg_history_coverage", f"{_assessed} SELECT field, count(*) AS candidates, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (status = 'reviewable') AS reviewable, count(*) FILTER (status = 'excluded') AS excluded FROM assessed GROUP BY 1")
+@query("agg_history_coverage", f"{_assessed} SELECT field, count(*) AS candidates, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (status = 'reviewable') AS reviewable, count(*) FILTER (status = 'insufficient') AS insufficient FROM assessed GROUP BY 1")
 def coverage(spark, d):
     return H.coverage(assessed(spark, d))
 
@@ -58,9 +65,9 @@ for _name, _days, _whole in (("validity_build", f"floor({_age})", True), ("valid
     )
 
 
-@query("history_index", f"WITH {A.CHANGES_SQL} SELECT entity_id, array_to_string(list_sort(list(event_id)), ',') AS events FROM changes GROUP BY 1")
+@query("history_index", f"WITH {A.CHANGES_SQL} SELECT entity_id, event_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY event_id) AS INTEGER) AS nth FROM changes")
 def history_index(spark, d):
-    return A.changes(spark, d).groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("events"))
+    return A.changes(spark, d).select("entity_id", "event_id", F.row_number().over(W.partitionBy("entity_id").orderBy("event_id")).alias("nth"))
 
 
 @query("direction", f"{_assessed} SELECT field, direction, count(*) AS n FROM assessed GROUP BY 1, 2")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.operators import checks as K
 from terraza.operators import history as H
 from terraza.operators import listings as L
 from terraza.operators import scenario as C
@@ -22,7 +23,7 @@ _state = f"CASE WHEN NOT {VALID} THEN 'coordinate_invalid' WHEN coalesce({_metre
 
 @query("territorial_context", f"{LISTINGS} SELECT listing_id, {_state} AS scope, CASE WHEN {VALID} THEN {h(_metres, 1)} END AS metres FROM listings")
 def territorial_context(spark, d):
-    return C.territorial(A.listings(spark, d), SCENARIO)
+    return C.territorial(A.listings(spark, d, "listing_id", "lat", "lon"), SCENARIO)
 
 
 _ref = "label IN ('Alta', 'Media') AND coalesce(ppm > 0 AND currency = 'PEN', false)"
@@ -42,16 +43,18 @@ _q = lambda p: h(f"quantile_cont(CASE WHEN {_used} THEN ppm END, {p})", 2)  # no
 
 @query("agg_quantitative", f"{LISTINGS} SELECT district, count(*) AS input, count(*) FILTER ({_used}) AS used, count(*) FILTER (ppm IS NULL) AS missing, count(*) FILTER (NOT {_used} AND ppm IS NOT NULL) AS excluded, {_q(0.25)} AS p25, {_q(0.5)} AS median, {_q(0.75)} AS p75 FROM listings GROUP BY 1")
 def quantitative(spark, d):
-    return C.quantitative(A.listings(spark, d))
+    return C.quantitative(A.listings(spark, d, "district", "ppm", "currency"))
 
 
-_ids = "1, 2, 3"
-_rows = " UNION ALL ".join(f"SELECT listing_id, '{c}' AS field, coalesce(CAST({f'CAST({h(c, 2)} AS DECIMAL(18,2))' if c in ('price', 'area') else c} AS VARCHAR), 'unknown') AS value FROM listings WHERE listing_id IN ({_ids})" for c in ("district", "typology", "price", "area", "units", "delivery_year"))
+_three_rows = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY district ORDER BY price, listing_id) AS nth FROM listings) WHERE nth <= 3"
+_rows = " UNION ALL ".join(f"SELECT listing_id, district_id, '{c}' AS field, coalesce(CAST({f'CAST({h(c, 2)} AS DECIMAL(18,2))' if c in ('price', 'area', 'ppm') else c} AS VARCHAR), 'unknown') AS value FROM three" for c in C.COMPARED)
 
 
-@query("comparison_model", f"{LISTINGS}, own AS ({_rows}) SELECT *, min(value) OVER (PARTITION BY field) <> max(value) OVER (PARTITION BY field) AS differs FROM own")
+@query("comparison_model", f"{LISTINGS}, three AS ({_three_rows}), own AS ({_rows}) SELECT *, min(value) OVER (PARTITION BY district_id, field) <> max(value) OVER (PARTITION BY district_id, field) AS differs FROM own")
 def comparison_model(spark, d):
-    return C.comparison(A.listings(spark, d), [1, 2, 3])
+    """The three cheapest listings of each district, side by side."""
+    three = L.rank_within(A.listings(spark, d), "district", 3, F.col("price"), F.col("listing_id"))
+    return C.comparison(three, "district_id")
 
 
 @query("scenario_context", f"""{LISTINGS}, ok AS (SELECT * FROM listings WHERE {VALID}), top AS (SELECT district_id, CAST(row_number() OVER (ORDER BY count(*) DESC, district_id) AS INTEGER) AS rank FROM ok GROUP BY 1 ORDER BY rank LIMIT 7),
@@ -59,7 +62,7 @@ mid AS (SELECT district, quantile_cont(lat, 0.5) AS mid_lat, quantile_cont(lon,
 SELECT o.district, concat(CASE WHEN lat >= mid_lat THEN 'N' ELSE 'S' END, CASE WHEN lon < mid_lon THEN 'W' ELSE 'E' END) AS quadrant, count(*) AS observed, count(DISTINCT agency) AS agencies, count(ppm) AS \"references\", {h('quantile_cont(ppm, 0.5)', 2)} AS median_ppm, rank
 FROM ok o JOIN mid m ON m.district = o.district JOIN top t ON t.district_id = o.district_id GROUP BY 1, 2, rank""")
 def scenario_context(spark, d):
-    return C.market_summary(A.listings(spark, d))
+    return C.market_summary(A.listings(spark, d, "listing_id", "district_id", "district", "agency", "lat", "lon", "ppm"))
 
 
 @query("rank_history", f"{PH._assessed} SELECT field, event_id, status, rank FROM (SELECT field, event_id, status, CAST(row_number() OVER (PARTITION BY field ORDER BY CASE status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END, abs(percent) DESC NULLS LAST, event_id) AS INTEGER) AS rank FROM assessed) WHERE rank <= 10")
@@ -68,9 +71,12 @@ def rank_history(spark, d):
     return L.rank_within(own, "field", 10, F.col("s"), F.desc_nulls_last(F.abs("percent")), F.col("event_id")).select("field", "event_id", "status", "rank")
 
 
-@query("history_preliminary", f"{PH._assessed} SELECT event_id, percent FROM assessed WHERE delta <> 0 AND abs(percent) <= 30 AND status <> 'excluded'")
+_preliminary = "value <> previous AND previous > 0 AND value > 0 AND currency = 'PEN' AND previous_ts < ts AND abs(percent) <= 30"
+
+
+@query("history_preliminary", f"{PH._pairs} SELECT event_id, percent FROM pairs WHERE {_preliminary}")
 def history_preliminary(spark, d):
-    return PH.assessed(spark, d).where("delta <> 0 and abs(percent) <= 30 and status <> 'excluded'").select("event_id", "percent")
+    return H.lag_change(A.changes(spark, d)).where(_preliminary).select("event_id", "percent")
 
 
 @query("change_event", f"{PH._assessed}, e AS (SELECT event_id, unnest(string_split(reasons, ',')) AS code FROM assessed WHERE reasons <> '') SELECT event_id, code, concat('issue:', event_id, ':', replace(code, '_', '-')) AS issue_id FROM e")
@@ -79,10 +85,18 @@ def change_event(spark, d):
     return own.withColumn("issue_id", F.concat(F.lit("issue:"), F.col("event_id").cast("string"), F.lit(":"), F.replace("code", F.lit("_"), F.lit("-"))))
 
 
-@query("check_events", f"{PH._pairs} SELECT event_id FROM pairs WHERE abs(percent - {r('delta * 100', 'previous')}) > 0.02e0 OR ts < previous_ts")
+# What an event says of itself, with the slips that a check has to find: a wrong delta or percent, or a quality that is too high.
+_stored = {"stored_delta": "CASE WHEN event_id % 53 = 0 THEN delta + 1 ELSE delta END", "stored_percent": "CASE WHEN event_id % 59 = 0 THEN percent + 1 ELSE percent END", "stored_quality": "CASE WHEN event_id % 3 = 0 THEN 'certified' ELSE 'reviewable' END", "stored_issue": "CASE WHEN event_id % 2 = 0 THEN 'EXTREME_CHANGE_REVIEW' END"}
+EVENT_RULES = {
+    "EVENT_CURRENCY_MISMATCH": "currency <> previous_currency", "EVENT_SEMANTIC_TYPE_MISMATCH": "semantic <> previous_semantic", "EVENT_DELTA_MISMATCH": "stored_delta <> delta", "EVENT_PERCENTAGE_MISMATCH": "stored_percent <> percent OR stored_percent IS NULL AND percent IS NOT NULL",
+    "EVENT_EXTREME_ISSUE_MISSING": "abs(percent) > 50 AND stored_issue IS NULL", "EVENT_OBSERVATION_ORDER": "previous_ts >= ts", "EVENT_QUALITY_TOO_HIGH": "stored_quality = 'certified' AND (evidence_state <> 'authorized' OR previous = 0 OR abs(percent) > 50)",
+}
+
+
+@query("check_events", f"{PH._pairs}, own AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _stored.items())} FROM pairs) {K.broken_sql('event_id', 'own', **EVENT_RULES)}")
 def check_events(spark, d):
-    own = H.lag_change(A.changes(spark, d))
-    return own.where((F.abs(F.col("percent") - S.ratio(F.col("delta") * 100, F.col("previous"))) > 0.02) | (F.col("ts") < F.col("previous_ts"))).select("event_id")
+    own = H.lag_change(A.changes(spark, d)).select("*", *(F.expr(e).alias(c) for c, e in _stored.items()))
+    return K.broken(own, "event_id", **EVENT_RULES)
 
 
 @query("norm_confidence", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE 'unknown' END AS confidence FROM orders")
@@ -91,12 +105,15 @@ def norm_confidence(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", F.when(p.isin("1-URGENT", "2-HIGH"), "high").when(p == "3-MEDIUM", "medium").when(p == "5-LOW", "low").otherwise("unknown").alias("confidence"))
 
 
-@query("version_gate", "SELECT p_partkey, p_size >= 24 AS available FROM part")
+_version = "CASE p_size % 7 WHEN 0 THEN concat('2.', p_size // 10, '.', p_size % 10) WHEN 1 THEN concat('2.', p_size // 10) WHEN 2 THEN concat('v2.', p_size // 10, '.0') WHEN 3 THEN concat('3.', p_size // 10, '.0') WHEN 4 THEN '' ELSE concat('2.', p_size // 10, '.', p_size % 10, '-rc') END"
+_three = "regexp_extract(v, '^([0-9]+)[.]([0-9]+)[.]([0-9]+)$', {})"
+
+
+@query("version_gate", f"WITH a AS (SELECT p_partkey, {_version} AS v FROM part), n AS (SELECT p_partkey, {', '.join(f'TRY_CAST({_three.format(i)} AS INTEGER) AS n{i}' for i in (1, 2, 3))} FROM a) SELECT p_partkey, coalesce(n1 > 2 OR n1 = 2 AND (n2 > 2 OR n2 = 2 AND n3 >= 4), false) AS available FROM n")
 def version_gate(spark, d):
-    version = F.concat_ws(".", F.lit("2"), (F.col("p_size") / 10).cast("int").cast("string"), (F.col("p_size") % 10).cast("string"))
-    part = lambda i: F.expr(f"try_cast(split(v, '[.]')[{i}] as int)")
-    own = A.table(spark, d, "part").select("p_partkey", version.alias("v"))
-    return own.select("p_partkey", F.coalesce((part(0) > 2) | (part(0) == 2) & ((part(1) > 2) | (part(1) == 2) & (part(2) >= 4)), F.lit(False)).alias("available"))
+    """Whether a version is 2.2.4 or later; one that isn't three numbers isn't."""
+    own = A.table(spark, d, "part").select("p_partkey", F.expr(_version.replace("//", "div")).alias("v")).select("p_partkey", *(F.expr(f"TRY_CAST({_three.format(i)} AS INTEGER)").alias(f"n{i}") for i in (1, 2, 3)))
+    return own.select("p_partkey", F.coalesce(F.expr("n1 > 2 OR n1 = 2 AND (n2 > 2 OR n2 = 2 AND n3 >= 4)"), F.lit(False)).alias("available"))
 
 
 @query("scan_csv", f"{LISTINGS} SELECT CAST(listing_id AS VARCHAR) AS listing_id, agency, district, typology FROM listings")

@@ -13,5 +13,5 @@ def test_names_of_any_form_are_found(spark, tmp_path):
     db = duckdb.connect()
     for name in ("nation", "conversations"):
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
-    want = sorted(db.sql(ORACLE_SQL["foreign_district_mention"]).fetchall())
-    assert len(want) == 6 and sorted(tuple(r) for r in entities.foreign_mention(spark, str(tmp_path)).collect()) == want
+    want = sorted(db.sql(ORACLE_SQL["district_mention"]).fetchall())
+    assert len(want) == 6 and sorted(tuple(r) for r in entities.mention(spark, str(tmp_path)).collect()) == want

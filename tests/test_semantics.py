@@ -62,4 +62,4 @@ def test_changes(spark):
     got = {r["event_id"]: r for r in H.assess(H.lag_change(df), "2025-01-01 00:00:00").collect()}
     assert (got[2]["delta"], got[2]["percent"], got[2]["status"]) == (30000.0, 5.0, "certified")
     assert (got[3]["reasons"], got[3]["status"]) == ("extreme_change", "reviewable")
-    assert (got[4]["percent"], got[4]["reasons"], got[4]["status"]) == (None, "base_zero", "excluded")
+    assert (got[4]["percent"], got[4]["reasons"], got[4]["status"]) == (None, "base_zero", "reviewable")
