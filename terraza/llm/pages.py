@@ -62,6 +62,7 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
+FEW = 100_000  #: pages with lines to delete that are broadcast; more meet their pages in a shuffle
 OWN, OPEN, CHROME = 0, 1, 2  #: kinds of lines: of an article, of no marked part, of a marked one
 
 
@@ -183,24 +184,25 @@ def _common(x: str, y: str) -> int:
 
 
 def _deleted(*columns: pa.Array) -> pa.Array:
-    """Places of the lines that a page shares with the nearer of two neighbours, but for those of its article."""
+    """Places of the open lines that a page shares with the nearer of two neighbours; of a page with an article none is open."""
     out = []
     for path, own, kinds, path_before, before, path_after, after in zip(*(x.to_pylist() for x in columns), strict=True):
         if before is None or after is not None and _common(path, path_after) > _common(path, path_before):
             before = after
-        out.append([i for i in sorted(shared_lines(own, before or [])) if kinds[i] != OWN])
+        out.append([i for i in sorted(shared_lines(own, before or [])) if kinds[i] == OPEN] if OWN not in kinds else [])
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def differenced(parsed: DataFrame) -> DataFrame:
-    """(page_key, gone) of the pages that lose lines to their neighbour; parsed has page_key, url, page_id, lines and kinds.
+def differenced(pages: DataFrame) -> DataFrame:
+    """(page_key, gone) of the pages that lose lines to their neighbour; pages has page_key, page_id, url and html.
 
     Pages get their rank in the order of host and path, and neighbours meet by it. Only hashes of lines are shuffled. Rows that are
     equal throughout are one page here, so a copy never deletes what it was copied from.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://[^/?#]*([^#]*)", 1)
-    rows = parsed.select("page_key", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "page_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), "kinds")
+    parsed = pages.select("page_key", "page_id", "url", parse(F.col("html")).alias("p"))
+    rows = parsed.select("page_key", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "page_id", F.transform("p.lines", lambda x: F.xxhash64(x)).alias("lines"), F.col("p.kinds").alias("kinds"))
     rows = rows.dropDuplicates(["page_key"]).orderBy("host", "path", "page_id", "page_key")
     ranked = written(rows.select("page_key", "host", "path", "lines", "kinds", F.monotonically_increasing_id().alias("mid")), "pages")
     part = F.shiftrightunsigned("mid", 33)
@@ -222,9 +224,9 @@ def differenced(parsed: DataFrame) -> DataFrame:
     return met.select(F.col("own.page_key").alias("page_key"), gone.alias("gone")).where(F.size("gone") > 0)
 
 
-def _joined(lines_: pa.Array, kinds: pa.Array, gone: pa.Array) -> pa.Array:
-    rows = zip(lines_.to_pylist(), kinds.to_pylist(), gone.to_pylist(), strict=True)
-    return pa.array(["\n".join(kept(list(zip(x, k, strict=True)), frozenset(g or ()))) for x, k, g in rows], pa.string())
+def _texts(html: pa.Array, gone: pa.Array) -> pa.Array:
+    rows = zip(html.to_pylist(), gone.to_pylist(), strict=True)
+    return pa.array(["\n".join(kept(lines(x or ""), frozenset(g or ()))) for x, g in rows], pa.string())
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -234,10 +236,10 @@ def extract(pages: DataFrame) -> DataFrame:
     rows get equal texts. A page without neighbours on its host, or all of whose lines its neighbour has too, keeps its lines.
     Neighbours with paths equally near: the one before. A page of any length is taken whole. An empty table gives no rows.
     """
-    key = F.xxhash64("page_id", "url", "html").alias("page_key")
-    parsed = written(pages.select("page_id", "url", key, parse(F.col("html")).alias("p")).select("page_id", "url", "page_key", "p.lines", "p.kinds"), "parsed")
-    full = parsed.join(differenced(parsed), "page_key", "left")
-    text = F.arrow_udf(_joined, "string")("lines", "kinds", "gone")
+    own = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("page_key"), "html")
+    gone = written(differenced(own), "gone")
+    full = own.join(F.broadcast(gone) if gone.count() <= FEW else gone, "page_key", "left")
+    text = F.arrow_udf(_texts, "string")("html", "gone")
     return full.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -41,7 +41,7 @@ def brute(rows):
         found, gone = pages.lines(r[2]), set()
         if near:
             other = [t for t, _ in pages.lines(max(near, key=same)[2])]
-            gone = {i for i in pages.shared_lines([t for t, _ in found], other) if found[i][1] != pages.OWN}
+            gone = {i for i in pages.shared_lines([t for t, _ in found], other) if found[i][1] == pages.OPEN and all(k != pages.OWN for _, k in found)}
         out[r] = "\n".join(pages.kept(found, gone))
     return out
 
