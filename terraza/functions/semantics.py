@@ -126,8 +126,3 @@ def reasons(**conditions: Column) -> Column:
 
 def reasons_sql(**conditions: str) -> str:
     return f"list_filter([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, c in conditions.items())}], lambda r: r IS NOT NULL)"
-
-
-def quantiles(x: Column | str, *ps: float) -> Column:
-    """Linear interpolation between order statistics, over what is not null."""
-    return F.percentile(_column(x), F.array(*(F.lit(p) for p in ps)))

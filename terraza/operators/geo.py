@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
+from terraza.sources.scratch import written
 
 
 def within_radius(df: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
@@ -22,15 +24,18 @@ def within_radius(df: DataFrame, lat: float, lon: float, metres: float) -> DataF
 
 def quadrants(df: DataFrame) -> DataFrame:
     """Each district's medians of valid points part it into four; a point on a median lies north or east."""
-    own = df.where(S.valid_coordinate(F.col("lat"), F.col("lon")))
-    middle = own.groupBy("district").agg(S.quantiles("lat", 0.5)[0].alias("mid_lat"), S.quantiles("lon", 0.5)[0].alias("mid_lon"))
+    own = written(df.where(S.valid_coordinate(F.col("lat"), F.col("lon"))), "points")
+    lat, lon = (exact(own, ["district"], c, 0.5).select("district", F.col("q")[0].alias(f"mid_{c}")) for c in ("lat", "lon"))
+    middle = lat.join(lon, "district")
     side = F.concat(F.when(F.col("lat") >= F.col("mid_lat"), "N").otherwise("S"), F.when(F.col("lon") < F.col("mid_lon"), "W").otherwise("E"))
-    return own.join(middle, "district").withColumn("quadrant", side).drop("mid_lat", "mid_lon")
+    return own.join(F.broadcast(middle) if middle.count() <= 10_000 else middle, "district").withColumn("quadrant", side).drop("mid_lat", "mid_lon")
 
 
 def quadrant_reading(df: DataFrame) -> DataFrame:
-    own = quadrants(df).groupBy("district", "quadrant")
-    return own.agg(F.count("*").alias("observed"), F.countDistinct("agency").alias("agencies"), F.count("ppm").alias("references"), S.half_up(S.quantiles("ppm", 0.5)[0], 2).alias("median_ppm"))
+    own = written(quadrants(df).select("district", "quadrant", "agency", "ppm"), "quadrants")
+    middle = exact(own, ["district", "quadrant"], "ppm", 0.5).select("district", "quadrant", S.half_up(F.col("q")[0], 2).alias("median_ppm"))
+    counts = own.groupBy("district", "quadrant").agg(F.count("*").alias("observed"), F.countDistinct("agency").alias("agencies"), F.count("ppm").alias("references"))
+    return counts.join(middle, ["district", "quadrant"], "left")
 
 
 def high_load(df: DataFrame, n: int = 7) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
+from terraza.sources.scratch import written
 
 
 def positive(x: str) -> Column:
@@ -90,14 +92,19 @@ def rankings(df: DataFrame, dimension: str, n: int) -> DataFrame:
 def district_benchmark(df: DataFrame) -> DataFrame:
     """Count, units, quartiles of price per m2 and agencies of each district, over positive values."""
     own = df.withColumn("ppm", positive("ppm")).withColumn("price", positive("price"))
-    q = S.quantiles("ppm", 0.25, 0.5, 0.75)
-    out = own.groupBy("district").agg(F.count("*").alias("projects"), F.sum("units").alias("units"), F.avg("ppm").alias("m"), q.alias("q"), S.quantiles("price", 0.5).alias("p"), F.countDistinct("agency").alias("agencies"))
+    own = written(own, "listings")
+    out = own.groupBy("district").agg(F.count("*").alias("projects"), F.sum("units").alias("units"), F.avg("ppm").alias("m"), F.countDistinct("agency").alias("agencies"))
+    for name, x, ps in (("q", "ppm", (0.25, 0.5, 0.75)), ("p", "price", (0.5,))):
+        found = exact(own, ["district"], x, *ps).select(F.col("district").alias("of"), F.col("q").alias(name))
+        out = out.join(found, F.col("district").eqNullSafe(F.col("of")), "left").drop("of")
     return out.select("district", "projects", "units", S.half_up("m", 2).alias("mean_ppm"), *(S.half_up(F.col("q")[i], 2).alias(k) for i, k in enumerate(("p25_ppm", "median_ppm", "p75_ppm"))), S.half_up(F.col("p")[0], 2).alias("median_price"), "agencies")
 
 
 def price_diagnosis(df: DataFrame, target: float, least: int = 3, band: float = 0.08) -> DataFrame:
     """Where a target price per m2 stands against each district's references."""
-    own = df.where(F.col("ppm") > 0).groupBy("district").agg(F.count("*").alias("n"), S.quantiles("ppm", 0.5)[0].alias("median"))
+    own = written(df.where(F.col("ppm") > 0).select("district", "ppm"), "listings")
+    middle = exact(own, ["district"], "ppm", 0.5).select(F.col("district").alias("of"), F.col("q")[0].alias("median"))
+    own = own.groupBy("district").agg(F.count("*").alias("n")).join(middle, F.col("district").eqNullSafe(F.col("of")), "left").drop("of")
     off = F.lit(float(target)) - F.col("median")
     share = S.ratio(off, F.col("median"))
     where = F.when(F.col("n") < least, "insufficient").when(share < -band, "Entrada").when(share > band, "Premium").otherwise("Alineado")

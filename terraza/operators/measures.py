@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
+from terraza.sources.scratch import written
+
+SMALL = 10_000  #: rows of medians that are broadcast
 
 
 def price_per_m2(price: Column, area: Column, currency: Column) -> tuple[Column, Column]:
@@ -40,8 +44,10 @@ def competitive_reading(ppm: Column, median: Column, area: Column, median_area:
 
 def against_district(df: DataFrame) -> DataFrame:
     """Every listing beside its district's medians."""
-    middle = df.groupBy("district").agg(S.quantiles("ppm", 0.5)[0].alias("median_ppm"), S.quantiles("area", 0.5)[0].alias("median_area"))
-    return df.join(middle, "district")
+    df = written(df, "listings")
+    ppm, area = (exact(df, ["district"], c, 0.5).select("district", F.col("q")[0].alias(f"median_{c}")) for c in ("ppm", "area"))
+    middle = written(df.select("district").distinct().join(ppm, "district", "left").join(area, "district", "left"), "medians")
+    return df.join(F.broadcast(middle) if middle.count() <= SMALL else middle, "district")
 
 
 def scatter(df: DataFrame) -> DataFrame:
@@ -61,10 +67,13 @@ def plot_domain(df: DataFrame) -> DataFrame:
 
 
 def gauge(df: DataFrame, target: float) -> DataFrame:
-    """Place of the median and of a target on each district's price range, in per cent, held to 0 to 100."""
-    own = df.where("ppm > 0").groupBy("district").agg(F.min("ppm").alias("low"), F.max("ppm").alias("high"), S.quantiles("ppm", 0.5)[0].alias("median"))
-    place = lambda x: S.half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), S.ratio((x - F.col("low")) * 100, F.col("high") - F.col("low")))), 1)
-    return own.select("district", place(F.col("median")).alias("median_at"), place(F.lit(float(target))).alias("target_at"))
+    """Places of the ends, the median and a target on each district's price band, padded by 18 per cent, in per cent, held to 0 to 100."""
+    own = written(df.where("ppm > 0").select("district", "ppm"), "listings")
+    middle = exact(own, ["district"], "ppm", 0.5).select("district", F.col("q")[0].alias("median"))
+    own = own.groupBy("district").agg(F.min("ppm").alias("low"), F.max("ppm").alias("high")).join(middle, "district")
+    least, most = F.greatest(F.lit(1.0), F.col("low") * 0.82), F.col("high") * 1.18
+    place = lambda x: S.half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), S.ratio((x - least) * 100, most - least))), 1)
+    return own.select("district", place(F.col("low")).alias("low_at"), place(F.col("high")).alias("high_at"), place(F.col("median")).alias("median_at"), place(F.lit(float(target))).alias("target_at"))
 
 
 def nice_step(span: Column, ticks: int = 5) -> Column:
@@ -76,7 +85,8 @@ def nice_step(span: Column, ticks: int = 5) -> Column:
 
 def series(df: DataFrame, by: str, value: str) -> DataFrame:
     """Number, quartiles and whether a sample is ready (3 or more), orientative or insufficient."""
-    own = df.groupBy(by).agg(F.count(value).alias("n"), S.quantiles(value, 0.25, 0.5, 0.75).alias("q"))
+    df = written(df.select(by, value), "series")
+    own = df.groupBy(by).agg(F.count(value).alias("n")).join(exact(df, [by], value, 0.25, 0.5, 0.75).withColumnRenamed(by, "of"), F.col(by).eqNullSafe(F.col("of")), "left")
     status = F.when(F.col("n") == 0, "insufficient").when(F.col("n") < 3, "orientative").otherwise("ready")
     return own.select(by, "n", status.alias("status"), *(S.half_up(F.col("q")[i], 6).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 

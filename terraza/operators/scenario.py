@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
 from terraza.operators import geo, scoring
+from terraza.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,9 @@ def comparability(df: DataFrame, s: Scenario, least: int = 3) -> DataFrame:
     joined = own.select("listing_id", "ppm", "currency").join(scores, "listing_id")
     comparable = F.coalesce(F.col("label").isin("Alta", "Media"), F.lit(False))
     reference = comparable & F.coalesce((F.col("ppm") > 0) & (F.col("currency") == "PEN"), F.lit(False))
-    out = joined.agg(F.count("*").alias("in_scope"), F.count_if(comparable).alias("comparable"), F.count_if(reference).alias("references"), F.percentile(F.when(reference, F.col("ppm")), F.lit(0.5)).alias("median"), S.half_up(F.avg("score"), 1).alias("mean_score"))
+    joined = written(joined.select("score", "ppm", comparable.alias("comparable"), reference.alias("reference"), F.lit(1).alias("one")), "scope")
+    out = joined.groupBy().agg(F.count("*").alias("in_scope"), F.count_if("comparable").alias("comparable"), F.count_if("reference").alias("references"), S.half_up(F.avg("score"), 1).alias("mean_score")).withColumn("one", F.lit(1))
+    out = out.join(exact(joined.where("reference"), ["one"], "ppm", 0.5).select("one", F.col("q")[0].alias("median")), "one", "left")
     share = S.ratio(F.lit(s.target.ppm) - F.col("median"), F.col("median"))
     where = F.when(F.col("references") < least, "insufficient").when(share < -0.08, "Entrada").when(share > 0.08, "Premium").otherwise("Alineado")
     return out.select("in_scope", "comparable", "references", S.half_up("median", 2).alias("median"), "mean_score", where.alias("position"))
@@ -46,7 +50,9 @@ def quantitative(df: DataFrame) -> DataFrame:
     """Each district's price series with its ledger: used, missing and excluded add up to the input."""
     used, missing = (F.col("ppm") > 0) & (F.col("currency") == "PEN"), F.col("ppm").isNull()
     used = F.coalesce(used, F.lit(False))
-    own = df.groupBy("district").agg(F.count("*").alias("input"), F.count_if(used).alias("used"), F.count_if(missing).alias("missing"), F.count_if(~used & ~missing).alias("excluded"), S.quantiles(F.when(used, F.col("ppm")), 0.25, 0.5, 0.75).alias("q"))
+    df = written(df, "listings")
+    own = df.groupBy("district").agg(F.count("*").alias("input"), F.count_if(used).alias("used"), F.count_if(missing).alias("missing"), F.count_if(~used & ~missing).alias("excluded"))
+    own = own.join(exact(df.where(used), ["district"], "ppm", 0.25, 0.5, 0.75).withColumnRenamed("district", "of"), F.col("district").eqNullSafe(F.col("of")), "left")
     return own.select("district", "input", "used", "missing", "excluded", *(S.half_up(F.col("q")[i], 2).alias(k) for i, k in enumerate(("p25", "median", "p75"))))
 
 

@@ -4,10 +4,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
 from terraza.operators import listings as L
 from terraza.operators import scoring as C
 from terraza.registry import query
 from terraza.sources import adapter as A
+from terraza.sources.scratch import written
 
 WITH = f"WITH {A.LISTINGS_SQL}"
 FACTS = f"WITH {A.FACTS_SQL}"
@@ -91,8 +93,10 @@ def agg_benchmark_district(spark, d):
 
 @query("quantile_r7", f"{WITH} SELECT typology, count(ppm) AS n, {h('quantile_cont(ppm, 0.1)', 6)} AS p10, {h('quantile_cont(ppm, 0.5)', 6)} AS p50, {h('quantile_cont(ppm, 0.9)', 6)} AS p90 FROM listings GROUP BY 1")
 def quantile_r7(spark, d):
-    q = A.listings(spark, d, "typology", "ppm").groupBy("typology").agg(F.count("ppm").alias("n"), S.quantiles("ppm", 0.1, 0.5, 0.9).alias("q"))
-    return q.select("typology", "n", *(S.half_up(F.col("q")[i], 6).alias(k) for i, k in enumerate(("p10", "p50", "p90"))))
+    own = written(A.listings(spark, d, "typology", "ppm"), "listings")
+    q = exact(own, ["typology"], "ppm", 0.1, 0.5, 0.9).withColumnRenamed("typology", "of")
+    counts = own.groupBy("typology").agg(F.count("ppm").alias("n"))
+    return counts.join(q, F.col("typology").eqNullSafe(F.col("of")), "left").select("typology", "n", *(S.half_up(F.col("q")[i], 6).alias(k) for i, k in enumerate(("p10", "p50", "p90"))))
 
 
 @query("price_diagnosis", f"""{WITH}, g AS (SELECT district, count(*) AS n, quantile_cont(ppm, 0.5) AS median FROM listings WHERE ppm > 0 GROUP BY 1), f AS (SELECT *, 1500e0 - median AS off, {S.ratio_sql('(1500e0 - median)', 'median')} AS share FROM g)

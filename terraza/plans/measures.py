@@ -36,12 +36,12 @@ _share = r("(ppm - median_ppm)", "median_ppm")
 
 @query("price_position_legacy", f"{MEDIANS} SELECT listing_id, CASE WHEN {_share} IS NULL THEN 'Sin dato' WHEN {_share} < -0.08e0 THEN 'Entrada' WHEN {_share} > 0.08e0 THEN 'Premium' ELSE 'Alineado' END AS position FROM beside")
 def price_position(spark, d):
-    return M.against_district(A.listings(spark, d)).select("listing_id", M.position(F.col("ppm"), F.col("median_ppm")).alias("position"))
+    return M.against_district(A.listings(spark, d, "listing_id", "district", "ppm", "area")).select("listing_id", M.position(F.col("ppm"), F.col("median_ppm")).alias("position"))
 
 
 @query("competitive_reading", f"{MEDIANS} SELECT listing_id, CASE WHEN ppm IS NULL OR area IS NULL THEN 'unknown' ELSE concat(CASE WHEN ppm < median_ppm * 0.95e0 THEN 'cheaper' WHEN ppm > median_ppm * 1.08e0 THEN 'dearer' ELSE 'in line' END, CASE WHEN abs(area - median_area) / median_area > 0.12e0 THEN ', other area' ELSE '' END) END AS reading FROM beside")
 def competitive_reading(spark, d):
-    return M.against_district(A.listings(spark, d)).select("listing_id", M.competitive_reading(F.col("ppm"), F.col("median_ppm"), F.col("area"), F.col("median_area")).alias("reading"))
+    return M.against_district(A.listings(spark, d, "listing_id", "district", "ppm", "area")).select("listing_id", M.competitive_reading(F.col("ppm"), F.col("median_ppm"), F.col("area"), F.col("median_area")).alias("reading"))
 
 
 _fit = "coalesce(area > 0 AND ppm > 0, false)"
@@ -50,7 +50,7 @@ _fit = "coalesce(area > 0 AND ppm > 0, false)"
 @query("scatter_split", f"""{WITH}, own AS (SELECT * FROM listings WHERE area > 0 AND ppm > 0), mid AS (SELECT district, quantile_cont(ppm, 0.5) AS m FROM own GROUP BY 1)
 SELECT o.district, count(*) AS n, count(*) FILTER (ppm < m) AS below, count(*) FILTER (ppm >= m) AS above FROM own o JOIN mid ON mid.district = o.district GROUP BY 1 HAVING count(*) >= 3""")
 def scatter_split(spark, d):
-    return M.scatter(A.listings(spark, d))
+    return M.scatter(A.listings(spark, d, "district", "ppm", "area"))
 
 
 def _ends(c: str) -> str:
@@ -60,16 +60,16 @@ def _ends(c: str) -> str:
 
 @query("positioning_model", f"{WITH} SELECT district, count(*) FILTER ({_fit}) AS plotted, count(*) FILTER (NOT {_fit}) AS omitted, {_ends('area')}, {_ends('ppm')} FROM listings GROUP BY 1")
 def positioning_model(spark, d):
-    return M.plot_domain(A.listings(spark, d))
+    return M.plot_domain(A.listings(spark, d, "district", "area", "ppm"))
 
 
 def _place(x: str) -> str:
-    return h(f"greatest(0e0, least(100e0, {r(f'(({x}) - low) * 100', '(high - low)')}))", 1)
+    return h(f"greatest(0e0, least(100e0, {r(f'(({x}) - greatest(1e0, low * 0.82e0)) * 100', '(high * 1.18e0 - greatest(1e0, low * 0.82e0))')}))", 1)
 
 
-@query("range_gauge", f"{WITH}, g AS (SELECT district, min(ppm) AS low, max(ppm) AS high, quantile_cont(ppm, 0.5) AS median FROM listings WHERE ppm > 0 GROUP BY 1) SELECT district, {_place('median')} AS median_at, {_place('1500e0')} AS target_at FROM g")
+@query("range_gauge", f"{WITH}, g AS (SELECT district, min(ppm) AS low, max(ppm) AS high, quantile_cont(ppm, 0.5) AS median FROM listings WHERE ppm > 0 GROUP BY 1) SELECT district, {_place('low')} AS low_at, {_place('high')} AS high_at, {_place('median')} AS median_at, {_place('1500e0')} AS target_at FROM g")
 def range_gauge(spark, d):
-    return M.gauge(A.listings(spark, d), 1500)
+    return M.gauge(A.listings(spark, d, "district", "ppm"), 1500)
 
 
 _step = "CASE WHEN raw <= unit THEN unit WHEN raw <= unit * 2 THEN unit * 2 WHEN raw <= unit * 5 THEN unit * 5 ELSE unit * 10 END"
@@ -77,13 +77,13 @@ _step = "CASE WHEN raw <= unit THEN unit WHEN raw <= unit * 2 THEN unit * 2 WHEN
 
 @query("axis_ticks", f"{WITH}, g AS (SELECT district, max(area) - min(area) AS span FROM listings WHERE area > 0 GROUP BY 1 HAVING max(area) > min(area)), u AS (SELECT district, span / 5 AS raw, pow(10e0, floor(log10(span / 5))) AS unit FROM g) SELECT district, {h(_step, 6)} AS step FROM u")
 def axis_ticks(spark, d):
-    own = A.listings(spark, d).where("area > 0").groupBy("district").agg((F.max("area") - F.min("area")).alias("span")).where("span > 0")
+    own = A.listings(spark, d, "district", "area").where("area > 0").groupBy("district").agg((F.max("area") - F.min("area")).alias("span")).where("span > 0")
     return own.select("district", S.half_up(M.nice_step(F.col("span")), 6).alias("step"))
 
 
 @query("describe_series", f"{WITH} SELECT agency, count(ppm) AS n, CASE WHEN count(ppm) = 0 THEN 'insufficient' WHEN count(ppm) < 3 THEN 'orientative' ELSE 'ready' END AS status, {h('quantile_cont(ppm, 0.25)', 6)} AS p25, {h('quantile_cont(ppm, 0.5)', 6)} AS median, {h('quantile_cont(ppm, 0.75)', 6)} AS p75 FROM listings GROUP BY 1")
 def describe_series(spark, d):
-    return M.series(A.listings(spark, d), "agency", "ppm")
+    return M.series(A.listings(spark, d, "agency", "ppm"), "agency", "ppm")
 
 
 @query("sum_null_zero", f"{WITH} SELECT typology, CAST(coalesce(sum(units), 0) AS BIGINT) AS units, {h('coalesce(sum(area), 0e0)', 2)} AS area FROM listings GROUP BY 1")

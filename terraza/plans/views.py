@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
 from terraza.operators import checks as C
 from terraza.operators import geo as G
 from terraza.operators import history as H
@@ -13,6 +14,7 @@ from terraza.plans import history as PH
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import model as M
+from terraza.sources.scratch import written
 
 LISTINGS = f"WITH {A.LISTINGS_SQL}"
 h = S.half_up_sql
@@ -347,8 +349,9 @@ SELECT o.district_id, count(*) AS assigned, {h('max(mid_lat)', 6)} AS mid_lat, {
 def geography_model(spark, d):
     own = A.listings(spark, d, "district_id", "lat", "lon").where(S.valid_coordinate(F.col("lat"), F.col("lon")))
     top = own.groupBy("district_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "district_id").limit(7).select("district_id")
-    own = own.join(top, "district_id", "left_semi")
-    middle = own.groupBy("district_id").agg(S.quantiles("lat", 0.5)[0].alias("mid_lat"), S.quantiles("lon", 0.5)[0].alias("mid_lon"))
+    own = written(own.join(top, "district_id", "left_semi"), "points")
+    lat, lon = (exact(own, ["district_id"], c, 0.5).select("district_id", F.col("q")[0].alias(f"mid_{c}")) for c in ("lat", "lon"))
+    middle = F.broadcast(lat.join(lon, "district_id"))  # seven rows
     north, east = F.col("lat") >= F.col("mid_lat"), F.col("lon") >= F.col("mid_lon")
     quarters = {"ne": north & east, "nw": north & ~east, "se": ~north & east, "sw": ~north & ~east}
     return own.join(middle, "district_id").groupBy("district_id").agg(F.count("*").alias("assigned"), S.half_up(F.max("mid_lat"), 6).alias("mid_lat"), S.half_up(F.max("mid_lon"), 6).alias("mid_lon"), *(F.count_if(c).alias(k) for k, c in quarters.items()))

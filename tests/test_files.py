@@ -47,3 +47,35 @@ def test_stream_gives_the_batch_counts(spark):
     got = windows.run_available(spark, data).agg(F.sum("n"), F.countDistinct("event_type")).first()
     events = spark.read.parquet(f"{data}/events.parquet")
     assert tuple(got) == (events.count(), events.select("event_type").distinct().count())
+
+
+def test_a_relation_occurs_once_and_documents_fit(spark, tmp_path):
+    square = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
+    (tmp_path / "g.json").write_text(json.dumps({"features": [{"properties": {"relation": "7", "name": n}, "geometry": square} for n in "ab"]}))
+    with pytest.raises(ValueError):
+        files.scan_geojson(spark, str(tmp_path / "g.json"))
+    (tmp_path / "a.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert [r["a"] for r in files.scan_json(spark, str(tmp_path / "a.json"), "a int").collect()] == [1, 2]
+    (tmp_path / "b.json").write_text('[{"a": 1')
+    with pytest.raises(Exception):
+        files.scan_json(spark, str(tmp_path / "b.json"), "a int").collect()
+
+
+def test_rings_keep_corners_beyond_the_tolerance():
+    import numpy as np
+
+    from terraza.operators import rings
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        p = rng.uniform(0, 10, (rng.integers(1, 12), 2))
+        kept = rings.keep(p, 1.5)
+        assert kept[0] and (kept.all() or kept.sum() >= 3)
+        closed, at = np.concatenate([p, p[:1]]), [*np.flatnonzero(kept).tolist(), len(p)]
+        for a, b in zip(at, at[1:], strict=False):
+            for i in range(a + 1, b):  # a dropped corner lies within the tolerance of the side that took its place
+                along = closed[b] - closed[a]
+                t = min(1, max(0, (closed[i] - closed[a]) @ along / max(along @ along, 1e-300)))
+                assert np.hypot(*(closed[i] - closed[a] - t * along)) <= 1.5
+    square = np.array([[0, 0], [5, 0.1], [10, 0], [10, 10], [0, 10]], float)
+    assert rings.keep(square, 1).tolist() == [True, False, True, True, True] and rings.keep(square, 0).all()

@@ -1,9 +1,11 @@
 """Values that the rules must give, whatever the engine."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions.quantiles import exact
 from terraza.operators import geo as G
 from terraza.operators import history as H
 from terraza.operators import scoring as C
@@ -21,7 +23,11 @@ def test_rounding(spark, rule, x, digits, want):
 
 def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(10.0,), (20.0,), (30.0,), (40.0,)], "x double")
-    assert df.agg(S.quantiles("x", 0.25, 0.5, 0.75)).first()[0] == [17.5, 25.0, 32.5]
+    assert exact(df.withColumn("g", F.lit(None).cast("string")), ["g"], "x", 0.25, 0.5, 0.75).first()["q"] == [17.5, 25.0, 32.5]
+    rows = [(i % 3, float(i * 7919 % 101)) for i in range(500)] + [(3, None), (4, 2.0)]
+    got = {r["g"]: r["q"] for r in exact(spark.createDataFrame(rows, "g int, x double").repartition(7), ["g"], "x", 0.0, 0.1, 0.5, 0.99, 1.0).collect()}
+    want = {g: np.quantile([x for k, x in rows if k == g], [0, 0.1, 0.5, 0.99, 1]) for g in (0, 1, 2, 4)}
+    assert set(got) == set(want) and all(np.allclose(got[g], want[g]) for g in want)
 
 
 def test_text(spark):
