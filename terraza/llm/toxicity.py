@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
     terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     rows = np.split(flat, np.cumsum(lists.value_lengths().to_numpy())[:-1])
     batches = -(-len(rows) // BATCH)
-    return Machine(terms, *fit_machine(rows, y, len(terms), epochs=min(20, max(6, -(-350 // batches)))))
+    return Machine(terms, *fit_machine(rows, y, len(terms), epochs=min(60, max(6, -(-350 // batches)))))
 
 
 def score(machine: Machine, text: str = "text") -> Column:
