@@ -15,11 +15,16 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days")
 
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs the counts over what there is, in batches, and gives the last state; state and results are in the shared folder."""
+    """Runs the counts over what there is, in batches, and gives each window's last state; state and results are in the shared folder.
+
+    Each batch writes the windows that it changed, so the state of those that the watermark has closed is dropped.
+    """
     out = scratch.path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = window_counts(events)
-    write = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
-    write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    write = counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    write.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in counts.schema)}, batch long").parquet(f"{out}/rows")
+    last = rows.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "value"), "batch").alias("last"))
+    return last.select("day", "event_type", "last.n", "last.value")
