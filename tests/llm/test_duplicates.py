@@ -250,6 +250,31 @@ def test_pipeline_stages_keep_whole_documents(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in left.select("doc_id").collect()}
 
 
+def test_pipeline_equals_a_plain_run(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import pyarrow as pa
+
+    from terraza.llm import language, toxicity
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    scores = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet")).scores(pa.array([r["text"] for r in rows]))
+    rows = [r for r, s in zip(rows, scores, strict=True) if s < pipeline.TOXIC]
+    left = spark.createDataFrame(rows, docs.schema)
+    network = language.fit(left)
+    best, prob = network.predict(pa.array([r["text"] for r in rows]))
+    rows = [r for r, b, p in zip(rows, best, prob, strict=True) if b >= 0 and p >= pipeline.SURE]
+    sets = [shingles(r["text"]) for r in rows]
+    top = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    rows = [r for i, r in enumerate(rows) if top[i] == i]  # rows are in the order of their ids
+    items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not any(x in r["text"] for x in items)]
+    got = pipeline.run(spark, data).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in rows} and len(rows) > 100
+    assert all(r["doc_tokens"] == sum(x["length"] for x in got if x["doc_id"] == r["doc_id"]) for r in got[:50])
+
+
 def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame([(4, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
