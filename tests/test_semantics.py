@@ -36,9 +36,16 @@ def test_text(spark):
 
 
 def test_intents(spark):
-    df = spark.createDataFrame([("Give me a summary",), ("What is the closing price summary?",), ("zzz",), (None,)], "text string")
-    assert [r["status"] for r in T.guard(df).collect()] == ["ready", "refused", "ready", "blank"]
-    assert [r[0] for r in df.select(T.intent(F.col("text"))).collect()][:3] == ["scenario_summary", "limitation", "unsupported"]
+    rows = [("Dame un resumen", True, True, "ready"), ("¿Por qué subió el precio? resumen", True, True, "refused"), ("zzz", True, True, "unknown_intent"), (None, True, True, "invalid_input"), ("<> ", True, True, "invalid_input"), ("resumen " * 90, True, True, "invalid_input"), ("resumen", False, True, "contract_unavailable"), ("resumen", True, False, "insufficient")]
+    df = spark.createDataFrame(rows, "text string, contract boolean, scenario boolean, want string")
+    none = F.lit(None).cast("string")
+    assert [r[0] for r in df.select(T.guard(F.col("text"), none, F.col("contract"), F.col("scenario"))).collect()] == [r[3] for r in rows]
+    one_by = lambda text, explicit=None: spark.range(1).select(T.classify(F.lit(text), F.lit(explicit).cast("string"))).first()[0]
+    assert tuple(one_by("¿A qué precio de cierre se vendió?", "scenario-summary")) == ("limitations", "closing_price", "limitation")
+    assert tuple(one_by("hola", "scenario-summary")) == ("scenario-summary", None, "explicit_intent")
+    assert tuple(one_by("qué SEÑAL certificada conviene revisar primero")) == ("signal-priority", None, "suggested_question")
+    assert tuple(one_by("Cobertura y proyectos seleccionados")) == ("coverage-quality", None, "keyword_catalog")
+    assert tuple(one_by("hola")) == (None, None, "unknown")
 
 
 def test_distance_and_polygon(spark):
