@@ -39,12 +39,6 @@ def pilot(candidates: DataFrame, mandatory: Column, size: int, *order: Column) -
     return chosen.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # of at most size rows
 
 
-def classify(df: DataFrame) -> DataFrame:
-    """Standing of a listing's price facts: missing, restricted, conflict or eligible, in order of precedence."""
-    own = df.groupBy("listing_id").agg(F.count_if(F.col("semantic_type") == "list_price").alias("prices"), F.countDistinct(F.when(F.col("semantic_type") == "list_price", F.struct("value", "unit"))).alias("signatures"), F.count_if(~F.col("eligible")).alias("barred"))
-    return own.select("listing_id", F.when(F.col("barred") > 0, "restricted").when(F.col("prices") == 0, "missing").when(F.col("signatures") > 1, "conflict").otherwise("eligible").alias("standing"))
-
-
 def signatures(facts: DataFrame) -> DataFrame:
     """A digest of each listing's facts that is the same for equal sets of facts in any order."""
     text = F.concat_ws("|", "semantic_type", "unit", F.format_string("%.2f", F.col("value")))

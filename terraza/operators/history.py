@@ -62,9 +62,9 @@ def validity(df: DataFrame, cutoff: str, whole: bool) -> DataFrame:
     return df.select("event_id", name.alias("validity"))
 
 
-def coverage(assessed: DataFrame) -> DataFrame:
-    """Counts of each field's pairs by status."""
-    return assessed.groupBy("field").agg(F.count("*").alias("candidates"), *(F.count_if(F.col("status") == s).alias(s) for s in ("certified", "reviewable", "insufficient")))
+def coverage(assessed: DataFrame, by: str) -> DataFrame:
+    """Counts of each group's pairs by status."""
+    return assessed.groupBy(by).agg(F.count("*").alias("candidates"), F.count_if(F.col("status") != "insufficient").alias("materialized"), *(F.count_if(F.col("status") == s).alias(s) for s in ("certified", "reviewable", "insufficient")))
 
 
 def reason_counts(assessed: DataFrame) -> DataFrame:
@@ -76,9 +76,11 @@ def largest(assessed: DataFrame, n: int) -> DataFrame:
 
 
 def agenda(assessed: DataFrame, n: int = 3) -> DataFrame:
-    """Each field's n largest certified changes, or its n largest reviewable ones where none is certified."""
+    """Each field's n largest certified changes, or its n largest reviewable ones where none is certified, or one row that asks for a wider scope."""
+    every = assessed.select("field").distinct()
     own = assessed.where(F.col("status").isin("certified", "reviewable") & F.col("percent").isNotNull())
     best = own.groupBy("field").agg(F.min("status").alias("status"))  # certified sorts first
     own = own.join(best, ["field", "status"])
     w = W.partitionBy("field").orderBy(F.desc(F.abs("percent")), "event_id")
-    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("field", "status", "event_id", "percent", "rank")
+    own = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("field", "status", "event_id", "percent", "rank")
+    return every.join(own, "field", "left").select("field", F.coalesce("status", F.lit("expand_or_review_scope")).alias("status"), "event_id", "percent", F.coalesce("rank", F.lit(1)).alias("rank"))

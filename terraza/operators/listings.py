@@ -117,7 +117,7 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
 
 def distribution(df: DataFrame, *columns: str) -> DataFrame:
     """Counts of every value of several columns, unpivoted so that one pass and one shuffle count them all."""
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("Sin dato")).alias("name")) for c in columns)))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("Sin dato")).alias("name")) for c in columns)))
     return df.select(each.alias("e")).groupBy("e.dimension", "e.name").agg(F.count("*").alias("n"))
 
 

@@ -68,10 +68,23 @@ def build_pilot(spark, d):
     return A.listings(spark, d, "district").groupBy("district").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "district").limit(7)
 
 
-@query("benchmark_classify", f"""{FACTS}, g AS (SELECT listing_id, count(*) FILTER (semantic_type = 'list_price') AS prices, count(DISTINCT CASE WHEN semantic_type = 'list_price' THEN (value, unit) END) AS signatures, count(*) FILTER (NOT eligible) AS barred FROM facts GROUP BY 1)
-SELECT listing_id, CASE WHEN barred > 0 THEN 'restricted' WHEN prices = 0 THEN 'missing' WHEN signatures > 1 THEN 'conflict' ELSE 'eligible' END AS standing FROM g""")
+# One record of an order's line: what was published, how it is paired, and whether it may be shown.
+_record = {
+    "price": "CASE WHEN l_quantity > 3 THEN l_extendedprice END", "area": "CASE WHEN l_discount < 0.095 THEN l_quantity END", "currency": "CASE WHEN l_suppkey % 13 = 0 THEN 'USD' ELSE 'PEN' END", "area_type": "CASE WHEN l_suppkey % 7 = 0 THEN 'built' ELSE 'total' END",
+    "pairing": "CASE l_linenumber WHEN 1 THEN 'source_paired' WHEN 2 THEN 'source_paired' WHEN 3 THEN 'project_minima_pair_unresolved' ELSE 'unpaired' END", "basis": "CASE WHEN l_tax < 0.065 THEN 'offer_id' ELSE 'guess' END", "restricted": "l_tax > 0.075 AND l_suppkey % 5 = 0",
+}
+_complete = "price > 0 AND area > 0"
+_paired = f"{_complete} AND pairing = 'source_paired' AND basis IN ('offer_id', 'typology_id', 'native_metric') AND currency = 'PEN' AND area_type = 'total'"
+STANDING = "CASE WHEN barred > 0 THEN 'restricted' WHEN complete = 0 THEN 'missing' WHEN signatures > 1 THEN 'conflicting_observations' WHEN signatures = 1 THEN 'eligible' WHEN unresolved > 0 THEN 'price_area_link_unresolved' ELSE 'conflicting_observations' END"
+_counts = {"barred": "count(CASE WHEN restricted THEN 1 END)", "complete": f"count(CASE WHEN {_complete} THEN 1 END)", "unresolved": f"count(CASE WHEN {_complete} AND pairing = 'project_minima_pair_unresolved' THEN 1 END)"}
+
+
+@query("benchmark_classify", f"""WITH r AS (SELECT l_orderkey AS listing_id, {', '.join(f'{e} AS {c}' for c, e in _record.items())} FROM lineitem), g AS (SELECT listing_id, {', '.join(f'{e} AS {c}' for c, e in _counts.items())}, count(DISTINCT CASE WHEN {_paired} THEN (price, area) END) AS signatures FROM r GROUP BY 1) SELECT listing_id, {STANDING} AS standing FROM g""")
 def benchmark_classify(spark, d):
-    return N.classify(A.facts(spark, d))
+    """Standing of a listing's records: restricted, missing, in conflict, eligible or of an unresolved pair, in order of precedence."""
+    own = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), *(F.expr(e).alias(c) for c, e in _record.items()))
+    signature = F.when(F.expr(_paired), F.struct("price", "area"))
+    return own.groupBy("listing_id").agg(*(F.expr(e).alias(c) for c, e in _counts.items()), F.countDistinct(signature).alias("signatures")).select("listing_id", F.expr(STANDING).alias("standing"))
 
 
 @query("entry_signature", f"{FACTS} SELECT listing_id, sha256(array_to_string(list_sort(list(DISTINCT concat_ws('|', semantic_type, unit, printf('%.2f', value)))), ';')) AS signature FROM facts GROUP BY 1")
@@ -161,19 +174,21 @@ def evidence_access(spark, d):
 
 
 @query("agg_qualitative", f"""{LISTINGS}, t AS (SELECT DISTINCT district, listing_id, unnest(string_split(amenities, ' ')) AS attribute FROM listings WHERE amenities IS NOT NULL), n AS (SELECT district, count(*) AS informed FROM listings WHERE amenities IS NOT NULL GROUP BY 1)
-SELECT t.district, attribute, count(*) AS announced, informed, {S.half_up_sql('count(*) * 100e0 / informed', 1)} AS prevalence FROM t JOIN n ON n.district = t.district WHERE attribute <> '' GROUP BY 1, 2, 4""")
+SELECT t.district, attribute, count(*) AS announced, informed, {S.half_up_sql('count(*) * 100e0 / informed', 1)} AS prevalence, CASE WHEN informed < 5 THEN 'orientative' ELSE 'ready' END AS status, count(*) FILTER (t.listing_id % 3 = 0) AS documented FROM t JOIN n ON n.district = t.district WHERE attribute <> '' GROUP BY 1, 2, 4""")
 def qualitative(spark, d):
     own = A.listings(spark, d, "district", "listing_id", "amenities").where("amenities is not null")
     tokens = own.select("district", "listing_id", F.explode(F.array_distinct(F.split("amenities", " "))).alias("attribute")).where("attribute <> ''")
     informed = own.groupBy("district").agg(F.count("*").alias("informed"))
-    return tokens.groupBy("district", "attribute").agg(F.count("*").alias("announced")).join(informed, "district").withColumn("prevalence", S.half_up(F.col("announced") * 100.0 / F.col("informed"), 1))
+    return tokens.groupBy("district", "attribute").agg(F.count("*").alias("announced"), F.count_if(F.col("listing_id") % 3 == 0).alias("documented")).join(informed, "district").withColumn("prevalence", S.half_up(F.col("announced") * 100.0 / F.col("informed"), 1)).withColumn("status", F.when(F.col("informed") < 5, "orientative").otherwise("ready"))
 
 
-@query("opportunity_signals", f"""{LISTINGS}, a AS (SELECT district, agency, count(*) AS n FROM listings GROUP BY 1, 2), g AS (SELECT district, max(n) AS top, CAST(sum(n) AS BIGINT) AS total FROM a GROUP BY 1), i AS (SELECT district, count(*) FILTER (phase = 'F') AS immediate FROM listings GROUP BY 1)
-SELECT g.district, total >= 60 AS pressure, {S.ratio_sql('top', 'total')} >= 0.22e0 AS concentration, immediate >= 10 AS immediate FROM g JOIN i ON i.district = g.district""")
+@query("opportunity_signals", f"""{LISTINGS}, a AS (SELECT district, agency, count(*) AS n FROM listings GROUP BY 1, 2), g AS (SELECT district, max(n) AS top, CAST(sum(n) AS BIGINT) AS total FROM a GROUP BY 1), i AS (SELECT district, count(*) FILTER (phase = 'F') AS immediate, avg(ppm) AS mean FROM listings GROUP BY 1)
+SELECT g.district, total >= 60 AS pressure, coalesce(1500 < mean * 0.92e0, false) AS price, {S.ratio_sql('top', 'total')} >= 0.22e0 AS concentration, immediate >= 10 AS immediate FROM g JOIN i ON i.district = g.district""")
 def signals(spark, d):
-    own = A.listings(spark, d, "district", "agency", "phase").groupBy("district", "agency").agg(F.count("*").alias("n"), F.count_if(F.col("phase") == "F").alias("now")).groupBy("district").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.sum("now").alias("now"))
-    return own.select("district", (F.col("total") >= 60).alias("pressure"), (S.ratio(F.col("top"), F.col("total")) >= 0.22).alias("concentration"), (F.col("now") >= 10).alias("immediate"))
+    own = A.listings(spark, d, "district", "agency", "phase", "ppm").groupBy("district", "agency").agg(F.count("*").alias("n"), F.count_if(F.col("phase") == "F").alias("now"), F.sum("ppm").alias("sum"), F.count("ppm").alias("priced"))
+    own = own.groupBy("district").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.sum("now").alias("now"), F.try_divide(F.sum("sum"), F.sum("priced")).alias("mean"))
+    price = F.coalesce(F.lit(1500) < F.col("mean") * 0.92, F.lit(False))
+    return own.select("district", (F.col("total") >= 60).alias("pressure"), price.alias("price"), (S.ratio(F.col("top"), F.col("total")) >= 0.22).alias("concentration"), (F.col("now") >= 10).alias("immediate"))
 
 
 @query("district_mention", "SELECT conv_id, turn, n_name FROM conversations, nation WHERE contains(lower(text), lower(n_name))")

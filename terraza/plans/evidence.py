@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from terraza.functions import semantics as S
+from terraza.operators import checks as K
 from terraza.operators import evidence as E
 from terraza.registry import query
 from terraza.sources import adapter as A
@@ -41,9 +43,16 @@ def field_coverage(spark, d):
     return A.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count("lang").alias("with_lang"), F.count_if(F.col("n_chars") > 500).alias("long"))
 
 
-@query("check_references", "SELECT o_orderkey AS listing_id, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
+@query("check_references", f"""SELECT 'orders' AS collection, o_orderkey AS id, 'NO_LINES' AS code FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'labels', doc_id, 'NO_DOCUMENT' FROM labels WHERE doc_id NOT IN (SELECT doc_id + 1 FROM documents WHERE doc_id % 3 > 0)
+UNION ALL SELECT 'supplier', s_suppkey, 'ALIAS_UNRESOLVED' FROM supplier WHERE {S.words_sql("replace(s_name, 'Supplier', 'Customer')")} NOT IN (SELECT {S.words_sql('c_name')} FROM customer WHERE c_custkey % 4 > 0)""")
 def check_references(spark, d):
-    return E.missing_references(A.table(spark, d, "orders").withColumnRenamed("o_orderkey", "listing_id"), "listing_id", A.table(spark, d, "lineitem"), "l_orderkey")
+    """Rows whose other end is missing, and names that no alias resolves."""
+    orders = E.missing_references(A.table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"), "id", A.table(spark, d, "lineitem"), "l_orderkey").select(F.lit("orders").alias("collection"), "id", F.lit("NO_LINES").alias("code"))
+    known = A.table(spark, d, "documents").where("doc_id % 3 > 0").select((F.col("doc_id") + 1).alias("id"))
+    labels = A.table(spark, d, "labels").select(F.col("doc_id").alias("id")).join(known, "id", "left_anti").select(F.lit("labels").alias("collection"), "id", F.lit("NO_DOCUMENT").alias("code"))
+    aliases = A.table(spark, d, "customer").where("c_custkey % 4 > 0").select(S.words("c_name").alias("alias"))
+    names = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), S.words(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("alias"))
+    return orders.unionByName(labels).unionByName(names.join(aliases, "alias", "left_anti").select(F.lit("supplier").alias("collection"), "id", F.lit("ALIAS_UNRESOLVED").alias("code")))
 
 
 @query("check_unique", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -66,9 +75,14 @@ def values_differ(spark, d):
     return E.values_differ(A.facts(spark, d))
 
 
-@query("check_ranges", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate")
+RANGES = {"SHIPPED_BEFORE_ORDER": "l_shipdate < o_orderdate", "PRICE_ABOVE_TOTAL": "l_extendedprice > o_totalprice", "DISCOUNT_ABOVE_TAX": "l_discount > 0.095 AND l_tax < 0.005"}
+
+
+@query("check_ranges", f"WITH own AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax, o_orderdate, o_totalprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey) {K.broken_sql('l_orderkey, l_linenumber, l_suppkey', 'own', **RANGES)}")
 def check_ranges(spark, d):
-    return A.table(spark, d, "lineitem").join(A.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate").select("l_orderkey", "l_linenumber", "l_suppkey")
+    own = A.table(spark, d, "lineitem").join(A.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    codes = F.array_compact(F.array(*(F.when(F.expr(c), F.lit(k)) for k, c in RANGES.items())))
+    return own.select("l_orderkey", "l_linenumber", "l_suppkey", F.explode(codes).alias("code"))
 
 
 @query("semi_join_comparable", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")

@@ -37,9 +37,19 @@ def assess(spark, d):
     return assessed(spark, d)
 
 
-@query("agg_history_coverage", f"{_assessed} SELECT field, count(*) AS candidates, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (status = 'reviewable') AS reviewable, count(*) FILTER (status = 'insufficient') AS insufficient FROM assessed GROUP BY 1")
+_placed = "assessed JOIN supplier ON s_suppkey = entity_id JOIN nation ON n_nationkey = s_nationkey"
+
+
+@query("agg_history_coverage", f"""{_assessed}, own AS (SELECT n_name AS district, status, reasons FROM {_placed}), r AS (SELECT district, unnest(string_split(reasons, ',')) AS reason FROM own WHERE status = 'insufficient'), top AS (SELECT district, arg_min(reason, (-n, reason)) AS reason FROM (SELECT district, reason, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1)
+SELECT o.district, count(*) AS candidates, count(*) FILTER (status <> 'insufficient') AS materialized, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (status = 'reviewable') AS reviewable, count(*) FILTER (status = 'insufficient') AS insufficient, max(reason) AS first_reason FROM own o LEFT JOIN top t ON t.district = o.district GROUP BY 1""")
 def coverage(spark, d):
-    return H.coverage(assessed(spark, d))
+    """Counts of each district's pairs by status, and the commonest reason against one."""
+    places = A.table(spark, d, "supplier").join(A.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("entity_id"), F.col("n_name").alias("district"))
+    own = assessed(spark, d).join(places, "entity_id").select("district", "status", "reasons")
+    counts = H.coverage(own, "district")
+    reasons = own.where("status = 'insufficient'").select("district", F.explode(F.split("reasons", ",")).alias("reason")).groupBy("district", "reason").agg(F.count("*").alias("n"))
+    first = reasons.groupBy("district").agg(F.min_by("reason", F.struct(-F.col("n"), "reason")).alias("first_reason"))
+    return counts.join(first, "district", "left")
 
 
 @query("reason_histogram", f"{_assessed}, r AS (SELECT unnest(string_split(reasons, ',')) AS reason FROM assessed WHERE reasons <> '') SELECT reason, count(*) AS n FROM r GROUP BY 1")
@@ -52,10 +62,12 @@ def top_changes(spark, d):
     return H.largest(assessed(spark, d), 15)
 
 
-@query("rank_agenda", f"""{_assessed}, own AS (SELECT * FROM assessed WHERE status IN ('certified', 'reviewable') AND percent IS NOT NULL), best AS (SELECT field, min(status) AS status FROM own GROUP BY 1),
-r AS (SELECT o.field, o.status, o.event_id, o.percent, CAST(row_number() OVER (PARTITION BY o.field ORDER BY abs(o.percent) DESC, o.event_id) AS INTEGER) AS rank FROM own o JOIN best b ON b.field = o.field AND b.status = o.status) SELECT * FROM r WHERE rank <= 3""")
+@query("rank_agenda", f"""{_assessed}, narrow AS (SELECT * REPLACE (concat(field, ':', entity_id) AS field) FROM assessed), own AS (SELECT * FROM narrow WHERE status IN ('certified', 'reviewable') AND percent IS NOT NULL), best AS (SELECT field, min(status) AS status FROM own GROUP BY 1),
+r AS (SELECT o.field, o.status, o.event_id, o.percent, CAST(row_number() OVER (PARTITION BY o.field ORDER BY abs(o.percent) DESC, o.event_id) AS INTEGER) AS rank FROM own o JOIN best b ON b.field = o.field AND b.status = o.status), f AS (SELECT * FROM r WHERE rank <= 3)
+SELECT e.field, coalesce(f.status, 'expand_or_review_scope') AS status, event_id, percent, coalesce(rank, 1) AS rank FROM (SELECT DISTINCT field FROM narrow) e LEFT JOIN f ON f.field = e.field""")
 def agenda(spark, d):
-    return H.agenda(assessed(spark, d))
+    """Agendas of each entity and kind of change: some have certified changes, some only reviewable ones, some none."""
+    return H.agenda(assessed(spark, d).withColumn("field", F.concat("field", F.lit(":"), F.col("entity_id").cast("string"))))
 
 
 _age = f"((epoch_us(TIMESTAMP '{CUTOFF}') - epoch_us(ts)) / 86400e6)"

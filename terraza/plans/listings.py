@@ -9,6 +9,7 @@ from terraza.operators import listings as L
 from terraza.operators import scoring as C
 from terraza.registry import query
 from terraza.sources import adapter as A
+from terraza.sources import model as M
 from terraza.sources.scratch import written
 
 WITH = f"WITH {A.LISTINGS_SQL}"
@@ -111,11 +112,24 @@ def count_by(spark, d):
 
 
 _dims = ("district", "typology", "phase", "segment", "currency", "delivery_year")
+#: The columns of each collection whose values are counted.
+COUNTED = {
+    "facts": ("field_name", "semantic_type", "currency", "unit", "price_type", "area_type", "denominator_area_type", "value_kind", "quality_status", "benchmark_eligible", "exclusion_reason", "digits"),
+    "observations": ("evidence_status", "absence_reason", "currency"), "issues": ("benchmark_blocking", "quality_status", "issue_code"), "records": ("publish_permission", "availability", "has_fragment"),
+    "docs": ("source", "publish_permission", "availability", "has_asset"), "changes": ("field", "currency", "evidence_state", "semantic", "resolved"),
+}
+_counted = [("listings", c) for c in _dims] + [(t, c) for t, columns in COUNTED.items() for c in columns]
 
 
-@query("agg_coverage_report", WITH + " " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, coalesce(CAST({c} AS VARCHAR), 'Sin dato') AS name, count(*) AS n FROM listings GROUP BY 2" for c in _dims))
+@query("agg_coverage_report", f"{M.sql(*(t for t in COUNTED if t != 'changes'))}, {A.CHANGES_SQL}, {A.LISTINGS_SQL} " + " UNION ALL ".join(f"SELECT '{t}' AS collection, '{c}' AS dimension, coalesce(CAST({c} AS VARCHAR), 'Sin dato') AS name, count(*) AS n FROM {t} GROUP BY 3" for t, c in _counted) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', '*', 'records', count(*) FROM {t}" for t in ("listings", *COUNTED)))
 def agg_coverage_report(spark, d):
-    return L.distribution(A.listings(spark, d, *_dims), *_dims)
+    """36 distributions and the number of records of every collection, each collection in one pass."""
+    out = None
+    for t, columns in (("listings", _dims), *COUNTED.items()):
+        own = A.listings(spark, d, *columns) if t == "listings" else A.changes(spark, d) if t == "changes" else M.read(spark, d, t)
+        own = L.distribution(own.withColumn("*", F.lit("records")), *columns, "*").select(F.lit(t).alias("collection"), "dimension", "name", "n")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 _fields = ("agency", "district", "typology", "area", "ppm", "delivery_year")

@@ -65,10 +65,21 @@ def scenario_context(spark, d):
     return C.market_summary(A.listings(spark, d, "listing_id", "district_id", "district", "agency", "lat", "lon", "ppm"))
 
 
-@query("rank_history", f"{PH._assessed} SELECT field, event_id, status, rank FROM (SELECT field, event_id, status, CAST(row_number() OVER (PARTITION BY field ORDER BY CASE status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END, abs(percent) DESC NULLS LAST, event_id) AS INTEGER) AS rank FROM assessed) WHERE rank <= 10")
+_policy = f"""own AS (SELECT a.field, a.event_id, a.status, a.percent, a.delta, p.ts, CASE a.status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END AS s, CASE WHEN p.ts > TIMESTAMP '{PH.CUTOFF}' THEN 3 WHEN {PH._age.replace('ts', 'p.ts')} < 31 THEN 0 WHEN {PH._age.replace('ts', 'p.ts')} < 91 THEN 1 ELSE 2 END AS v,
+CASE p.evidence_state WHEN 'authorized' THEN 0 WHEN 'restricted' THEN 2 ELSE 3 END AS e FROM assessed a JOIN pairs p ON p.event_id = a.event_id)"""
+
+
+@query("rank_history", f"{PH._assessed}, {_policy} SELECT field, event_id, status, rank FROM (SELECT field, event_id, status, CAST(row_number() OVER (PARTITION BY field ORDER BY s, v, e, abs(coalesce(percent, delta, 0)) DESC, ts DESC, event_id) AS INTEGER) AS rank FROM own) WHERE rank <= 10")
 def rank_history(spark, d):
-    own = PH.assessed(spark, d).withColumn("s", F.when(F.col("status") == "certified", 0).when(F.col("status") == "reviewable", 1).otherwise(2))
-    return L.rank_within(own, "field", 10, F.col("s"), F.desc_nulls_last(F.abs("percent")), F.col("event_id")).select("field", "event_id", "status", "rank")
+    """Changes by status, validity, evidence, size, recency and id."""
+    pairs = H.lag_change(A.changes(spark, d))
+    own = H.assess(pairs, PH.CUTOFF).join(pairs.select("event_id", "ts", "evidence_state"), "event_id")
+    age = H.age_days(F.col("ts"), PH.CUTOFF)
+    rank = lambda c, *values: F.coalesce(*(F.when(F.col(c) == v, F.lit(k)) for k, v in values), F.lit(values[-1][0] + 1))
+    validity = F.when(age < 0, 3).when(age < 31, 0).when(age < 91, 1).otherwise(2)
+    size = F.abs(F.coalesce("percent", "delta", F.lit(0.0)))
+    order = (rank("status", (0, "certified"), (1, "reviewable")), validity, rank("evidence_state", (0, "authorized"), (2, "restricted")), F.desc(size), F.desc("ts"), F.col("event_id"))
+    return L.rank_within(own, "field", 10, *order).select("field", "event_id", "status", "rank")
 
 
 _preliminary = "value <> previous AND previous > 0 AND value > 0 AND currency = 'PEN' AND previous_ts < ts AND abs(percent) <= 30"
