@@ -83,4 +83,4 @@ def agenda(assessed: DataFrame, n: int = 3) -> DataFrame:
     own = own.join(best, ["field", "status"])
     w = W.partitionBy("field").orderBy(F.desc(F.abs("percent")), "event_id")
     own = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("field", "status", "event_id", "percent", "rank")
-    return every.join(own, "field", "left").select("field", F.coalesce("status", F.lit("expand_or_review_scope")).alias("status"), "event_id", "percent", F.coalesce("rank", F.lit(1)).alias("rank"))
+    return every.join(own, "field", "left").select("field", F.coalesce("status", F.lit("expand_or_review_scope")).alias("status"), F.concat(F.lit("agenda:"), F.coalesce(F.col("event_id").cast("string"), F.lit("history-expand-or-review-scope"))).alias("item_id"), "percent", F.coalesce("rank", F.lit(1)).alias("rank"))

@@ -39,14 +39,14 @@ def scan_geojson(spark, d):
 _width, _height = "(p_partkey * 7 + p_size) % 16384", "(p_partkey * 3 + 5) % 16384"
 
 
-@query("scan_binary_asset", f"SELECT p_partkey, CASE WHEN p_size % 10 <> 3 THEN CAST({_width} AS INTEGER) END AS width, CASE WHEN p_size % 10 <> 3 THEN CAST({_height} AS INTEGER) END AS height FROM part")
+@query("scan_binary_asset", f"SELECT p_partkey, CAST({_width} AS INTEGER) AS width, CAST({_height} AS INTEGER) AS height FROM part WHERE p_size % 10 <> 3")
 def binary_asset(spark, d):
-    """Sizes in the heads of images; each part has the head of one, some with another mark than that of the format."""
+    """Sizes in the heads of images; each part has the head of one, some with another mark than that of the format, which have no size."""
     two = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
     mark = F.when(F.col("p_size") % 10 == 3, "57454251").otherwise("57454250")
     head = F.concat(F.lit("52494646"), F.lit("16000000"), mark, F.lit("56503820"), F.lit("0A000000"), F.lit("000000"), F.lit("9D012A"), two(F.expr(_width)), two(F.expr(_height)))
     size = files.webp_size(F.unhex(head))
-    return A.table(spark, d, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"))
+    return A.table(spark, d, "part").select("p_partkey", size.alias("size")).where("size is not null").select("p_partkey", "size.width", "size.height")
 
 
 @query("sink_guard", "WITH o AS (SELECT page_id, lower(regexp_replace(url, '/+$', '')) AS key FROM pages), i AS (SELECT DISTINCT lower(regexp_replace(url, '/+$', '')) AS key FROM pages WHERE page_id % 3 = 0) SELECT page_id, i.key IS NULL AS allowed FROM o LEFT JOIN i ON i.key = o.key")

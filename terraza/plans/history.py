@@ -64,7 +64,7 @@ def top_changes(spark, d):
 
 @query("rank_agenda", f"""{_assessed}, narrow AS (SELECT * REPLACE (concat(field, ':', entity_id) AS field) FROM assessed), own AS (SELECT * FROM narrow WHERE status IN ('certified', 'reviewable') AND percent IS NOT NULL), best AS (SELECT field, min(status) AS status FROM own GROUP BY 1),
 r AS (SELECT o.field, o.status, o.event_id, o.percent, CAST(row_number() OVER (PARTITION BY o.field ORDER BY abs(o.percent) DESC, o.event_id) AS INTEGER) AS rank FROM own o JOIN best b ON b.field = o.field AND b.status = o.status), f AS (SELECT * FROM r WHERE rank <= 3)
-SELECT e.field, coalesce(f.status, 'expand_or_review_scope') AS status, event_id, percent, coalesce(rank, 1) AS rank FROM (SELECT DISTINCT field FROM narrow) e LEFT JOIN f ON f.field = e.field""")
+SELECT e.field, coalesce(f.status, 'expand_or_review_scope') AS status, concat('agenda:', coalesce(CAST(event_id AS VARCHAR), 'history-expand-or-review-scope')) AS item_id, percent, coalesce(rank, 1) AS rank FROM (SELECT DISTINCT field FROM narrow) e LEFT JOIN f ON f.field = e.field""")
 def agenda(spark, d):
     """Agendas of each entity and kind of change: some have certified changes, some only reviewable ones, some none."""
     return H.agenda(assessed(spark, d).withColumn("field", F.concat("field", F.lit(":"), F.col("entity_id").cast("string"))))

@@ -118,10 +118,10 @@ for _name, _fields in (("benchmark_materialize", None), ("eligibility_projection
 VALUE_CELL = "CASE WHEN fact_id IS NULL THEN 'unknown' WHEN NOT benchmark_eligible THEN 'excluded' WHEN value_kind = 'derived' THEN 'derived' WHEN value_kind = 'simulated' THEN 'simulated' WHEN semantic_type = 'attribute' THEN 'announced' ELSE 'observed' END"
 
 
-@query("value_cell", f"{M.sql('facts')} SELECT p_partkey, fact_id, {VALUE_CELL} AS state FROM part LEFT JOIN facts ON project_id = p_partkey AND line = 2")
+@query("value_cell", f"{M.sql('facts')} SELECT p_partkey, concat_ws(':', 'fact', fact_id) AS fact, {VALUE_CELL} AS state FROM part LEFT JOIN facts ON project_id = p_partkey AND line = 2")
 def value_cell(spark, d):
     facts = M.read(spark, d, "facts").where("line = 2").withColumnRenamed("project_id", "p_partkey")
-    return A.table(spark, d, "part").select("p_partkey").join(facts, "p_partkey", "left").select("p_partkey", "fact_id", F.expr(VALUE_CELL).alias("state"))
+    return A.table(spark, d, "part").select("p_partkey").join(facts, "p_partkey", "left").select("p_partkey", F.concat_ws(":", F.lit("fact"), F.col("fact_id").cast("string")).alias("fact"), F.expr(VALUE_CELL).alias("state"))
 
 
 @query("qualitative_authorized", f"{M.sql('facts', 'records')} SELECT f.fact_id, f.project_id, f.field_name FROM facts f JOIN records r ON r.evidence_id = f.source_id WHERE f.semantic_type = 'attribute' AND f.quality_status = 'certified' AND r.publish_permission = 'authorized' AND r.availability = 'available'")

@@ -365,10 +365,10 @@ def history_context(spark, d):
     return own.agg(F.count("*").alias("events"), F.count_if(F.col("status") == "certified").alias("certified"), F.count_if(F.col("direction") == "increase").alias("increases"), F.count_if(F.col("direction") == "decrease").alias("decreases"), F.max(F.abs("percent")).alias("largest"), F.min_by("event_id", F.struct(rank, "event_id")).alias("agenda"))
 
 
-@query("history_materialize", f"{PH._assessed} SELECT entity_id, field, count(*) AS candidates, count(*) FILTER (status <> 'insufficient') AS materialized, count(*) FILTER (status = 'insufficient') AS excluded, max(CASE WHEN status <> 'insufficient' THEN event_id END) AS last_event FROM assessed GROUP BY 1, 2")
+@query("history_materialize", f"{PH._assessed} SELECT entity_id, field, count(*) AS candidates, count(*) FILTER (status <> 'insufficient') AS materialized, count(*) FILTER (status = 'insufficient') AS excluded, coalesce(max(CASE WHEN status <> 'insufficient' THEN event_id END), -1) AS last_event FROM assessed GROUP BY 1, 2")
 def history_materialize(spark, d):
     kept = F.col("status") != "insufficient"
-    return PH.assessed(spark, d).groupBy("entity_id", "field").agg(F.count("*").alias("candidates"), F.count_if(kept).alias("materialized"), F.count_if(~kept).alias("excluded"), F.max(F.when(kept, F.col("event_id"))).alias("last_event"))
+    return PH.assessed(spark, d).groupBy("entity_id", "field").agg(F.count("*").alias("candidates"), F.count_if(kept).alias("materialized"), F.count_if(~kept).alias("excluded"), F.coalesce(F.max(F.when(kept, F.col("event_id"))), F.lit(-1)).alias("last_event"))
 
 
 @query("benchmark_context", f"""{M.sql('facts')}, q AS (SELECT project_id, count(*) AS facts, count(*) FILTER (semantic_type = 'attribute') AS attributes, count(*) FILTER (semantic_type = 'price_per_m2' AND benchmark_eligible) AS references_, avg(CASE WHEN semantic_type = 'price_per_m2' AND benchmark_eligible THEN normalized_value END) AS mean FROM facts GROUP BY 1)
