@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
-from .shared import written
+from .shared import release, written
 
 WIDTH = 5
 SHARE = 80  #: per cent of the union that the intersection has at least
@@ -141,6 +141,8 @@ def levels(docs: DataFrame) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
     for k, counts in zip(got["slice"].to_pylist(), got["counts"].to_pylist(), strict=True):
         total[k * SLICE : (k + 1) * SLICE] = np.frombuffer(counts, np.int64)
+    del got
+    release()
     chance = np.median(total)
     over = total - chance
     return np.where(over >= 4 + 5 * np.sqrt(chance), np.log2(np.maximum(over, 1)) + 1, 0).astype(np.uint8)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import fold, written
+from .shared import fold, release, written
 
 PER_LANGUAGE = 1500  #: documents of each language that the fit sees at most
 WINDOWS = 2  #: windows of each of those, spread over the text
@@ -161,9 +161,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, held_
     rows = own.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(cut, "doc_id long, k int, y int, window binary")
     rows = written(rows.groupBy("doc_id", "k").agg(F.min(F.struct("y", "window")).alias("z")).select("doc_id", "k", "z.y", "z.window"), "language-sample")
     got = rows.orderBy("doc_id", "k").toArrow()
-    raw = got["window"].to_pylist()
+    raw, y = got["window"].to_pylist(), got["y"].to_numpy().copy()
+    del got
+    release()
     windows = np.frombuffer(b"".join(x.ljust(LENGTH, b"\0") for x in raw), np.uint8).reshape(-1, LENGTH)
-    return train(windows, np.array([len(x) for x in raw], np.int64), got["y"].to_numpy(), names)
+    return train(windows, np.array([len(x) for x in raw], np.int64), y, names)
 
 
 def predict(network: Network, text: str = "text") -> Column:

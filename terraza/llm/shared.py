@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,11 @@ from pyspark.sql import functions as F
 from terraza.sources.scratch import folder, written  # noqa: F401  the operators take them from here
 
 
+def release() -> None:
+    """Gives back to the system what Arrow keeps of tables that the driver no longer needs."""
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import bounded, fold, labelled_sample, written
+from .shared import bounded, fold, labelled_sample, release, written
 
 PER_CLASS = 4000  #: labelled documents of each class that the fit sees at most
 MOST = 1 << 24  #: terms of all those documents that the fit sees at most
@@ -97,9 +97,10 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int =
     size = np.fromiter(map(len, rows), np.int64, len(rows))
     offs, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(rows) if n_terms else np.zeros(0, np.int64)
     alone, paired = shrinkage(flat, np.repeat(y, size), n_terms, n0, n1)
-    b, u, p = np.zeros(1, np.float32), np.zeros(n_terms, np.float32), rng.normal(0, 0.01, (n_terms, rank)).astype(np.float32)
+    b, u, p = np.zeros(1, np.float32), np.zeros(n_terms, np.float32), np.asfortranarray(rng.normal(0, 0.01, (n_terms, rank)).astype(np.float32))
     weigh = np.where(y == 1, len(y) / max(1, 2 * n1), len(y) / max(1, 2 * n0))
-    params, moments, step = [b, u, p], [(np.zeros_like(x), np.zeros_like(x)) for x in (b, u, p)], 0
+    params = [b, u, *(p[:, f] for f in range(rank))]  # a factor's column at a time, so that gradients are vectors
+    moments, step = [(np.zeros_like(x), np.zeros_like(x)) for x in params], 0
     steps = epochs * -(-len(rows) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -113,9 +114,14 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, n_terms: int, rank: int =
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * weigh[batch] / len(batch)
             own = g[row]
             each = (own * paired[term])[:, None] * (xv[row] - v)
-            grads = [g.sum(keepdims=True), np.bincount(term, own, n_terms) * alone + 1e-4 * u, np.stack([np.bincount(term, each[:, f], n_terms) for f in range(rank)], 1) + 3e-3 * p]
             step += 1
-            for x, (m, s), d in zip(params, moments, grads, strict=True):
+            for k, (x, (m, s)) in enumerate(zip(params, moments, strict=True)):
+                if k == 0:
+                    d = g.sum(keepdims=True)
+                elif k == 1:
+                    d = np.bincount(term, own, n_terms) * alone + 1e-4 * u
+                else:
+                    d = np.bincount(term, each[:, k - 2], n_terms) + 3e-3 * x
                 d = d.astype(np.float32)
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
@@ -145,6 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
     lists = got["terms"].combine_chunks()
     terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     rows = np.split(flat, np.cumsum(lists.value_lengths().to_numpy())[:-1])
+    del got, lists
+    release()
     batches = -(-len(rows) // BATCH)
     return Machine(terms, *fit_machine(rows, y, len(terms), epochs=min(60, max(6, -(-350 // batches)))))
 
