@@ -273,10 +273,10 @@ def top_competitors(spark, d):
     return L.rank_within(own, "district", 3, F.abs(F.col("price") - 200000), F.col("listing_id")).select("district", "listing_id", "rank")
 
 
-_canonical = "CASE WHEN id LIKE 'project:%' THEN id WHEN id LIKE 'observed:nexo-%' THEN concat('project:nexo-', substr(id, 15)) WHEN id LIKE 'observed:%' THEN NULL ELSE concat('project:nexo-', id) END"
-_observed = "CASE WHEN id LIKE 'observed:%' THEN id WHEN id LIKE 'project:nexo-%' THEN concat('observed:nexo-', substr(id, 14)) WHEN id LIKE 'project:%' THEN NULL ELSE concat('observed:nexo-', id) END"
-_legacy = "CASE WHEN id LIKE 'project:nexo-%' THEN substr(id, 14) WHEN id LIKE 'observed:nexo-%' THEN substr(id, 15) WHEN contains(id, ':') THEN NULL ELSE id END"
-_names = "concat(CASE p_partkey % 5 WHEN 0 THEN 'project:' WHEN 1 THEN 'project:nexo-' WHEN 2 THEN 'observed:nexo-' WHEN 3 THEN 'observed:' ELSE '' END, p_partkey)"
+_canonical = "CASE WHEN id LIKE 'project:%' THEN id WHEN id LIKE 'observed:feed-%' THEN concat('project:feed-', substr(id, 15)) WHEN id LIKE 'observed:%' THEN NULL ELSE concat('project:feed-', id) END"
+_observed = "CASE WHEN id LIKE 'observed:%' THEN id WHEN id LIKE 'project:feed-%' THEN concat('observed:feed-', substr(id, 14)) WHEN id LIKE 'project:%' THEN NULL ELSE concat('observed:feed-', id) END"
+_legacy = "CASE WHEN id LIKE 'project:feed-%' THEN substr(id, 14) WHEN id LIKE 'observed:feed-%' THEN substr(id, 15) WHEN contains(id, ':') THEN NULL ELSE id END"
+_names = "concat(CASE p_partkey % 5 WHEN 0 THEN 'project:' WHEN 1 THEN 'project:feed-' WHEN 2 THEN 'observed:feed-' WHEN 3 THEN 'observed:' ELSE '' END, p_partkey)"
 query("join_id_translation", f"WITH a AS (SELECT p_partkey, {_names} AS id FROM part), u AS (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1) SELECT p_partkey, {_canonical} AS canonical, {_observed} AS observed, {_legacy} AS legacy, uses FROM a LEFT JOIN u ON l_partkey = p_partkey")(
     lambda spark, d: A.table(spark, d, "part").selectExpr("p_partkey", f"{_names} AS id").join(A.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("uses")), "p_partkey", "left").selectExpr("p_partkey", f"{_canonical} AS canonical", f"{_observed} AS observed", f"{_legacy} AS legacy", "uses")
 )
