@@ -18,7 +18,13 @@ def positive(x: str) -> Column:
 def project_listing(df: DataFrame) -> DataFrame:
     """Typed projection with fallbacks: a price or area of zero is missing, and the published price per m2 follows from both."""
     price, area = positive("price"), positive("area")
-    return df.select("listing_id", S.clean("agency").alias("agency"), S.words("district").alias("district_key"), S.slug("typology").alias("typology_key"), price.alias("price"), area.alias("area"), S.half_up(S.ratio(price, area), 2).alias("price_m2"), F.coalesce("units", F.lit(0)).alias("units"))
+    placed = S.valid_coordinate(F.col("lat"), F.col("lon"))
+    more = [
+        S.clean("district").alias("district"), S.clean("typology").alias("typology"), S.clean("segment").alias("segment"), S.clean("amenities").alias("amenities"), "phase", F.when(F.col("currency").isin("PEN", "USD"), F.col("currency")).otherwise("unknown").alias("currency"), "captured_at",
+        F.coalesce("bedrooms_min", F.lit(0)).alias("bedrooms_min"), F.coalesce("bedrooms_max", F.lit(0)).alias("bedrooms_max"), F.coalesce("delivery_year", F.lit(0)).alias("delivery_year"), F.when(placed, F.col("lat")).alias("lat"), F.when(placed, F.col("lon")).alias("lon"),
+        S.half_up(F.col("units") * F.col("price"), 2).alias("income"), S.half_up(F.col("units") * F.col("area"), 2).alias("total_m2"), F.concat(F.lit("project:feed-"), F.col("listing_id")).alias("project_id"), F.concat(F.lit("agency:"), S.slug("agency")).alias("agency_id"),
+    ]
+    return df.select("listing_id", S.clean("agency").alias("agency"), S.words("district").alias("district_key"), S.slug("typology").alias("typology_key"), price.alias("price"), area.alias("area"), S.half_up(S.ratio(price, area), 2).alias("price_m2"), F.coalesce("units", F.lit(0)).alias("units"), *more)
 
 
 def derive_income(df: DataFrame) -> DataFrame:

@@ -18,7 +18,12 @@ h = S.half_up_sql
 POS_PRICE, POS_AREA = "CASE WHEN price > 0 THEN price END", "CASE WHEN area > 0 THEN area END"
 
 
-@query("project_listing", f"{WITH} SELECT listing_id, {S.clean_sql('agency')} AS agency, {S.words_sql('district')} AS district_key, {S.slug_sql('typology')} AS typology_key, {POS_PRICE} AS price, {POS_AREA} AS area, {h(S.ratio_sql(f'({POS_PRICE})', f'({POS_AREA})'), 2)} AS price_m2, coalesce(units, 0) AS units FROM listings")
+_valid = S.valid_coordinate_sql("lat", "lon")
+_more = f"""{', '.join(f'{S.clean_sql(c)} AS {c}' for c in ('district', 'typology', 'segment', 'amenities'))}, phase, CASE WHEN currency IN ('PEN', 'USD') THEN currency ELSE 'unknown' END AS currency, captured_at, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('bedrooms_min', 'bedrooms_max', 'delivery_year'))},
+CASE WHEN {_valid} THEN lat END AS lat, CASE WHEN {_valid} THEN lon END AS lon, {h('units * price', 2)} AS income, {h('units * area', 2)} AS total_m2, concat('project:feed-', listing_id) AS project_id, concat('agency:', {S.slug_sql('agency')}) AS agency_id"""
+
+
+@query("project_listing", f"{WITH} SELECT listing_id, {S.clean_sql('agency')} AS agency, {S.words_sql('district')} AS district_key, {S.slug_sql('typology')} AS typology_key, {POS_PRICE} AS price, {POS_AREA} AS area, {h(S.ratio_sql(f'({POS_PRICE})', f'({POS_AREA})'), 2)} AS price_m2, coalesce(units, 0) AS units, {_more} FROM listings")
 def project_listing(spark, d):
     return L.project_listing(A.listings(spark, d))
 
