@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, licences, packing, pages, quality, tokencounts, toxicity, vectors
+from . import decontaminate, jaccard, language, licences, packing, pages, quality, ranked, sharding, tokencounts, toxicity, vectors, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_main_text, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op8_vector_dedup, op9_token_counts, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.op12(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op13(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_quality, op3_main_text, op4_licences, op5_packing, op6_language, op7_ngram_jaccard, op8_vector_dedup, op9_token_counts, op10_toxicity,
+        op11_whitening, op12_ranked_search, op13_sharding,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op12_ranked_search": ranked.SQL}
