@@ -70,14 +70,3 @@ def metric_projection(df: DataFrame, lat0: float, lon0: float) -> DataFrame:
     x = F.radians(F.col("lon") - lon0) * math.cos(math.radians(lat0)) * S.EARTH_M
     y = F.radians(F.col("lat") - lat0) * S.EARTH_M
     return df.select("listing_id", S.half_up(x, 2).alias("x"), S.half_up(y, 2).alias("y"))
-
-
-def in_rings(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd test against an array of rings of (x, y) structs, the first the border and the others holes."""
-
-    def inside(ring: Column) -> Column:
-        after = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-        crossed = F.zip_with(ring, after, lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]))
-        return F.size(F.filter(crossed, lambda c: c)) % 2 == 1
-
-    return inside(rings[0]) & ~F.exists(F.slice(rings, 2, F.size(rings)), inside)

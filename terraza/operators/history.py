@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.operators import ordered
 
 
 # Reasons against a change, in order of precedence, and those that only call for a review.
@@ -17,13 +18,13 @@ REVIEW = ("base_zero", "extreme_change")
 def lag_change(df: DataFrame) -> DataFrame:
     """Each observation with the one before it of the same entity and field; percent only over a base that is not 0.
 
-    Of the columns currency, evidence_state and semantic, those that are there come with their values before.
+    Of the columns currency, evidence_state and semantic, those that are there come with their values before. An entity may have any
+    number of observations: they are ordered in ranges, and the last of each range is carried on.
     """
-    w = W.partitionBy("entity_id", "field").orderBy("ts", "event_id")
     more = [c for c in ("currency", "evidence_state", "semantic") if c in df.columns]
     flags = [c for c in ("resolved", "duplicate") if c in df.columns]
-    lagged = (F.lag(c).over(w).alias(f"previous_{c}") for c in more)
-    own = df.select("event_id", "entity_id", "field", "ts", "value", F.lag("value").over(w).alias("previous"), F.lag("ts").over(w).alias("previous_ts"), *more, *lagged, *flags)
+    own = df.select("event_id", "entity_id", "field", "ts", "value", *more, *flags)
+    own = ordered.lagged(own, ["entity_id", "field"], ["ts", "event_id"], previous="value", previous_ts="ts", **{f"previous_{c}": c for c in more})
     delta = S.half_up(F.col("value") - F.col("previous"), 2)
     out = own.withColumn("delta", delta).withColumn("percent", S.half_up(S.ratio(F.col("delta") * 100, F.col("previous")), 2))
     return out.where(F.col("previous").isNotNull())

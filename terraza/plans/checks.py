@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.operators import checks as C
+from terraza.operators import graphs as G
+from terraza.operators import ordered as O
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import model as M
-from terraza.sources.scratch import written
 
 # (collection, its column, the referenced table, its key)
 REFERENCES = (
@@ -98,16 +99,35 @@ def check_pilot(spark, d):
     return own.agg(F.array(*rows).alias("r")).select(F.inline("r")).where("expected <> found")
 
 
-#: Collections in the order that they are published in, and the id that they should be ordered by.
-_order = "SELECT observation_id AS id, o_position AS position FROM (SELECT o_orderkey AS observation_id, o_orderkey + CASE WHEN o_orderkey % 97 = 5 THEN 3 ELSE 0 END AS o_position FROM orders)"
-for _name in ("deterministic_order", "check_order"):
+#: Collections in the order that they are published in: the table, the id that they should be ordered by, and the position; some records are out of place.
+COLLECTIONS = {
+    "listings": ("orders", "o_orderkey", "o_orderkey + CASE WHEN o_orderkey % 97 = 5 THEN 3 ELSE 0 END"), "projects": ("part", "p_partkey", "CASE WHEN p_partkey % 71 = 9 THEN p_partkey + 150 ELSE p_partkey END"),
+    "sources": ("supplier", "s_suppkey", "s_suppkey"), "agencies": ("customer", "c_custkey", "CASE WHEN c_custkey = 40 THEN 0 ELSE c_custkey END"),
+}
+_ordered = "\nUNION ALL ".join(f"SELECT '{name}' AS collection, {key} AS id, {position} AS position FROM {table}" for name, (table, key, position) in COLLECTIONS.items())
+_order = lambda where: f"WITH own AS ({_ordered}), l AS (SELECT *, lag(id) OVER (PARTITION BY collection ORDER BY position, id DESC) AS before FROM own) SELECT collection, id, before FROM l WHERE before > id AND {where}"
+
+
+def _out_of_order(spark, d, names):
+    parts = [A.table(spark, d, COLLECTIONS[n][0]).selectExpr(f"'{n}' AS collection", f"CAST({COLLECTIONS[n][1]} AS BIGINT) AS id", f"CAST({COLLECTIONS[n][2]} AS BIGINT) AS position") for n in names]
+    return O.out_of_order(C.union(parts), ["collection"], "position", "id").select("collection", "id", "before")
+
+
+@query("deterministic_order", _order("collection = 'listings'"))
+def deterministic_order(spark, d):
+    return _out_of_order(spark, d, ["listings"])
+
 
-    @query(_name, f"WITH own AS ({_order}), l AS (SELECT *, lag(id) OVER (PARTITION BY position // 1000 ORDER BY position, id DESC) AS before FROM own) SELECT id, before, 'COLLECTION_ORDER' AS code FROM l WHERE before > id")
-    def check_order(spark, d):
-        own = A.table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderkey + CASE WHEN o_orderkey % 97 = 5 THEN 3 ELSE 0 END AS position")
-        # Runs of 1,000 positions are checked on their own, so that no window holds the collection.
-        run = W.partitionBy(F.floor(F.col("position") / 1000)).orderBy("position", F.desc("id"))
-        return own.withColumn("before", F.lag("id").over(run)).where("before > id").select("id", "before", F.lit("COLLECTION_ORDER").alias("code"))
+_event_breaks = "SELECT event_id, ts, lag(ts) OVER (ORDER BY position, event_id) AS before FROM (SELECT event_id, ts, CASE WHEN event_id % 499 = 7 THEN event_id + 20 ELSE event_id END AS position FROM events)"
+
+
+@query("check_order", f"WITH e AS ({_event_breaks}) SELECT 'COLLECTION_ORDER' AS code, collection, id FROM ({_order('true')}) UNION ALL SELECT 'EVENT_ORDER', 'events', event_id FROM e WHERE before > ts")
+def check_order(spark, d):
+    """Collections by their ids, and events by their times: every record that stands after a larger one, across the whole collection."""
+    events = A.table(spark, d, "events").selectExpr("event_id", "ts", "CASE WHEN event_id % 499 = 7 THEN event_id + 20 ELSE event_id END AS position")
+    events = O.lagged(events, [], ["position", "event_id"], before="ts").where("before > ts")
+    own = _out_of_order(spark, d, COLLECTIONS).select(F.lit("COLLECTION_ORDER").alias("code"), "collection", "id")
+    return own.unionByName(events.select(F.lit("EVENT_ORDER").alias("code"), F.lit("events").alias("collection"), F.col("event_id").alias("id")))
 
 
 ROOT_RULES = {
@@ -232,18 +252,25 @@ def partial_validation(spark, d):
     return C.union([each(*x) for x in _collections])
 
 
-@query("derivation_cycle", """WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey AS a, CASE WHEN l_partkey % 50 = 9 THEN l_partkey - 9 ELSE l_partkey + 1 END AS b FROM lineitem WHERE l_partkey % 50 < 10), walk AS (SELECT a AS head, b AS tail, 1 AS steps FROM edges UNION SELECT w.head, e.b, w.steps + 1 FROM walk w JOIN edges e ON e.a = w.tail WHERE w.steps < 16)
-SELECT head AS project_id, min(steps) AS length FROM walk WHERE head = tail GROUP BY 1""")
+#: What each project's facts derive from, for every project with facts: in blocks of 64 projects that are one cycle, or chains of 16 that end, or a
+#: cycle of 40 with three chains of 8 into it; in every second block some projects also derive from one further on.
+_in = "l_partkey % 64"
+DERIVED = {
+    "next": f"CASE l_partkey // 64 % 3 WHEN 0 THEN l_partkey // 64 * 64 + (l_partkey + 1) % 64 WHEN 1 THEN CASE WHEN l_partkey % 16 < 15 THEN l_partkey + 1 END ELSE CASE WHEN {_in} = 39 THEN l_partkey - 39 WHEN {_in} >= 40 AND l_partkey % 8 = 7 THEN l_partkey - {_in} + 5 ELSE l_partkey + 1 END END",
+    "also": f"CASE WHEN l_partkey // 64 % 2 = 1 AND l_partkey % 7 = 3 AND {_in} < 60 THEN l_partkey + 2 END",
+}
+
+
+@query("derivation_cycle", f"""WITH RECURSIVE p AS (SELECT DISTINCT l_partkey FROM lineitem), e AS (SELECT l_partkey AS a, unnest([{', '.join(DERIVED.values())}]) AS b FROM p), edges AS (SELECT DISTINCT a, b FROM e WHERE b IN (FROM p)),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b), cyclic AS (SELECT a AS node FROM reach WHERE a = b),
+held AS (SELECT node FROM cyclic UNION SELECT x.b FROM reach x WHERE x.a IN (FROM cyclic) AND x.b IN (SELECT a FROM reach WHERE b IN (FROM cyclic))),
+linked AS (SELECT a, b FROM edges WHERE a IN (FROM held) AND b IN (FROM held) UNION SELECT b, a FROM edges WHERE a IN (FROM held) AND b IN (FROM held)),
+joined AS (SELECT a, b FROM linked UNION SELECT j.a, n.b FROM joined j JOIN linked n ON n.a = j.b), c AS (SELECT a AS project_id, min(b) AS component FROM joined GROUP BY 1)
+SELECT project_id, component, count(*) OVER (PARTITION BY component) AS nodes FROM c""")
 def derivation_cycle(spark, d):
-    """Facts that derive from themselves: walks are extended by one edge at a time, up to 16, and every round is written."""
-    key = F.col("l_partkey")
-    edges = A.table(spark, d, "lineitem").where(key % 50 < 10).select(key.alias("a"), F.when(key % 50 == 9, key - 9).otherwise(key + 1).alias("b")).distinct()
-    edges = written(edges, "edges")
-    step = edges.select(F.col("a").alias("at"), F.col("b").alias("next"))
-    walk, closed = edges.select(F.col("a").alias("start"), F.col("b").alias("at")), []
-    for length in range(1, 17):
-        closed.append(walk.where("start = at").select(F.col("start").alias("project_id"), F.lit(length).alias("length")))
-        walk = written(walk.where("start <> at").join(step, "at").select("start", F.col("next").alias("at")).distinct(), "walks")
-        if walk.isEmpty():
-            break
-    return C.union(closed).groupBy("project_id").agg(F.min("length").alias("length"))
+    """Projects whose facts derive from themselves, or lie between such ones: leaves of the derivation graph are peeled until none is left."""
+    spark_sql = {k: e.replace("//", "div") for k, e in DERIVED.items()}
+    known = A.table(spark, d, "lineitem").select("l_partkey").distinct()
+    edges = known.select(F.col("l_partkey").alias("a"), F.explode(F.array(*(F.expr(e) for e in spark_sql.values()))).alias("b"))
+    edges = edges.join(known.select(F.col("l_partkey").alias("b")), "b", "left_semi")
+    return G.cyclic(edges).select(F.col("node").alias("project_id"), "component", "nodes")

@@ -345,19 +345,6 @@ query("scenario_scope_build", f"{LISTINGS}, own AS (SELECT listing_id, {_inside}
 )
 
 
-@query("geography_model", f"""{LISTINGS}, ok AS (SELECT * FROM listings WHERE {VALID}), top AS (SELECT district_id, count(*) AS n FROM ok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7), mid AS (SELECT o.district_id, quantile_cont(lat, 0.5) AS mid_lat, quantile_cont(lon, 0.5) AS mid_lon FROM ok o JOIN top t ON t.district_id = o.district_id GROUP BY 1)
-SELECT o.district_id, count(*) AS assigned, {h('max(mid_lat)', 6)} AS mid_lat, {h('max(mid_lon)', 6)} AS mid_lon, count(*) FILTER (lat >= mid_lat AND lon >= mid_lon) AS ne, count(*) FILTER (lat >= mid_lat AND lon < mid_lon) AS nw, count(*) FILTER (lat < mid_lat AND lon >= mid_lon) AS se, count(*) FILTER (lat < mid_lat AND lon < mid_lon) AS sw FROM ok o JOIN mid m ON m.district_id = o.district_id GROUP BY 1""")
-def geography_model(spark, d):
-    own = A.listings(spark, d, "district_id", "lat", "lon").where(S.valid_coordinate(F.col("lat"), F.col("lon")))
-    top = own.groupBy("district_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "district_id").limit(7).select("district_id")
-    own = written(own.join(top, "district_id", "left_semi"), "points")
-    lat, lon = (exact(own, ["district_id"], c, 0.5).select("district_id", F.col("q")[0].alias(f"mid_{c}")) for c in ("lat", "lon"))
-    middle = F.broadcast(lat.join(lon, "district_id"))  # seven rows
-    north, east = F.col("lat") >= F.col("mid_lat"), F.col("lon") >= F.col("mid_lon")
-    quarters = {"ne": north & east, "nw": north & ~east, "se": ~north & east, "sw": ~north & ~east}
-    return own.join(middle, "district_id").groupBy("district_id").agg(F.count("*").alias("assigned"), S.half_up(F.max("mid_lat"), 6).alias("mid_lat"), S.half_up(F.max("mid_lon"), 6).alias("mid_lon"), *(F.count_if(c).alias(k) for k, c in quarters.items()))
-
-
 @query("history_context", f"{PH._assessed} SELECT field, count(*) AS events, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (direction = 'increase') AS increases, count(*) FILTER (direction = 'decrease') AS decreases, max(abs(percent)) AS largest, arg_min(event_id, (CASE status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END, event_id)) AS agenda FROM assessed WHERE direction <> 'unchanged' GROUP BY 1")
 def history_context(spark, d):
     rank = F.when(F.col("status") == "certified", 0).when(F.col("status") == "reviewable", 1).otherwise(2)
@@ -413,24 +400,3 @@ def sink_geojson(spark, d):
 def sink_report(spark, d):
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
     return C.union([*(one(c, M.read(spark, d, c)) for c in ("facts", "observations", "issues", "records")), one("eligible_facts", M.read(spark, d, "facts").where("benchmark_eligible"))])
-
-
-_points = "SELECT o_orderkey AS listing_id, -12.2e0 + (o_orderkey * 37 % 1000) / 1e4 AS y, -77.1e0 + (o_orderkey * 91 % 1000) / 1e4 AS x, o_custkey % 25 AS polygon FROM orders"
-_corner = lambda k: (f"-77.0999e0 + {k}[1] * 1e-2 + (n_nationkey % 5) * 1e-3", f"-12.1999e0 + {k}[2] * 1e-2 + (n_nationkey // 5) * 1e-3")
-# Two rings of each polygon, the second a hole, in hundredths of a degree from its corner.
-OUTER, HOLE = ((0, 0), (8, 1), (9, 7), (4, 9), (1, 6)), ((3, 3), (6, 3), (5, 6))
-
-
-@query("theta_join_point_in_polygon", f"""WITH p AS ({_points}), corners AS (SELECT n_nationkey AS polygon, unnest([{', '.join(f'[{r}, {i}, {x}, {y}]' for r, ring in enumerate((OUTER, HOLE)) for i, (x, y) in enumerate(ring))}]) AS c FROM nation),
-spots AS (SELECT polygon, c[1] AS ring, c[2] AS i, -77.0999e0 + c[3] * 1e-2 + (polygon % 5) * 1e-3 AS x, -12.1999e0 + c[4] * 1e-2 + (polygon // 5) * 1e-3 AS y FROM corners),
-edges AS (SELECT a.polygon, a.ring, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM spots a JOIN spots b ON b.polygon = a.polygon AND b.ring = a.ring AND b.i = (a.i + 1) % CASE a.ring WHEN 0 THEN {len(OUTER)} ELSE {len(HOLE)} END),
-crossed AS (SELECT listing_id, ring, count(*) FILTER ((ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / (by_ - ay) + ax) % 2 = 1 AS inside FROM p JOIN edges e ON e.polygon = p.polygon GROUP BY 1, 2)
-SELECT listing_id, bool_or(ring = 0 AND inside) AND NOT bool_or(ring = 1 AND inside) AS inside FROM crossed GROUP BY 1""")
-def polygon_table(spark, d):
-    """Points against the polygon of their district: a join on the district's id, then an even-odd test over arrays of rings."""
-    key = F.col("n_nationkey")
-    corner = lambda x, y: F.struct((F.lit(-77.0999) + x * 1e-2 + (key % 5) * 1e-3).alias("x"), (F.lit(-12.1999) + y * 1e-2 + F.floor(key / 5) * 1e-3).alias("y"))
-    polygons = A.table(spark, d, "nation").select(key.cast("long").alias("polygon"), F.array(*(F.array(*(corner(x, y) for x, y in ring)) for ring in (OUTER, HOLE))).alias("rings"))
-    order = F.col("o_orderkey")
-    points = A.table(spark, d, "orders").select(order.alias("listing_id"), (-12.2 + (order * 37 % 1000) / 1e4).alias("y"), (-77.1 + (order * 91 % 1000) / 1e4).alias("x"), (F.col("o_custkey") % 25).alias("polygon"))
-    return points.join(polygons, "polygon").select("listing_id", G.in_rings(F.col("x"), F.col("y"), F.col("rings")).alias("inside"))
