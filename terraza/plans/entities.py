@@ -198,7 +198,7 @@ def mention(spark, d):
     return A.table(spark, d, "conversations").select("conv_id", "turn", "text").crossJoin(F.broadcast(names)).select("conv_id", "turn", F.explode(held).alias("n_name"))
 
 
-_said = "CASE WHEN (conv_id + turn) % 4 = 0 THEN concat('¿Qué cambió en ', lower(n.n_name), ' y en ', c.n_name, '? ', left(text, 40)) ELSE left(text, 60) END"
+_said = "CASE WHEN (conv_id + turn) % 4 = 0 THEN concat('¿Qué cambió en ', lower(n.n_name), ' y en ', c.n_name, '? ', text) ELSE text END"
 
 
 @query("foreign_district_mention", f"""WITH q AS (SELECT conv_id, turn, c.n_nationkey AS home, {S.words_sql(_said)} AS asked FROM conversations JOIN nation c ON c.n_nationkey = conv_id % 25 JOIN nation n ON n.n_nationkey = (conv_id * 7 + turn) % 25 WHERE role = 'user')
@@ -209,7 +209,7 @@ def foreign_mention(spark, d):
     names = nation.agg(F.collect_list(F.struct("n_nationkey", "n_name", S.words("n_name").alias("words"))).alias("names"))
     own, other = (nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(f"name_{k}")) for k in ("home", "other"))
     asked = A.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text", (F.col("conv_id") % 25).cast("int").alias("home"), ((F.col("conv_id") * 7 + F.col("turn")) % 25).cast("int").alias("other")).join(own, "home").join(other, "other")
-    said = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, F.concat(F.lit("¿Qué cambió en "), F.lower("name_other"), F.lit(" y en "), F.col("name_home"), F.lit("? "), F.left("text", F.lit(40)))).otherwise(F.left("text", F.lit(60)))
+    said = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, F.concat(F.lit("¿Qué cambió en "), F.lower("name_other"), F.lit(" y en "), F.col("name_home"), F.lit("? "), "text")).otherwise(F.col("text"))
     held = F.filter("names", lambda x: (x["n_nationkey"] != F.col("home")) & F.contains("asked", x["words"]))
     return asked.select("conv_id", "turn", "home", S.words(said).alias("asked")).crossJoin(F.broadcast(names)).select("conv_id", "turn", F.explode(held).alias("n")).select("conv_id", "turn", "n.n_name")
 

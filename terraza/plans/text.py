@@ -51,26 +51,28 @@ def split_list(spark, d):
 #: Questions of users: what people ask, in words of their own or those suggested, before the text of the turn.
 ASKED = ("¿Cuál es la lectura principal del escenario activo?", "Dame un resumen del panorama", "¿Por qué bajó el precio?", "¿A qué precio de cierre se vendió?", "Busca en internet", "¿Qué cambió?", "Compara los proyectos", "¿Qué señal reviso primero?", "Pronóstico de demanda", "cobertura", "acabados y documentos", "")
 _turns = "(conv_id * 5 + turn) % 12"
-_question = f"concat(CASE {_turns} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ASKED))} END, CASE WHEN {_turns} > 5 THEN concat(' ', left(text, CASE WHEN turn > 5 THEN 600 ELSE 40 END)) ELSE '' END)"
+_question = f"concat(CASE {_turns} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ASKED))} END, CASE WHEN {_turns} > 5 THEN concat(' ', text) ELSE '' END)"
 _explicit = "CASE WHEN conv_id % 19 = 3 THEN 'market-changes' WHEN conv_id % 19 = 4 THEN 'other' END"
 _contract, _has_scenario = "conv_id % 23 > 0", "conv_id % 7 > 0"
-_parts = T.classify_sql("question", "explicit")
-_own = f"WITH own AS (SELECT conv_id, turn, {_question} AS question, {_explicit} AS explicit, {_contract} AS contract, {_has_scenario} AS scenario FROM conversations WHERE role = 'user')"
+_parts = T.classify_sql("q", "explicit")
+_own = f"WITH turns AS (SELECT conv_id, turn, {_question} AS question, {_explicit} AS explicit, {_contract} AS contract, {_has_scenario} AS scenario FROM conversations WHERE role = 'user'), own AS (SELECT *, {T.normalised_sql('question')} AS q FROM turns)"
 
 
 def questions(spark, d):
-    return A.table(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"{_question} AS question", f"{_explicit} AS explicit", f"{_contract} AS contract", f"{_has_scenario} AS scenario")
+    """Users' questions, whole, with their normalised text and what they are found to ask for."""
+    own = A.table(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"{_question} AS question", f"{_explicit} AS explicit", f"{_contract} AS contract", f"{_has_scenario} AS scenario")
+    return own.withColumn("q", T.normalised(F.col("question"))).withColumn("found", T.classify(F.col("q"), F.col("explicit")))
 
 
 @query("intent_classify", f"{_own} SELECT conv_id, turn, {', '.join(f'{e} AS {c}' for c, e in _parts.items())} FROM own")
 def intent_classify(spark, d):
-    return questions(spark, d).select("conv_id", "turn", T.classify(F.col("question"), F.col("explicit")).alias("c")).select("conv_id", "turn", "c.*")
+    return questions(spark, d).select("conv_id", "turn", "found.*")
 
 
-@query("assistant_guard", f"""{_own}, c AS (SELECT *, {T.normalised_sql('question')} AS q, {_parts['intent']} AS intent, {_parts['matched_by']} AS matched_by FROM own)
+@query("assistant_guard", f"""{_own}, c AS (SELECT *, {_parts['intent']} AS intent, {_parts['matched_by']} AS matched_by FROM own)
 SELECT conv_id, turn, CASE WHEN NOT contract THEN 'contract_unavailable' WHEN q = '' OR length(question) > {T.STATUS_LIMIT} THEN 'invalid_input' WHEN matched_by = 'limitation' THEN 'refused' WHEN intent IS NULL THEN 'unknown_intent' WHEN NOT scenario THEN 'insufficient' ELSE 'ready' END AS status FROM c""")
 def assistant_guard(spark, d):
-    return questions(spark, d).select("conv_id", "turn", T.guard(F.col("question"), F.col("explicit"), F.col("contract"), F.col("scenario")).alias("status"))
+    return questions(spark, d).select("conv_id", "turn", T.guard(F.col("question"), F.col("q"), F.col("found"), F.col("contract"), F.col("scenario")).alias("status"))
 
 
 for _f, _name in ((S.half_up, "half_up"), (S.round_js, "round_js"), (S.round_away, "round_away")):

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions import unicode as U
 from terraza.functions.quantiles import exact
 from terraza.operators import checks as C
 from terraza.operators import geo as G
@@ -29,26 +30,31 @@ def rule(name: str, table: str, key: str, alias: str, sql: str, column) -> None:
 # Names of kinds of homes and the kind each stands for.
 TYPOLOGY = {"departamento": "departamento", "departamentos": "departamento", "depa": "departamento", "flat": "departamento", "casa": "casa", "casas": "casa", "duplex": "duplex", "triplex": "triplex", "loft": "loft"}
 _home = "CASE p_size % 6 WHEN 0 THEN 'Depa' WHEN 1 THEN ' FLAT' WHEN 2 THEN 'Departamentos' WHEN 3 THEN 'CASAS' WHEN 4 THEN 'Dúplex' ELSE p_type END"
-_compare = lambda x: f"lower(trim(regexp_replace({S.unaccent_sql(x)}, '[_-]+', ' ', 'g')))"
+_white = r"[\t-\r ]+"
+_compare = lambda x: f"regexp_replace(regexp_replace(lower(regexp_replace({U.unmarked_sql(x)}, '^{_white}|{_white}$', '', 'g')), '[_-]+', ' ', 'g'), '{_white}', ' ', 'g')"
 
 
 def text_compare(x):
-    return F.lower(F.trim(F.regexp_replace(S.unaccent(x), "[_-]+", " ")))
+    """Without marks, in lower case, trimmed; underscores, dashes and white space are single blanks."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(U.unmarked(x), f"^{_white}|{_white}$", "")), "[_-]+", " "), _white, " ")
 
 
+#: Whole texts, in every second row with the commonest letters written as a letter and a mark.
+_written = lambda key: f"CASE WHEN {key} % 2 = 0 THEN replace(replace(replace(text, 'é', 'e\u0301'), 'ñ', 'n\u0303'), 'á', 'a\u0301') ELSE text END"
 rule("norm_district", "nation", "n_nationkey", "district_key", S.words_sql("n_name"), lambda: S.words("n_name"))
-rule("norm_history_name", "benchmark", "item_id", "name", S.words_sql("left(text, 60)"), lambda: S.words(F.left("text", F.lit(60))))
-rule("norm_term", "documents", "doc_id", "term", "lower(trim(left(text, 40)))", lambda: F.lower(F.trim(F.left("text", F.lit(40)))))
-rule("norm_search", "documents", "doc_id", "term", f"lower({S.unaccent_sql('left(text, 40)')})", lambda: F.lower(S.unaccent(F.left("text", F.lit(40)))))
-rule("norm_text_compare", "part", "p_partkey", "name", _compare("concat(p_name, '_', p_type, '-É')"), lambda: text_compare(F.concat("p_name", F.lit("_"), "p_type", F.lit("-É"))))
+rule("norm_history_name", "benchmark", "item_id", "name", U.words_sql(_written("item_id")), lambda: U.words(F.expr(_written("item_id"))))
+rule("norm_term", "documents", "doc_id", "term", f"lower(regexp_replace(nfc_normalize({_written('doc_id')}), '^{_white}|{_white}$', '', 'g'))", lambda: F.lower(F.regexp_replace(U.normal(F.expr(_written("doc_id")), "NFC"), f"^{_white}|{_white}$", "")))
+rule("norm_search", "documents", "doc_id", "term", f"lower({U.unmarked_sql(_written('doc_id'))})", lambda: F.lower(U.unmarked(F.expr(_written("doc_id")))))
+_named = "concat(' ', p_name, '_', chr(9), p_type, '--É', 'e\u0301 ', chr(10))"
+rule("norm_text_compare", "part", "p_partkey", "name", _compare(_named), lambda: text_compare(F.expr(_named)))
 rule("norm_typology", "part", "p_partkey", "kind", f"coalesce(MAP {TYPOLOGY}[{_compare(_home)}], {_compare(_home)})", lambda: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TYPOLOGY.items() for x in kv)), text_compare(F.expr(_home))), text_compare(F.expr(_home))))
 rule("slug_typology", "part", "p_partkey", "slug", S.slug_sql("concat(p_type, ' — ', p_name)"), lambda: S.slug(F.concat("p_type", F.lit(" — "), "p_name")))
 rule("slug_stable", "customer", "c_custkey", "slug", S.slug_sql("CASE WHEN c_custkey % 7 = 0 THEN '--' ELSE c_name END"), lambda: S.slug(F.expr("CASE WHEN c_custkey % 7 = 0 THEN '--' ELSE c_name END")))
 _money = "CASE o_orderpriority WHEN '1-URGENT' THEN 'PEN' WHEN '2-HIGH' THEN 'USD' WHEN '3-MEDIUM' THEN 'pen' ELSE NULL END"
 rule("norm_currency", "orders", "o_orderkey", "currency", f"CASE WHEN {_money} IN ('PEN', 'USD') THEN {_money} ELSE 'unknown' END", lambda: F.expr(f"CASE WHEN {_money} IN ('PEN', 'USD') THEN {_money} ELSE 'unknown' END"))
-_safe = r"coalesce(trim(regexp_replace(left(text, 200), '[<>\x00-\x1f]', '', 'g')), '')"
-rule("safe_text", "benchmark", "item_id", "safe", _safe, lambda: T.safe_text(F.left("text", F.lit(200))))
-rule("norm_query", "benchmark", "item_id", "query", S.words_sql(_safe), lambda: S.words(T.safe_text(F.left("text", F.lit(200)))))
+_marked = "concat(' <b>', chr(7), text, chr(10), '</b> ')"
+rule("safe_text", "benchmark", "item_id", "safe", T.safe_text_sql(_marked), lambda: T.safe_text(F.expr(_marked)))
+rule("norm_query", "benchmark", "item_id", "query", T.normalised_sql(_written("item_id")), lambda: T.normalised(F.expr(_written("item_id"))))
 rule("issue_id", "events", "event_id", "issue_id", "concat('issue:', regexp_replace(concat(event_type, '.', event_id), '[^a-z0-9]+', '-', 'g'))", lambda: F.concat(F.lit("issue:"), F.regexp_replace(F.concat("event_type", F.lit("."), F.col("event_id").cast("string")), "[^a-z0-9]+", "-")))
 _id, _idp, _shap = "concat(CASE WHEN doc_id % 9 = 0 THEN 'Doc' ELSE 'doc' END, ':', source, '-', doc_id)", "^[a-z][a-z0-9_-]*:[a-z0-9][a-z0-9._-]*$", "^[a-f0-9]{64}$"
 query("id_pattern", f"SELECT doc_id, regexp_matches({_id}, '{_idp}') AS id_ok, regexp_matches(CASE WHEN doc_id % 5 = 0 THEN upper(sha256(text)) ELSE sha256(text) END, '{_shap}') AS sha_ok FROM documents")(

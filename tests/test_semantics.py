@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
+from terraza.functions import unicode as U
 from terraza.functions.quantiles import exact
 from terraza.operators import geo as G
 from terraza.operators import history as H
@@ -37,10 +38,18 @@ def test_text(spark):
 
 def test_intents(spark):
     rows = [("Dame un resumen", True, True, "ready"), ("¿Por qué subió el precio? resumen", True, True, "refused"), ("zzz", True, True, "unknown_intent"), (None, True, True, "invalid_input"), ("<> ", True, True, "invalid_input"), ("resumen " * 90, True, True, "invalid_input"), ("resumen", False, True, "contract_unavailable"), ("resumen", True, False, "insufficient")]
-    df = spark.createDataFrame(rows, "text string, contract boolean, scenario boolean, want string")
-    none = F.lit(None).cast("string")
-    assert [r[0] for r in df.select(T.guard(F.col("text"), none, F.col("contract"), F.col("scenario"))).collect()] == [r[3] for r in rows]
-    one_by = lambda text, explicit=None: spark.range(1).select(T.classify(F.lit(text), F.lit(explicit).cast("string"))).first()[0]
+    df = spark.createDataFrame(rows, "text string, contract boolean, scenario boolean, want string").withColumn("q", T.normalised(F.col("text"))).withColumn("found", T.classify(F.col("q"), F.lit(None).cast("string")))
+    assert [r[0] for r in df.select(T.guard(F.col("text"), F.col("q"), F.col("found"), F.col("contract"), F.col("scenario"))).collect()] == [r[3] for r in rows]
+    one_by = lambda text, explicit=None: spark.range(1).select(T.classify(T.normalised(F.lit(text)), F.lit(explicit).cast("string"))).first()[0]
+    asks = {  # what people ask, and what it should be taken for
+        "¿Por qué se dio el aumento de los precios?": "causality", "¿Cuál fue el motivo de la baja?": "causality", "¿Qué provocó que subieran?": "causality", "¿Cuál será la absorción?": "prediction", "haz un forecast": "prediction", "Dame los leads": "personal_data", "busca en Google": "external_data",
+        "¿Qué calidad tiene la muestra?": "coverage-quality", "Muéstrame los documentos": "qualitative-evidence", "diferencias entre proyectos": "project-comparison", "prioriza la agenda": "signal-priority", "evolución de precios": "market-changes", "límites de esta demo": "limitations", "panorama": "scenario-summary",
+        "precio general del distrito": None, "subasta": None,
+    }
+    found = {q: one_by(q) for q in asks}
+    assert {q: f["topic"] or f["intent"] for q, f in found.items()} == asks
+    own = (T.Rule("intent", "greeting", (("hola ", "buenos dias "),)),)
+    assert spark.range(1).select(T.classify(T.normalised(F.lit("¡Hola, hola!")), F.lit(None).cast("string"), own)["intent"]).first()[0] == "greeting"
     assert tuple(one_by("¿A qué precio de cierre se vendió?", "scenario-summary")) == ("limitations", "closing_price", "limitation")
     assert tuple(one_by("hola", "scenario-summary")) == ("scenario-summary", None, "explicit_intent")
     assert tuple(one_by("qué SEÑAL certificada conviene revisar primero")) == ("signal-priority", None, "suggested_question")
@@ -48,6 +57,13 @@ def test_intents(spark):
     assert tuple(one_by("hola")) == (None, None, "unknown")
 
 
+def test_normal_forms(spark):
+    """Marks go from letters of any script, however they were written; letters that only look marked stay."""
+    assert one(spark, U.unmarked(F.lit("e\u0301ñŽởΆй łø")), U.words(F.lit("A\u030angströ\u0308m — ŻÓŁW"))) == ("enZoΑи łø", "angstrom zo w")
+    assert one(spark, U.normal(F.lit("n\u0303"), "NFC"), U.normal(F.lit("ñ"), "NFD"), U.normal(F.lit(None).cast("string"))) == ("ñ", "n\u0303", None)
+    assert one(spark, T.safe_text(F.lit(" <a>\x07b\tc\n")), T.safe_text(F.lit(None).cast("string"))) == ("ab\tc", "")
+
+
 def test_distance_and_polygon(spark):
     metres = S.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.00449660181862269), F.lit(0.0))
     assert one(spark, S.half_up(metres, 6)) == (500.0,)
