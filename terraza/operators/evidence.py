@@ -13,6 +13,7 @@ PATTERNS = {
     "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "local_path": r"(/home/|/Users/|[A-Z]:\\)",
     "traversal": r"\.\./",
+    "messaging_app": r"[Ww][Hh][Aa][Tt][Ss] ?[Aa][Pp][Pp]",
 }
 
 

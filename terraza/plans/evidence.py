@@ -105,8 +105,3 @@ FROM part a FULL JOIN (SELECT l_partkey, CAST(max(l_quantity) AS INTEGER) AS siz
 def merge_supplemental(spark, d):
     more = A.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part_id")).agg(F.max("l_quantity").cast("int").alias("p_size"))
     return E.merge_supplement(A.table(spark, d, "part").withColumnRenamed("p_partkey", "part_id"), more, "part_id", "p_size")
-
-
-@query("json_path_select", "SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.page')) AS with_page FROM events GROUP BY 1")
-def json_select(spark, d):
-    return A.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.page")).alias("with_page"))

@@ -3,11 +3,13 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terraza.functions import paths as P
 from terraza.functions import semantics as S
 from terraza.functions import unicode as U
 from terraza.functions.quantiles import exact
 from terraza.operators import checks as C
-from terraza.operators import geo as G
+from terraza.operators import documents as D
+from terraza.operators import evidence as E
 from terraza.operators import history as H
 from terraza.operators import listings as L
 from terraza.operators import text as T
@@ -76,18 +78,45 @@ def json_canonical(spark, d):
     return A.table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_size").alias("size")), {"ignoreNullFields": "false"}).alias("json"))
 
 
-_doc = """concat('{"id": ', event_id, ', "owner": {"email": "u', user_id, '@x.org", "k": ', event_id % 9, '}, "kind": "', event_type, '"}')"""
+#: A document of each event, up to seven levels deep, with arrays in arrays, empty parts and some keys and values that may not be published.
+_doc = """concat('{"id": ', event_id, ', "kind": "', event_type, '", "value": ', CAST(event_id % 7 AS VARCHAR(9)), '.25, "props": ', props, ', "owner": {', CASE WHEN event_id % 10 = 0 THEN concat('"email": "u', user_id, '@x.org"') ELSE concat('"name": "u', user_id, '"') END,
+', "tags": ["a", ', event_id % 9, ', [true, ["x", {"deep": {"note": "', CASE WHEN event_id % 17 = 0 THEN 'ask +51 999 888 777' ELSE 'ok' END, '"}}]]]}, "policy": {"contains_contact_pii": ', CASE WHEN event_id % 13 = 0 THEN 'true' ELSE 'false' END, '}, "empty": {}, "none": null, "list": []',
+CASE WHEN event_id % 19 = 0 THEN ', "old_phone_2": 5' ELSE '' END, CASE WHEN event_id % 101 = 0 THEN '' ELSE '}' END)"""
+_tree = f"""docs AS (SELECT event_id, {_doc} AS text FROM events), tree AS (SELECT event_id, t.fullkey AS path, CASE WHEN t.fullkey LIKE '%]' OR t.fullkey = '$' THEN NULL ELSE regexp_extract(t.fullkey, '[.]([^.]+)$', 1) END AS name,
+CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, t.atom ->> '$' AS value FROM (SELECT event_id, CAST(text AS JSON) AS j FROM docs WHERE json_valid(text)) d, json_tree(d.j) t)"""
 
 
-@query("json_recursive_scan", f"""WITH a AS (SELECT event_id, CAST({_doc} AS JSON) AS j FROM events WHERE event_id % 3 = 0), top AS (SELECT event_id, unnest(json_keys(j)) AS key, j FROM a), own AS (SELECT event_id, concat('$.', key) AS path, json_extract_string(j, concat('$.', key)) AS value, json_type(j, concat('$.', key)) AS kind, key FROM top),
-inner_keys AS (SELECT event_id, path, unnest(json_keys(CAST(value AS JSON))) AS key, value FROM own WHERE kind = 'OBJECT')
-SELECT event_id, path, value FROM own WHERE kind <> 'OBJECT' UNION ALL SELECT event_id, concat(path, '.', key), json_extract_string(CAST(value AS JSON), concat('$.', key)) FROM inner_keys""")
+def walked(spark, d):
+    return D.walk(A.table(spark, d, "events").select("event_id", F.expr(_doc).alias("text")), "event_id", "text")
+
+
+@query("json_recursive_scan", f"WITH {_tree} SELECT event_id, path, kind, value FROM tree UNION ALL SELECT event_id, '$', 'invalid', NULL FROM docs WHERE NOT json_valid(text)")
 def json_scan(spark, d):
-    flat = lambda x: F.explode(F.from_json(x, "map<string,string>"))
-    top = A.table(spark, d, "events").where("event_id % 3 = 0").select("event_id", flat(F.expr(_doc)).alias("key", "value")).withColumn("path", F.concat(F.lit("$."), "key"))
-    nested = F.startswith("value", F.lit("{"))
-    inner = top.where(nested).select("event_id", "path", flat(F.col("value")).alias("key", "value")).select("event_id", F.concat("path", F.lit("."), "key").alias("path"), "value")
-    return top.where(~nested).select("event_id", "path", "value").unionByName(inner)
+    return walked(spark, d).select("event_id", "path", "kind", "value")
+
+
+_forbidden = " OR ".join(f"contains(concat('_', lower(name), '_'), '_{w}_')" for w in D.FORBIDDEN_WORDS)
+_breaks = [f"SELECT event_id, path, 'forbidden_key' AS code FROM tree WHERE ({_forbidden}) AND NOT (name IN ('contains_contact_pii', 'raw_payloads_included') AND kind = 'boolean' AND value = 'false')"]
+_breaks += [f"SELECT event_id, path, '{k}' FROM tree WHERE kind = 'string' AND regexp_matches(value, '{p}')" for k, p in E.PATTERNS.items()]
+query("check_document_privacy", f"WITH {_tree} {' UNION ALL '.join(_breaks)}")(lambda spark, d: D.private(walked(spark, d), "event_id"))
+
+
+#: Paths into an order with its lines: a plain one, all elements, those that a field tells, nested arrays, and fields that aren't there.
+PATHS = {"owner": "owner.id", "numbers": "lines[].line", "returned": "lines[R].line", "notes": "lines[A].notes[]", "kinds": "lines[].kind.flag", "absent": "owner.none", "nothing": "owner[].id"}
+_picked = lambda where, what: f"array_to_string(list_transform(list_filter(ls, lambda x: {where}), lambda x: {what}), ',')"
+
+
+@query("json_path_select", f"""WITH l AS (SELECT l_orderkey, list({{'line': l_linenumber, 'flag': l_returnflag, 'status': l_linestatus}} ORDER BY l_linenumber, l_returnflag, l_linestatus) AS ls FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS owner, coalesce({_picked('true', 'x.line')}, '') AS numbers, coalesce({_picked("x.flag = 'R' OR x.status = 'R'", 'x.line')}, '') AS returned, coalesce({_picked("x.flag = 'A' OR x.status = 'A'", "concat('n', x.line, ',', x.status)")}, '') AS notes,
+coalesce({_picked('true', 'x.flag')}, '') AS kinds, 1 AS absent, 0 AS nothing FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def json_select(spark, d):
+    """Values at paths of an order's document; an order has few lines."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.struct(F.col("l_returnflag").alias("flag")).alias("kind"), F.array(F.concat(F.lit("n"), F.col("l_linenumber").cast("string")), "l_linestatus").alias("notes"))
+    lines = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    own = A.table(spark, d, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", F.struct(F.struct(F.col("o_custkey").alias("id")).alias("owner"), "lines").alias("order"))
+    found = {k: P.at(path, "order", own.schema) for k, path in PATHS.items()}
+    counted = {k: F.size(found.pop(k)) for k in ("absent", "nothing")}
+    return own.select("o_orderkey", *(F.array_join(v.cast("array<string>"), ",").alias(k) for k, v in found.items()), *(v.alias(k) for k, v in counted.items()))
 
 
 _stamp = "concat('20', lpad(CAST(event_id % 30 AS VARCHAR(10)), 2, '0'), '-', lpad(CAST(event_id % 14 AS VARCHAR(10)), 2, '0'), '-', lpad(CAST(event_id % 33 AS VARCHAR(10)), 2, '0'), 'T', lpad(CAST(event_id % 25 AS VARCHAR(10)), 2, '0'), ':', lpad(CAST(event_id % 61 AS VARCHAR(10)), 2, '0'), ':00', CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+05:30' WHEN 2 THEN '-24:00' ELSE '' END)"
