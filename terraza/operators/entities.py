@@ -9,21 +9,6 @@ from pyspark.sql import functions as F
 from terraza.functions import semantics as S
 
 
-def exact_matches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs just once on either side. Counts come before the join, so no group meets a group."""
-    alone = lambda df: df.groupBy(key).agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in df.columns if c != key)).where("times = 1").drop("times")
-    return alone(left).join(alone(right), key)
-
-
-def registry(names: DataFrame, name: str, domain: str) -> DataFrame:
-    """Each name's stable id, or manual review where its domain has several names."""
-    own = names.select(S.words(name).alias("normalized"), F.col(domain).alias("domain")).where("normalized <> ''").distinct()
-    shared = own.groupBy("domain").agg(F.countDistinct("normalized").alias("names"))
-    own = own.join(shared, "domain", "left")
-    review = F.col("domain").isNotNull() & (F.col("names") > 1)
-    return own.select("normalized", "domain", F.when(~review, F.concat(F.lit("agency:"), F.replace("normalized", F.lit(" "), F.lit("-")))).alias("agency_id"), F.when(review, "manual_review").otherwise("resolved").alias("resolution"))
-
-
 def alias_join(df: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
     """The agency of each source name; null is unresolved."""
     return df.select("*", S.words(name).alias("alias")).join(aliases, "alias", "left")

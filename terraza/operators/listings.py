@@ -155,10 +155,6 @@ def share_of_top_agency(df: DataFrame) -> DataFrame:
     return own.select("district", "top", "total", S.half_up(share, 4).alias("share"), (share >= 0.22).alias("concentrated"))
 
 
-def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).limit(n)
-
-
 def rank_within(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)

@@ -40,19 +40,21 @@ def lagged(df: DataFrame, by: list[str], order: list[str], **columns: str) -> Da
     return out.withColumns({name: F.when(carried, F.col(f"_first._of_{name}")).otherwise(F.col(name)) for name in columns}).drop(*MARKS)
 
 
-def ranked(df: DataFrame, order: dict[str, str], name: str = "rank") -> DataFrame:
-    """df with each row's place in the whole order, from 1: no task sorts or counts more than a range.
+def ranked(df: DataFrame, order: dict[str, str], by: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """df with each row's place in the whole order of its group, from 1: no task sorts or counts more than a range.
 
     order gives sort columns as SQL expressions, each with "asc" or "desc"; nulls come last either way. Rows that tie on all of them have
-    different places in no certain order, so the last column is usually an id.
+    different places in no certain order, so the last column is usually an id. Without by, the table is one group; null groups are groups.
     """
     keys = {f"_k{i}": (F.expr(c), way) for i, (c, way) in enumerate(order.items())}
     sort = [F.asc_nulls_last(k) if way == "asc" else F.desc_nulls_last(k) for k, (_, way) in keys.items()]
-    ranges = _ranged(df.withColumns({k: c for k, (c, _) in keys.items()}), sort)
-    counts = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_first"))  # a row for each range
-    inner = ranges.withColumn("_seen", F.row_number().over(W.partitionBy("_part").orderBy(*sort)))
-    return inner.join(F.broadcast(before), "_part").withColumn(name, F.col("_first") + F.col("_seen")).drop(*MARKS, *keys)
+    ranges = _ranged(df.withColumns({k: c for k, (c, _) in keys.items()}), [*by, *sort])
+    counts = ranges.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_part").alias("_of"), *(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), (F.sum("_n").over(W.partitionBy(*by).orderBy("_part")) - F.col("_n")).alias("_first"))  # a row for each range and group in it
+    inner = ranges.withColumn("_seen", F.row_number().over(W.partitionBy("_part", *by).orderBy(*sort)))
+    same = [F.col("_part") == F.col("_of"), *(F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by))]
+    out = inner.join(before, same).withColumn(name, F.col("_first") + F.col("_seen"))
+    return out.drop(*MARKS, *keys, "_of", *(f"_by{i}" for i in range(len(by))))
 
 
 def out_of_order(df: DataFrame, by: list[str], position: str, key: str) -> DataFrame:

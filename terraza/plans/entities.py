@@ -12,24 +12,6 @@ from terraza.sources import adapter as A
 LISTINGS, FACTS, EVIDENCE, CHANGES = (f"WITH {x}" for x in (A.LISTINGS_SQL, A.FACTS_SQL, A.EVIDENCE_SQL, A.CHANGES_SQL))
 
 
-@query("join_exact_match", """WITH l AS (SELECT s_nationkey AS k, min(s_suppkey) AS supplier FROM supplier GROUP BY 1 HAVING count(*) = 1), r AS (SELECT c_nationkey AS k, min(c_custkey) AS customer FROM customer WHERE c_acctbal > 9800 GROUP BY 1 HAVING count(*) = 1)
-SELECT l.k AS nation, supplier, customer FROM l JOIN r ON l.k = r.k""")
-def join_exact_match(spark, d):
-    left = A.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"))
-    right = A.table(spark, d, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"))
-    return N.exact_matches(left, right, "nation")
-
-
-_names = f"WITH own AS (SELECT DISTINCT {S.words_sql('title')} AS normalized, domain FROM (SELECT regexp_extract(html, '<title>([^<]*)', 1) AS title, {T.domain_sql('url')} AS domain FROM pages) WHERE {S.words_sql('title')} <> '')"
-
-
-@query("agency_registry", f"""{_names}, s AS (SELECT domain, count(DISTINCT normalized) AS names FROM own GROUP BY 1)
-SELECT o.normalized, o.domain, CASE WHEN NOT (o.domain IS NOT NULL AND coalesce(names, 0) > 1) THEN concat('agency:', replace(o.normalized, ' ', '-')) END AS agency_id, CASE WHEN o.domain IS NOT NULL AND names > 1 THEN 'manual_review' ELSE 'resolved' END AS resolution FROM own o LEFT JOIN s ON s.domain = o.domain""")
-def agency_registry(spark, d):
-    pages = A.table(spark, d, "pages").select(F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), T.domain(F.col("url")).alias("domain"))
-    return N.registry(pages, "title", "domain")
-
-
 @query("join_alias_agency", f"SELECT s.s_suppkey, {S.words_sql('s.s_name')} AS alias, c.agency FROM supplier s LEFT JOIN (SELECT {S.words_sql('c_name')} AS alias, min(c_custkey) AS agency FROM customer GROUP BY 1) c ON replace({S.words_sql('s.s_name')}, 'supplier', 'customer') = c.alias")
 def join_alias(spark, d):
     aliases = A.table(spark, d, "customer").groupBy(S.words("c_name").alias("alias")).agg(F.min("c_custkey").alias("agency")).withColumn("alias", F.replace("alias", F.lit("customer"), F.lit("supplier")))

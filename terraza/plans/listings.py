@@ -161,11 +161,6 @@ def share_of_top_agency(spark, d):
     return L.share_of_top_agency(A.listings(spark, d, "district", "agency"))
 
 
-@query("sort_projects", f"{WITH} SELECT listing_id, area FROM listings ORDER BY nullif(area, 0) DESC NULLS FIRST, listing_id LIMIT 50")
-def sort_projects(spark, d):
-    return L.top_n(A.listings(spark, d, "listing_id", "area"), 50, F.desc_nulls_first(F.nullif("area", F.lit(0.0))), F.col("listing_id")).select("listing_id", "area")
-
-
 @query("catalog_model", f"{WITH} SELECT district, listing_id, ppm_r, rank FROM (SELECT district, listing_id, {h('ppm', 2)} AS ppm_r, CAST(row_number() OVER (PARTITION BY district ORDER BY ppm NULLS LAST, listing_id) AS INTEGER) AS rank FROM listings WHERE phase = 'F') WHERE rank <= 18")
 def catalog_model(spark, d):
     own = L.rank_within(A.listings(spark, d, "district", "listing_id", "ppm", "phase").where("phase = 'F'"), "district", 18, F.asc_nulls_last("ppm"), F.col("listing_id"))

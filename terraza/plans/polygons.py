@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from terraza.functions import semantics as S
 from terraza.operators import cells as C
 from terraza.operators import districts as D
+from terraza.operators import sets as E
 from terraza.registry import query
 from terraza.sources import adapter as A
+from terraza.sources.scratch import written
 
 WIDTH = 0.002
 # (part, ring, corners): in ten-thousandths of a degree from the district's corner.
@@ -86,3 +88,57 @@ def geography_assignments(spark, d):
 @query("geography_exclusions", f"WITH {ASSIGNED} SELECT coalesce({_stage}, 'counted') AS stage, coalesce(reason, 'counted') AS reason, count(*) AS listings FROM assigned GROUP BY ALL")
 def geography_exclusions(spark, d):
     return D.exclusions(assigned(spark, d))
+
+
+# Those who read a scenario's projects.
+CONSUMERS = ("map", "market_reading", "comparator", "assistant")
+METRES = 3000
+
+
+def _scenarios(spark, d):
+    """(district_id, mode, listing_id) of each consumer: its own route to the listings that a scenario compares, in the district, its north-east and a radius."""
+    own = written(assigned(spark, d), "assignments")
+    known = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id")).distinct()
+    ids = own.select("listing_id", "district_id", "quadrant", "lat", "lon", "mid_lat", "mid_lon")
+    near = S.haversine(F.col("mid_lat"), F.col("mid_lon"), F.col("lat"), F.col("lon")) <= METRES
+    modes = lambda df: df.withColumn("mode", F.explode(F.array_compact(F.array(F.lit("district"), F.when(F.col("quadrant") == "NE", "quadrant"), F.when(near, "radius"))))).select("district_id", "mode", "listing_id")
+    # The map takes what the ledger leaves; the reading starts from the points in polygons; the comparator takes the ledger's rows away; the assistant meets three lists.
+    ways = {"map": modes(own.where("high_load and reason is null"))}
+    points = listings(spark, d).where(S.valid_coordinate(F.col("lat"), F.col("lon"))).select(F.col("listing_id").alias("point"), "district_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    inside = C.within(points, polygons(spark, d), "polygon", WIDTH).where("polygon = district_id").select(F.col("point").alias("listing_id"))
+    ways["market_reading"] = modes(ids.where("quadrant is not null").join(inside.join(known, "listing_id", "left_semi"), "listing_id", "left_semi"))
+    ways["comparator"] = modes(ids.join(own.where("reason is not null").select("listing_id"), "listing_id", "left_anti"))
+    three = [own.where(c).select("listing_id") for c in ("high_load", "coordinate_valid and polygon_valid", "reconciled")]
+    ways["assistant"] = modes(ids.join(three[0].intersect(three[1]).intersect(three[2]), "listing_id", "left_semi"))
+    return ways
+
+
+def _prints(spark, d, planted=False):
+    out = None
+    for name, sets in _scenarios(spark, d).items():
+        if planted and name == "comparator":  # one listing of each of some districts is taken for another
+            sets = sets.withColumn("listing_id", F.when((F.col("listing_id") % 97 == 3), -F.col("listing_id")).otherwise(F.col("listing_id")))
+        own = E.fingerprints(sets, ["district_id", "mode"], "listing_id").withColumn("consumer", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_near = f"{S.haversine_sql('mid_lat', 'mid_lon', 'lat', 'lon')} <= {METRES}"
+_modes = f"scoped AS (SELECT district_id, unnest(['district', CASE WHEN quadrant = 'NE' THEN 'quadrant' END, CASE WHEN {_near} THEN 'radius' END]) AS mode, listing_id FROM assigned WHERE high_load AND reason IS NULL)"
+_each = f"(SELECT unnest([{', '.join(f"'{c}'" for c in CONSUMERS)}]) AS consumer)"
+
+
+@query("scenario_scope_build", f"WITH {ASSIGNED}, {_modes} SELECT consumer, f.* FROM ({E.fingerprints_sql('(SELECT * FROM scoped WHERE mode IS NOT NULL)', 'district_id, mode', 'listing_id')}) f, {_each}")
+def scenario_scope_build(spark, d):
+    """What each consumer compares in each scenario, as fingerprints of lists that came by different routes."""
+    return _prints(spark, d)
+
+
+_member = "CASE WHEN consumer = 'comparator' AND listing_id % 97 = 3 THEN -listing_id ELSE listing_id END"
+
+
+@query("check_scope_consumers", f"""WITH {ASSIGNED}, {_modes}, each AS (SELECT consumer, district_id, mode, {_member} AS id FROM scoped, {_each} WHERE mode IS NOT NULL), f AS ({E.fingerprints_sql('each', 'consumer, district_id, mode', 'id')})
+SELECT district_id, mode, count(DISTINCT (members, hash_sum, hash_xor)) AS distinct_sets, 4 - count(DISTINCT consumer) AS missing, count(DISTINCT (members, hash_sum, hash_xor)) = 1 AND count(DISTINCT consumer) = 4 AS agree FROM f GROUP BY 1, 2""")
+def check_scope_consumers(spark, d):
+    """Scenarios whose consumers' lists differ, where one consumer takes some listings for others."""
+    return E.agreement(_prints(spark, d, planted=True), ["district_id", "mode"], "consumer", CONSUMERS)

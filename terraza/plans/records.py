@@ -196,17 +196,6 @@ def unique_sorted(spark, d):
     return M.read(spark, d, "facts").groupBy("observation_id").agg(F.array_join(F.array_sort(F.collect_set("field_name")), ",").alias("fields"))  # at most seven names
 
 
-_stage = {"geography": "evidence_status = 'missing'", "eligibility": "currency <> 'PEN'", "price": "price < 150000"}
-_first = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in _stage.items()) + " END"
-_at = "CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(_stage.values())) + " END"
-
-
-@query("sort_exclusions", f"{M.sql('observations')} SELECT observation_id, {_first} AS stage FROM observations WHERE ({_first}) IS NOT NULL ORDER BY {_at}, observation_id LIMIT 500")
-def sort_exclusions(spark, d):
-    own = M.read(spark, d, "observations").select("observation_id", F.expr(_first).alias("stage"), F.expr(_at).alias("at")).where("stage is not null")
-    return own.orderBy("at", "observation_id").limit(500).select("observation_id", "stage")
-
-
 @query("token_extract", """WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS original, unnest(range(len(string_split(p_name, ' ')))) AS position FROM part), k AS (SELECT p_partkey, concat('attribute:', lower(original)) AS attribute_id, original, position FROM t WHERE original <> '')
 SELECT p_partkey, attribute_id, arg_min(original, position) AS original, min(position) AS position FROM k GROUP BY 1, 2""")
 def token_extract(spark, d):

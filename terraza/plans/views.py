@@ -172,17 +172,6 @@ def legacy_price(spark, d):
     return A.listings(spark, d, "listing_id", "units", "ppm", "phase", "area", "price").select("listing_id", S.half_up(F.coalesce(F.expr(_ppm), S.ratio(F.col("price"), F.expr(_area))), 4).alias("price_m2"))
 
 
-@query("sort_catalog", f"{LISTINGS} SELECT listing_id, {h('ppm', 2)} AS ppm, phase FROM listings ORDER BY listings.ppm NULLS LAST, captured_at DESC, listing_id LIMIT 200")
-def sort_catalog(spark, d):
-    own = A.listings(spark, d, "listing_id", "ppm", "phase", "captured_at").orderBy(F.asc_nulls_last("ppm"), F.desc("captured_at"), "listing_id").limit(200)
-    return own.select("listing_id", S.half_up("ppm", 2).alias("ppm"), "phase")
-
-
-@query("sort_events", "SELECT event_id, ts FROM events ORDER BY ts, CAST(event_id AS VARCHAR) LIMIT 300")
-def sort_events(spark, d):
-    return A.table(spark, d, "events").orderBy("ts", F.col("event_id").cast("string")).limit(300).select("event_id", "ts")
-
-
 @query("sample_head", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 240")
 def sample_head(spark, d):
     return A.table(spark, d, "documents").orderBy("doc_id").limit(240).select("doc_id", "n_chars")
@@ -348,14 +337,6 @@ def pilot_preconditions(spark, d):
     return one.select(F.inline(F.array(row("mandatory", "m", F.col("m") >= 10), row("alias_pair", "p", F.col("p") == 2), row("no_contradiction", "c", F.col("c") == 0))))
 
 
-@query("authoritative_projects", """WITH a AS (SELECT p_partkey AS id, p_name AS name, 'catalog' AS origin FROM part), b AS (SELECT DISTINCT l_partkey + 1000 AS id, 'fixture' AS name FROM lineitem WHERE l_quantity > 49) SELECT coalesce(a.id, b.id) AS project_id, coalesce(a.name, b.name) AS name, CASE WHEN a.id IS NULL THEN 'fixture' WHEN b.id IS NULL THEN 'catalog' ELSE 'collision' END AS origin FROM a FULL JOIN b ON b.id = a.id""")
-def authoritative_projects(spark, d):
-    listed = A.table(spark, d, "part").select(F.col("p_partkey").alias("project_id"), F.col("p_name").alias("name"))
-    fixed = A.table(spark, d, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") + 1000).alias("project_id"), F.lit(True).alias("fixed")).distinct()
-    origin = F.when(F.col("name").isNull(), "fixture").when(F.col("fixed").isNull(), "catalog").otherwise("collision")
-    return listed.join(fixed, "project_id", "full").select("project_id", F.coalesce("name", F.lit("fixture")).alias("name"), origin.alias("origin"))
-
-
 # What a scenario may ask for.
 MODES, RADII, QUADRANTS = "'district', 'quadrant', 'radius'", "500, 1000, 1500, 2000", "'NE', 'NW', 'SE', 'SW'"
 _asked = {
@@ -369,17 +350,6 @@ query("scenario_validate", f"WITH a AS (SELECT o_orderkey, {', '.join(f'{e} AS {
     lambda spark, d: A.table(spark, d, "orders").selectExpr("o_orderkey", *(f"{e} AS {c}" for c, e in _asked.items())).selectExpr("o_orderkey", f"{_valid_scope} AS correction", f"{_given} AS scope_mode", f"CAST({_fallback} AS BIGINT) AS district_id")
 )
 
-VALID = S.valid_coordinate_sql("lat", "lon")
-_metres = S.haversine_sql("-12.15e0", "-77.05e0", "lat", "lon")
-_inside = f"{VALID} AND coalesce({_metres} <= 3000, false)"
-query("scenario_scope_build", f"{LISTINGS}, own AS (SELECT listing_id, {_inside} AS inside FROM listings), c AS (SELECT unnest(['map', 'comparables', 'benchmark', 'history']) AS consumer) SELECT consumer, count(*) FILTER (inside) AS projects, CAST(sum(CASE WHEN inside THEN listing_id END) AS BIGINT) AS id_sum, count(*) FILTER (NOT inside) AS excluded FROM own, c GROUP BY 1")(
-    lambda spark, d: A.listings(spark, d, "listing_id", "lat", "lon")
-    .withColumn("inside", S.valid_coordinate(F.col("lat"), F.col("lon")) & F.coalesce(S.haversine(F.lit(-12.15), F.lit(-77.05), F.col("lat"), F.col("lon")) <= 3000, F.lit(False)))
-    .agg(F.count_if("inside").alias("projects"), F.sum(F.when(F.col("inside"), F.col("listing_id"))).alias("id_sum"), F.count_if(~F.col("inside")).alias("excluded"))
-    .select(F.explode(F.array(*map(F.lit, ("map", "comparables", "benchmark", "history")))).alias("consumer"), "projects", "id_sum", "excluded")
-)
-
-
 @query("history_context", f"{PH._assessed} SELECT field, count(*) AS events, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (direction = 'increase') AS increases, count(*) FILTER (direction = 'decrease') AS decreases, max(abs(percent)) AS largest, arg_min(event_id, (CASE status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END, event_id)) AS agenda FROM assessed WHERE direction <> 'unchanged' GROUP BY 1")
 def history_context(spark, d):
     rank = F.when(F.col("status") == "certified", 0).when(F.col("status") == "reviewable", 1).otherwise(2)
