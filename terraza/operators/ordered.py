@@ -64,3 +64,15 @@ def out_of_order(df: DataFrame, by: list[str], position: str, key: str) -> DataF
     """
     own = df.withColumn("_down", F.lit(0) - F.col(key)) if dict(df.dtypes)[key] not in ("string",) else df.withColumn("_down", F.col(key))
     return lagged(own, by, [position, "_down"], before=key).where(F.col("before") > F.col(key)).drop("_down")
+
+
+def last_known(df: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
+    """(by, order, known): the last value of column that isn't null, up to and with each row, in rising order within its group."""
+    ranges = _ranged(df.select(*by, *order, column), [*by, *order])
+    window = W.partitionBy("_part", *by).orderBy(*order)
+    inner = ranges.withColumn("_seen", F.last(column, True).over(window))
+    place = F.struct(*(F.col(c) for c in order))
+    own = ranges.where(F.col(column).isNotNull()).groupBy("_part", *by).agg(F.max_by(column, place).alias("_last"))  # a row for each range and group in it
+    every = ranges.select("_part", *by).distinct().join(own, ["_part", *by], "left")
+    before = every.select("_part", *by, F.last("_last", True).over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_first"))
+    return inner.join(before, ["_part", *by]).select(*by, *order, F.coalesce("_seen", "_first").alias("known"))

@@ -1,6 +1,5 @@
 """Queries that check records: references, facts, permissions, issues, order, and the pilot."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.operators import entities as N
-from terraza.operators import text as T
 from terraza.registry import query
 from terraza.sources import adapter as A
 

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from terraza.operators import ordered as O
 from terraza.operators import rings as R
 from terraza.registry import query
 from terraza.sources import adapter as A
-from terraza.sources import files, scratch
+from terraza.sources import blobs, files, geojson, scratch
 
 
 @query("scan_required_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
@@ -25,28 +26,98 @@ def scan_json(spark, d):
     return found.select("n_regionkey", F.inline("nations"))
 
 
-@query("scan_geojson", "SELECT CAST(n_nationkey AS VARCHAR) AS relation, n_name AS name, CASE WHEN n_nationkey % 4 = 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind FROM nation WHERE n_nationkey % 4 > 0")
+#: A polygon, or two, around each listing of the part; a third of them are points, which are no polygons.
+_kind = "CASE o_orderkey % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'MultiPolygon' ELSE 'Polygon' END"
+_note = """CASE o_orderkey % 5 WHEN 0 THEN 'a "quoted" } brace' WHEN 1 THEN 'back\\slash [' ELSE o_orderpriority END"""
+
+
+def _features(spark, d):
+    at = lambda u, v: F.array(F.col("o_orderkey") % 1000 + u, F.col("o_custkey") % 1000 + v)
+    ring = F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 0))
+    coordinates = F.when(F.col("kind") == "MultiPolygon", F.to_json(F.array(F.array(ring)))).when(F.col("kind") == "Polygon", F.to_json(F.array(ring))).otherwise(F.to_json(at(0, 0)))
+    text = F.concat(F.lit('{"geometry":{"coordinates":'), coordinates, F.lit(',"type":"'), F.col("kind"), F.lit('"},"properties":'), F.to_json(F.struct(F.col("note").alias("name"), F.col("o_orderkey").cast("string").alias("relation"))), F.lit(',"type":"Feature"}'))
+    own = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr(_kind).alias("kind"), F.expr(_note.replace("\\", "\\\\")).alias("note"))
+    return own.select(F.col("o_orderkey").alias("relation"), text.alias("feature"))
+
+
+@query("scan_geojson", f"SELECT CAST(o_orderkey AS VARCHAR) AS relation, {_note} AS name, {_kind} AS kind FROM orders WHERE o_orderkey % 3 > 0")
 def scan_geojson(spark, d):
-    """A feature of each nation, in one collection of each region; points are no polygons and are left out."""
-    to, k = scratch.path(spark, "files"), F.col("n_nationkey")
-    kind = F.when(k % 4 == 0, "Point").when(k % 4 == 1, "MultiPolygon").otherwise("Polygon")
-    feature = F.struct(F.struct(k.cast("string").alias("relation"), F.col("n_name").alias("name")).alias("properties"), F.struct(kind.alias("type"), F.array(F.array(k, k)).alias("coordinates")).alias("geometry"))
-    own = A.table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(feature).alias("features"))
-    own.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"), F.col("n_regionkey").alias("part")).write.partitionBy("part").text(to)
-    return files.scan_geojson(spark, f"{to}/part=*").select("relation", "name", "kind")
+    """Collections of all listings, written and read again by ranges of bytes; points are no polygons and are left out."""
+    to = scratch.path(spark, "collections")
+    geojson.sink_many(_features(spark, d), to, 4000)
+    return geojson.scan(spark, to).select("relation", "name", "kind")
 
 
+@query("sink_geojson", f"""WITH o AS (SELECT *, {_kind} AS kind, o_orderkey % 1000 AS u, o_custkey % 1000 AS v FROM orders), r AS (SELECT *, concat('[[', u, ',', v, '],[', u + 1, ',', v, '],[', u + 1, ',', v + 1, '],[', u, ',', v, ']]') AS ring FROM o)
+SELECT rank AS nth, concat(CASE WHEN rank > 1 THEN ',' ELSE '' END, '{{"geometry":{{"coordinates":', CASE kind WHEN 'MultiPolygon' THEN concat('[[', ring, ']]') WHEN 'Polygon' THEN concat('[', ring, ']') ELSE concat('[', u, ',', v, ']') END, ',"type":"', kind, '"}},"properties":{{"name":', to_json({_note}), ',"relation":"', o_orderkey, '"}},"type":"Feature"}}') AS line
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rank FROM r)""")
+def sink_geojson(spark, d):
+    """The lines of the collection as they stand in the files, with their places."""
+    to = scratch.path(spark, "collection")
+    geojson.sink(_features(spark, d), to)
+    lines = spark.read.text(to).select("value", F.get_json_object(F.regexp_replace("value", "^,", ""), "$.properties.relation").cast("long").alias("o_orderkey"))
+    return O.ranked(lines.where("o_orderkey is not null"), {"o_orderkey": "asc"}, name="nth").select("nth", F.col("value").alias("line"))
+
+
+#: Every part has an asset: a text, JSON or an image; some are missing, changed, broken or listed under a path that isn't plain.
 _width, _height = "(p_partkey * 7 + p_size) % 16384", "(p_partkey * 3 + 5) % 16384"
+_format = "CASE p_partkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'json' ELSE 'webp' END"
+_path = "concat('assets/', p_partkey % 10, '/', p_partkey, '.', CASE p_partkey % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'json' ELSE 'webp' END)"
+_listed = f"CASE WHEN p_partkey % 37 = 4 THEN concat('assets/../', p_partkey) ELSE {_path} END"
+_faults = {"gone": "p_partkey % 29 = 3", "changed": "p_partkey % 23 = 2", "broken": "p_size % 10 = 3", "foreign": "p_size % 10 = 4"}
 
 
-@query("scan_binary_asset", f"SELECT p_partkey, CAST({_width} AS INTEGER) AS width, CAST({_height} AS INTEGER) AS height FROM part WHERE p_size % 10 <> 3")
-def binary_asset(spark, d):
-    """Sizes in the heads of images; each part has the head of one, some with another mark than that of the format, which have no size."""
+def _assets(spark, d):
+    """(manifest folder, root): the parts' assets as files, and manifests of them, one for each brand."""
     two = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
-    mark = F.when(F.col("p_size") % 10 == 3, "57454251").otherwise("57454250")
-    head = F.concat(F.lit("52494646"), F.lit("16000000"), mark, F.lit("56503820"), F.lit("0A000000"), F.lit("000000"), F.lit("9D012A"), two(F.expr(_width)), two(F.expr(_height)))
-    size = files.webp_size(F.unhex(head))
-    return A.table(spark, d, "part").select("p_partkey", size.alias("size")).where("size is not null").select("p_partkey", "size.width", "size.height")
+    mark = F.when(F.expr(_faults["broken"]), "57454251").otherwise("57454250")
+    image = F.unhex(F.concat(F.lit("52494646"), F.lit("16000000"), mark, F.lit("56503820"), F.lit("0A000000"), F.lit("000000"), F.lit("9D012A"), two(F.expr(_width)), two(F.expr(_height))))
+    text = F.when(F.expr(_faults["broken"]), F.unhex(F.lit("C328"))).otherwise(F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("0A"))))
+    json = F.encode(F.when(F.expr(_faults["broken"]), "{").when(F.expr(_faults["foreign"]), '{"features": 1}').otherwise(F.concat(F.lit('{"features": ['), F.col("p_size").cast("string"), F.lit("]}"))), "UTF-8")
+    content = F.when(F.expr(_format) == "text", text).when(F.expr(_format) == "json", json).otherwise(image)
+    own = A.table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name", content.alias("content"), F.expr(_format).alias("format"), F.expr(_path).alias("path"), F.expr(_listed).alias("listed"))
+    root, manifests = scratch.path(spark, "assets"), scratch.path(spark, "manifests")
+    blobs.write(own.where(f"NOT ({_faults['gone']})").select("path", "content"), root)
+    digest = F.when(F.expr(_faults["changed"]), F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.when(F.col("format") == "text", blobs.plain(F.col("content"))).otherwise(F.col("content")), 256))
+    entry = F.struct(F.col("listed").alias("path"), digest.alias("sha256"), "format")
+    # Some entries are listed twice; a manifest lists a few hundred assets at most, as its number is part of its name.
+    named = own.select(F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 500)).alias("document"), F.explode(F.when(F.col("p_partkey") % 19 == 0, F.array(entry, entry)).otherwise(F.array(entry))).alias("e"))
+    named.groupBy("document").agg(F.collect_list("e").alias("assets")).write.json(manifests)
+    return manifests, root
+
+
+_entries = f"entries AS (SELECT p_partkey, {_listed} AS path, {_format} AS format, p_size, p_name, p_partkey % 19 = 0 AS repeated, {_listed} = {_path} AS path_ok, unnest(CASE WHEN p_partkey % 19 = 0 THEN [1, 2] ELSE [1] END) AS nth, {', '.join(f'{c} AS {k}' for k, c in _faults.items())} FROM part)"
+_state = """CASE WHEN NOT path_ok THEN 'bad_path' WHEN gone THEN 'missing' WHEN changed THEN 'hash_mismatch' WHEN format = 'text' AND broken THEN 'not_utf8' WHEN format <> 'text' AND broken THEN 'parse_error' WHEN format = 'json' AND "foreign" THEN 'contract' ELSE 'valid' END"""
+_entries = _entries.replace("AS foreign", 'AS "foreign"')
+
+
+@query("scan_manifest_assets", f"WITH {_entries} SELECT path, format, path_ok, repeated FROM entries")
+def scan_manifest_assets(spark, d):
+    return blobs.manifest(spark, _assets(spark, d)[0]).select("path", "format", "path_ok", "repeated")
+
+
+@query("fetch_verified_artifact", f"WITH {_entries} SELECT path, format, {_state} AS status FROM entries")
+def fetch_verified_artifact(spark, d):
+    """What the files on disk are worth against the manifests that list them."""
+    manifests, root = _assets(spark, d)
+    return blobs.checked(blobs.manifest(spark, manifests), spark, root, files.webp_size).select("path", "format", "status")
+
+
+@query("scan_binary_asset", f"SELECT {_path} AS path, CAST({_width} AS INTEGER) AS width, CAST({_height} AS INTEGER) AS height FROM part WHERE p_partkey % 3 = 2 AND p_size % 10 <> 3 AND NOT ({_faults['gone']})")
+def binary_asset(spark, d):
+    """Sizes in the heads of the images on disk; those without a sound head have none."""
+    root = _assets(spark, d)[1]
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.webp").load(root)
+    size = files.webp_size(F.col("content"))
+    return own.select(F.regexp_extract("path", "(assets/[^/]+/[^/]+)$", 1).alias("path"), size.alias("size")).where("size is not null").select("path", "size.width", "size.height")
+
+
+@query("asset_hash_check", f"WITH {_entries} SELECT path, count(*) AS entries, bool_and({_state} NOT IN ('missing', 'bad_path') AND NOT changed) AS same FROM entries GROUP BY 1")
+def asset_hash(spark, d):
+    """Whether every entry for a path has the hash of the file there, one closing line end of a text left out."""
+    manifests, root = _assets(spark, d)
+    own = blobs.checked(blobs.manifest(spark, manifests), spark, root, files.webp_size)
+    return own.groupBy("path").agg(F.count("*").alias("entries"), F.every(~F.col("status").isin("bad_path", "missing", "hash_mismatch")).alias("same"))
 
 
 @query("sink_guard", "WITH o AS (SELECT page_id, lower(regexp_replace(url, '/+$', '')) AS key FROM pages), i AS (SELECT DISTINCT lower(regexp_replace(url, '/+$', '')) AS key FROM pages WHERE page_id % 3 = 0) SELECT page_id, i.key IS NULL AS allowed FROM o LEFT JOIN i ON i.key = o.key")
@@ -57,18 +128,6 @@ def sink_guard(spark, d):
     return pages.join(inputs, "key", "left").select("page_id", F.col("input").isNull().alias("allowed"))
 
 
-_content = "CASE WHEN event_id % 13 = 0 THEN concat('{', props) ELSE props END"
-
-
-@query("fetch_verified_artifact", f"""WITH a AS (SELECT event_id, {_content} AS content, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN sha256('other') ELSE sha256({_content}) END AS expected FROM events)
-SELECT event_id, CASE WHEN expected IS NULL THEN 'missing' WHEN sha256(content) <> expected THEN 'hash_mismatch' WHEN NOT json_valid(content) THEN 'parse_error' ELSE 'valid' END AS status FROM a""")
-def verified_artifact(spark, d):
-    own = A.table(spark, d, "events").select("event_id", F.expr(_content).alias("content"))
-    own = own.withColumn("expected", F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256)))
-    parsed = F.try_parse_json("content").isNotNull()
-    return own.select("event_id", F.when(F.col("expected").isNull(), "missing").when(F.sha2("content", 256) != F.col("expected"), "hash_mismatch").when(~parsed, "parse_error").otherwise("valid").alias("status"))
-
-
 _tables = ("nation", "orders", "part", "pages", "region", "supplier")
 
 
@@ -83,16 +142,6 @@ def discover_inputs(spark, d):
     return out.orderBy("name")
 
 
-@query("asset_hash_check", "SELECT doc_id, sha256(regexp_replace(concat(text, CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END), '\\n$', '')) = CASE WHEN doc_id % 5 = 0 THEN sha256(concat(text, 'x')) ELSE sha256(text) END AS same FROM documents")
-def asset_hash(spark, d):
-    """Whether a text's hash, one closing line end left out, is the expected one."""
-    sent = F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\n").otherwise(""))
-    own = A.table(spark, d, "documents").select("doc_id", "text", sent.alias("sent"))
-    plain = F.when(F.endswith("sent", F.lit("\n")), F.expr("left(sent, length(sent) - 1)")).otherwise(F.col("sent"))
-    expected = F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
-    return own.select("doc_id", (F.sha2(plain, 256) == expected).alias("same"))
-
-
 @query("simplify_ring")
 def simplify_ring(spark, d):
     """The lines of an order as a ring of points in the order of their numbers, with fewer corners; an order has few lines."""

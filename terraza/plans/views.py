@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from terraza.functions import paths as P
 from terraza.functions import semantics as S
 from terraza.functions import unicode as U
-from terraza.functions.quantiles import exact
 from terraza.operators import checks as C
 from terraza.operators import documents as D
 from terraza.operators import evidence as E
@@ -387,20 +386,6 @@ _route = "CASE WHEN contains(lower(text), 'pr') THEN 'price' WHEN contains(lower
 query("legacy_assistant", f"SELECT conv_id, turn, {_route} AS route FROM conversations WHERE role = 'user'")(lambda spark, d: A.table(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"{_route} AS route"))
 
 
-@query("scan_manifest_assets", "SELECT page_id, url, regexp_matches(url, '^https?://[a-z.]+/[a-z]{2}/[0-9]+') AS path_ok, count(*) OVER (PARTITION BY url) > 1 AS repeated FROM pages")
-def manifest_assets(spark, d):
-    pages = A.table(spark, d, "pages").select("page_id", "url")
-    copies = pages.groupBy("url").agg((F.count("*") > 1).alias("repeated"))
-    return pages.join(copies, "url").select("page_id", "url", F.rlike("url", F.lit("^https?://[a-z.]+/[a-z]{2}/[0-9]+")).alias("path_ok"), "repeated")
-
-
-@query("sink_geojson", f"{LISTINGS} SELECT lpad(CAST(listing_id AS VARCHAR), 12, '0') AS sort_key, concat('{{\"geometry\":{{\"coordinates\":[', CAST(CAST(round(lon * 10000) AS BIGINT) AS VARCHAR), ',', CAST(CAST(round(lat * 10000) AS BIGINT) AS VARCHAR), '],\"type\":\"Point\"}},\"properties\":{{\"relation\":', listing_id, '}},\"type\":\"Feature\"}}') AS feature FROM listings")
-def sink_geojson(spark, d):
-    whole = lambda c: F.round(F.col(c) * 10000).cast("long")
-    feature = F.struct(F.struct(F.array(whole("lon"), whole("lat")).alias("coordinates"), F.lit("Point").alias("type")).alias("geometry"), F.struct(F.col("listing_id").alias("relation")).alias("properties"), F.lit("Feature").alias("type"))
-    return A.listings(spark, d, "listing_id", "lat", "lon").select(F.lpad(F.col("listing_id").cast("string"), 12, "0").alias("sort_key"), F.to_json(feature).alias("feature"))
-
-
 @query("sink_report", f"{M.sql('facts', 'observations', 'issues', 'records')} SELECT 'facts' AS collection, count(*) AS n FROM facts UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'issues', count(*) FROM issues UNION ALL SELECT 'records', count(*) FROM records UNION ALL SELECT 'eligible_facts', count(*) FROM facts WHERE benchmark_eligible")
 def sink_report(spark, d):
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")

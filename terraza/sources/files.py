@@ -23,17 +23,6 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 
-def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(relation, name, kind, coordinates as JSON) of polygon features, one row each; a relation that occurs twice is an error."""
-    schema = "features array<struct<properties: struct<relation: string, name: string>, geometry: struct<type: string, coordinates: string>>>"
-    features = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    own = features.select("f.properties.relation", "f.properties.name", F.col("f.geometry.type").alias("kind"), "f.geometry.coordinates").where(F.col("kind").isin("Polygon", "MultiPolygon"))
-    twice = own.groupBy("relation").count().where("count > 1").first()
-    if twice:
-        raise ValueError(f"relation {twice['relation']} occurs {twice['count']} times")
-    return own
-
-
 def webp_size(content: Column) -> Column:
     """Struct of width and height from the head of a lossy WebP image; null for any other content."""
     byte = lambda i: F.conv(F.hex(F.substring(content, i + 1, 1)), 16, 10).cast("int")
