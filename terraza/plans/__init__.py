@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from terraza.plans import checks, entities, evidence, files, geo, history, identity, listings, measures, orders, polygons, records, scenario, text, views  # noqa: F401
+from terraza.plans import checks, entities, evidence, files, geo, history, identity, listings, measures, orders, polygons, records, scenario, text, timeline, views  # noqa: F401

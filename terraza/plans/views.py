@@ -234,12 +234,6 @@ def history_detail(spark, d):
     return PH.assessed(spark, d).groupBy("field").agg(F.max(F.struct("event_id", "status", "percent")).alias("e")).select("field", "e.*")
 
 
-@query("history_records", f"{PH._pairs} SELECT event_id, 'previous' AS role, entity_id, previous AS value, previous_ts AS ts FROM pairs UNION ALL SELECT event_id, 'current', entity_id, value, ts FROM pairs")
-def history_records(spark, d):
-    both = F.array(F.struct(F.lit("previous").alias("role"), F.col("previous").alias("value"), F.col("previous_ts").alias("ts")), F.struct(F.lit("current").alias("role"), F.col("value"), F.col("ts")))
-    return H.lag_change(A.changes(spark, d)).select("event_id", "entity_id", F.inline(both)).select("event_id", "role", "entity_id", "value", "ts")
-
-
 _published = "CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END"
 
 
@@ -349,19 +343,6 @@ query("scenario_validate", f"WITH a AS (SELECT o_orderkey, {', '.join(f'{e} AS {
     lambda spark, d: A.table(spark, d, "orders").selectExpr("o_orderkey", *(f"{e} AS {c}" for c, e in _asked.items())).selectExpr("o_orderkey", f"{_valid_scope} AS correction", f"{_given} AS scope_mode", f"CAST({_fallback} AS BIGINT) AS district_id")
 )
 
-@query("history_context", f"{PH._assessed} SELECT field, count(*) AS events, count(*) FILTER (status = 'certified') AS certified, count(*) FILTER (direction = 'increase') AS increases, count(*) FILTER (direction = 'decrease') AS decreases, max(abs(percent)) AS largest, arg_min(event_id, (CASE status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END, event_id)) AS agenda FROM assessed WHERE direction <> 'unchanged' GROUP BY 1")
-def history_context(spark, d):
-    rank = F.when(F.col("status") == "certified", 0).when(F.col("status") == "reviewable", 1).otherwise(2)
-    own = PH.assessed(spark, d).where("direction <> 'unchanged'").groupBy("field")
-    return own.agg(F.count("*").alias("events"), F.count_if(F.col("status") == "certified").alias("certified"), F.count_if(F.col("direction") == "increase").alias("increases"), F.count_if(F.col("direction") == "decrease").alias("decreases"), F.max(F.abs("percent")).alias("largest"), F.min_by("event_id", F.struct(rank, "event_id")).alias("agenda"))
-
-
-@query("history_materialize", f"{PH._assessed} SELECT entity_id, field, count(*) AS candidates, count(*) FILTER (status <> 'insufficient') AS materialized, count(*) FILTER (status = 'insufficient') AS excluded, coalesce(max(CASE WHEN status <> 'insufficient' THEN event_id END), -1) AS last_event FROM assessed GROUP BY 1, 2")
-def history_materialize(spark, d):
-    kept = F.col("status") != "insufficient"
-    return PH.assessed(spark, d).groupBy("entity_id", "field").agg(F.count("*").alias("candidates"), F.count_if(kept).alias("materialized"), F.count_if(~kept).alias("excluded"), F.coalesce(F.max(F.when(kept, F.col("event_id"))), F.lit(-1)).alias("last_event"))
-
-
 @query("benchmark_context", f"""{M.sql('facts')}, q AS (SELECT project_id, count(*) AS facts, count(*) FILTER (semantic_type = 'attribute') AS attributes, count(*) FILTER (semantic_type = 'price_per_m2' AND benchmark_eligible) AS references_, avg(CASE WHEN semantic_type = 'price_per_m2' AND benchmark_eligible THEN normalized_value END) AS mean FROM facts GROUP BY 1)
 SELECT project_id, facts, attributes, references_, {h('mean', 2)} AS mean, CASE WHEN references_ = 0 THEN 'insufficient' WHEN references_ < 3 OR attributes = 0 THEN 'orientative' ELSE 'ready' END AS status FROM q""")
 def benchmark_context(spark, d):
