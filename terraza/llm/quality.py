@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Classifier(np.zeros(FEATURES), 3.0 if not sizes or sizes.get(1) else -3.0, 1.0)
-    counts = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).where("c >= 5").toArrow()
+    counts = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).toArrow()
     f, c1, c = (counts[k].to_numpy() for k in ("f", "c1", "c"))
     ratio = np.zeros(FEATURES)
     p, q = c1 + 1.0, c - c1 + 1.0
