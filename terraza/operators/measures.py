@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.functions.quantiles import exact
+from terraza.operators import ordered
 from terraza.sources.scratch import written
 
 SMALL = 10_000  #: rows of medians that are broadcast
@@ -93,8 +93,7 @@ def series(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def price_delta(df: DataFrame) -> DataFrame:
     """Each listing's price against the agency's listing before it in time."""
-    w = W.partitionBy("agency").orderBy("captured_at", "listing_id")
-    own = df.select("listing_id", "agency", "price", F.lag("price").over(w).alias("before"))
+    own = ordered.lagged(df.select("listing_id", "agency", "price", "captured_at"), ["agency"], ["captured_at", "listing_id"], before="price")
     delta, percent, why = difference(F.col("before"), F.col("price"), F.col("before"))
     return own.select("listing_id", delta.alias("delta"), percent.alias("percent"), why.alias("reason"))
 

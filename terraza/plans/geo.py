@@ -51,7 +51,7 @@ RINGS = [[(-77.09005, -12.19005), (-77.03005, -12.19005), (-77.03005, -12.12005)
 
 @query("point_in_square", f"{WITH} SELECT listing_id FROM listings WHERE lon BETWEEN -77.09005e0 AND -77.03005e0 AND lat BETWEEN -12.19005e0 AND -12.12005e0 AND NOT (lon BETWEEN -77.07005e0 AND -77.05005e0 AND lat BETWEEN -12.17005e0 AND -12.15005e0)")
 def polygon(spark, d):
-    return A.listings(spark, d).where(G.in_polygon(F.col("lon"), F.col("lat"), RINGS)).select("listing_id")
+    return A.listings(spark, d, "listing_id", "lat", "lon").where(G.in_polygon(F.col("lon"), F.col("lat"), RINGS)).select("listing_id")
 
 
 _cos = math.cos(math.radians(LAT))

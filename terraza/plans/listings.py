@@ -40,7 +40,7 @@ def filter_certified(spark, d):
 
 @query("filter_catalog", f"{WITH} SELECT listing_id, agency, district, phase FROM listings WHERE phase = 'O' AND contains(lower({S.unaccent_sql("concat_ws(' ', agency, district, typology, phase, segment)")}), 'building')")
 def filter_catalog(spark, d):
-    return L.filter_catalog(A.listings(spark, d), phase="O", query=" Building ").select("listing_id", "agency", "district", "phase")
+    return L.filter_catalog(A.listings(spark, d, "listing_id", "agency", "district", "phase", "typology", "segment"), phase="O", query=" Building ").select("listing_id", "agency", "district", "phase")
 
 
 CUTOFF = "1997-06-30 00:00:00"
@@ -60,7 +60,7 @@ _product = S.reasons_sql(typology_mismatch="typology <> 'ECONOMY'", bedrooms_mis
 
 @query("product_eligibility", f"{WITH} SELECT listing_id, array_to_string({_product}, ',') AS reasons, len({_product}) = 0 AS eligible FROM listings")
 def product_eligibility(spark, d):
-    return L.product_reasons(A.listings(spark, d), "ECONOMY", 2, 1996)
+    return L.product_reasons(A.listings(spark, d, "listing_id", "typology", "bedrooms_min", "bedrooms_max", "delivery_year"), "ECONOMY", 2, 1996)
 
 
 @query("agg_certified", f"{FACTS} SELECT semantic_type, unit, quality, count(*) AS n, {h('avg(value)', 2)} AS mean, min(value) AS least, max(value) AS largest FROM facts WHERE eligible AND quality = 'certified' GROUP BY 1, 2, 3")
@@ -234,6 +234,8 @@ def attributes(spark, d):
     return tokens.groupBy("token").agg(F.count("*").alias("uses"), F.countDistinct("listing_id").alias("projects"))
 
 
+#: Columns that the score is made of.
+SCORED = ("listing_id", "lat", "lon", "area", "bedrooms_min", "bedrooms_max", "typology", "delivery_year", "ppm")
 TARGET = C.Target(-12.15, -77.05, 8000.0, 100.0, 2, "ECONOMY", 1996, 1500.0)
 
 
@@ -253,14 +255,14 @@ labelled AS (SELECT *, CASE WHEN weight < 60 THEN 'Insuficiente' WHEN score >= 8
 
 @query("comparability_score", f"{_score_sql()} SELECT * FROM labelled")
 def comparability_score(spark, d):
-    return C.score(A.listings(spark, d), TARGET)
+    return C.score(A.listings(spark, d, *SCORED), TARGET)
 
 
 @query("rank_comparables", f"{_score_sql()} SELECT listing_id, score, weight, label, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, weight DESC, listing_id) AS INTEGER) AS rank FROM labelled ORDER BY rank LIMIT 25")
 def rank_comparables(spark, d):
-    return C.ranked(C.score(A.listings(spark, d), TARGET), 25).select("listing_id", "score", "weight", "label", "rank")
+    return C.ranked(C.score(A.listings(spark, d, *SCORED), TARGET), 25).select("listing_id", "score", "weight", "label", "rank")
 
 
 @query("agg_evidence_coverage", f"{_score_sql()} SELECT {S.round_away_sql('avg(weight)', 1)} AS mean_weight, CASE WHEN avg(weight) >= 80 THEN 'ready' WHEN avg(weight) >= 60 THEN 'orientative' ELSE 'insufficient' END AS status FROM labelled")
 def evidence_coverage(spark, d):
-    return C.coverage(C.score(A.listings(spark, d), TARGET))
+    return C.coverage(C.score(A.listings(spark, d, *SCORED), TARGET))

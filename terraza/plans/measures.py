@@ -17,18 +17,18 @@ MEDIANS = f"{WITH}, mid AS (SELECT district, quantile_cont(ppm, 0.5) AS median_p
 SELECT listing_id, status, CASE WHEN status = 'available' THEN {h(r('price', 'area'), 2)} END AS price_m2 FROM s""")
 def price_per_m2(spark, d):
     status, value = M.price_per_m2(F.col("price"), F.col("area"), F.col("currency"))
-    return A.listings(spark, d).select("listing_id", status.alias("status"), value.alias("price_m2"))
+    return A.listings(spark, d, "listing_id", "price", "area", "currency").select("listing_id", status.alias("status"), value.alias("price_m2"))
 
 
 @query("free_area", f"{WITH} SELECT listing_id, CASE WHEN area >= units * 20e0 THEN {h('area - units * 20e0', 2)} END AS free FROM listings")
 def free_area(spark, d):
-    return A.listings(spark, d).select("listing_id", M.free_area(F.col("area"), F.col("units") * 20.0).alias("free"))
+    return A.listings(spark, d, "listing_id", "area", "units").select("listing_id", M.free_area(F.col("area"), F.col("units") * 20.0).alias("free"))
 
 
 @query("derive_price_delta", f"""{WITH}, b AS (SELECT listing_id, price, lag(price) OVER (PARTITION BY agency ORDER BY captured_at, listing_id) AS before FROM listings), g AS (SELECT *, {h('price - before', 2)} AS delta FROM b)
 SELECT listing_id, delta, {h(r('delta * 100', 'before'), 2)} AS percent, CASE WHEN before = 0 THEN 'PERCENT_BASE_ZERO' WHEN before IS NULL OR delta IS NULL THEN 'UNAVAILABLE' END AS reason FROM g""")
 def derive_price_delta(spark, d):
-    return M.price_delta(A.listings(spark, d))
+    return M.price_delta(A.listings(spark, d, "listing_id", "agency", "price", "captured_at"))
 
 
 _share = r("(ppm - median_ppm)", "median_ppm")
@@ -88,23 +88,23 @@ def describe_series(spark, d):
 
 @query("sum_null_zero", f"{WITH} SELECT typology, CAST(coalesce(sum(units), 0) AS BIGINT) AS units, {h('coalesce(sum(area), 0e0)', 2)} AS area FROM listings GROUP BY 1")
 def sum_null_zero(spark, d):
-    return A.listings(spark, d).groupBy("typology").agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), S.half_up(F.coalesce(F.sum("area"), F.lit(0.0)), 2).alias("area"))
+    return A.listings(spark, d, "typology", "units", "area").groupBy("typology").agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), S.half_up(F.coalesce(F.sum("area"), F.lit(0.0)), 2).alias("area"))
 
 
 @query("filter_currency", f"{WITH} SELECT listing_id, price FROM listings WHERE currency = 'PEN'")
 def filter_currency(spark, d):
-    return A.listings(spark, d).where("currency = 'PEN'").select("listing_id", "price")
+    return A.listings(spark, d, "listing_id", "price", "currency").where("currency = 'PEN'").select("listing_id", "price")
 
 
 @query("clamp", f"{WITH} SELECT listing_id, least(300e0, greatest(50e0, area)) AS area FROM listings WHERE area IS NOT NULL")
 def clamp(spark, d):
-    return A.listings(spark, d).where("area is not null").select("listing_id", F.least(F.lit(300.0), F.greatest(F.lit(50.0), "area")).alias("area"))
+    return A.listings(spark, d, "listing_id", "area").where("area is not null").select("listing_id", F.least(F.lit(300.0), F.greatest(F.lit(50.0), "area")).alias("area"))
 
 
 @query("approx_equal", f"{WITH} SELECT listing_id, abs({h(r('price', 'area'), 1)} - {h(r('price', 'area'), 2)}) <= 0.02e0 AS close FROM listings WHERE area > 0")
 def approx_equal(spark, d):
     x = S.ratio(F.col("price"), F.col("area"))
-    return A.listings(spark, d).where("area > 0").select("listing_id", (F.abs(S.half_up(x, 1) - S.half_up(x, 2)) <= 0.02).alias("close"))
+    return A.listings(spark, d, "listing_id", "price", "area").where("area > 0").select("listing_id", (F.abs(S.half_up(x, 1) - S.half_up(x, 2)) <= 0.02).alias("close"))
 
 
 _t = "greatest(0e0, least(1e0, ((lon - -77.08e0) * 0.05e0 + (lat - -12.18e0) * 0.04e0) / 0.0041e0))"
@@ -112,12 +112,12 @@ _t = "greatest(0e0, least(1e0, ((lon - -77.08e0) * 0.05e0 + (lat - -12.18e0) * 0
 
 @query("point_segment_distance", f"{WITH} SELECT listing_id, {h(f'sqrt(pow(lon - (-77.08e0 + {_t} * 0.05e0), 2) + pow(lat - (-12.18e0 + {_t} * 0.04e0), 2))', 6)} AS degrees FROM listings")
 def point_segment_distance(spark, d):
-    return A.listings(spark, d).select("listing_id", S.half_up(M.segment_distance(F.col("lon"), F.col("lat"), -77.08, -12.18, -77.03, -12.14), 6).alias("degrees"))
+    return A.listings(spark, d, "listing_id", "lat", "lon").select("listing_id", S.half_up(M.segment_distance(F.col("lon"), F.col("lat"), -77.08, -12.18, -77.03, -12.14), 6).alias("degrees"))
 
 
 @query("target_price_m2", f"{WITH} SELECT listing_id, {h(f'coalesce(CASE WHEN units > 4 THEN 1500e0 END, {r("price", "area")})', 2)} AS target FROM listings")
 def target_price(spark, d):
-    return A.listings(spark, d).select("listing_id", S.half_up(F.coalesce(F.when(F.col("units") > 4, F.lit(1500.0)), S.ratio(F.col("price"), F.col("area"))), 2).alias("target"))
+    return A.listings(spark, d, "listing_id", "units", "price", "area").select("listing_id", S.half_up(F.coalesce(F.when(F.col("units") > 4, F.lit(1500.0)), S.ratio(F.col("price"), F.col("area"))), 2).alias("target"))
 
 
 @query("stream_event_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS value FROM events GROUP BY 1, 2")

@@ -34,7 +34,7 @@ _share = r("(1500e0 - median)", "median")
 g AS (SELECT count(*) AS in_scope, count(*) FILTER (label IN ('Alta', 'Media')) AS comparable, count(*) FILTER ({_ref.replace('ppm', 'price_m2')}) AS n, quantile_cont(CASE WHEN {_ref.replace('ppm', 'price_m2')} THEN price_m2 END, 0.5) AS median, {h('avg(score)', 1)} AS mean_score FROM own)
 SELECT in_scope, comparable, n AS "references", {h('median', 2)} AS median, mean_score, CASE WHEN n < 3 THEN 'insufficient' WHEN {_share} < -0.08e0 THEN 'Entrada' WHEN {_share} > 0.08e0 THEN 'Premium' ELSE 'Alineado' END AS position FROM g""")
 def comparability_context(spark, d):
-    return C.comparability(A.listings(spark, d), SCENARIO)
+    return C.comparability(A.listings(spark, d, *PL.SCORED, "currency", "district_id", "district"), SCENARIO)
 
 
 _used = "coalesce(ppm > 0 AND currency = 'PEN', false)"
@@ -130,7 +130,7 @@ def version_gate(spark, d):
 @query("scan_csv", f"{LISTINGS} SELECT CAST(listing_id AS VARCHAR) AS listing_id, agency, district, typology FROM listings")
 def scan_csv(spark, d):
     path, names = scratch.path(spark, "files"), ["listing_id", "agency", "district", "typology"]
-    A.listings(spark, d).select(F.col("listing_id").cast("string").alias("listing_id"), *names[1:]).write.csv(path, header=True, escape='"')
+    A.listings(spark, d, *names).select(F.col("listing_id").cast("string").alias("listing_id"), *names[1:]).write.csv(path, header=True, escape='"')
     return files.scan_csv(spark, path, names)
 
 
