@@ -97,22 +97,13 @@ def history_event(spark, d):
     return own.select("event_id", "previous_id", "project", "evidence", "previous_evidence", documented.alias("documented"))
 
 
-for _name, _fields in (("benchmark_materialize", None), ("eligibility_projection", "fact_id, observation_id, status, reason")):
-    _why = "CASE WHEN quality_status = 'conflict' THEN 'conflicting_observations' WHEN price_type <> 'from' THEN 'price_type' WHEN currency = 'USD' THEN 'currency' WHEN denominator_area_type = 'built' OR area_type = 'built' THEN 'area_denominator' WHEN NOT benchmark_eligible THEN 'outside_method' END"
-    _state = f"CASE WHEN normalized_value IS NULL THEN 'missing' WHEN ({_why}) IS NULL THEN 'used' ELSE 'excluded' END"
-    _columns = f"fact_id, observation_id, {_state} AS status, {_why} AS reason" if _fields else f"project_id, semantic_type, {_state} AS ledger"
-    if _fields:
-
-        @query(_name, f"{M.sql('facts')} SELECT {_columns} FROM facts")
-        def eligibility_projection(spark, d, state=_state, why=_why):
-            return M.read(spark, d, "facts").selectExpr("fact_id", "observation_id", f"{state} AS status", f"{why} AS reason")
-    else:
-
-        @query(_name, f"{M.sql('facts')}, own AS (SELECT {_columns}, normalized_value FROM facts) SELECT project_id, semantic_type, count(*) AS facts, count(*) FILTER (ledger = 'used') AS used, count(*) FILTER (ledger = 'excluded') AS excluded, {S.half_up_sql('avg(CASE WHEN ledger = \'used\' THEN normalized_value END)', 2)} AS mean FROM own GROUP BY 1, 2")
-        def benchmark_materialize(spark, d, state=_state):
-            own = M.read(spark, d, "facts").select("project_id", "semantic_type", "normalized_value", F.expr(state).alias("ledger"))
-            used = F.col("ledger") == "used"
-            return own.groupBy("project_id", "semantic_type").agg(F.count("*").alias("facts"), F.count_if(used).alias("used"), F.count_if(F.col("ledger") == "excluded").alias("excluded"), S.half_up(F.avg(F.when(used, F.col("normalized_value"))), 2).alias("mean"))
+_why = "CASE WHEN quality_status = 'conflict' THEN 'conflicting_observations' WHEN price_type <> 'from' THEN 'price_type' WHEN currency = 'USD' THEN 'currency' WHEN denominator_area_type = 'built' OR area_type = 'built' THEN 'area_denominator' WHEN NOT benchmark_eligible THEN 'outside_method' END"
+_state = f"CASE WHEN normalized_value IS NULL THEN 'missing' WHEN ({_why}) IS NULL THEN 'used' ELSE 'excluded' END"
+
+
+@query("eligibility_projection", f"{M.sql('facts')} SELECT fact_id, observation_id, {_state} AS status, {_why} AS reason FROM facts")
+def eligibility_projection(spark, d):
+    return M.read(spark, d, "facts").selectExpr("fact_id", "observation_id", f"{_state} AS status", f"{_why} AS reason")
 
 
 VALUE_CELL = "CASE WHEN fact_id IS NULL THEN 'unknown' WHEN NOT benchmark_eligible THEN 'excluded' WHEN value_kind = 'derived' THEN 'derived' WHEN value_kind = 'simulated' THEN 'simulated' WHEN semantic_type = 'attribute' THEN 'announced' ELSE 'observed' END"
