@@ -1,10 +1,10 @@
 """Queries on entities, matches and ledgers of facts."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.operators import entities as N
+from terraza.operators import ordered as O
 from terraza.registry import query
 from terraza.sources import adapter as A
 
@@ -137,9 +137,9 @@ def range_bedrooms(spark, d):
 
 @query("asof_price_change", f"{CHANGES}, v AS (SELECT * FROM changes WHERE field = 'view'), p AS (SELECT * FROM changes WHERE field = 'purchase') SELECT p.event_id, (SELECT max(v.ts) FROM v WHERE v.entity_id = p.entity_id AND v.ts <= p.ts) AS seen FROM p")
 def asof(spark, d):
-    w = W.partitionBy("entity_id").orderBy("ts", F.desc(F.col("field") == "view")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = A.changes(spark, d).where(F.col("field").isin("view", "purchase"))
-    return own.withColumn("seen", F.max(F.when(F.col("field") == "view", F.col("ts"))).over(w)).where("field = 'purchase'").select("event_id", "seen")
+    """The last view of each purchase's entity up to then: views come first of what happens at one time, and the last is carried over ranges."""
+    own = A.changes(spark, d).where(F.col("field").isin("view", "purchase")).select("entity_id", "ts", (F.col("field") == "purchase").alias("bought"), "event_id", F.when(F.col("field") == "view", F.col("ts")).alias("viewed"))
+    return O.last_known(own, ["entity_id"], ["ts", "bought", "event_id"], "viewed").where("bought").select("event_id", F.col("known").alias("seen"))
 
 
 @query("restricted_projects", f"{EVIDENCE} SELECT DISTINCT source, doc_id FROM evidence WHERE permission = 'restricted'")

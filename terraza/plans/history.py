@@ -1,10 +1,10 @@
 """Queries on change history."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.operators import history as H
+from terraza.operators import ordered as O
 from terraza.registry import query
 from terraza.sources import adapter as A
 
@@ -79,7 +79,8 @@ for _name, _days, _whole in (("validity_build", f"floor({_age})", True), ("valid
 
 @query("history_index", f"WITH {A.CHANGES_SQL} SELECT entity_id, event_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY event_id) AS INTEGER) AS nth FROM changes")
 def history_index(spark, d):
-    return A.changes(spark, d).select("entity_id", "event_id", F.row_number().over(W.partitionBy("entity_id").orderBy("event_id")).alias("nth"))
+    own = O.ranked(A.changes(spark, d).select("entity_id", "event_id"), {"event_id": "asc"}, by=("entity_id",), name="nth")
+    return own.select("entity_id", "event_id", F.col("nth").cast("int").alias("nth"))
 
 
 @query("direction", f"{_assessed} SELECT field, direction, count(*) AS n FROM assessed GROUP BY 1, 2")

@@ -1,10 +1,10 @@
 """Queries on facts and evidence records: their compatibility, validity, standing, and what they are joined to."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.operators import checks as C
+from terraza.operators import ordered as O
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import model as M
@@ -88,8 +88,7 @@ def fact_to_project(spark, d):
 @query("join_history_event", f"""WITH {A.CHANGES_SQL}, {A.EVIDENCE_SQL}, lagged AS (SELECT event_id, entity_id, field, ts, lag(event_id) OVER (PARTITION BY entity_id, field ORDER BY ts, event_id) AS previous_id FROM changes)
 SELECT event_id, previous_id, s_name AS project, e.permission AS evidence, p.permission AS previous_evidence, coalesce(e.permission = 'authorized' AND p.permission = 'authorized', false) AS documented FROM lagged LEFT JOIN supplier ON s_suppkey = entity_id LEFT JOIN evidence e ON e.doc_id = event_id LEFT JOIN evidence p ON p.doc_id = previous_id WHERE previous_id IS NOT NULL""")
 def history_event(spark, d):
-    order = W.partitionBy("entity_id", "field").orderBy("ts", "event_id")
-    own = A.changes(spark, d).select("event_id", "entity_id", F.lag("event_id").over(order).alias("previous_id")).where("previous_id is not null")
+    own = O.lagged(A.changes(spark, d).select("event_id", "entity_id", "field", "ts"), ["entity_id", "field"], ["ts", "event_id"], previous_id="event_id").where("previous_id is not null").select("event_id", "entity_id", "previous_id")
     evidence, names = A.evidence(spark, d).select("doc_id", "permission"), A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("project"))
     role = lambda id_, name: evidence.select(F.col("doc_id").alias(id_), F.col("permission").alias(name))
     own = own.join(names, "entity_id", "left").join(role("event_id", "evidence"), "event_id", "left").join(role("previous_id", "previous_evidence"), "previous_id", "left")
