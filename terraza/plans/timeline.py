@@ -100,9 +100,12 @@ def history_context(spark, d):
     return timeline(spark, d).select("district_id", "project_id", "event_id", "status", "validity", "direction", "integrity", "shown", F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
-@query("history_context_coverage", f"""{TIMELINE}, counts AS (SELECT district_id, count(*) AS candidates, count(*) FILTER (integrity IS NULL) AS events, count(integrity) AS integrity_excluded, count(*) FILTER (shown) AS shown_events, count(*) FILTER (integrity IS NULL AND NOT shown) AS filtered_out,
+COUNTERS = f"""{TIMELINE}, counts AS (SELECT district_id, count(*) AS candidates, count(*) FILTER (integrity IS NULL) AS events, count(integrity) AS integrity_excluded, count(*) FILTER (shown) AS shown_events, count(*) FILTER (integrity IS NULL AND NOT shown) AS filtered_out,
 {', '.join(f"count(*) FILTER (integrity IS NULL AND status = '{s}') AS {s}" for s in L.STATUSES[:2])}, {', '.join(f"count(*) FILTER (integrity IS NULL AND validity = '{v}') AS {v}_events" for v in L.VALIDITIES)}, count(*) FILTER (shown AND status = 'certified') AS sure FROM timeline GROUP BY 1),
-agendas AS (SELECT t.district_id AS of, string_agg(concat('agenda:', event_id), ',' ORDER BY rank) AS agenda FROM timeline t JOIN counts c ON c.district_id = t.district_id WHERE shown AND rank <= 3 AND (sure = 0 OR status = 'certified') GROUP BY 1)
-SELECT * EXCLUDE (of, sure, agenda), coalesce(agenda, 'agenda:history-expand-or-review-scope') AS agenda, CASE WHEN sure > 0 THEN 'review_observed_change' WHEN agenda IS NOT NULL THEN 'validate_signal' ELSE 'expand_or_review_scope' END AS action FROM counts LEFT JOIN agendas ON of = district_id""")
+agendas AS (SELECT t.district_id AS of, string_agg(concat('agenda:', event_id), ',' ORDER BY rank) AS agenda FROM timeline t JOIN counts c ON c.district_id = t.district_id WHERE shown AND rank <= 3 AND (sure = 0 OR status = 'certified') GROUP BY 1),
+counters AS (SELECT * EXCLUDE (of, sure, agenda), coalesce(agenda, 'agenda:history-expand-or-review-scope') AS agenda, CASE WHEN sure > 0 THEN 'review_observed_change' WHEN agenda IS NOT NULL THEN 'validate_signal' ELSE 'expand_or_review_scope' END AS action FROM counts LEFT JOIN agendas ON of = district_id)"""
+
+
+@query("history_context_coverage", f"{COUNTERS} SELECT * FROM counters")
 def history_context_coverage(spark, d):
     return L.counters(timeline(spark, d))

@@ -13,7 +13,6 @@ from terraza.operators import history as H
 from terraza.operators import listings as L
 from terraza.operators import text as T
 from terraza.plans import history as PH
-from terraza.plans import text as PT
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import model as M
@@ -359,14 +358,6 @@ def checklist(spark, d):
     return counts.join(first, "district").withColumn("state", F.when(F.col("comparable") == 0, "blocked").when(F.col("priced") < 3, "partial").otherwise("ready"))
 
 
-_blocks = "['answer', 'evidence', 'interpretation', 'limits', 'references', 'next']"
-query("assistant_answers", f"{PT._own}, a AS (SELECT conv_id, turn, coalesce({PT._parts['intent']}, 'unknown') AS intent FROM own) SELECT conv_id, turn, intent, unnest({_blocks}) AS block, concat('block:', intent) AS block_id FROM a")(
-    lambda spark, d: PT.intent_classify(spark, d).select("conv_id", "turn", F.coalesce("intent", F.lit("unknown")).alias("intent")).select("conv_id", "turn", "intent", F.explode(F.array(*map(F.lit, ("answer", "evidence", "interpretation", "limits", "references", "next")))).alias("block"), F.concat(F.lit("block:"), "intent").alias("block_id"))
-)
-_route = "CASE WHEN contains(lower(text), 'pr') THEN 'price' WHEN contains(lower(text), 'com') THEN 'competition' WHEN contains(lower(text), 'ent') THEN 'delivery' ELSE 'overview' END"
-query("legacy_assistant", f"SELECT conv_id, turn, {_route} AS route FROM conversations WHERE role = 'user'")(lambda spark, d: A.table(spark, d, "conversations").where("role = 'user'").selectExpr("conv_id", "turn", f"{_route} AS route"))
-
-
 @query("sink_report", f"{M.sql('facts', 'observations', 'issues', 'records')} SELECT 'facts' AS collection, count(*) AS n FROM facts UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'issues', count(*) FROM issues UNION ALL SELECT 'records', count(*) FROM records UNION ALL SELECT 'eligible_facts', count(*) FROM facts WHERE benchmark_eligible")
 def sink_report(spark, d):
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
