@@ -14,7 +14,7 @@ from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources.scratch import written
 
-WIDTH = 0.002
+WIDTH = 0.0005
 # (part, ring, corners): in ten-thousandths of a degree from the district's corner.
 SHAPE = ((0, 0, ((0, 0), (150, 0), (220, 100), (150, 190), (0, 150))), (0, 1, ((40, 40), (100, 40), (100, 100), (40, 100))), (1, 0, ((160, 160), (195, 165), (170, 195))))
 _x = lambda u: f"-77.1e0 + (n_nationkey % 5 * 200 + {u}) / 1e4"
