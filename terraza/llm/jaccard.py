@@ -308,8 +308,10 @@ def survivors(left: list[tuple], right: list[tuple], share: int) -> list[tuple]:
         if not len(x):
             return []
         first = [[np.split(side[i][4], ORDERS - 1)[k] for i in rows] for side, rows in ((left, x), (right, y))]
-        need = np.maximum(1, np.minimum(*np.meshgrid([left[i][3] for i in x], [right[j][3] for j in y], indexing="ij")) // 10)
-        open_[np.ix_(x, y)] &= counts(*first) >= need
+        need = np.minimum(*np.meshgrid([left[i][3] for i in x], [right[j][3] for j in y], indexing="ij")) // 10
+        # Tokens of one set with one rank are counted once, so that many less are asked for.
+        repeats = np.array([len(p) - len(np.unique(p)) for p in first[0]])
+        open_[np.ix_(x, y)] &= counts(*first) >= np.maximum(1, need - repeats[:, None])
     rows = {left[i][:3]: None for i in np.flatnonzero(open_.any(1))} | {right[i][:3]: None for i in np.flatnonzero(open_.any(0))}
     return list(rows)
 

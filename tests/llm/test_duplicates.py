@@ -80,6 +80,13 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
     assert jaccard.join(df.limit(0)).count() == 0 and jaccard.join(df.where("text is null or text = ''")).count() == 2
 
 
+def test_tokens_of_one_rank_lose_no_pair():
+    x, y = np.arange(24, dtype=np.uint32), np.arange(100, 124, dtype=np.uint32)
+    x[:2] = y[:2] = 7  # two shared tokens that have one rank
+    sides = [[(k, k, k, 20, np.concatenate([s] * (jaccard.ORDERS - 1)))] for k, s in ((1, x), (2, y))]
+    assert jaccard.hash_shared(20) == 2 and sorted(jaccard.survivors(*sides, 80)) == [(1, 1, 1), (2, 2, 2)]
+
+
 def test_jaccard_on_a_table(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     check_jaccard(queries.op7_ngram_jaccard(spark, "/root/testdata/sf0.001").collect(), docs)
