@@ -156,16 +156,13 @@ def cases(spark, d):
     )
 
 
-@query("join_dossier", f"{_case} SELECT * FROM cases")
-def join_dossier(spark, d):
-    return cases(spark, d)
+INSPECTOR_RULES = {"NO_ELIGIBLE_FACT": "eligible = 0", "BLOCKED_ELIGIBLE": "blocking > 0 AND eligible > 0", "SOURCE_OWNER": "foreign_sources = facts", "EVIDENCE_MISSING": "evidence_status = 'missing' AND eligible > 0", "SOURCES_REPEATED": "sources < facts"}
 
 
-INSPECTOR_RULES = {"NO_ELIGIBLE_FACT": "eligible = 0", "BLOCKED_ELIGIBLE": "blocking > 0 AND eligible > 0", "SOURCE_OWNER": "foreign_sources = facts", "EVIDENCE_MISSING": "evidence_status = 'missing' AND eligible > 0", "SOURCES_REPEATED": "sources < facts"}
+INSPECTOR_SQL = f"{_case} {C.broken_sql('observation_id', 'cases', **INSPECTOR_RULES)}"
 
 
-@query("check_inspector", f"{_case} {C.broken_sql('observation_id', 'cases', **INSPECTOR_RULES)}")
-def check_inspector(spark, d):
+def inspector_counts(spark, d):
     return C.broken(cases(spark, d), "observation_id", **INSPECTOR_RULES)
 
 
@@ -177,11 +174,6 @@ def inspector_decision(spark, d):
     return cases(spark, d).selectExpr("observation_id", f"{_decision} AS status", f"{_decision} = 'certified' AND evidence_status = 'available' AS eligible")
 
 
-@query("dossier", f"{_case} SELECT observation_id, facts, sources, blocking, {_decision} AS status, CASE WHEN foreign_sources > 0 THEN 'OWNERSHIP' END AS violation FROM cases")
-def dossier(spark, d):
-    return cases(spark, d).selectExpr("observation_id", "facts", "sources", "blocking", f"{_decision} AS status", "CASE WHEN foreign_sources > 0 THEN 'OWNERSHIP' END AS violation")
-
-
 _benchmark = {
     "PAIR_WITHOUT_PRICE": "prices = 0 AND areas > 0", "PAIR_WITHOUT_AREA": "prices > 0 AND areas = 0", "UNPAIRED_ELIGIBLE": "(prices = 0 OR areas = 0) AND eligible > 0", "DUPLICATE_IDENTITY": "identities < facts",
 }
@@ -216,13 +208,13 @@ def manifest_check(spark, d):
 
 BUNDLE_RULES = {"ID": "document_id IS NULL", "REFERENCE": "publish_permission IS NULL", "TRANSCRIPTION": "has_fragment AND coalesce(n_chars, 0) < 200", "UNUSED": "evidence_id IS NULL AND publish_permission = 'authorized'"}
 _bundle = "own AS (SELECT coalesce(r.document_id, d.document_id) AS document_id, evidence_id, has_fragment, d.publish_permission, n_chars FROM records r FULL JOIN (SELECT docs.*, n_chars FROM docs JOIN documents ON documents.doc_id = docs.document_id) d ON d.document_id = r.document_id)"
-for _name in ("check_evidence_bundle", "evidence_reference_check"):
 
-    @query(_name, f"{M.sql('records', 'docs')}, {_bundle} {C.broken_sql('document_id', 'own', **BUNDLE_RULES)}")
-    def evidence_bundle(spark, d):
-        docs = M.read(spark, d, "docs").select("document_id", "publish_permission").join(A.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "n_chars"), "document_id")
-        own = M.read(spark, d, "records").select("document_id", "evidence_id", "has_fragment").join(docs, "document_id", "full")
-        return C.broken(own, "document_id", **BUNDLE_RULES)
+
+@query("check_evidence_bundle", f"{M.sql('records', 'docs')}, {_bundle} {C.broken_sql('document_id', 'own', **BUNDLE_RULES)}")
+def evidence_bundle(spark, d):
+    docs = M.read(spark, d, "docs").select("document_id", "publish_permission").join(A.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "n_chars"), "document_id")
+    own = M.read(spark, d, "records").select("document_id", "evidence_id", "has_fragment").join(docs, "document_id", "full")
+    return C.broken(own, "document_id", **BUNDLE_RULES)
 
 
 AGENCY_RULES = {"ID_SHAPE": "NOT (id LIKE 'agency:%')", "ALIAS_UNRESOLVED": "customer IS NULL", "TIER": "tier = 'deep' AND listings < 3", "SELECTION": "listings IS NULL AND tier <> 'base'"}
