@@ -15,13 +15,13 @@ REASONS = ("base_zero", "extreme_change", "unknown_currency", "invalid_date_orde
 REVIEW = ("base_zero", "extreme_change")
 
 
-def lag_change(df: DataFrame) -> DataFrame:
+def lag_change(df: DataFrame, more: tuple[str, ...] = ("currency", "evidence_state", "semantic")) -> DataFrame:
     """Each observation with the one before it of the same entity and field; percent only over a base that is not 0.
 
-    Of the columns currency, evidence_state and semantic, those that are there come with their values before. An entity may have any
+    Of the columns named in more, those that are there come with their values before. An entity may have any
     number of observations: they are ordered in ranges, and the last of each range is carried on.
     """
-    more = [c for c in ("currency", "evidence_state", "semantic") if c in df.columns]
+    more = [c for c in more if c in df.columns]
     flags = [c for c in ("resolved", "duplicate") if c in df.columns]
     own = df.select("event_id", "entity_id", "field", "ts", "value", *more, *flags)
     own = ordered.lagged(own, ["entity_id", "field"], ["ts", "event_id"], previous="value", previous_ts="ts", **{f"previous_{c}": c for c in more})

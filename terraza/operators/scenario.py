@@ -46,6 +46,31 @@ def comparability(df: DataFrame, s: Scenario, least: int = 3) -> DataFrame:
     return out.select("in_scope", "comparable", "references", S.half_up("median", 2).alias("median"), "mean_score", where.alias("position"))
 
 
+def composed(df: DataFrame, target: scoring.Target, past: DataFrame, least: int = 3) -> DataFrame:
+    """Each district's scenario in one row: its scope, what is comparable with the target, where the target stands, its history, and its state.
+
+    past is (district_id, candidates, events, shown_events, agenda, action). Listings of no district are the district -1, as is their
+    past; a district without comparable prices is insufficient and has the median 0, one without a past has no events.
+    """
+    scores = scoring.score(df, target).select("listing_id", "score", "label")
+    comparable = F.coalesce(F.col("label").isin("Alta", "Media"), F.lit(False))
+    reference = comparable & F.coalesce((F.col("ppm") > 0) & (F.col("currency") == "PEN"), F.lit(False))
+    valid = S.valid_coordinate(F.col("lat"), F.col("lon"))
+    own = df.select("listing_id", F.coalesce("district_id", F.lit(-1)).alias("district_id"), "ppm", "currency", valid.alias("valid")).join(scores, "listing_id")
+    own = written(own.select("district_id", "valid", "ppm", "score", comparable.alias("comparable"), reference.alias("reference")), "scope")
+    counts = own.groupBy("district_id").agg(
+        F.count("*").alias("in_scope"), F.count_if("valid").alias("placed"), F.count_if("comparable").alias("comparable"), F.count_if("reference").alias("references"), S.half_up(F.avg("score"), 1).alias("mean_score")
+    )
+    out = counts.join(exact(own.where("reference"), ["district_id"], "ppm", 0.5).select("district_id", F.col("q")[0].alias("median")), "district_id", "left")
+    past = past.select(F.coalesce("district_id", F.lit(-1)).alias("district_id"), "candidates", "events", "shown_events", "agenda", "action")
+    out = out.join(past, "district_id", "left").fillna(0, ["candidates", "events", "shown_events"]).fillna("", ["agenda", "action"])
+    share = S.ratio(F.lit(target.ppm) - F.col("median"), F.col("median"))
+    position = F.when(F.col("references") < least, "insufficient").when(share < -0.08, "Entrada").when(share > 0.08, "Premium").otherwise("Alineado")
+    state = F.when(F.col("references") < least, "insufficient").when(F.col("shown_events") == 0, "without_history").when(F.col("placed") < F.col("in_scope"), "partial").otherwise("ready")
+    names = ("district_id", "in_scope", "placed", "comparable", "references", F.coalesce(S.half_up("median", 2), F.lit(0.0)).alias("median"), "mean_score", position.alias("position"), "candidates", "events", "shown_events", "agenda", "action", state.alias("state"))
+    return out.select(*names)
+
+
 def quantitative(df: DataFrame) -> DataFrame:
     """Each district's price series with its ledger: used, missing and excluded add up to the input."""
     used, missing = (F.col("ppm") > 0) & (F.col("currency") == "PEN"), F.col("ppm").isNull()

@@ -217,17 +217,26 @@ def evidence_bundle(spark, d):
     return C.broken(own, "document_id", **BUNDLE_RULES)
 
 
+_row_key = "concat(CAST(l_orderkey AS VARCHAR(20)), ':', CAST(l_linenumber AS VARCHAR(20)))"
+#: The keys that agencies cite of the snapshot's rows; some name a row that isn't there.
+_cited_key = f"concat({_row_key}, CASE WHEN l_orderkey % 71 = 8 AND l_suppkey % 3 > 0 THEN '-old' ELSE '' END)"
 AGENCY_RULES = {"ID_SHAPE": "NOT (id LIKE 'agency:%')", "ALIAS_UNRESOLVED": "customer IS NULL", "TIER": "tier = 'deep' AND listings < 3", "SELECTION": "listings IS NULL AND tier <> 'base'"}
 
 
 @query("check_agency_artifacts", f"""WITH n AS (SELECT o_custkey, count(*) AS listings FROM orders GROUP BY 1), own AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 3 THEN {S.slug_sql('s_name')} ELSE concat('agency:', {S.slug_sql('s_name')}) END AS id, c_custkey AS customer, {_tiers} AS tier, listings
-FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey * 20 LEFT JOIN n ON o_custkey = s_suppkey) {C.broken_sql('s_suppkey', 'own', **AGENCY_RULES)}""")
+FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey * 20 LEFT JOIN n ON o_custkey = s_suppkey), cited AS (SELECT l_suppkey AS s_suppkey, sha256({_cited_key}) AS key FROM lineitem), snapshot AS (SELECT sha256({_row_key}) AS key, count(*) AS n FROM lineitem GROUP BY 1)
+{C.broken_sql('s_suppkey', 'own', **AGENCY_RULES)} UNION ALL SELECT DISTINCT s_suppkey, CASE WHEN n IS NULL THEN 'ROW_KEY_MISSING' ELSE 'ROW_KEY_REPEATED' END FROM cited c LEFT JOIN snapshot s ON s.key = c.key WHERE n IS DISTINCT FROM 1""")
 def agency_artifacts(spark, d):
+    """Shapes, aliases and tiers of agencies, and the keys of their evidence rows, each of which has to be in the snapshot exactly once."""
+    lines = A.table(spark, d, "lineitem")
+    snapshot = lines.select(F.sha2(F.expr(_row_key), 256).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    cited = lines.select(F.col("l_suppkey").alias("s_suppkey"), F.sha2(F.expr(_cited_key), 256).alias("key")).join(snapshot, "key", "left").where("n IS DISTINCT FROM 1")
+    keys = cited.select("s_suppkey", F.when(F.col("n").isNull(), "ROW_KEY_MISSING").otherwise("ROW_KEY_REPEATED").alias("code")).distinct()
     listings = A.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("s_suppkey")).agg(F.count("*").alias("listings"))
     known = A.table(spark, d, "customer").where("c_custkey % 20 = 0").select((F.col("c_custkey") / 20).cast("long").alias("s_suppkey"), F.col("c_custkey").alias("customer"))
     name = S.slug("s_name")
     own = A.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 3, name).otherwise(F.concat(F.lit("agency:"), name)).alias("id"), F.expr(_tiers).alias("tier"))
-    return C.broken(own.join(known, "s_suppkey", "left").join(listings, "s_suppkey", "left"), "s_suppkey", **AGENCY_RULES)
+    return C.broken(own.join(known, "s_suppkey", "left").join(listings, "s_suppkey", "left"), "s_suppkey", **AGENCY_RULES).unionByName(keys)
 
 
 #: Collections that a caller may leave out; each that is there is checked for repeated ids.

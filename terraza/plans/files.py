@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from terraza.operators import checks as C
 from terraza.operators import ordered as O
+from terraza.operators import reports
 from terraza.operators import rings as R
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import blobs, files, geojson, scratch
+from terraza.sources import model as M
 
 
 @query("scan_required_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
@@ -142,6 +145,18 @@ def discover_inputs(spark, d):
     return out.orderBy("name")
 
 
+#: What the coverage report counts of each collection.
+REPORTED = {"facts": ("semantic_type", "currency", "value_kind", "quality_status", "benchmark_eligible", "exclusion_reason"), "observations": ("evidence_status", "absence_reason", "currency"), "issues": ("issue_code", "quality_status", "benchmark_blocking"), "records": ("publish_permission", "availability", "has_fragment"), "docs": ("source", "publish_permission", "availability", "has_asset")}
+
+
+@query("sink_report", f"{M.sql(*REPORTED)} " + " UNION ALL ".join(reports.counts_sql(c, *sections) for c, sections in REPORTED.items()))
+def sink_report(spark, d):
+    """The coverage report, written as stable JSON lines in order and read back."""
+    path = scratch.path(spark, "report")
+    files.sink_json(C.union([reports.counts(M.read(spark, d, c), c, *sections) for c, sections in REPORTED.items()]), path, "collection", "section", "key")
+    return spark.read.schema("collection string, section string, key string, n long").json(path)
+
+
 @query("simplify_ring")
 def simplify_ring(spark, d):
     """The lines of an order as a ring of points in the order of their numbers, with fewer corners; an order has few lines."""

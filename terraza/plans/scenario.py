@@ -7,11 +7,14 @@ from terraza.operators import checks as K
 from terraza.operators import history as H
 from terraza.operators import listings as L
 from terraza.operators import scenario as C
+from terraza.operators import timeline as TL
 from terraza.plans import history as PH
 from terraza.plans import listings as PL
+from terraza.plans import timeline as PT
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import files, scratch
+from terraza.sources import model as M
 
 LISTINGS = f"WITH {A.LISTINGS_SQL}"
 h, r = S.half_up_sql, S.ratio_sql
@@ -57,14 +60,26 @@ def comparison_model(spark, d):
     return C.comparison(three, "district_id")
 
 
-@query("scenario_context", f"""{LISTINGS}, ok AS (SELECT * FROM listings WHERE {VALID}), top AS (SELECT district_id, CAST(row_number() OVER (ORDER BY count(*) DESC, district_id) AS INTEGER) AS rank FROM ok GROUP BY 1 ORDER BY rank LIMIT 7),
+@query("quadrant_summary", f"""{LISTINGS}, ok AS (SELECT * FROM listings WHERE {VALID}), top AS (SELECT district_id, CAST(row_number() OVER (ORDER BY count(*) DESC, district_id) AS INTEGER) AS rank FROM ok GROUP BY 1 ORDER BY rank LIMIT 7),
 mid AS (SELECT district, quantile_cont(lat, 0.5) AS mid_lat, quantile_cont(lon, 0.5) AS mid_lon FROM ok GROUP BY 1)
 SELECT o.district, concat(CASE WHEN lat >= mid_lat THEN 'N' ELSE 'S' END, CASE WHEN lon < mid_lon THEN 'W' ELSE 'E' END) AS quadrant, count(*) AS observed, count(DISTINCT agency) AS agencies, count(ppm) AS \"references\", {h('quantile_cont(ppm, 0.5)', 2)} AS median_ppm, rank
 FROM ok o JOIN mid m ON m.district = o.district JOIN top t ON t.district_id = o.district_id GROUP BY 1, 2, rank""")
-def scenario_context(spark, d):
+def quadrant_summary(spark, d):
     return C.market_summary(A.listings(spark, d, "listing_id", "district_id", "district", "agency", "lat", "lon", "ppm"))
 
 
+_position = f"CASE WHEN n < 3 THEN 'insufficient' WHEN {_share} < -0.08e0 THEN 'Entrada' WHEN {_share} > 0.08e0 THEN 'Premium' ELSE 'Alineado' END"
+
+
+@query("scenario_context", f"""{PL._score_sql()}, joined AS (SELECT district_id, {VALID} AS valid, l.ppm AS price_m2, score, label IN ('Alta', 'Media') AS comparable, {_ref.replace('ppm', 'l.ppm')} AS reference FROM listings l JOIN labelled s ON s.listing_id = l.listing_id),
+g AS (SELECT district_id, count(*) AS in_scope, count(*) FILTER (valid) AS placed, count(*) FILTER (comparable) AS comparable, count(*) FILTER (reference) AS n, quantile_cont(CASE WHEN reference THEN price_m2 END, 0.5) AS median, {h('avg(score)', 1)} AS mean_score FROM joined GROUP BY 1),
+past AS (SELECT * FROM ({PT.COUNTERS} SELECT district_id, candidates, events, shown_events, agenda, action FROM counters))
+SELECT coalesce(g.district_id, -1) AS district_id, in_scope, placed, comparable, n AS "references", coalesce({h('median', 2)}, 0) AS median, mean_score, {_position} AS position, coalesce(candidates, 0) AS candidates, coalesce(events, 0) AS events, coalesce(shown_events, 0) AS shown_events, coalesce(agenda, '') AS agenda, coalesce(action, '') AS action,
+CASE WHEN n < 3 THEN 'insufficient' WHEN coalesce(shown_events, 0) = 0 THEN 'without_history' WHEN placed < in_scope THEN 'partial' ELSE 'ready' END AS state FROM g LEFT JOIN past ON past.district_id IS NOT DISTINCT FROM g.district_id""")
+def scenario_context(spark, d):
+    return C.composed(A.listings(spark, d, *PL.SCORED, "currency", "district_id"), PL.TARGET, TL.counters(PT.timeline(spark, d)))
+
+
 _policy = f"""own AS (SELECT a.field, a.event_id, a.status, a.percent, a.delta, p.ts, CASE a.status WHEN 'certified' THEN 0 WHEN 'reviewable' THEN 1 ELSE 2 END AS s, CASE WHEN p.ts > TIMESTAMP '{PH.CUTOFF}' THEN 3 WHEN {PH._age.replace('ts', 'p.ts')} < 31 THEN 0 WHEN {PH._age.replace('ts', 'p.ts')} < 91 THEN 1 ELSE 2 END AS v,
 CASE p.evidence_state WHEN 'authorized' THEN 0 WHEN 'restricted' THEN 2 ELSE 3 END AS e FROM assessed a JOIN pairs p ON p.event_id = a.event_id)"""
 
@@ -98,16 +113,31 @@ def change_event(spark, d):
 
 # What an event says of itself, with the slips that a check has to find: a wrong delta or percent, or a quality that is too high.
 _stored = {"stored_delta": "CASE WHEN event_id % 53 = 0 THEN delta + 1 ELSE delta END", "stored_percent": "CASE WHEN event_id % 59 = 0 THEN percent + 1 ELSE percent END", "stored_quality": "CASE WHEN event_id % 3 = 0 THEN 'certified' ELSE 'reviewable' END", "stored_issue": "CASE WHEN event_id % 2 = 0 THEN 'EXTREME_CHANGE_REVIEW' END"}
-EVENT_RULES = {
-    "EVENT_CURRENCY_MISMATCH": "currency <> previous_currency", "EVENT_SEMANTIC_TYPE_MISMATCH": "semantic <> previous_semantic", "EVENT_DELTA_MISMATCH": "stored_delta <> delta", "EVENT_PERCENTAGE_MISMATCH": "stored_percent <> percent OR stored_percent IS NULL AND percent IS NOT NULL",
+#: What an event's two observations have to agree on; some of them don't.
+SAME = {
+    "currency": A.STATE["currency"], "semantic": A.STATE["semantic"], "unit": "CASE WHEN event_id % 41 = 3 THEN 'm2' ELSE 'PEN' END", "price_type": "CASE event_id % 47 WHEN 0 THEN NULL WHEN 1 THEN 'list' ELSE 'from' END", "area_type": "CASE WHEN event_id % 61 = 5 THEN 'built' ELSE 'total' END",
+    "typology": "CASE WHEN event_id % 67 = 8 THEN NULL ELSE 'home' END", "transform": "CASE WHEN event_id % 71 = 9 THEN 'index' ELSE 'none' END", "origin": "CASE WHEN event_id % 73 = 10 THEN 'feed' ELSE 'snapshot' END",
+}
+#: The evidence that an event gives for its cause, for some events.
+_cause = "CASE WHEN event_id % 4 = 0 THEN event_id / 4 END"
+EVENT_RULES = {f"EVENT_{c.upper()}_MISMATCH": f"{c} IS DISTINCT FROM previous_{c}" for c in SAME} | {
+    "EVENT_DELTA_MISMATCH": "stored_delta <> delta", "EVENT_PERCENTAGE_MISMATCH": "stored_percent <> percent OR stored_percent IS NULL AND percent IS NOT NULL", "EVENT_ZERO_BASE_ISSUE_MISSING": "previous = 0 AND stored_issue IS NULL",
     "EVENT_EXTREME_ISSUE_MISSING": "abs(percent) > 50 AND stored_issue IS NULL", "EVENT_OBSERVATION_ORDER": "previous_ts >= ts", "EVENT_QUALITY_TOO_HIGH": "stored_quality = 'certified' AND (evidence_state <> 'authorized' OR previous = 0 OR abs(percent) > 50)",
+    "CAUSE_EVIDENCE_MISSING": "cause_id IS NOT NULL AND cause_permission IS NULL", "CAUSE_EVIDENCE_RESTRICTED": "cause_permission <> 'authorized'",
 }
+_more = (*SAME, "evidence_state")
 
 
-@query("check_events", f"{PH._pairs}, own AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _stored.items())} FROM pairs) {K.broken_sql('event_id', 'own', **EVENT_RULES)}")
+@query("check_events", f"""{M.sql('records')}, own AS (SELECT user_id AS entity_id, event_type AS field, event_id, ts, value, {', '.join(f'{e} AS {c}' for c, e in (SAME | {'evidence_state': A.STATE['evidence_state']}).items())} FROM events),
+lagged AS (SELECT *, lag(value) OVER w AS previous, lag(ts) OVER w AS previous_ts, {', '.join(f'lag({c}) OVER w AS previous_{c}' for c in _more)} FROM own WINDOW w AS (PARTITION BY entity_id, field ORDER BY ts, event_id)),
+deltas AS (SELECT *, {h('value - previous', 2)} AS delta FROM lagged WHERE previous IS NOT NULL), pairs AS (SELECT *, {PH._pct} AS percent FROM deltas), causes AS (SELECT evidence_id, min(publish_permission) AS cause_permission FROM records GROUP BY 1),
+stated AS (SELECT *, CAST({_cause} AS BIGINT) AS cause_id, {', '.join(f'{e} AS {c}' for c, e in _stored.items())} FROM pairs), judged AS (SELECT s.*, cause_permission FROM stated s LEFT JOIN causes ON evidence_id = cause_id) {K.broken_sql('event_id', 'judged', **EVENT_RULES)}""")
 def check_events(spark, d):
-    own = H.lag_change(A.changes(spark, d)).select("*", *(F.expr(e).alias(c) for c, e in _stored.items()))
-    return K.broken(own, "event_id", **EVENT_RULES)
+    """Events against the two observations that they name, what they state of the change, and the evidence for its cause."""
+    events = A.table(spark, d, "events").select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("field"), "event_id", "ts", "value", *(F.expr(e).alias(c) for c, e in SAME.items()), F.expr(A.STATE["evidence_state"]).alias("evidence_state"))
+    own = H.lag_change(events, _more).select("*", F.expr(_cause).cast("long").alias("cause_id"), *(F.expr(e).alias(c) for c, e in _stored.items()))
+    causes = M.read(spark, d, "records").groupBy(F.col("evidence_id").alias("cause_id")).agg(F.min("publish_permission").alias("cause_permission"))
+    return K.broken(own.join(causes, "cause_id", "left"), "event_id", **EVENT_RULES)
 
 
 @query("norm_confidence", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE 'unknown' END AS confidence FROM orders")

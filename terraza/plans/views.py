@@ -356,9 +356,3 @@ def checklist(spark, d):
     first = L.rank_within(own, "district", 3, F.col("listing_id")).groupBy("district").agg(F.array_join(F.array_sort(F.collect_list("listing_id")).cast("array<string>"), ",").alias("references"))  # three ids
     counts = own.groupBy("district").agg(F.count("*").alias("comparable"), F.count("ppm").alias("priced"))
     return counts.join(first, "district").withColumn("state", F.when(F.col("comparable") == 0, "blocked").when(F.col("priced") < 3, "partial").otherwise("ready"))
-
-
-@query("sink_report", f"{M.sql('facts', 'observations', 'issues', 'records')} SELECT 'facts' AS collection, count(*) AS n FROM facts UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'issues', count(*) FROM issues UNION ALL SELECT 'records', count(*) FROM records UNION ALL SELECT 'eligible_facts', count(*) FROM facts WHERE benchmark_eligible")
-def sink_report(spark, d):
-    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n")
-    return C.union([*(one(c, M.read(spark, d, c)) for c in ("facts", "observations", "issues", "records")), one("eligible_facts", M.read(spark, d, "facts").where("benchmark_eligible"))])
