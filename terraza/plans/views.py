@@ -266,6 +266,7 @@ def market_districts(spark, d):
 
 _level = "CASE WHEN projects >= 60 OR agencies >= 28 THEN 'Alta' WHEN projects >= 20 OR agencies >= 10 THEN 'Media' ELSE 'Baja' END"
 _position = "CASE WHEN mean IS NULL THEN 'sin precio' WHEN 1500 < mean * 0.92e0 THEN 'Entrada competitiva' WHEN 1500 > mean * 1.08e0 THEN 'Sobre el mercado' ELSE 'Alineado al mercado' END"
+# Sentences of advice.
 _advice = f"""CASE WHEN ({_position}) = 'sin precio' THEN CASE WHEN pressure THEN 'Priorizar diferenciación por ubicación, entrega y atributos visibles.' ELSE 'Explorar una campaña de entrada con educación del distrito y captura temprana de leads.' END
 WHEN ({_position}) = 'Entrada competitiva' THEN CASE WHEN pressure THEN 'Comunicar oportunidad, ahorro relativo y urgencia frente a competidores directos.' ELSE 'Posicionar como alternativa de valor y capturar leads tempranos.' END
 WHEN ({_position}) = 'Alineado al mercado' THEN CASE WHEN pressure THEN 'Diferenciar por ubicación, entrega, financiamiento y áreas comunes.' ELSE 'Reforzar atributos del distrito y beneficios concretos para sostener conversión.' END
@@ -279,6 +280,7 @@ def market(spark, d):
 
 
 query("commercial_recommendation", f"{_market} SELECT district, typology, {_position} AS position, pressure, {_advice} AS action FROM m")(lambda spark, d: market(spark, d).selectExpr("district", "typology", f"{_position} AS position", "pressure", f"{_advice} AS action"))
+# The sentence of a district's insight.
 _insight = f"concat(district, ' muestra ', lower({_level}), ' competencia, ', projects, ' proyectos visibles y una ', CASE WHEN mean IS NULL THEN 'precio por m2 aún no concluyente' ELSE 'media publicada' END, '.')"
 query("district_insight", f"{_market} SELECT district, typology, {_insight} AS text FROM m")(lambda spark, d: market(spark, d).selectExpr("district", "typology", f"{_insight} AS text"))
 
