@@ -94,6 +94,23 @@ def comparison(df: DataFrame, by: str) -> DataFrame:
     return own.withColumn("differs", F.min("value").over(w) != F.max("value").over(w))
 
 
+#: Findings of a comparison in order of importance: the code, the column, and whether the least value is the one to name.
+FINDINGS = (("lowest_ppm", "ppm", True), ("largest_area", "area", False), ("earliest_delivery", "delivery_year", True))
+
+
+def findings(df: DataFrame, by: str, most: int = 3) -> DataFrame:
+    """(by, nth, code, listing_id): at most so many findings on the few listings of each group; a column of one value or none says nothing.
+
+    Listings in several currencies are the first finding, of no one listing (-1). Of equal values the smallest id is named.
+    """
+    differs = lambda c: F.count_distinct(c) > 1
+    named = lambda c, least: F.min_by("listing_id", F.when(F.col(c).isNotNull(), F.struct(F.col(c) if least else -F.col(c), F.col("listing_id"))))
+    found = lambda code, who: F.struct(F.lit(code).alias("code"), who.cast("long").alias("listing_id"))
+    rows = [F.when(differs("currency"), found("currencies_differ", F.lit(-1))), *(F.when(differs(c), found(code, named(c, least))) for code, c, least in FINDINGS)]
+    own = df.groupBy(by).agg(F.slice(F.array_compact(F.array(*rows)), 1, most).alias("f"))
+    return own.select(by, F.posexplode("f")).select(by, (F.col("pos") + 1).alias("nth"), "col.code", "col.listing_id")
+
+
 def market_summary(df: DataFrame) -> DataFrame:
     """The median price and level of every quadrant of the districts with most listings."""
     top = geo.high_load(df).select("district_id", "rank")

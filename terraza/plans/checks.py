@@ -59,17 +59,26 @@ RECORD_RULES = {
     "FRAGMENT_DOCUMENT_REQUIRED": "has_fragment AND document_permission IS NULL",
     "PERMISSION_MISMATCH": "publish_permission = 'authorized' AND document_permission <> 'authorized'",
     "AVAILABILITY_MISMATCH": "availability = 'available' AND document_availability <> 'available'",
+    "HASH_MISMATCH": "stated_sha256 <> sha256",
+    "OWNER_MISMATCH": "stated_source <> source",
     "FRAGMENT_DOCUMENT_RESTRICTED": "has_fragment AND (document_permission <> 'authorized' OR document_availability <> 'available')",
 }
 _asset = "has_asset AND (publish_permission <> 'authorized' OR availability <> 'available')"
 
 
-@query("check_permissions", f"""{M.sql('records', 'docs')}, own AS (SELECT r.*, d.publish_permission AS document_permission, d.availability AS document_availability FROM records r LEFT JOIN docs d ON d.document_id = r.document_id)
+#: The text and the source that a record states of its document; some state another.
+_stated_text, _stated_source = "concat(text, CASE WHEN doc_id % 13 = 2 THEN ' ' ELSE '' END)", "CASE WHEN doc_id % 17 = 3 THEN 'elsewhere' ELSE source END"
+
+
+@query("check_permissions", f"""{M.sql('records', 'docs')}, texts AS (SELECT doc_id, source, sha256(text) AS sha256, sha256({_stated_text}) AS stated_sha256, {_stated_source} AS stated_source FROM documents),
+own AS (SELECT r.*, d.publish_permission AS document_permission, d.availability AS document_availability, t.source, sha256, stated_sha256, stated_source FROM records r LEFT JOIN docs d ON d.document_id = r.document_id LEFT JOIN texts t ON t.doc_id = r.document_id)
 SELECT document_id AS id, 'RESTRICTED_ASSET_EXPOSED' AS code FROM docs WHERE {_asset} UNION ALL {C.broken_sql('evidence_id AS id', 'own', **RECORD_RULES)}""")
 def check_permissions(spark, d):
-    docs = M.read(spark, d, "docs")
+    """Exposed assets and fragments, records more public than their document, and records that state another hash or owner; texts are hashed where they are read, and only digests are shuffled."""
+    docs, records = M.read(spark, d, "docs"), M.read(spark, d, "records")
     state = docs.select("document_id", F.col("publish_permission").alias("document_permission"), F.col("availability").alias("document_availability"))
-    own = M.read(spark, d, "records").join(state, "document_id", "left").withColumnRenamed("evidence_id", "id")
+    texts = A.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", F.sha2("text", 256).alias("sha256"), F.sha2(F.expr(_stated_text), 256).alias("stated_sha256"), F.expr(_stated_source).alias("stated_source"))
+    own = records.join(state, "document_id", "left").join(texts, "document_id", "left").withColumnRenamed("evidence_id", "id")
     assets = C.broken(docs.withColumnRenamed("document_id", "id"), "id", RESTRICTED_ASSET_EXPOSED=_asset)
     return assets.unionByName(C.broken(own, "id", **RECORD_RULES))
 

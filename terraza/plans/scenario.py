@@ -60,6 +60,19 @@ def comparison_model(spark, d):
     return C.comparison(three, "district_id")
 
 
+_finding = " UNION ALL ".join(
+    [f"SELECT district_id, 0 AS place, 'currencies_differ' AS code, -1 AS listing_id FROM three GROUP BY 1 HAVING count(DISTINCT currency) > 1"]
+    + [f"SELECT district_id, {i}, '{code}', arg_min(listing_id, ({'' if least else '-'}{c}, listing_id)) FILTER ({c} IS NOT NULL) FROM three GROUP BY 1 HAVING count(DISTINCT {c}) > 1" for i, (code, c, least) in enumerate(C.FINDINGS, 1)]
+)
+
+
+@query("comparison_findings", f"{LISTINGS}, three AS ({_three_rows}), f AS ({_finding}), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY district_id ORDER BY place) AS INTEGER) AS nth FROM f) SELECT district_id, nth, code, listing_id FROM n WHERE nth <= 3")
+def comparison_findings(spark, d):
+    """What stands out among the three cheapest listings of each district."""
+    three = L.rank_within(A.listings(spark, d, "listing_id", "district", "district_id", "price", "currency", "ppm", "area", "delivery_year"), "district", 3, F.col("price"), F.col("listing_id"))
+    return C.findings(three, "district_id")
+
+
 @query("quadrant_summary", f"""{LISTINGS}, ok AS (SELECT * FROM listings WHERE {VALID}), top AS (SELECT district_id, CAST(row_number() OVER (ORDER BY count(*) DESC, district_id) AS INTEGER) AS rank FROM ok GROUP BY 1 ORDER BY rank LIMIT 7),
 mid AS (SELECT district, quantile_cont(lat, 0.5) AS mid_lat, quantile_cont(lon, 0.5) AS mid_lon FROM ok GROUP BY 1)
 SELECT o.district, concat(CASE WHEN lat >= mid_lat THEN 'N' ELSE 'S' END, CASE WHEN lon < mid_lon THEN 'W' ELSE 'E' END) AS quadrant, count(*) AS observed, count(DISTINCT agency) AS agencies, count(ppm) AS \"references\", {h('quantile_cont(ppm, 0.5)', 2)} AS median_ppm, rank

@@ -36,3 +36,9 @@ def test_composed(spark):
         1: (4, 4, 4, "Alineado", "ready"), 2: (3, 3, 3, "Premium", "without_history"), 3: (3, 3, 1, "insufficient", "insufficient"), 4: (4, 3, 4, "Entrada", "partial"), -1: (1, 1, 1, "insufficient", "insufficient"),
     }
     assert (got[1]["candidates"], got[1]["shown_events"], got[1]["agenda"]) == (5, 3, "a") and (got[2]["events"], got[2]["action"]) == (0, "") and got[-1]["agenda"] == "c" and got[3]["median"] == 1500.0
+
+
+def test_findings(spark):
+    rows = [(1, 1, "PEN", 10.0, 50.0, 1996), (2, 1, "USD", 9.0, 70.0, 1995), (3, 1, "PEN", None, 70.0, 1994), (4, 2, "PEN", 8.0, 60.0, 1996), (5, 2, "PEN", 8.0, 61.0, None), (6, 3, "PEN", 1.0, 1.0, 1)]
+    got = scenario.findings(spark.createDataFrame(rows, "listing_id int, district_id int, currency string, ppm double, area double, delivery_year int"), "district_id").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, "currencies_differ", -1), (1, 2, "lowest_ppm", 2), (1, 3, "largest_area", 2), (2, 1, "largest_area", 5)]
