@@ -37,5 +37,5 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-def test_every_query_has_rows_or_sql():
-    assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) > 80
+def test_every_query_has_sql():
+    assert set(ORACLE_SQL) <= set(QUERIES) and set(QUERIES) - set(ORACLE_SQL) == {"simplify_ring"}  # that one is held against its tolerance
