@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terraza.functions import semantics as S
 from terraza.functions.quantiles import exact
 from terraza.operators import cells
-from terraza.sources.scratch import written
+from terraza.sources.scratch import apart, written
 
 # The stages at which a listing leaves, each with its reasons, in order, and the quadrants.
 STAGES = {"scope": ("not_high_load",), "geography": ("invalid_coordinates", "outside_district_polygon"), "reconciliation": ("not_reconciled",)}
@@ -29,7 +29,7 @@ def assignments(listings: DataFrame, polygons: DataFrame, width: float, high_loa
     points = valid.select(F.col("listing_id").alias("point"), F.col("lon").alias("x"), F.col("lat").alias("y"), "district_id")
     found = cells.within(points, polygons, "polygon", width)
     found = found.groupBy(F.col("point").alias("listing_id")).agg(F.count("*").alias("found"), F.max(F.col("polygon").eqNullSafe(F.col("district_id"))).alias("polygon_valid"))
-    placed = own.join(F.broadcast(top), "district_id", "left").join(found, "listing_id", "left")
+    placed = own.join(F.broadcast(top), "district_id", "left").join(apart(found), "listing_id", "left")
     placed = placed.withColumns({"high_load": F.coalesce("high_load", F.lit(False)), "found": F.coalesce("found", F.lit(0).cast("long")), "polygon_valid": F.coalesce("polygon_valid", F.lit(False))})
     placed = written(placed, "placed")
     counted = placed.where("high_load and polygon_valid")

@@ -12,7 +12,7 @@ from terraza.operators import districts as D
 from terraza.operators import sets as E
 from terraza.registry import query
 from terraza.sources import adapter as A
-from terraza.sources.scratch import written
+from terraza.sources.scratch import apart, written
 
 WIDTH = 0.0005
 # (part, ring, corners): in ten-thousandths of a degree from the district's corner.
@@ -37,7 +37,7 @@ def listings(spark, d):
     districts = A.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("district_id"))
     known = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id")).distinct().withColumn("reconciled", F.lit(True))
     own = A.table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("listing_id"), *(F.expr(e).alias(c) for c, e in COORDINATES.items()))
-    return own.join(districts, "o_custkey", "left").join(known, "listing_id", "left").select("listing_id", "district_id", "lat", "lon", F.coalesce("reconciled", F.lit(False)).alias("reconciled"))
+    return own.join(apart(districts), "o_custkey", "left").join(apart(known), "listing_id", "left").select("listing_id", "district_id", "lat", "lon", F.coalesce("reconciled", F.lit(False)).alias("reconciled"))
 
 
 _corners = ", ".join(f"({p}, {r}, {i}, {u}, {v}, {len(ring)})" for p, r, ring in SHAPE for i, (u, v) in enumerate(ring))
@@ -104,12 +104,14 @@ def _scenarios(spark, d):
     modes = lambda df: df.withColumn("mode", F.explode(F.array_compact(F.array(F.lit("district"), F.when(F.col("quadrant") == "NE", "quadrant"), F.when(near, "radius"))))).select("district_id", "mode", "listing_id")
     # The map takes what the ledger leaves; the reading starts from the points in polygons; the comparator takes the ledger's rows away; the assistant meets three lists.
     ways = {"map": modes(own.where("high_load and reason is null"))}
-    points = listings(spark, d).where(S.valid_coordinate(F.col("lat"), F.col("lon"))).select(F.col("listing_id").alias("point"), "district_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    points = own.where(S.valid_coordinate(F.col("lat"), F.col("lon"))).select(F.col("listing_id").alias("point"), "district_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     inside = C.within(points, polygons(spark, d), "polygon", WIDTH).where("polygon = district_id").select(F.col("point").alias("listing_id"))
-    ways["market_reading"] = modes(ids.where("quadrant is not null").join(inside.join(known, "listing_id", "left_semi"), "listing_id", "left_semi"))
-    ways["comparator"] = modes(ids.join(own.where("reason is not null").select("listing_id"), "listing_id", "left_anti"))
-    three = [own.where(c).select("listing_id") for c in ("high_load", "coordinate_valid and polygon_valid", "reconciled")]
-    ways["assistant"] = modes(ids.join(three[0].intersect(three[1]).intersect(three[2]), "listing_id", "left_semi"))
+    ways["market_reading"] = modes(ids.where("quadrant is not null").join(apart(inside), "listing_id", "left_semi").join(apart(known), "listing_id", "left_semi"))
+    ways["comparator"] = modes(ids.join(apart(own.where("reason is not null").select("listing_id")), "listing_id", "left_anti"))
+    met = ids
+    for c in ("high_load", "coordinate_valid and polygon_valid", "reconciled"):
+        met = met.join(apart(own.where(c).select("listing_id")), "listing_id", "left_semi")
+    ways["assistant"] = modes(met)
     return ways
 
 

@@ -30,3 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     to = path(df.sparkSession, name)
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df as a side of a join by shuffles. Spark takes a Parquet table for as large as its compressed columns, so millions of ids may count as small and be broadcast through the driver."""
+    return df.hint("merge")

@@ -1,10 +1,13 @@
 """The cell cover, the points that it finds in polygons, and the ledger of assignments, against plain tests of every point."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from terraza.operators import cells as C
 from terraza.operators import districts as D
+from terraza.plans import polygons as P
 
 SQUARE, INNER, HOLE = [(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (6, 2), (6, 6), (2, 6)], [(3.1, 3.3), (5.2, 3.0), (4.7, 5.9)]
 SHAPES = {1: [[SQUARE, HOLE]], 2: [[[(4, 4), (12, 5), (10, 13), (5, 11), (4, 4)]], [[(20, 20), (21, 20), (20, 21)]]], 3: [[SQUARE, INNER], [[(3, 3), (5, 3), (5, 5), (3, 5)]]], 4: [[[(1, 1), (2, 2)]]], 5: [[[(-3, -3), (9, -2.5), (-2, 7.5), (-1, 1)]]]}
@@ -75,3 +78,18 @@ def test_without_points_or_polygons(spark):
     none = spark.createDataFrame([], "point long, x double, y double")
     assert C.within(none, shapes(spark), "polygon", 1.0).count() == 0
     assert C.within(none.unionByName(spark.createDataFrame([(1, 1.0, 1.0)], none.schema)), shapes(spark).where("false"), "polygon", 1.0).select(F.count("*")).first()[0] == 0
+
+
+def test_points_at_one_place_are_looked_up_once(spark):
+    df = spark.range(900).selectExpr("id AS point", "CAST(1 + id % 2 * 3 AS DOUBLE) AS x", "CAST(1 + id % 2 * 3 AS DOUBLE) AS y", "id AS extra")
+    out = C.within(df, shapes(spark), "polygon", 0.7)
+    assert {(r["point"], r["polygon"], r["extra"]) for r in out.collect()} == {(i, k, i) for i in range(900) for k in found(*[(1.0, 1.0), (4.0, 4.0)][i % 2])}
+    assert "zip_with" not in out._jdf.queryExecution().executedPlan().toString()  # no geometry for single points
+
+
+def test_lists_of_listings_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    data = "/root/testdata/sf0.001"
+    assert "BroadcastHashJoin" not in plan(P.listings(spark, data))
+    for sets in P._scenarios(spark, data).values():
+        assert not re.search("BroadcastHashJoin.*Left(Semi|Anti)", plan(sets))
