@@ -71,22 +71,32 @@ _faults = {"gone": "p_partkey % 29 = 3", "changed": "p_partkey % 23 = 2", "broke
 
 
 def _assets(spark, d):
-    """(manifest folder, root): the parts' assets as files, and manifests of them, one for each brand."""
+    """The parts' assets, each with its content and where it is listed."""
     two = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
     mark = F.when(F.expr(_faults["broken"]), "57454251").otherwise("57454250")
     image = F.unhex(F.concat(F.lit("52494646"), F.lit("16000000"), mark, F.lit("56503820"), F.lit("0A000000"), F.lit("000000"), F.lit("9D012A"), two(F.expr(_width)), two(F.expr(_height))))
     text = F.when(F.expr(_faults["broken"]), F.unhex(F.lit("C328"))).otherwise(F.concat(F.encode("p_name", "UTF-8"), F.unhex(F.lit("0A"))))
     json = F.encode(F.when(F.expr(_faults["broken"]), "{").when(F.expr(_faults["foreign"]), '{"features": 1}').otherwise(F.concat(F.lit('{"features": ['), F.col("p_size").cast("string"), F.lit("]}"))), "UTF-8")
     content = F.when(F.expr(_format) == "text", text).when(F.expr(_format) == "json", json).otherwise(image)
-    own = A.table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name", content.alias("content"), F.expr(_format).alias("format"), F.expr(_path).alias("path"), F.expr(_listed).alias("listed"))
-    root, manifests = scratch.path(spark, "assets"), scratch.path(spark, "manifests")
-    blobs.write(own.where(f"NOT ({_faults['gone']})").select("path", "content"), root)
+    return A.table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name", content.alias("content"), F.expr(_format).alias("format"), F.expr(_path).alias("path"), F.expr(_listed).alias("listed"))
+
+
+def _files(spark, d):
+    """The folder with the assets as files."""
+    root = scratch.path(spark, "assets")
+    blobs.write(_assets(spark, d).where(f"NOT ({_faults['gone']})").select("path", "content"), root)
+    return root
+
+
+def _manifests(spark, d):
+    """The folder with manifests of the assets, some for each brand."""
+    own, manifests = _assets(spark, d), scratch.path(spark, "manifests")
     digest = F.when(F.expr(_faults["changed"]), F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.when(F.col("format") == "text", blobs.plain(F.col("content"))).otherwise(F.col("content")), 256))
     entry = F.struct(F.col("listed").alias("path"), digest.alias("sha256"), "format")
     # Some entries are listed twice; a manifest lists a few hundred assets at most, as its number is part of its name.
     named = own.select(F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 500)).alias("document"), F.explode(F.when(F.col("p_partkey") % 19 == 0, F.array(entry, entry)).otherwise(F.array(entry))).alias("e"))
     named.groupBy("document").agg(F.collect_list("e").alias("assets")).write.json(manifests)
-    return manifests, root
+    return manifests
 
 
 _entries = f"entries AS (SELECT p_partkey, {_listed} AS path, {_format} AS format, p_size, p_name, p_partkey % 19 = 0 AS repeated, {_listed} = {_path} AS path_ok, unnest(CASE WHEN p_partkey % 19 = 0 THEN [1, 2] ELSE [1] END) AS nth, {', '.join(f'{c} AS {k}' for k, c in _faults.items())} FROM part)"
@@ -96,30 +106,28 @@ _entries = _entries.replace("AS foreign", 'AS "foreign"')
 
 @query("scan_manifest_assets", f"WITH {_entries} SELECT path, format, path_ok, repeated FROM entries")
 def scan_manifest_assets(spark, d):
-    return blobs.manifest(spark, _assets(spark, d)[0]).select("path", "format", "path_ok", "repeated")
+    return blobs.manifest(spark, _manifests(spark, d)).select("path", "format", "path_ok", "repeated")
 
 
 @query("fetch_verified_artifact", f"WITH {_entries} SELECT path, format, {_state} AS status FROM entries")
 def fetch_verified_artifact(spark, d):
     """What the files on disk are worth against the manifests that list them."""
-    manifests, root = _assets(spark, d)
-    return blobs.checked(blobs.manifest(spark, manifests), spark, root, files.webp_size).select("path", "format", "status")
+    return blobs.checked(blobs.manifest(spark, _manifests(spark, d)), spark, _files(spark, d), files.webp_size).select("path", "format", "status")
 
 
 @query("scan_binary_asset", f"SELECT {_path} AS path, CAST({_width} AS INTEGER) AS width, CAST({_height} AS INTEGER) AS height FROM part WHERE p_partkey % 3 = 2 AND p_size % 10 <> 3 AND NOT ({_faults['gone']})")
 def binary_asset(spark, d):
     """Sizes in the heads of the images on disk; those without a sound head have none."""
-    root = _assets(spark, d)[1]
-    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.webp").load(root)
+    root = _files(spark, d)
+    own = blobs.contents(blobs.listing(spark, root).where(F.endswith("path", F.lit(".webp"))), root)
     size = files.webp_size(F.col("content"))
-    return own.select(F.regexp_extract("path", "(assets/[^/]+/[^/]+)$", 1).alias("path"), size.alias("size")).where("size is not null").select("path", "size.width", "size.height")
+    return own.select("path", size.alias("size")).where("size is not null").select("path", "size.width", "size.height")
 
 
 @query("asset_hash_check", f"WITH {_entries} SELECT path, count(*) AS entries, bool_and({_state} NOT IN ('missing', 'bad_path') AND NOT changed) AS same FROM entries GROUP BY 1")
 def asset_hash(spark, d):
     """Whether every entry for a path has the hash of the file there, one closing line end of a text left out."""
-    manifests, root = _assets(spark, d)
-    own = blobs.checked(blobs.manifest(spark, manifests), spark, root, files.webp_size)
+    own = blobs.checked(blobs.manifest(spark, _manifests(spark, d)), spark, _files(spark, d), files.webp_size)
     return own.groupBy("path").agg(F.count("*").alias("entries"), F.every(~F.col("status").isin("bad_path", "missing", "hash_mismatch")).alias("same"))
 
 

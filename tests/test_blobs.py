@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from terraza.plans import files as P
 from terraza.sources import blobs, files
 
 
@@ -39,3 +40,22 @@ def test_paths_are_checked_before_anything_is_written(spark, tmp_path):
     assert not (tmp_path / "x").exists()
     blobs.write(spark.createDataFrame([("a", None)], "path string, content binary"), f"{tmp_path}/y")
     assert (tmp_path / "y" / "a").read_bytes() == b""
+
+
+def test_files_are_dealt_to_tasks_by_rows(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('assets/', id % 3, '/', id, '.bin') AS path", "CAST(repeat('x', CAST(id AS INT)) AS BINARY) AS content").coalesce(1)
+    root = f"{tmp_path}/files"
+    blobs.write(rows, root)
+    (tmp_path / "files" / "assets" / "with blank.bin").write_bytes(b"b")
+    (tmp_path / "files" / "assets" / ".hidden.bin").write_bytes(b"h")
+    found = blobs.listing(spark, root)
+    assert {r["path"] for r in found.collect()} == {f"assets/{i % 3}/{i}.bin" for i in range(300)} | {"assets/with blank.bin"}
+    own = blobs.contents(found.unionByName(found).unionByName(spark.createDataFrame([("assets",), ("gone",)], "path string")), root)
+    assert {r["path"]: bytes(r["content"]) for r in own.collect()} == {f"assets/{i % 3}/{i}.bin": b"x" * i for i in range(1, 300)} | {"assets/with blank.bin": b"b"}
+    assert own.count() == 300 and own.rdd.getNumPartitions() == blobs._tasks(spark)  # and not one for 32 files, as Spark's own reader deals them
+    assert blobs.listing(spark, f"{tmp_path}").count() == 301
+
+
+def test_a_manifest_alone_writes_no_files(spark, monkeypatch):
+    monkeypatch.setattr(blobs, "write", lambda *x: pytest.fail("files were written"))
+    assert P.scan_manifest_assets(spark, "/root/testdata/sf0.001").count() > 0
