@@ -1,16 +1,19 @@
 """Cases and the records that they list: one ledger of members of all kinds, its violations, and each case's dossier.
 
 A case has an array of ids for each kind; records are one table of (kind, ref, up, quality, exposed), where up are the records that
-a record rests on, as an array of (kind, ref). All kinds go through one join and one aggregation, however many they are.
+a record rests on, as an array of (kind, ref). All kinds go through one join and one aggregation, however many they are. A case's rows meet in one
+task, where they are summed up one by one, so its dossier takes no further shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraza.operators import checks
+from terraza.sources.scratch import apart
 
+QUALITIES = ("certified", "reviewable", "conflict")  #: from best to worst
 UP = "array<struct<kind:string,ref:bigint>>"
 MEMBER = "case_id", "kind", "ref"
 #: What a member of a ledger breaks, as SQL over its columns.
@@ -28,28 +31,44 @@ def records(kind: str, df: DataFrame, ref: str, up: dict[str, str] | None = None
     return df.select(F.lit(kind).alias("kind"), F.col(ref).cast("long").alias("ref"), above.alias("up"), F.expr(quality).cast("string").alias("quality"), F.expr(exposed).alias("exposed"))
 
 
+def listed(rows: DataFrame, lists: dict[str, str], once: tuple[str, ...] = ()) -> DataFrame:
+    """(case_id, kind, ref, times): what rows of cases add to their lists, by an SQL expression for each kind, null for nothing; no list is gathered.
+
+    Kinds in once hold an id once however many rows add it. Rows that add nothing list nothing, and cases without others have no row.
+    """
+    own = rows.select("case_id", *(F.expr(e).cast("long").alias(f"_{k}") for k, e in lists.items())).repartition("case_id")
+    each = own.select("case_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("ref")) for k in lists)))).where("ref is not null")
+    return each.groupBy(*MEMBER).agg(F.when(F.col("kind").isin(*once), F.lit(1)).otherwise(F.count("*")).cast("long").alias("times"))
+
+
 def ledger(cases: DataFrame, lists: dict[str, str], known: DataFrame) -> DataFrame:
     """(case_id, kind, ref, times, copies, cited, exposed, quality): a row for each record that a case lists or that a record it lists rests on.
 
     times is how often the case lists it (0: it doesn't), copies how many records have the id (0: none; looked up for listed ones
     only), cited how many of the case's listed records rest on it. A null id is a member without a record; a null or empty array
-    lists nothing; a case given in several rows is one. Repeated records make rows and are never gathered, so an id of very many
-    records or cases is one key of a join, which adaptive execution splits.
+    lists nothing; a case given in several rows is one.
     """
     named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref"))
     each = [F.transform(F.coalesce(F.col(c).cast("array<bigint>"), F.array().cast("array<bigint>")), named(k)) for k, c in lists.items()]
-    listed = cases.select("case_id", F.inline(F.concat(*each))).groupBy(*MEMBER).agg(F.count("*").alias("times"))
-    found = listed.join(known, ["kind", "ref"], "left")
-
-    def row(kind: Column, ref: Column, times: Column, copies: Column, cited: int, exposed: Column, quality: Column) -> Column:
-        zero = F.lit(0).cast("long")
-        return F.struct(kind.alias("kind"), ref.alias("ref"), times.alias("times"), copies.alias("copies"), (zero + cited).alias("cited"), exposed.alias("exposed"), quality.alias("quality"))
-
-    zero = F.lit(0).cast("long")
-    own = row(F.col("kind"), F.col("ref"), F.col("times"), F.col("up").isNotNull().cast("long"), 0, F.coalesce("exposed", F.lit(False)), F.col("quality"))
-    above = F.transform(F.coalesce("up", F.array().cast(UP)), lambda u: row(u["kind"], u["ref"], zero, zero, 1, F.lit(False), F.lit(None).cast("string")))
-    rows = found.select("case_id", F.inline(F.concat(F.array(own), above)))
-    worst = F.when(F.bool_or(F.col("quality") == "conflict"), "conflict").when(F.bool_or(F.col("quality") == "reviewable"), "reviewable").when(F.bool_or(F.col("quality") == "certified"), "certified")
+    return ledger_of(cases.select("case_id", F.inline(F.concat(*each))).groupBy(*MEMBER).agg(F.count("*").alias("times")), known)
+
+
+def ledger_of(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The ledger of (case_id, kind, ref, times) rows, each member once.
+
+    Repeated records make rows and are never gathered, so an id of very many records or cases is one key of a join, which adaptive execution splits.
+    """
+    held = known.select("kind", "ref", "up", F.array_position(F.array(*map(F.lit, QUALITIES)), F.col("quality")).cast("int").alias("quality"), "exposed")
+    # Ids differ more than kinds, so they come first in the join's order; members are exploded after the shuffle, not before.
+    found = members.join(apart(held), ["ref", "kind"], "left").repartition("case_id")
+    own = F.array(F.struct("kind", "ref")).cast(UP)
+    each = found.select("case_id", "times", "quality", "exposed", F.col("up").isNotNull().alias("there"), F.posexplode(F.concat(own, F.coalesce("up", F.array().cast(UP)))).alias("nth", "member"))
+    first, zero = F.col("nth") == 0, F.lit(0).cast("long")
+    rows = each.select(
+        "case_id", "member.kind", "member.ref", F.when(first, F.col("times")).otherwise(zero).alias("times"), F.when(first & F.col("there"), F.lit(1)).otherwise(0).cast("long").alias("copies"), F.when(first, F.lit(0)).otherwise(1).cast("long").alias("cited"),
+        (first & F.coalesce("exposed", F.lit(False))).alias("exposed"), F.when(first, F.col("quality")).alias("quality"),
+    )
+    worst = F.get(F.array(*map(F.lit, QUALITIES)), F.nullif(F.max("quality"), F.lit(0)) - 1)
     return rows.groupBy(*MEMBER).agg(F.max("times").alias("times"), F.sum("copies").alias("copies"), F.sum("cited").alias("cited"), F.bool_or("exposed").alias("exposed"), worst.alias("quality"))
 
 

@@ -70,3 +70,14 @@ def test_empty(spark, known):
     assert K.ledger(nothing, LISTS, known).count() == 0
     lonely = K.ledger(spark.createDataFrame(ROWS[:1], "case_id int, facts array<int>, seen array<long>, sources array<long>, kind string"), LISTS, known.limit(0))
     assert {r["code"] for r in K.violations(lonely).collect()} == {"RECORD_MISSING", "NOT_CITED"} and lonely.where(F.col("copies") > 0).count() == 0
+
+
+def test_rows_list_what_arrays_do(spark, known):
+    rows = spark.createDataFrame([(1, 1, 10, 100), (1, 2, None, 100), (2, 3, 11, None), (3, 4, 12, 102), (3, 4, 12, 102), (9, None, None, None)], "case_id int, a long, b int, c long")
+    own = K.listed(rows, {"fact": "a", "observation": "b", "source": "c"}, ("observation", "source"))
+    assert {tuple(r) for r in own.collect()} == {(1, "fact", 1, 1), (1, "fact", 2, 1), (1, "observation", 10, 1), (1, "source", 100, 1), (2, "fact", 3, 1), (2, "observation", 11, 1), (3, "fact", 4, 2), (3, "observation", 12, 1), (3, "source", 102, 1)}
+    arrays = rows.groupBy("case_id").agg(F.collect_list("a").alias("facts"), F.collect_set("b").alias("seen"), F.collect_set("c").alias("sources"))
+    ledger = K.ledger_of(own, known)
+    assert {tuple(r) for r in ledger.collect()} == {tuple(r) for r in K.ledger(arrays, LISTS, known).collect()}
+    plan = K.dossiers(ledger, tuple(LISTS))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("collect_list(kind") == 0 and not [x for x in plan.split("\n") if "Exchange hashpartitioning(case_id" in x and "REPARTITION" not in x]  # dossiers take the ledger's shuffle
