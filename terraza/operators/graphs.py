@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraza.sources.scratch import written
+from terraza.sources.scratch import apart, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,13 +20,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
         root = labels.select(F.col("node").alias("b"), "root")
-        near = both.join(root, "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        own = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("to"))
+        near = both.join(apart(root), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        own = labels.join(apart(near), "node").select("node", "root", F.least("root", "near").alias("to"))
         # The root itself goes along, so that all that it leads follows, and every node takes a jump.
         pulled = own.where("to < root").groupBy(F.col("root").alias("node")).agg(F.min("to").alias("pulled"))
-        own = written(own.join(pulled, "node", "left").select("node", "root", F.least("to", "pulled").alias("to")), "labels")
+        own = written(own.join(apart(pulled), "node", "left").select("node", "root", F.least("to", "pulled").alias("to")), "labels")
         jump = own.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        after = written(own.join(jump, "to", "left").select("node", "root", F.least("to", F.coalesce("far", "to")).alias("to")), "labels")
+        after = written(own.join(apart(jump), "to", "left").select("node", "root", F.least("to", F.coalesce("far", "to")).alias("to")), "labels")
         moved = not after.where("root <> to").isEmpty()
         labels = after.select("node", F.col("to").alias("root"))
         if not moved:
@@ -42,8 +42,8 @@ def peeled(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     left = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct(), "edges")
     n = left.count()
     while n:
-        ends = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")  # that edges leave and reach
-        left = written(left.join(ends, "a", "left_semi").join(ends.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"), "edges")
+        ends = left.select("a").distinct().join(apart(left.select(F.col("b").alias("a")).distinct()), "a", "left_semi")  # that edges leave and reach
+        left = written(left.join(apart(ends), "a", "left_semi").join(apart(ends.withColumnRenamed("a", "b")), "b", "left_semi").select("a", "b"), "edges")
         n, before = left.count(), n
         if n == before:
             break
@@ -54,4 +54,4 @@ def cyclic(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component, nodes) of the nodes that peeling leaves: each component holds a cycle; nodes is how many it has."""
     left = written(components(peeled(edges, a, b)), "cycles")
     sizes = left.groupBy("component").agg(F.count("*").alias("nodes"))
-    return left.join(sizes, "component").select("node", "component", "nodes")
+    return left.join(apart(sizes), "component").select("node", "component", "nodes")

@@ -9,6 +9,7 @@ from terraza.operators import ordered as O
 from terraza.registry import query
 from terraza.sources import adapter as A
 from terraza.sources import model as M
+from terraza.sources.scratch import apart
 
 # (collection, its column, the referenced table, its key)
 REFERENCES = (
@@ -281,5 +282,5 @@ def derivation_cycle(spark, d):
     spark_sql = {k: e.replace("//", "div") for k, e in DERIVED.items()}
     known = A.table(spark, d, "lineitem").select("l_partkey").distinct()
     edges = known.select(F.col("l_partkey").alias("a"), F.explode(F.array(*(F.expr(e) for e in spark_sql.values()))).alias("b"))
-    edges = edges.join(known.select(F.col("l_partkey").alias("b")), "b", "left_semi")
+    edges = edges.join(apart(known.select(F.col("l_partkey").alias("b"))), "b", "left_semi")
     return G.cyclic(edges).select(F.col("node").alias("project_id"), "component", "nodes")

@@ -70,3 +70,10 @@ def test_a_long_cycle_is_left_and_all_chains_go(spark):
     got = {tuple(r) for r in G.cyclic(graph(spark, cycle + tail + ending + bridge + [(900, 900), (7, 200), (None, 3)])).collect()}
     assert got == {(i, 0, 40) for i in range(40)} | {(i, 500, 5) for i in (500, 501, 510, 520, 521)} | {(900, 900, 1)}
     assert G.cyclic(graph(spark, ending)).count() == 0
+
+
+def test_nodes_are_not_broadcast(spark, monkeypatch):
+    plans, own = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    assert G.cyclic(graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])).count() == 3
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
