@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from terraza.functions import semantics as S
 from terraza.operators.identity import raised
-from terraza.sources.scratch import written
+from terraza.sources.scratch import apart, written
 
 # The indicators, and the currencies that are known.
 INDICATORS = ("price_per_m2_total", "units_reported", "parking_reported", "attributes_announced")
 CURRENCIES = ("PEN", "USD")
+TASK = 100_000  #: projects whose entries one task counts apart: some 100 MB
 
 
 def read(rows: DataFrame, blocked: DataFrame, cutoff: str) -> DataFrame:
@@ -23,7 +24,7 @@ def read(rows: DataFrame, blocked: DataFrame, cutoff: str) -> DataFrame:
     twice = rows.groupBy("project_id").count().where("count > 1")
     raised(twice, "projects with several source rows")
     at = F.to_timestamp_ntz(F.lit(cutoff), F.lit("yyyy-MM-dd HH:mm:ss"))
-    own = rows.join(blocked.select("project_id").distinct().withColumn("blocked", F.lit(True)), "project_id", "left")
+    own = rows.join(apart(blocked.select("project_id").distinct().withColumn("blocked", F.lit(True))), "project_id", "left")
     positive, counted = (lambda c: F.when(F.col(c) > 0, F.col(c).cast("double"))), (lambda c: F.when(F.col(c) >= 0, F.col(c).cast("double")))
     return own.select(
         "project_id", "captured_at", F.coalesce(F.col("captured_at").cast("timestamp_ntz") > at, F.lit(True)).alias("late"), F.coalesce("blocked", F.lit(False)).alias("blocked"), F.when(F.col("currency").isin(*CURRENCIES), F.col("currency")).otherwise("unknown").alias("currency"),
@@ -61,7 +62,7 @@ def facts(own: DataFrame, attributes: DataFrame) -> DataFrame:
     ]
     plain = own.select("project_id", F.inline(F.array_compact(F.array(*rows))))
     late = own.select("project_id", "late")
-    named = attributes.where("known").join(late, "project_id").select("project_id", F.concat(F.lit("attribute_"), F.replace(F.substring_index("attribute_id", ":", -1), F.lit("-"), F.lit("_"))).alias("field_name"), F.lit("attribute").alias("semantic_type"), F.lit("text").alias("unit"), F.lit(None).cast("double").alias("value"), F.col("token").alias("text"), F.lit("observed").alias("value_kind"), F.when(F.col("late"), "cutoff").alias("exclusion_reason"))
+    named = attributes.where("known").join(apart(late), "project_id").select("project_id", F.concat(F.lit("attribute_"), F.replace(F.substring_index("attribute_id", ":", -1), F.lit("-"), F.lit("_"))).alias("field_name"), F.lit("attribute").alias("semantic_type"), F.lit("text").alias("unit"), F.lit(None).cast("double").alias("value"), F.col("token").alias("text"), F.lit("observed").alias("value_kind"), F.when(F.col("late"), "cutoff").alias("exclusion_reason"))
     every = plain.unionByName(named)
     return every.select(F.concat(F.lit("fact:"), F.col("project_id").cast("string"), F.lit(":"), "field_name").alias("fact_id"), "*", F.col("exclusion_reason").isNull().alias("eligible"))
 
@@ -70,7 +71,7 @@ def index(own: DataFrame, made: DataFrame) -> DataFrame:
     """Each project's facts by what they are of, its attributes' number, and how its price and area are paired; blocked ones show neither."""
     fact = lambda name: F.max(F.when(F.col("field_name") == name, F.col("fact_id")))
     ids = made.groupBy("project_id").agg(*(fact(n).alias(k) for k, n in (("price_fact", "published_price_from"), ("area_fact", "total_area_min"), ("ppm_fact", "price_per_total_m2_orientative"), ("unit_fact", "reported_unit_count"), ("parking_fact", "parking_count"))), F.count_if(F.col("semantic_type") == "attribute").alias("attributes"))
-    out = own.select("project_id", "blocked", "currency").join(ids, "project_id", "left")
+    out = own.select("project_id", "blocked", "currency").join(apart(ids), "project_id", "left")
     paired = F.col("price_fact").isNotNull() & F.col("area_fact").isNotNull() & (F.col("currency") != "unknown")
     status = F.when(F.col("blocked"), "conflicting").when(paired, "project_minima_pair_unresolved").otherwise("missing")
     open_ = lambda c: F.when(~F.col("blocked"), F.col(c)).alias(c)
@@ -89,12 +90,14 @@ def ledgers(own: DataFrame, made: DataFrame) -> DataFrame:
         **{k: F.when(late, entry("excluded", "cutoff")).when(there, entry("used")).otherwise(entry("missing")) for k, there in (("units_reported", F.col("units").isNotNull()), ("parking_reported", F.col("parking").isNotNull()), ("attributes_announced", F.coalesce("named", F.lit(False))))},
     }
     rows = F.inline(F.array(*(F.struct(F.lit(k).alias("indicator"), v.alias("entry")) for k, v in of.items())))
-    return own.join(named, "project_id", "left").select("project_id", rows).select("indicator", "project_id", "entry.state", "entry.reason")
+    return own.join(apart(named), "project_id", "left").select("project_id", rows).select("indicator", "project_id", "entry.state", "entry.reason")
 
 
 def coverage(entries: DataFrame, projects: DataFrame) -> DataFrame:
     """Of each indicator: projects, used, missing and excluded, and whether every project is in its ledger just once."""
     is_ = lambda s: F.count_if(F.col("state") == s).alias(s)
+    tasks = 1 + projects.count() // TASK  # adaptive execution joins partitions by compressed bytes, and ids compress well
+    entries = entries.select("indicator", "project_id", "state").repartition(tasks, "project_id")
     own = entries.groupBy("indicator").agg(F.count("*").alias("entries"), F.countDistinct("project_id").alias("distinct_projects"), is_("used"), is_("missing"), is_("excluded"), F.count_if(F.col("state").isin("used", "missing", "excluded")).alias("_placed"))
     n = projects.agg(F.count("*").alias("projects"))
     return own.crossJoin(F.broadcast(n)).select("indicator", "projects", "used", "missing", "excluded", ((F.col("entries") == F.col("projects")) & (F.col("distinct_projects") == F.col("projects")) & (F.col("_placed") == F.col("projects"))).alias("parted"))

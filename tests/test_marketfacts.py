@@ -39,3 +39,12 @@ def test_facts_index_and_ledgers(spark):
     assert {r["indicator"] for r in broken.where("not parted").collect()} == {"units_reported"}
     with pytest.raises(ValueError, match="1 projects with several source rows: 1"):
         K.read(rows.unionByName(rows.where("project_id = 1")), blocked, "2024-06-30 00:00:00")
+
+
+def test_entries_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(K, "TASK", 10)
+    projects = spark.range(95).withColumnRenamed("id", "project_id")
+    entries = projects.selectExpr("'a' AS indicator", "project_id", "'used' AS state").unionByName(projects.where("project_id > 0").selectExpr("'b' AS indicator", "project_id", "'missing' AS state")).unionByName(spark.sql("SELECT 'b' AS indicator, 1L AS project_id, 'used' AS state"))
+    out = K.coverage(entries, projects)
+    assert "hashpartitioning(project_id" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 10)" in plan
+    assert {tuple(r) for r in out.collect()} == {("a", 95, 95, 0, 0, True), ("b", 95, 1, 94, 0, False)}
