@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -12,15 +13,21 @@ from pyspark.sql import functions as F
 from terraza.functions.semantics import _column
 
 MARKS = "[̀-ͯ]"  #: combining marks
+PIECE = 1 << 20  #: bytes
+
+
+def composed(column: pa.Array, form: str) -> pa.Array:
+    """Texts in a normal form, PIECE bytes of them, or one, as Python's strings at a time. Arrow's own NFC leaves letters decomposed."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(column)]
+    parts = [pa.array([None if x is None else unicodedata.normalize(form, x) for x in column[a:b].to_pylist()], pa.string()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.concat_arrays(parts)
 
 
 def normal(x: Column | str, form: str = "NFC") -> Column:
     """A text in a normal form; null stays null."""
 
-    def to(column: pa.Array) -> pa.Array:
-        return pa.array([x if x is None else unicodedata.normalize(form, x) for x in column.to_pylist()], pa.string())  # Arrow's own NFC leaves letters decomposed
-
-    return F.arrow_udf(to, "string")(_column(x))
+    return F.arrow_udf(lambda column: composed(column, form), "string")(_column(x))
 
 
 def unmarked(x: Column | str) -> Column:

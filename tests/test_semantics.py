@@ -92,3 +92,14 @@ def test_changes(spark):
     assert (got[2]["delta"], got[2]["percent"], got[2]["status"]) == (30000.0, 5.0, "certified")
     assert (got[3]["reasons"], got[3]["status"]) == ("extreme_change", "reviewable")
     assert (got[4]["percent"], got[4]["reasons"], got[4]["status"]) == (None, "base_zero", "reviewable")
+
+
+def test_normal_forms_take_texts_piece_by_piece(monkeypatch):
+    texts = [None, "", "e\u0301", "n\u0303o", "\u1100\u1161", "x" * 400, "é"] * 30
+    seen = []
+    monkeypatch.setattr(U, "PIECE", 100)
+    monkeypatch.setattr(U.pa, "concat_arrays", lambda parts, own=U.pa.concat_arrays: seen.extend(map(len, parts)) or own(parts))
+    for form in ("NFC", "NFD", "NFKC"):
+        for own in (texts, texts[:1], []):
+            assert U.composed(U.pa.array(own, U.pa.string()), form).to_pylist() == [x if x is None else U.unicodedata.normalize(form, x) for x in own]
+    assert max(seen) < 20
